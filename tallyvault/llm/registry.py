@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyvault.llm import language, packing, pii, secrets, tokens, toxicity
+from tallyvault.llm import fingerprint, knn, language, mixing, near, packing, pii, secrets, tokens, toxicity
 from tallyvault.llm.common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
 
@@ -32,6 +36,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn.nearest(table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0")
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = language.predict(docs, language.fit(docs.filter(fold(F.col("doc_id"), 4) != 2)))
@@ -42,8 +50,22 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(table(spark, sf_dir, "documents"))
 
 
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "links", "copies")
+
+
+def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_best_fit_packing, op3_toxicity, op4_secret_scans, op5_token_counts, op7_language_id, op8_pii)}
+    return {
+        f.__name__: f
+        for f in (
+            op1_source_mixing, op2_best_fit_packing, op3_toxicity, op4_secret_scans, op5_token_counts,
+            op6_nearest_neighbours, op7_language_id, op8_pii, op9_ngram_jaccard_join, op10_document_fingerprints,
+        )
+    }
 
 
 def oracle_sql() -> dict[str, str]:
