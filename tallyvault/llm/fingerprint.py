@@ -4,7 +4,7 @@ Method: I-Match.  The lexicon holds the terms whose document frequency lies in a
 (a band of inverse document frequency).  A document keeps its distinct terms of the
 lexicon, sorts them and hashes them, once for each of several randomised subsets of the
 lexicon; an edit changes only the hashes of the subsets that hold a term it touches.
-The subsets hold a 1/8 to a 1/64 of the lexicon, so that short and long documents both
+The subsets hold a 1/16 to a 1/64 of the lexicon, so that short and long documents both
 have subsets with a few of their terms.
 
 DataFrame and SQL functions only.  Documents are dealt once into ranges of ids, small
@@ -23,7 +23,7 @@ from tallyvault.llm.common import settle
 LOW, HIGH = 0.002, 0.01
 SUBSETS = 32
 #: A subset's share of the lexicon, in 256ths, by its number modulo 4.
-SHARES = (32, 16, 8, 4)
+SHARES = (16, 8, 4, 4)
 RANGE_ROWS = 2_000
 #: A lexicon over this size is joined by shuffling.  It holds at most (mean distinct terms a document) / LOW terms, however many documents there are.
 BROADCAST_TERMS = 400_000

@@ -30,6 +30,8 @@ SEGMENT = 256
 ALPHABET = 96
 BATCH_CHARS = 1 << 21
 UNKNOWN = "und"
+#: A text is rejected if even its own language needs more than so many phrases a character, beyond the first few.
+MOST_PHRASES, FIRST_PHRASES = 0.5, 3
 _FLAG = np.int32(1 << 30)
 
 
@@ -172,10 +174,10 @@ def fit(labelled: DataFrame, docs: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, lang_pred and score (0 to 1) of each row of `docs`; no shuffle.
+    """doc_id, lang_pred, score (0 to 1), phrases and chars of each row of `docs`; no shuffle.
 
-    score is 1 less the winner's phrases over the runner-up's, 1 if there is only one
-    language.  Null texts and texts without a letter are `und` with score 0, and so is
+    phrases is what the winner needs and chars the length of the normalised text.  score is
+    1 less the winner's phrases over the runner-up's, 1 if there is only one language.  Null texts and texts without a letter are `und` with score 0, and so is
     everything under a model without languages.  Ties go to the first language by name.
     Repeated rows and null ids come out as they are; other columns are ignored.
     """
@@ -184,9 +186,9 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value
         for batch in batches:
-            langs, scores, held, held_chars = [], [], [], 0
+            langs, scores, phrases, chars, held, held_chars = [], [], [], [], [], 0
 
-            def flush(held: list[np.ndarray], langs: list[str], scores: list[float]) -> None:
+            def flush(held: list[np.ndarray], langs: list[str], scores: list[float], phrases: list[int], chars: list[int]) -> None:
                 cost = m.phrases(held)
                 known = np.array([bool((t != 32).any()) for t in held]) if m.langs else np.zeros(len(held), bool)
                 best = cost.argmin(1) if m.langs else np.zeros(len(held), int)
@@ -194,15 +196,45 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                     two = np.sort(cost[i])[:2] if ok else ()
                     langs.append(m.langs[best[i]] if ok else UNKNOWN)
                     scores.append(0.0 if not ok else 1.0 if len(two) < 2 else float(1 - two[0] / two[1]))
+                    phrases.append(round(float(cost[i].min()) * len(held[i])) if ok else 0)
+                    chars.append(len(held[i]))
 
             for text in batch["text"]:
                 held.append(points(text) if isinstance(text, str) else np.empty(0, np.uint32))
                 held_chars += len(held[-1])
                 if held_chars >= BATCH_CHARS:
-                    flush(held, langs, scores)
+                    flush(held, langs, scores, phrases, chars)
                     held, held_chars = [], 0
             if held:
-                flush(held, langs, scores)
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "lang_pred": langs, "score": scores})
+                flush(held, langs, scores, phrases, chars)
+            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "lang_pred": langs, "score": scores, "phrases": phrases, "chars": chars})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, "doc_id long, lang_pred string, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, "doc_id long, lang_pred string, score double, phrases long, chars long")
+
+
+def accepted(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of `docs` whose text is in a learned language, with all their columns; the prediction is not stored.
+
+    Rejected are null texts, texts without a letter, and texts that no language's labelled
+    text explains (more than MOST_PHRASES phrases a character, beyond FIRST_PHRASES).  Under
+    a model without languages nothing but the first two is rejected.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(texts: pd.Series) -> pd.Series:
+        m, out, held, size = shared.value, [], [], 0
+
+        def flush(held: list[np.ndarray]) -> list[bool]:
+            most = np.array([MOST_PHRASES * len(t) + FIRST_PHRASES for t in held])
+            fine = m.phrases(held).min(1) * [len(t) for t in held] <= most if m.langs else np.ones(len(held), bool)
+            return (fine & [bool((t != 32).any()) for t in held]).tolist()
+
+        for text in texts:
+            held.append(points(text) if isinstance(text, str) else np.empty(0, np.uint32))
+            size += len(held[-1])
+            if size >= BATCH_CHARS:
+                out += flush(held)
+                held, size = [], 0
+        return pd.Series(out + (flush(held) if held else []), dtype=bool)
+
+    return docs.filter(F.pandas_udf(run, "boolean")(F.col("text").cast("string")))
