@@ -193,7 +193,7 @@ def _groups(where: str, scope: str, having: str) -> str:
 
 def _group_query(name: str, request: dict, where: str = "true", scope: str = "scan_id IN (1, 2, 3, 4)", having: str = "count(*) >= 2", order: str = "size DESC, size DESC, sha256 DESC", limit: int = 100) -> None:
     full = {"scan_ids": [1, 2, 3, 4], "limit": limit} | request
-    sql = _groups(where, scope, having) + f"SELECT * REPLACE (observed_bytes::VARCHAR AS observed_bytes) FROM grp ORDER BY {order} LIMIT {limit + 1}"
+    sql = _groups(where, scope, having) + f"SELECT * REPLACE (observed_bytes::VARCHAR AS observed_bytes) FROM (SELECT * FROM grp ORDER BY {order} LIMIT {limit + 1})"
     _add(f"dup_groups_{name}", sql, lambda inv: duplicates.group_page(inv, full))
 
 
