@@ -18,6 +18,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyvault.llm.common import settle
+
 #: Bounds of the labelled sample that is fitted: rows of each label, and the hashed terms with the clearest difference between labels.
 SAMPLE = 6_000
 FEATURES = 1_024
@@ -41,29 +43,18 @@ def hashed(term: str) -> int:
 class Machine:
     """w0 + sum w_i x_i + sum <v_i, v_j> x_i x_j over presence of the kept hashed terms."""
 
-    def __init__(self, rows: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, factors: int = FACTORS, features: int = FEATURES, epochs: int = EPOCHS):
-        y, n = labels.astype(np.float64), len(labels)
-        self.bias = 0.0
-        self.index: dict[int, int] = {}
-        rate = float(np.average(y, weights=weights)) if n else 0.0
+    def __init__(self, kept: list[int], rows: list[list[int]], labels: np.ndarray, weights: np.ndarray, factors: int = FACTORS, epochs: int = EPOCHS):
+        """Fit on `rows`, each the kept terms that a text has, with labels of 0 and 1 and a weight each."""
+        self.index = {t: i for i, t in enumerate(kept)}
+        y = labels.astype(np.float64)
+        rate = float(np.average(y, weights=weights)) if len(y) else 0.0
         self.bias = float(np.log((rate + 1e-4) / (1 - rate + 1e-4)))
-        if n and 0 < y.sum() < n:
-            owner = np.repeat(np.arange(n), [len(r) for r in rows])
-            seen, place = np.unique(np.concatenate(rows), return_inverse=True)
-            each, ones = np.bincount(place, minlength=len(seen)), np.bincount(place, y[owner], len(seen))
-            mean = each * y.mean()
-            clear = np.where(each >= LEAST_ROWS, np.abs(ones - mean) / np.sqrt(mean * (1 - y.mean()) + 1), -1)
-            kept = np.lexsort((seen, -clear))[:features]
-            kept = kept[clear[kept] > 0]
-            self.index = {int(seen[k]): i for i, k in enumerate(kept)}
-            column = np.full(len(seen), -1)
-            column[kept] = np.arange(len(kept))
-            x = np.zeros((n, len(kept)), np.float32)
-            at = column[place]
-            x[owner[at >= 0], at[at >= 0]] = 1
+        self.w, self.v = np.zeros(len(kept)), np.zeros((len(kept), factors))
+        if kept and 0 < y.sum() < len(y):
+            x = np.zeros((len(y), len(kept)), np.float32)
+            for i, row in enumerate(rows):
+                x[i, [self.index[t] for t in row]] = 1
             self._fit(x, y, weights / weights.mean(), factors, epochs)
-        else:
-            self.w, self.v = np.zeros(0), np.zeros((0, factors))
 
     def _fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray, factors: int, epochs: int) -> None:
         """Adam on the whole sample; the weights shrink towards nothing."""
@@ -97,13 +88,14 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(raw, -30, 30)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int = FEATURES) -> Machine:
     """Fit on at most about `sample` rows of each label, spread over all labelled rows by a hash of the id.
 
     `labels` has doc_id and toxic; a null is no label, and a document that is labelled
     more than once is toxic if any label says so.  With one label only, or none, every
     text gets the smoothed rate of the labels.  What the sample holds of each label is
-    weighted back to that label's share of all rows.
+    weighted back to that label's share of all rows.  The terms are chosen on the executors;
+    only the kept ones, `features` at most a row, come to the driver.
     """
     clean = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     counts = {r["toxic"]: r["count"] for r in clean.groupBy("toxic").count().collect()}
@@ -116,12 +108,18 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
 
     # the sample is at most about 2 x `sample` ids
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter(F.col("text").isNotNull())
-    rows = texts.join(F.broadcast(picked), "doc_id").mapInPandas(hash_terms, "doc_id long, toxic int, terms array<int>")
-    got = sorted({r["doc_id"]: (r["toxic"], r["terms"]) for r in rows.toLocalIterator()}.items())
-    y = np.array([t for _, (t, _) in got], np.int64)
-    each = np.bincount(y, minlength=2)
-    weights = np.array([counts[int(t)] / each[t] for t in y], np.float64)
-    return Machine([np.array(x, np.int64) for _, (_, x) in got], y, weights)
+    rows = settle(texts.join(F.broadcast(picked), "doc_id").mapInPandas(hash_terms, "doc_id long, toxic int, terms array<int>").dropDuplicates(["doc_id"]))
+    each = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
+    mean = each.get(1, 0) / max(1, sum(each.values()))
+    n, ones = F.col("n"), F.col("ones")
+    clear = F.abs(ones - n * mean) / F.sqrt(n * mean * (1 - mean) + 1)
+    counted = rows.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n"), F.sum("toxic").alias("ones"))
+    best = counted.filter(n >= LEAST_ROWS).withColumn("clear", clear).filter("clear > 0").orderBy(F.desc("clear"), "term").limit(features)
+    kept = [r["term"] for r in best.select("term").collect()]
+    had = F.array_intersect("terms", F.array(*[F.lit(t) for t in kept]).cast("array<int>"))
+    got = rows.select("doc_id", "toxic", had.alias("terms")).orderBy("doc_id").collect()
+    y = np.array([r["toxic"] for r in got], np.int64)
+    return Machine(kept, [r["terms"] for r in got], y, np.array([counts[int(t)] / each[t] for t in y], np.float64))
 
 
 def score(docs: DataFrame, machine: Machine) -> DataFrame:
