@@ -69,7 +69,8 @@ def ranged(docs: DataFrame, rows: int = RANGE_ROWS) -> DataFrame:
     array = F.array(*map(F.lit, bounds)) if bounds else F.lit(None)
     # how many bounds are under the id, by halving
     steps = len(bounds).bit_length()
-    halving = "aggregate(sequence(1, {s}), named_struct('a', 0, 'b', {n}), (c, i) -> if(c.a >= c.b, c, if(_bounds[(c.a + c.b) div 2] < _id, named_struct('a', (c.a + c.b) div 2 + 1, 'b', c.b), named_struct('a', c.a, 'b', (c.a + c.b) div 2)))).a"
+    mid = "(c.a + c.b) div 2"
+    halving = f"aggregate(sequence(1, {{s}}), named_struct('a', 0L, 'b', {{n}}L), (c, i) -> if(c.a >= c.b, c, if(_bounds[int({mid})] < _id, named_struct('a', {mid} + 1L, 'b', c.b), named_struct('a', c.a, 'b', {mid})))).a"
     under = F.expr(halving.format(s=steps + 1, n=len(bounds))) if bounds else F.lit(0)
     dealt = base.withColumn("_id", key).withColumn("_bounds", array).withColumn("_range", F.lit(len(bounds)) - under).drop("_bounds")
     tops = settle(dealt.groupBy("_range").agg(F.max("_id").alias("_id")))
