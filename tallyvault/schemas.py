@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql.types import StructType
+from pyspark.sql.types import BooleanType, IntegerType, LongType, StringType, StructField, StructType, TimestampType
 
 VERSION = 1
 
@@ -33,7 +33,15 @@ _DDL = {
     "signatures": "id string, algorithm string, size long, sha256 string, tag string, memo string, created_at timestamp, updated_at timestamp",
     "saved_searches": "id string, scanner_path string, name string, description string, request_json string, created_at timestamp, updated_at timestamp",
 }
-SCHEMAS: dict[str, StructType] = {name: StructType.fromDDL(ddl) for name, ddl in _DDL.items()}
+_TYPES = {"long": LongType(), "int": IntegerType(), "string": StringType(), "boolean": BooleanType(), "timestamp": TimestampType()}
+
+
+def _schema(ddl: str) -> StructType:
+    """Without a session, which Spark's own parser would need."""
+    return StructType([StructField(name, _TYPES[kind]) for name, kind in (c.split() for c in ddl.split(", "))])
+
+
+SCHEMAS: dict[str, StructType] = {name: _schema(ddl) for name, ddl in _DDL.items()}
 BASE = ("scans", "entries", "directories", "hashes", "scan_errors")
 ARCHIVE = tuple(t for t in _DDL if t.startswith("archive_"))
 IMAGE = tuple(t for t in _DDL if t.startswith("image_"))

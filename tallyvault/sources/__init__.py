@@ -1,0 +1 @@
+"""Where inventories come from: file trees, file contents, archives and disk images."""
