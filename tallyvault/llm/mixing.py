@@ -29,8 +29,8 @@ BLOCK_TOKENS = 1 << 20
 STEPS = 50
 SEED = 7
 #: Rows of a slice, about; a slice is a range of the first 16 bits of the order's hash.
-SLICE_ROWS = 50_000
-#: Above so many documents, their copies' counts are joined by shuffling; below, broadcast (about 60 bytes each).
+SLICE_ROWS = 2_000
+#: Tables of more rows (of sources, or of documents' copies; about 60 bytes each) are joined by shuffling, others broadcast.
 BROADCAST_ROWS = 250_000
 
 
@@ -94,8 +94,9 @@ def placed(items: DataFrame, targets: DataFrame, block_tokens: int = BLOCK_TOKEN
     sums = slices.groupBy("_source", "_slice").agg(F.sum("_tokens").alias("_sum"))
     before = sums.withColumn("_before", F.sum("_sum").over(Window.partitionBy("_source").orderBy("_slice")) - F.col("_sum")).select("_source", "_slice", "_before")
     within = Window.partitionBy("_source", "_slice").orderBy("_order", "_key", "_tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    running = slices.withColumn("_in", F.sum("_tokens").over(within)).join(F.broadcast(before), ["_source", "_slice"]).withColumn("_end", F.col("_before") + F.col("_in"))
-    known = running.join(F.broadcast(targets.select(F.col("source").alias("_source"), F.col("tokens").alias("_all"), "goal", "weight")), "_source")
+    running = slices.withColumn("_in", F.sum("_tokens").over(within)).join(before, ["_source", "_slice"]).withColumn("_end", F.col("_before") + F.col("_in"))
+    sources = targets.select(F.col("source").alias("_source"), F.col("tokens").alias("_all"), "goal", "weight")
+    known = running.join(F.broadcast(sources) if sources.count() <= BROADCAST_ROWS else sources, "_source")
     rounds, rest = F.expr("goal div _all"), F.expr("goal % _all")
     copies = rounds + F.when(F.col("_end") <= rest, 1).otherwise(0)
     each = known.filter(copies > 0).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), copies)))
