@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyvault.llm import fingerprint, knn, language, mixing, near, packing, pii, secrets, tokens, toxicity
+from tallyvault.llm import fingerprint, knn, language, mixing, near, oracles, packing, pii, secrets, tokens, toxicity
 from tallyvault.llm.common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -70,4 +70,5 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Of the operators that SQL can express; tests/llm has brute force for the others."""
+    return dict(oracles.ORACLES)
