@@ -123,7 +123,7 @@ def nearest(vectors: DataFrame, is_query: str, k: int = K, query_block: int = QU
         out = []
         if len(q) and len(c):
             out = [(a, ids, s) for a, ids, s in best(q["vec_id"].to_numpy(), np.stack(q["vec"].to_numpy()), c["vec_id"].to_numpy(), np.stack(c["vec"].to_numpy()), k)]
-        return pd.DataFrame({"query_id": np.array([o[0] for o in out], np.int64), "vec_ids": [o[1] for o in out], "scores": [o[2] for o in out]})
+        return pd.DataFrame({"query_id": np.array([o[0] for o in out], np.int64), "vec_ids": pd.Series([o[1] for o in out], dtype=object), "scores": pd.Series([o[2] for o in out], dtype=object)})
 
     shape = "query_id long, vec_ids array<long>, scores array<double>"
     keys = ["dim", "i", "j"]

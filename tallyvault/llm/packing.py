@@ -111,9 +111,16 @@ def seed(lengths: list[int], capacity: int, dice: random.Random) -> list[list[in
     return out + fit.rest()
 
 
+def fewest(lengths: list[int], capacity: int) -> int:
+    """No packing has fewer bins: all lengths must fit, and no two over half can share one."""
+    large = sum(x > capacity / 2 for x in lengths)
+    half = sum(x == capacity / 2 for x in lengths)
+    return max(-(-sum(lengths) // capacity), large + -(-half // 2))
+
+
 def evolve(lengths: list[int], capacity: int, dice: random.Random, elites: list[list[list[int]]], population: int = POPULATION, generations: int = GENERATIONS) -> list[list[int]]:
     """The best packing found.  Ends as soon as no packing could have fewer bins."""
-    least = -(-sum(lengths) // capacity)
+    least = fewest(lengths, capacity)
     people = [list(e) for e in elites] or [Fitter(lengths, capacity).rest()]
     best = min(people, key=lambda p: fitness(p, capacity))
     if len(best) <= least:
