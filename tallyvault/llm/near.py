@@ -188,12 +188,13 @@ def linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshol
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL, hashes: int = HASHES) -> DataFrame:
-    """doc_id, text_hash, class_id, links and copies: one row for each row of `docs`.
+    """doc_id, text_hash, class_id, links, copies and class_key: one row for each row of `docs`.
 
     Two documents are linked if their shingle sets have a Jaccard similarity of at least
     `threshold`.  class_id is the least doc_id that links lead to, links the number of
     other rows linked directly, copies the number of rows with exactly its set, itself
-    included; text_hash is xxhash64 of the text.  A text without words (null or empty
+    included; text_hash is xxhash64 of the text, and class_key tells classes apart even where
+    strangers share a doc_id.  A text without words (null or empty
     too) is linked to nothing and is its own class.  Rows that share a doc_id are copies,
     near copies or strangers by their texts, like any others.  A row whose doc_id is null
     has no name to be linked by: its class_id is null.  Other columns of `docs` are
@@ -259,12 +260,12 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRE
         far = components(across).withColumnRenamed("label", "far")
         links = links.join(far, "node", "left").select("node", "links", F.coalesce("label", "far").alias("label"))
     links = settle(sets.join(links, "node").select("node", "rep", "links", F.coalesce("label", "node").alias("label")))
-    named = links.join(links.groupBy("label").agg(F.min("rep").alias("class_id")), "label").select("node", "class_id", "links")
+    named = links.join(links.groupBy("label").agg(F.min("rep").alias("class_id")), "label").select("node", "class_id", "links", F.col("label").alias("class_key"))
     classes = sets.join(named, "node", "left").select(
-        "node", "copies", F.coalesce("class_id", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links")
+        "node", "copies", F.coalesce("class_id", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("class_key", "node").alias("class_key")
     )
     return signed.select("doc_id", "text_hash", "node").join(classes, "node", "left").select(
-        "doc_id", "text_hash", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("copies", F.lit(1)).alias("copies")
+        "doc_id", "text_hash", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("copies", F.lit(1)).alias("copies"), "class_key"
     )
 
 
@@ -279,11 +280,10 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     Rows whose doc_id is null and texts without words stay.  All columns stay.
     """
     found = settle(near_duplicates(docs).filter("doc_id is not null"))
-    first = found.filter("doc_id = class_id").groupBy("doc_id").agg(F.min("text_hash").alias("_first"), F.count("*").alias("_rows")).filter("_rows > 1")
-    # strangers may share a doc_id: they are classes of their own and have no class_id but it
-    wordless = F.col("copies") + F.col("links") <= 1
+    named = found.filter("doc_id = class_id and class_key is not null")
+    first = named.groupBy("doc_id", "class_key").agg(F.min("text_hash").alias("_first"), F.count("*").alias("_rows")).filter("_rows > 1")
     gone = found.filter("doc_id <> class_id").select("doc_id", "text_hash")
-    gone = gone.unionByName(found.filter(~wordless).join(first, "doc_id").filter("doc_id = class_id and text_hash <> _first").select("doc_id", "text_hash"))
+    gone = gone.unionByName(named.join(first, ["doc_id", "class_key"]).filter("text_hash <> _first").select("doc_id", "text_hash"))
     gone = settle(gone.select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_hash")).distinct())
     hashed = docs.withColumn("_text", F.xxhash64(F.col("text").cast("string")))
     kept = hashed.join(bounded(gone), (F.col("doc_id") == F.col("_gone")) & (F.col("_text") == F.col("_hash")), "left_anti")
