@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql.types import BooleanType, IntegerType, LongType, StringType, StructField, StructType, TimestampType
+from pyspark.sql.types import BooleanType, DecimalType, IntegerType, LongType, StringType, StructField, StructType, TimestampType
 
 VERSION = 1
 
@@ -31,9 +31,13 @@ _DDL = {
     "image_entries": "result_id string, filesystem_id long, entry_id long, relative_path string, filename string, kind string, size long, actual_size long, modified_sec long, modified_nano long, sha256 string, integrity string",
     "image_errors": "result_id string, filesystem_id long, entry_id long, category string, code string, message string",
     "signatures": "id string, algorithm string, size long, sha256 string, tag string, memo string, created_at timestamp, updated_at timestamp",
+    "scenarios": "id string, name string, config_json string, status string, revision long, generation_id string, snapshot_json string, created_at timestamp, updated_at timestamp",
+    "scenario_decisions": "scenario_id string, generation_id string, group_id string, scan_id long, entry_id long, parent_id long, scan_name string, scan_root string, relative_path string, filename string, path string, path_key string, size long, modified_sec long, modified_nano int, sha256 string, matches_filters boolean, has_error boolean, protected boolean, conflicting boolean, auto_decision string, auto_reason string, decision string, reason string",
+    "scenario_groups": "scenario_id string, generation_id string, group_id string, size long, sha256 string, sample_path string, occurrences long, recorded_paths long, keep_count long, keeper_count long, remove_count long, undecided_count long, unresolved_count long, candidate_bytes decimal",
+    "scenario_overrides": "scenario_id string, path_key string, group_id string, decision string, updated_at timestamp",
     "saved_searches": "id string, scanner_path string, name string, description string, request_json string, created_at timestamp, updated_at timestamp",
 }
-_TYPES = {"long": LongType(), "int": IntegerType(), "string": StringType(), "boolean": BooleanType(), "timestamp": TimestampType()}
+_TYPES = {"long": LongType(), "int": IntegerType(), "string": StringType(), "boolean": BooleanType(), "timestamp": TimestampType(), "decimal": DecimalType(38, 0)}
 
 
 def _schema(ddl: str) -> StructType:

@@ -425,3 +425,25 @@ def test_sizes():
     assert spec.as_groups({"scan_ids": [1], "duplicate_state": "COPIES_3"})["min_occurrences"] == 3
     with pytest.raises(InvalidFilter):
         spec.as_groups({"scan_ids": [1], "hash_state": "UNHASHED"})
+
+
+def test_plans_are_saved_state(spark, planned, tmp_path):
+    from tallyvault.operators.scenario_state import Scenarios
+
+    plans = Scenarios(Store(spark, str(tmp_path / "plans")), planned)
+    plan = plans.create("mine", {"request": {"scan_ids": [1, 2]}})
+    plan = plans.generate(plan["id"], 1)
+    assert (plan["status"], plan["revision"]) == ("READY", 2) and plans.validate(plan["id"])["valid"]
+    with pytest.raises(Refused, match="meanwhile"):
+        plans.update(plan["id"], 1, name="late")
+    row = plans.decisions(plan["id"]).filter("relative_path = 'x.txt'").first()
+    kept = {"path_key": row["path_key"], "group_id": row["group_id"], "decision": "KEEP"}
+    plan = plans.override(plan["id"], 2, [kept])
+    assert plan["status"] == "DRAFT" and plans.decision_page(plan["id"], row["group_id"]).filter("pending = 'KEEP'").count() == 1
+    plan = plans.generate(plan["id"], 3)
+    assert plans.decisions(plan["id"]).filter("reason = 'MANUAL'").count() == 1 and plans.group_page(plan["id"]).count() == 2
+    plan = plans.reset(plan["id"], 4)
+    changed = Scenarios(plans.store, planned.with_tables(entries=planned.entries.withColumn("modified_sec", F.lit(9).cast("long"))))
+    assert changed.validate(plan["id"])["source_changed"] and plans.listed().count() == 1
+    plans.delete(plan["id"], 5)
+    assert plans.listed().count() == 0
