@@ -4,8 +4,8 @@ Base: e-mail addresses, IPv4 addresses, card numbers and phone numbers as writte
 
 Method: offset-preserving deobfuscation.  A transducer rewrites a text and keeps, for
 each character it writes, the span of source characters it stands for: look-alike
-letters and full-width forms become ASCII, invisible characters go, runs of spelled
-digits become digits, and `at` and `dot` in their disguises become `@` and `.`.  The
+letters, full-width forms and digits of other scripts become ASCII, invisible characters
+go, runs of spelled digits (after `plus`, perhaps) become digits, and `at` and `dot` in their disguises become `@` and `.`.  The
 detectors run over what it writes, and the spans they find are mapped back.
 """
 
@@ -41,8 +41,8 @@ _IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _WORDS = "|".join(DIGIT_WORDS)
-_SPELLED = re.compile(rf"(?<![A-Za-z])(?:{_WORDS})(?:[\x20,-]+(?:{_WORDS}))+(?![A-Za-z])", re.IGNORECASE | re.ASCII)
-_DIGIT_WORD = re.compile(rf"(?:{_WORDS})", re.IGNORECASE | re.ASCII)
+_SPELLED = re.compile(rf"(?<![A-Za-z])(?:plus[\x20,-]+)?(?:{_WORDS})(?:[\x20,-]+(?:{_WORDS}))+(?![A-Za-z])", re.IGNORECASE | re.ASCII)
+_DIGIT_WORD = re.compile(rf"(?:plus|{_WORDS})", re.IGNORECASE | re.ASCII)
 _AT = re.compile(r"\x20*[\[({<]\x20*at\x20*[\])}>]\x20*|\x20*[\[({<]\x20*@\x20*[\])}>]\x20*", re.IGNORECASE | re.ASCII)
 _DOT = re.compile(r"\x20*[\[({<]\x20*(?:dot|\.)\x20*[\])}>]\x20*", re.IGNORECASE | re.ASCII)
 # without brackets, only as part of a whole address
@@ -85,12 +85,14 @@ def base_spans(text: str) -> list[Span]:
 
 @lru_cache(maxsize=1)
 def _folds() -> dict[int, str]:
-    """Look-alikes, and every code point whose compatibility form is one ASCII letter, digit or sign."""
+    """Look-alikes, decimal digits of any script, and every code point whose compatibility form is one ASCII letter, digit or sign."""
     wide = {i: unicodedata.normalize("NFKC", chr(i)) for r in (range(0xFF01, 0xFF5F), range(0x1D400, 0x1D800), range(0x2460, 0x2500)) for i in r}
-    return {i: c for i, c in wide.items() if len(c) == 1 and " " < c < "\x7f"} | {ord(k): v for k, v in LOOKALIKES.items()}
+    digits = {ord(c): str(unicodedata.decimal(c)) for c in _DIGITS}
+    return {i: c for i, c in wide.items() if len(c) == 1 and " " < c < "\x7f"} | digits | {ord(k): v for k, v in LOOKALIKES.items()}
 
 
-_ODD = re.compile(f"[{''.join(map(re.escape, LOOKALIKES))}！-～\U0001d400-\U0001d7ff①-⓿{INVISIBLE}]")
+_DIGITS = "".join(chr(i) for i in range(128, 0x20000) if unicodedata.category(chr(i)) == "Nd")
+_ODD = re.compile(f"[{''.join(map(re.escape, LOOKALIKES))}{_DIGITS}！-～\U0001d400-\U0001d7ff①-⓿{INVISIBLE}]")
 _HIDDEN = re.compile(f"[{INVISIBLE}]")
 
 
@@ -115,7 +117,7 @@ def normalised(text: str) -> tuple[str, list[tuple[int, int, int]]] | None:
         if len(words) >= LEAST_DIGIT_WORDS:
             for i, w in enumerate(words):
                 end = m.start() + (words[i + 1].start() if i + 1 < len(words) else w.end())
-                edits.append((m.start() + w.start(), end, DIGIT_WORDS[w[0].lower()]))
+                edits.append((m.start() + w.start(), end, DIGIT_WORDS.get(w[0].lower(), "+")))
     if not edits and folded == text:
         return None
     out, pieces, at, written = [], [], 0, 0

@@ -144,6 +144,7 @@ def test_random_strings():
     [
         ("mail jane [at] mail3 [dot] example [dot] com now", "email", "jane [at] mail3 [dot] example [dot] com"), ("jane.doe at mail dot example dot com!", "email", "jane.doe at mail dot example dot com"),
         ("see jаne@exаmple.com", "email", "jаne@exаmple.com"), ("call +one five five five one two three four five six seven please", "phone", "+one five five five one two three four five six seven"),
+        ("dial plus one five five five one two three four five six seven now", "phone", "plus one five five five one two three four five six seven"), ("card ٤١١١ ١١١١ ١١١١ ١١١١", "card", "٤١١١ ١١١١ ١١١١ ١١١١"),
         ("ip １９２.168.0.1 here", "ip", "１９２.168.0.1"), ("a​nn@ex​ample.org", "email", "a​nn@ex​ample.org"),
     ],
 )
