@@ -1,31 +1,18 @@
-"""Reading, checkpoints and hashed folds shared by the operators of this package."""
+"""What the operators of this package share."""
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyvault.storage import settle
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
+__all__ = ["fold", "parts", "settle", "table"]
 
-def settle(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared checkpoint folder and cut its lineage.
-
-    The folder is `spark.checkpoint.dir`.  Only a local session without that
-    setting gets a folder of its own; a cluster without it is refused, since its
-    executors could not see each other's files.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if not spark.conf.get("spark.checkpoint.dir", None) and context.getCheckpointDir() is None:
-        if not context.master.startswith("local[") and context.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="tallyvault-"))
-    return df.checkpoint(eager=True)
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def fold(doc_id: Column, folds: int) -> Column:

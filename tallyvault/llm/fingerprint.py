@@ -24,7 +24,9 @@ LOW, HIGH = 0.002, 0.01
 SUBSETS = 32
 #: A subset's share of the lexicon, in 256ths, by its number modulo 4.
 SHARES = (16, 8, 4, 4)
+#: Rows of a range, about; more where that would make over MOST_RANGES, whose bounds the driver holds.
 RANGE_ROWS = 2_000
+MOST_RANGES = 50_000
 #: A lexicon over this size is joined by shuffling.  It holds at most (mean distinct terms a document) / LOW terms, however many documents there are.
 BROADCAST_TERMS = 400_000
 _NOT_TERM = "[^\\p{L}\\p{N}]+"
@@ -62,7 +64,7 @@ def ranged(docs: DataFrame, rows: int = RANGE_ROWS) -> DataFrame:
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     key = F.coalesce(F.col("doc_id"), F.lit(lowest))
     n = docs.count()
-    pieces = max(1, n // rows)
+    pieces = min(MOST_RANGES, max(1, n // rows))
     shares = [i / pieces for i in range(1, pieces)]
     bounds = base.agg(F.percentile_approx(key, shares, 10 * pieces + 1000)).first()[0] if shares and n else []
     bounds = sorted(set(bounds or []))

@@ -80,27 +80,27 @@ def weights(tokens: DataFrame, budget: int | None = None, entropy: float = ENTRO
 
 
 def counted(docs: DataFrame) -> DataFrame:
-    """`docs` with _source (null: empty name) and _tokens: words between white space, at least one."""
+    """`docs` with __tv_source (null: empty name) and __tv_tokens: words between white space, at least one."""
     words = F.size(F.split(F.trim(F.coalesce(F.col("text").cast("string"), F.lit(""))), "[ \\n\\t\\r]+"))
-    return docs.withColumn("_source", F.coalesce(F.col("source").cast("string"), F.lit(""))).withColumn("_tokens", words.cast("long"))
+    return docs.withColumn("__tv_source", F.coalesce(F.col("source").cast("string"), F.lit(""))).withColumn("__tv_tokens", words.cast("long"))
 
 
 def placed(items: DataFrame, targets: DataFrame, block_tokens: int = BLOCK_TOKENS, seed: int = SEED) -> DataFrame:
-    """The copies of the mix: `items` (_source, _tokens, _key, more) with copy, block, at (0 to 1 in its source's budget) and weight."""
+    """The copies of the mix: `items` (__tv_source, __tv_tokens, __tv_key, more) with copy, block, at (0 to 1 in its source's budget) and weight."""
     n = items.count()
     bits = max(0, min(16, (max(1, n // SLICE_ROWS)).bit_length()))
-    order = F.md5(F.concat_ws("/", F.lit(seed), "_key"))
+    order = F.md5(F.concat_ws("/", F.lit(seed), "__tv_key"))
     slices = items.withColumn("_order", order).withColumn("_slice", F.shiftright(F.conv(F.substring("_order", 1, 4), 16, 10).cast("int"), 16 - bits))
-    sums = slices.groupBy("_source", "_slice").agg(F.sum("_tokens").alias("_sum"))
-    before = sums.withColumn("_before", F.sum("_sum").over(Window.partitionBy("_source").orderBy("_slice")) - F.col("_sum")).select("_source", "_slice", "_before")
-    within = Window.partitionBy("_source", "_slice").orderBy("_order", "_key", "_tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    running = slices.withColumn("_in", F.sum("_tokens").over(within)).join(before, ["_source", "_slice"]).withColumn("_end", F.col("_before") + F.col("_in"))
-    sources = targets.select(F.col("source").alias("_source"), F.col("tokens").alias("_all"), "goal", "weight")
-    known = running.join(F.broadcast(sources) if sources.count() <= BROADCAST_ROWS else sources, "_source")
+    sums = slices.groupBy("__tv_source", "_slice").agg(F.sum("__tv_tokens").alias("_sum"))
+    before = sums.withColumn("_before", F.sum("_sum").over(Window.partitionBy("__tv_source").orderBy("_slice")) - F.col("_sum")).select("__tv_source", "_slice", "_before")
+    within = Window.partitionBy("__tv_source", "_slice").orderBy("_order", "__tv_key", "__tv_tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = slices.withColumn("_in", F.sum("__tv_tokens").over(within)).join(before, ["__tv_source", "_slice"]).withColumn("_end", F.col("_before") + F.col("_in"))
+    sources = targets.select(F.col("source").alias("__tv_source"), F.col("tokens").alias("_all"), "goal", "weight")
+    known = running.join(F.broadcast(sources) if sources.count() <= BROADCAST_ROWS else sources, "__tv_source")
     rounds, rest = F.expr("goal div _all"), F.expr("goal % _all")
     copies = rounds + F.when(F.col("_end") <= rest, 1).otherwise(0)
     each = known.filter(copies > 0).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), copies)))
-    each = each.withColumn("at", ((F.col("copy") - 1) * F.col("_all") + F.col("_end") - F.col("_tokens")) / F.col("goal"))
+    each = each.withColumn("at", ((F.col("copy") - 1) * F.col("_all") + F.col("_end") - F.col("__tv_tokens")) / F.col("goal"))
     blocks = F.greatest(F.lit(1), F.ceil(F.lit(targets.agg(F.sum("goal")).first()[0] or 0) / block_tokens))
     return each.withColumn("block", F.floor(F.col("at") * blocks).cast("long"))
 
@@ -113,13 +113,13 @@ def mixed(docs: DataFrame, budget: int | None = None, entropy: float = ENTROPY,
     the order, and each is in the mix by itself.  Columns other than doc_id, text and
     source are ignored.  An empty table gives an empty mix.
     """
-    items = counted(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "_source", "_tokens", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_key"))
+    items = counted(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "__tv_source", "__tv_tokens", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("__tv_key"))
     items = settle(items)
-    targets = settle(weights(items.groupBy(F.col("_source").alias("source")).agg(F.sum("_tokens").alias("tokens")), budget, entropy, most_repeats))
+    targets = settle(weights(items.groupBy(F.col("__tv_source").alias("source")).agg(F.sum("__tv_tokens").alias("tokens")), budget, entropy, most_repeats))
     copies = placed(items, targets, block_tokens, seed)
-    shuffle = F.md5(F.concat_ws("/", F.lit(seed), "_key", "copy"))
-    spot = F.row_number().over(Window.partitionBy("block").orderBy(shuffle, "_key", "copy", "_source", "_tokens")) - 1
-    return copies.select("doc_id", F.col("_source").alias("source"), F.col("copy").cast("int").alias("copy"), "block", spot.cast("int").alias("position"), F.col("_tokens").alias("tokens"), F.round("weight", 6).alias("weight"))
+    shuffle = F.md5(F.concat_ws("/", F.lit(seed), "__tv_key", "copy"))
+    spot = F.row_number().over(Window.partitionBy("block").orderBy(shuffle, "__tv_key", "copy", "__tv_source", "__tv_tokens")) - 1
+    return copies.select("doc_id", F.col("__tv_source").alias("source"), F.col("copy").cast("int").alias("copy"), "block", spot.cast("int").alias("position"), F.col("__tv_tokens").alias("tokens"), F.round("weight", 6).alias("weight"))
 
 
 def resampled(docs: DataFrame, budget: int | None = None, entropy: float = ENTROPY, most_repeats: float = MOST_REPEATS, seed: int = SEED) -> DataFrame:
@@ -128,12 +128,12 @@ def resampled(docs: DataFrame, budget: int | None = None, entropy: float = ENTRO
     Rows that share doc_id, source and token count are repeated equally often: their copies
     by their number, rounded up.  The rows' order is left to the reader; `mixed` has it.
     """
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_key")
-    items = settle(counted(docs).select(key, "_source", "_tokens"))
-    targets = settle(weights(items.groupBy(F.col("_source").alias("source")).agg(F.sum("_tokens").alias("tokens")), budget, entropy, most_repeats))
-    copies = placed(items, targets, seed=seed).groupBy("_key", "_source", "_tokens").agg(F.count("*").alias("_copies"))
-    rows = items.groupBy("_key", "_source", "_tokens").agg(F.count("*").alias("_rows"))
-    times = settle(copies.join(rows, ["_key", "_source", "_tokens"]).withColumn("_times", F.ceil(F.col("_copies") / F.col("_rows"))).drop("_copies", "_rows"))
+    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("__tv_key")
+    items = settle(counted(docs).select(key, "__tv_source", "__tv_tokens"))
+    targets = settle(weights(items.groupBy(F.col("__tv_source").alias("source")).agg(F.sum("__tv_tokens").alias("tokens")), budget, entropy, most_repeats))
+    copies = placed(items, targets, seed=seed).groupBy("__tv_key", "__tv_source", "__tv_tokens").agg(F.count("*").alias("_copies"))
+    rows = items.groupBy("__tv_key", "__tv_source", "__tv_tokens").agg(F.count("*").alias("_rows"))
+    times = settle(copies.join(rows, ["__tv_key", "__tv_source", "__tv_tokens"]).withColumn("__tv_times", F.ceil(F.col("_copies") / F.col("_rows"))).drop("_copies", "_rows"))
     once = F.broadcast(times) if times.count() <= BROADCAST_ROWS else times
-    keyed = counted(docs).withColumn("_key", key).join(once, ["_key", "_source", "_tokens"])
-    return keyed.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times")))).select(*docs.columns)
+    keyed = counted(docs).withColumn("__tv_key", key).join(once, ["__tv_key", "__tv_source", "__tv_tokens"])
+    return keyed.withColumn("__tv_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__tv_times")))).select(*docs.columns)

@@ -281,15 +281,15 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     """
     found = settle(near_duplicates(docs).filter("doc_id is not null"))
     named = found.filter("doc_id = class_id and class_key is not null")
-    first = named.groupBy("doc_id", "class_key").agg(F.min("text_hash").alias("_first"), F.count("*").alias("_rows")).filter("_rows > 1")
+    first = named.groupBy("doc_id", "class_key").agg(F.min("text_hash").alias("__tv_first"), F.count("*").alias("__tv_rows")).filter("__tv_rows > 1")
     gone = found.filter("doc_id <> class_id").select("doc_id", "text_hash")
-    gone = gone.unionByName(named.join(first, ["doc_id", "class_key"]).filter("text_hash <> _first").select("doc_id", "text_hash"))
-    gone = settle(gone.select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_hash")).distinct())
-    hashed = docs.withColumn("_text", F.xxhash64(F.col("text").cast("string")))
-    kept = hashed.join(bounded(gone), (F.col("doc_id") == F.col("_gone")) & (F.col("_text") == F.col("_hash")), "left_anti")
-    again = settle(found.groupBy("doc_id", "text_hash").count().filter("count > 1").select(F.col("doc_id").alias("_again"), F.col("text_hash").alias("_hash")))
-    same = (F.col("doc_id") == F.col("_again")) & (F.col("_text") == F.col("_hash"))
+    gone = gone.unionByName(named.join(first, ["doc_id", "class_key"]).filter("text_hash <> __tv_first").select("doc_id", "text_hash"))
+    gone = settle(gone.select(F.col("doc_id").alias("__tv_gone"), F.col("text_hash").alias("__tv_hash")).distinct())
+    hashed = docs.withColumn("__tv_text", F.xxhash64(F.col("text").cast("string")))
+    kept = hashed.join(bounded(gone), (F.col("doc_id") == F.col("__tv_gone")) & (F.col("__tv_text") == F.col("__tv_hash")), "left_anti")
+    again = settle(found.groupBy("doc_id", "text_hash").count().filter("count > 1").select(F.col("doc_id").alias("__tv_again"), F.col("text_hash").alias("__tv_hash")))
+    same = (F.col("doc_id") == F.col("__tv_again")) & (F.col("__tv_text") == F.col("__tv_hash"))
     if not again.isEmpty():
-        once = kept.join(bounded(again), same, "left_semi").dropDuplicates(["doc_id", "_text"])
+        once = kept.join(bounded(again), same, "left_semi").dropDuplicates(["doc_id", "__tv_text"])
         kept = kept.join(bounded(again), same, "left_anti").unionByName(once)
-    return kept.drop("_text")
+    return kept.drop("__tv_text")

@@ -30,7 +30,7 @@ def test_mixing_of_skewed_sources(docs, words, duck_of):
     for r in mixing.mixed(table).collect():
         shares[r["source"]] += r["tokens"]
     total = sum(shares.values())
-    goal = mixing.counted(table).agg(F.sum("_tokens")).first()[0]
+    goal = mixing.counted(table).agg(F.sum("__tv_tokens")).first()[0]
     assert total <= goal and shares["hot"] < 0.75 * total
 
 
