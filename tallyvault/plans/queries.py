@@ -13,6 +13,7 @@ from tallyvault.operators import archives, audit, browse, candidates, duplicates
 from tallyvault.operators import predicates as P
 from tallyvault.plans.testbed import SQL, inventory
 from tallyvault.schemas import SCHEMAS
+from tallyvault.sources import filesystem, hashing
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -473,6 +474,22 @@ _add("path_depth", f"SELECT ({_DEPTH})::BIGINT AS depth, count(*) AS entries FRO
 _add("candidate_sequence", "SELECT scan_id, entry_id, row_number() OVER (PARTITION BY scan_id ORDER BY entry_id) AS sequence FROM entries WHERE kind = 'FILE'", lambda inv: inv.entries.filter("kind = 'FILE'").select("scan_id", "entry_id", F.row_number().over(Window.partitionBy("scan_id").orderBy("entry_id")).cast("long").alias("sequence")))
 
 
+# sources, over the tables' own files; what SQL cannot read has no twin
+
+
+def _tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filesystem.discover(spark, sf_dir, 1)[0]
+
+
+def _file_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scans = spark.createDataFrame([(1, sf_dir.removeprefix("file://").rstrip("/"))], "scan_id long, root string")
+    return hashing.hashed(_tree(spark, sf_dir).filter("kind = 'FILE'"), scans)[0]
+
+
+QUERIES["discover_tree"] = _tree
+QUERIES["hash_files"] = _file_hashes
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

@@ -6,7 +6,7 @@ from tallyvault.plans import queries
 from tests.conftest import compared
 
 
-@pytest.mark.parametrize("name", sorted(queries.queries()))
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_query_matches_its_sql(spark, sf_dir, duck, name):
     ours, theirs = compared(queries.queries()[name](spark, sf_dir), duck, queries.oracle_sql()[name])
     assert ours == theirs
@@ -17,3 +17,8 @@ def test_entry_has_rows(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_source_queries(spark, sf_dir):
+    tree, hashes = (queries.queries()[n](spark, sf_dir) for n in ("discover_tree", "hash_files"))
+    assert hashes.count() == tree.filter("kind = 'FILE'").count() > 0
