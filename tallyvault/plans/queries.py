@@ -417,15 +417,15 @@ _FAULTS = """, e2 AS (SELECT * REPLACE (CASE WHEN entry_id % 50 = 3 THEN 77 ELSE
 h3 AS (SELECT * REPLACE (CASE WHEN entry_id % 60 = 2 THEN upper(sha256) ELSE sha256 END AS sha256) FROM hashes UNION ALL SELECT 1, 3, repeat('0', 64))
 """
 _add(
-    "audit_entries", _FAULTS + "SELECT 'entry repeated' AS rule, count(*) AS failures FROM (SELECT 1 FROM e3 GROUP BY scan_id, entry_id HAVING count(*) > 1) UNION ALL SELECT 'path repeated', count(*) FROM (SELECT 1 FROM e3 GROUP BY scan_id, relative_path HAVING count(*) > 1) UNION ALL SELECT 'entry shape', count(*) FROM e3 WHERE size < 0 OR (entry_id = 1 AND parent_id <> 0) OR (entry_id > 1 AND (parent_id < 1 OR parent_id >= entry_id))",
+    "audit_entries", _FAULTS + "SELECT * FROM (SELECT 'entry repeated' AS rule, count(*) AS failures FROM (SELECT 1 FROM e3 GROUP BY scan_id, entry_id HAVING count(*) > 1) UNION ALL SELECT 'path repeated', count(*) FROM (SELECT 1 FROM e3 GROUP BY scan_id, relative_path HAVING count(*) > 1) UNION ALL SELECT 'entry shape', count(*) FROM e3 WHERE size < 0 OR (entry_id = 1 AND parent_id <> 0) OR (entry_id > 1 AND (parent_id < 1 OR parent_id >= entry_id))) WHERE failures > 0",
     lambda inv: audit.counted(audit.entries(_broken(inv))).filter("failures > 0"),
 )
 _add(
-    "audit_tree", _FAULTS + "SELECT 'parent or path' AS rule, count(*) AS failures FROM e3 e LEFT JOIN e3 p ON p.scan_id = e.scan_id AND p.entry_id = e.parent_id WHERE e.entry_id > 1 AND p.entry_id IS NULL UNION ALL SELECT 'queue is not the directories', count(*) FROM e3 e WHERE e.kind = 'DIRECTORY' AND e.parent_id = 77",
+    "audit_tree", _FAULTS + "SELECT * FROM (SELECT 'parent or path' AS rule, count(*) AS failures FROM e3 e LEFT JOIN e3 p ON p.scan_id = e.scan_id AND p.entry_id = e.parent_id WHERE e.entry_id > 1 AND p.entry_id IS NULL UNION ALL SELECT 'queue is not the directories', count(*) FROM e3 e WHERE e.kind = 'DIRECTORY' AND e.parent_id = 77) WHERE failures > 0",
     lambda inv: audit.counted(audit.tree(_broken(inv))).filter("failures > 0"),
 )
 _add(
-    "audit_hashes", _FAULTS + "SELECT 'digest shape' AS rule, count(*) AS failures FROM h3 WHERE NOT regexp_full_match(sha256, '[0-9a-f]{64}') UNION ALL SELECT 'digest of no file', 1",
+    "audit_hashes", _FAULTS + "SELECT * FROM (SELECT 'digest shape' AS rule, count(*) AS failures FROM h3 WHERE NOT regexp_full_match(sha256, '[0-9a-f]{64}') UNION ALL SELECT 'digest of no file', 1) WHERE failures > 0",
     lambda inv: audit.counted(audit.hashes(_broken(inv))).filter("failures > 0"),
 )
 _add(
