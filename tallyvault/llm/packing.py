@@ -111,6 +111,21 @@ def seed(lengths: list[int], capacity: int, dice: random.Random) -> list[list[in
     return out + fit.rest()
 
 
+def folded(bins: list[list[int]]) -> list[int]:
+    """Bins in one list, each ended by a 0: Arrow's nested lists do not always survive their way to pandas."""
+    return [x for b in bins for x in (*b, 0)]
+
+
+def unfolded(flat: Iterable[int]) -> list[list[int]]:
+    out: list[list[int]] = [[]]
+    for x in flat:
+        if x:
+            out[-1].append(int(x))
+        else:
+            out.append([])
+    return out[:-1]
+
+
 def fewest(lengths: list[int], capacity: int) -> int:
     """No packing has fewer bins: all lengths must fit, and no two over half can share one."""
     large = sum(x > capacity / 2 for x in lengths)
@@ -178,38 +193,34 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, shard: int = SHARD, island
         for batch in batches:
             out = []
             for r in batch.itertuples(index=False):
-                lengths = [x for x, n in zip(r.sizes, r.counts, strict=True) for _ in range(n)]
-                elites = [] if r.elites is None else [[list(map(int, b)) for b in e] for e in r.elites]
-                dice = random.Random(f"{r.shard}/{r.island}/{r.round}")
-                best = evolve([int(x) for x in lengths], capacity, dice, elites)
-                out.append((r.shard, r.island, r.sizes, r.counts, best))
-            yield pd.DataFrame(out, columns=["shard", "island", "sizes", "counts", "best"])
-
-    shape = "shard long, island int, sizes array<int>, counts array<int>, best array<array<int>>"
+                lengths = [int(x) for x, n in zip(r.sizes, r.counts, strict=True) for _ in range(n)]
+                elites = [unfolded(e) for e in (r.best, r.guest) if len(e)]
+                best = evolve(lengths, capacity, random.Random(f"{r.shard}/{r.island}/{r.round}"), elites)
+                out.append((r.shard, r.island, r.sizes, r.counts, folded(best), len(best)))
+            yield pd.DataFrame(out, columns=["shard", "island", "sizes", "counts", "best", "bins"])
+
+    shape = "shard long, island int, sizes array<int>, counts array<int>, best array<int>, bins int"
+    nothing = F.array().cast("array<int>")
     histogram = part.groupBy("_shard", F.col("length").cast("int").alias("size")).agg(F.count("*").cast("int").alias("n"))
     # at most `capacity` sizes a shard
     lists = histogram.groupBy(F.col("_shard").alias("shard")).agg(F.sort_array(F.collect_list(F.struct("size", "n"))).alias("s"))
     state = lists.select(
         "shard", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), F.col("s.size").alias("sizes"), F.col("s.n").alias("counts"),
-        F.lit(None).cast("array<array<array<int>>>").alias("elites"),
+        nothing.alias("best"), nothing.alias("guest"),
     )
     tasks = min(shards * islands, 4096)
     for k in range(rounds):
         state = settle(state.withColumn("round", F.lit(k)).repartition(tasks, "shard", "island").mapInPandas(run, shape))
         if k + 1 < rounds:
             came = state.select("shard", F.pmod(F.col("island") + 1, F.lit(islands)).cast("int").alias("island"), F.col("best").alias("guest"))
-            state = state.join(came, ["shard", "island"]).select("shard", "island", "sizes", "counts", F.array("best", "guest").alias("elites"))
-    bins = state.groupBy("shard").agg(F.min_by("best", F.struct(F.size("best"), "island")).alias("best"))
-    placed = (
-        bins.select("shard", F.posexplode("best").alias("bin", "items"))
-        .select("shard", "bin", F.posexplode("items").alias("at", "size"), "items")
-        .select(
-            "shard", F.col("size").cast("long").alias("length"),
-            (F.col("shard") * (1 << 32) + F.col("bin")).alias("sequence_id"),
-            F.expr("aggregate(slice(items, 1, at), 0L, (a, x) -> a + x)").alias("offset"),
-        )
-        .withColumn("_k", F.row_number().over(Window.partitionBy("shard", "length").orderBy("sequence_id", "offset")))
-    )
+            state = state.join(came, ["shard", "island"]).select("shard", "island", "sizes", "counts", "best", "guest")
+    winners = state.groupBy("shard").agg(F.min_by("best", F.struct("bins", "island")).alias("best"))
+    along = Window.partitionBy("shard").orderBy("at")
+    items = winners.select("shard", F.posexplode("best").alias("at", "size")).withColumn("bin", F.count_if(F.col("size") == 0).over(along)).filter("size > 0")
+    placed = items.select(
+        "shard", F.col("size").cast("long").alias("length"), (F.col("shard") * (1 << 32) + F.col("bin")).alias("sequence_id"),
+        (F.sum("size").over(Window.partitionBy("shard", "bin").orderBy("at")) - F.col("size")).cast("long").alias("offset"),
+    ).withColumn("_k", F.row_number().over(Window.partitionBy("shard", "length").orderBy("sequence_id", "offset")))
     ranked = part.withColumn("_k", F.row_number().over(Window.partitionBy("_shard", "length").orderBy("_row"))).withColumnRenamed("_shard", "shard")
     small = ranked.join(placed, ["shard", "length", "_k"]).select(full.columns)
     return full.unionByName(small)
