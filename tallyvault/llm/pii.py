@@ -92,7 +92,9 @@ def _folds() -> dict[int, str]:
 
 
 _DIGITS = "".join(chr(i) for i in range(128, 0x20000) if unicodedata.category(chr(i)) == "Nd")
-_ODD = re.compile(f"[{''.join(map(re.escape, LOOKALIKES))}{_DIGITS}！-～\U0001d400-\U0001d7ff①-⓿{INVISIBLE}]")
+# within the basic plane, where a set of characters is a table; beyond it every character is looked at
+_ODD = re.compile(f"[{''.join(map(re.escape, LOOKALIKES))}{''.join(c for c in _DIGITS if ord(c) < 65_536)}！-～①-⓿{INVISIBLE}]")
+_BEYOND = re.compile("[\U00010000-\U0010ffff]")
 _HIDDEN = re.compile(f"[{INVISIBLE}]")
 
 
@@ -102,7 +104,7 @@ def normalised(text: str) -> tuple[str, list[tuple[int, int, int]]] | None:
     Within a piece whose two lengths agree characters correspond one to one; otherwise the
     whole piece stands for the whole source span.
     """
-    folded = text.translate(_folds()) if _ODD.search(text) else text
+    folded = text.translate(_folds()) if not text.isascii() and (_ODD.search(text) or _BEYOND.search(text)) else text
     edits: list[tuple[int, int, str]] = [(m.start(), m.end(), "") for m in _HIDDEN.finditer(folded)] if folded is not text or _HIDDEN.search(text) else []
     lower = None
     if "dot" in (lower := folded.lower()) or "at" in lower or "@" in lower:
