@@ -439,6 +439,24 @@ _add(
     lambda inv: audit.counted({k: v for k, v in audit.image(inv).items() if k in ("component tree", "guest entry repeated", "image job result")}),
 )
 
+# audit_archive and audit_image above keep three rules each, as their SQL does; these two count every rule, as the first three audits do
+_add(
+    "audit_archive_rules",
+    """SELECT * FROM (SELECT 'nested source' AS rule, (SELECT count(*) FROM archive_nested) AS failures UNION ALL SELECT 'archive jobs are not the sets', count(*) FROM archive_jobs UNION ALL SELECT 'nesting does not descend', (SELECT count(*) FROM archive_nested n JOIN archive_results a ON a.result_id = n.parent_result_id JOIN archive_results b ON b.result_id = n.child_result_id WHERE a.height <= b.height)
+    UNION ALL SELECT 'archive member repeated', count(*) FROM (SELECT 1 FROM archive_members GROUP BY result_id, ordinal HAVING count(*) > 1) UNION ALL SELECT 'nested set repeated', count(*) FROM (SELECT 1 FROM archive_nested GROUP BY parent_result_id, group_key HAVING count(*) > 1)
+    UNION ALL SELECT 'archive job result', count(*) FROM archive_jobs j LEFT JOIN archive_results r USING (result_id) WHERE (result_id IS NOT NULL AND (state IS NULL OR status <> state)) OR (result_id IS NULL AND (status IN ('COMPLETE', 'SKIPPED') OR j.duplicate))) WHERE failures > 0""",
+    lambda inv: audit.counted(audit.archive(inv)).filter("failures > 0"),
+)
+_add(
+    "audit_image_rules",
+    """SELECT * FROM (SELECT 'image job without run' AS rule, count(*) AS failures FROM image_jobs WHERE scan_id NOT IN (1, 2, 3) UNION ALL SELECT 'image job differs', count(*) FROM image_jobs j LEFT JOIN entries e ON e.scan_id = j.scan_id AND e.entry_id = j.source_id WHERE e.kind IS DISTINCT FROM 'FILE' OR e.relative_path <> j.relative_path OR e.size <> j.size
+    UNION ALL SELECT 'image result of no file', count(*) FROM disks WHERE m NOT IN (5, 6) AND NOT EXISTS (SELECT 1 FROM entries e WHERE e.kind = 'FILE' AND e.scan_id = k % 4 + 1 AND e.entry_id = k) UNION ALL SELECT 'component differs', count(*) FROM image_components
+    UNION ALL SELECT 'component tree', count(*) FROM image_components c LEFT JOIN image_components p ON p.result_id = c.result_id AND p.ordinal = c.parent_ordinal WHERE c.parent_ordinal < -1 OR (c.parent_ordinal = -1 AND (c.ordinal <> 0 OR c.role <> 'PRIMARY')) OR (c.parent_ordinal >= 0 AND (p.ordinal IS NULL OR p.ordinal >= c.ordinal))
+    UNION ALL SELECT 'guest entry repeated', count(*) FROM (SELECT 1 FROM image_entries GROUP BY result_id, filesystem_id, entry_id HAVING count(*) > 1) UNION ALL SELECT 'guest path repeated', count(*) FROM (SELECT 1 FROM image_entries GROUP BY result_id, filesystem_id, entry_id // 8, entry_id % 8 HAVING count(*) > 1)
+    UNION ALL SELECT 'image component job', count(*) FROM disks j LEFT JOIN disks p ON p.k = j.k - 4 AND p.k % 4 = j.k % 4 WHERE j.m = 6 AND (p.k IS NULL OR p.m = 6) UNION ALL SELECT 'image job result', (SELECT count(*) FROM image_jobs WHERE result_id IS NULL AND (state = 'COMPLETE' OR duplicate))) WHERE failures > 0""",
+    lambda inv: audit.counted(audit.image(inv)).filter("failures > 0"),
+)
+
 # merging
 
 
