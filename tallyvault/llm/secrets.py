@@ -5,7 +5,9 @@ Base: assignments of a named secret, access key ids, and long hexadecimal string
 Method: token efficiency.  A vocabulary of natural text needs few tokens for words and
 many for random strings, so a string with few characters a token (under `MOST_RATIO`)
 is taken for a secret.  Only unbroken strings of at least `LEAST` characters that mix
-letters with digits are candidates.  Known digests (hexadecimal of a usual digest
+letters with digits are candidates.  Words joined to a random string raise the ratio of
+the whole, so a string that is not taken as a whole is tried in parts: each part between
+joints, then neighbouring parts together.  Known digests (hexadecimal of a usual digest
 length), UUIDs and identifiers (words joined by `-`, `_`, `/` or `.`, and numbers) are
 excluded.
 """
@@ -34,6 +36,7 @@ _HEX = re.compile(r"[0-9a-f]{24,}")
 _CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=.-]{{{LEAST},}}")
 _UUID = re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}")
 _PART = re.compile(r"[A-Za-z]+|[0-9]+")
+_JOINED = re.compile(rf"{_UUID.pattern}(?![A-Za-z0-9])|[A-Za-z0-9]+")
 
 
 def base_spans(text: str) -> list[Span]:
@@ -53,15 +56,57 @@ def known(string: str) -> bool:
     return bool(_UUID.fullmatch(string)) or all(_PART.fullmatch(p) for p in re.split(r"[-_/.=+]+", string) if p)
 
 
+def mixes(string: str) -> bool:
+    return any(c.isdigit() for c in string) and any(c.isalpha() for c in string)
+
+
+def joined_spans(string: str, ids) -> list[tuple[int, int]]:
+    """Random parts of a string of parts between joints.
+
+    Parts of at least `LEAST` characters are tested alone.  Between those that are taken, and
+    between digests and UUIDs, so are the shortest groups of neighbours from and up to each
+    part, if parts that mix letters with digits make up half of the group.
+    """
+    out, rows = [], [[]]
+    for m in _JOINED.finditer(string):
+        candidate = len(m[0]) >= LEAST and mixes(m[0])
+        if candidate and not known(m[0]) and len(m[0]) / len(ids(m[0])) < MOST_RATIO:
+            out.append(m.span())
+        elif not (candidate and known(m[0])):
+            rows[-1].append((*m.span(), 0 if _PART.fullmatch(m[0]) else len(m[0])))
+            continue
+        rows.append([])
+    for row in rows:
+        groups, i = set(), 0
+        for j, (_, end, _) in enumerate(row):
+            while i <= j and end - row[i][0] >= LEAST:  # from each part to the first that is far enough
+                groups.add((i, j))
+                i += 1
+            if i:
+                groups.add((i - 1, j))  # up to each part, from the last that is far enough
+        for i, j in sorted(groups):
+            a, b = row[i][0], row[j][1]
+            part = string[a:b]
+            if 2 * sum(n for *_, n in row[i : j + 1]) >= len(part) and mixes(part) and not known(part) and len(part) / len(ids(part)) < MOST_RATIO:
+                out.append((a, b))
+    merged: list[tuple[int, int]] = []
+    for a, b in sorted(out):
+        if merged and a < merged[-1][1]:
+            merged[-1] = merged[-1][0], max(b, merged[-1][1])
+        else:
+            merged.append((a, b))
+    return merged
+
+
 def random_spans(text: str, ids) -> list[Span]:
     out = []
     for m in _CANDIDATE.finditer(text):
         s = m[0].strip(".=-/_+")
-        if len(s) < LEAST or not (any(c.isdigit() for c in s) and any(c.isalpha() for c in s)) or known(s):
+        if len(s) < LEAST or not mixes(s) or known(s):
             continue
-        if len(s) / len(ids(s)) < MOST_RATIO:
-            at = m.start() + m[0].index(s)
-            out.append(("random", at, at + len(s)))
+        at = m.start() + m[0].index(s)
+        spans = [(0, len(s))] if len(s) / len(ids(s)) < MOST_RATIO else joined_spans(s, ids)
+        out += [("random", at + a, at + b) for a, b in spans]
     return out
 
 

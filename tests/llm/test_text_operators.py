@@ -139,6 +139,23 @@ def test_random_strings():
         assert found(clean) == []
 
 
+def test_random_strings_after_words():
+    ids = tokens.encoder().ids
+    dice = np.random.default_rng(5)
+    for alphabet, most in (("abcdefghijklmnopqrstuvwxyz0123456789", 0.05), ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", 0.02)):
+        for words in ("session_cookie=", "authorization/bearer/", "www.example.com/download/"):
+            missed = 0
+            for _ in range(300):
+                key = "".join(dice.choice(list(alphabet), 19)) + "7"
+                text = f"see {words}{key}/index.html now"
+                at = text.index(key)
+                missed += not any(a <= at and at + len(key) <= b for _, a, b in secrets.random_spans(text, ids))
+            assert missed <= most * 300
+    found = lambda t: [t[a:b] for _, a, b in secrets.random_spans(t, ids)]
+    for clean in ("www.example.com/download/some_folder/123e4567-e89b-12d3-a456-426614174000/index.html", "www.example.com/some_folder/d41d8cd98f00b204e9800998ecf8427e/file_2", "www.example.com/product/B07XJ8C8F5/reviews", "src/utf8_decoder/v2/module_file_name.py"):
+        assert found(clean) == []
+
+
 @pytest.mark.parametrize(
     "text, kind, source",
     [
