@@ -14,7 +14,6 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -83,17 +82,21 @@ def base_spans(text: str) -> list[Span]:
     return out
 
 
-@lru_cache(maxsize=1)
-def _folds() -> dict[int, str]:
+def _table() -> dict[int, str]:
     """Look-alikes, decimal digits of any script, and every code point whose compatibility form is one ASCII letter, digit or sign."""
-    wide = {i: unicodedata.normalize("NFKC", chr(i)) for r in (range(0xFF01, 0xFF5F), range(0x1D400, 0x1D800), range(0x2460, 0x2500)) for i in r}
-    digits = {ord(c): str(unicodedata.decimal(c)) for c in _DIGITS}
-    return {i: c for i, c in wide.items() if len(c) == 1 and " " < c < "\x7f"} | digits | {ord(k): v for k, v in LOOKALIKES.items()}
+    out = {}
+    for i in range(128, 0x110000):
+        c = unicodedata.normalize("NFKC", chr(i))
+        if len(c) == 1 and " " < c < "\x7f":
+            out[i] = c
+        elif unicodedata.category(chr(i)) == "Nd":
+            out[i] = str(unicodedata.decimal(chr(i)))
+    return out | {ord(k): v for k, v in LOOKALIKES.items()}
 
 
-_DIGITS = "".join(chr(i) for i in range(128, 0x20000) if unicodedata.category(chr(i)) == "Nd")
+_FOLDS = _table()
 # within the basic plane, where a set of characters is a table; beyond it every character is looked at
-_ODD = re.compile(f"[{''.join(map(re.escape, LOOKALIKES))}{''.join(c for c in _DIGITS if ord(c) < 65_536)}！-～①-⓿{INVISIBLE}]")
+_ODD = re.compile(f"[{''.join(re.escape(chr(i)) for i in sorted(_FOLDS) if i < 65_536)}{INVISIBLE}]")
 _BEYOND = re.compile("[\U00010000-\U0010ffff]")
 _HIDDEN = re.compile(f"[{INVISIBLE}]")
 
@@ -104,7 +107,7 @@ def normalised(text: str) -> tuple[str, list[tuple[int, int, int]]] | None:
     Within a piece whose two lengths agree characters correspond one to one; otherwise the
     whole piece stands for the whole source span.
     """
-    folded = text.translate(_folds()) if not text.isascii() and (_ODD.search(text) or _BEYOND.search(text)) else text
+    folded = text.translate(_FOLDS) if not text.isascii() and (_ODD.search(text) or _BEYOND.search(text)) else text
     edits: list[tuple[int, int, str]] = [(m.start(), m.end(), "") for m in _HIDDEN.finditer(folded)] if folded is not text or _HIDDEN.search(text) else []
     lower = None
     if "dot" in (lower := folded.lower()) or "at" in lower or "@" in lower:

@@ -171,6 +171,27 @@ def test_disguises_map_back(text, kind, source):
     assert (kind, source) in spans or any(k == kind and source in s for k, s in spans)
 
 
+def test_every_compatibility_form_of_one_character_is_rewritten():
+    import unicodedata
+
+    for i in range(128, 0x110000):
+        want = unicodedata.normalize("NFKC", chr(i))
+        if len(want) == 1 and " " < want < "\x7f" and chr(i) not in pii.LOOKALIKES:
+            got = pii.normalised(chr(i))
+            assert got and got[0] == want, hex(i)
+
+
+@pytest.mark.parametrize(
+    "text, kind",
+    [
+        ("𝑗𝑜ℎ𝑛@𝑚𝑎𝑖𝑙.example.com", "email"), ("jane﹫mail﹒example﹒com", "email"), ("ℯℴℊ@ℓ.example.com", "email"), ("¹⁹².¹⁶⁸.⁰.¹", "ip"), ("₁₉₂.₁₆₈.₀.₁", "ip"), ("4¹¹¹ ¹¹¹¹ ¹¹¹¹ ¹¹¹¹", "card"), ("⁺1 555 123 4567", "phone"),
+    ],
+)
+def test_compatibility_forms_are_found(text, kind):
+    base = pii.base_spans(text)
+    assert (kind, 0, len(text)) in [*base, *pii.added_spans(text, base)]
+
+
 def test_plain_words_are_no_disguise():
     for text in ("we met at noon", "dot the page at one", "one two three", "look at me (at last)", "Ψ αβγ and пример"):
         assert pii.added_spans(text, pii.base_spans(text)) == []
