@@ -6,7 +6,8 @@ Bisection finds the largest t whose weights reach the target entropy (a share of
 greatest possible), or, if that repeats some source more often than `most_repeats`, the
 smallest t that does not.  The budget is then dealt to the sources by weight.  A source's
 documents stand in a random order; its budget takes whole rounds of that order and of a
-last round the documents that still fit.  The copies are laid out in blocks in which
+last round the documents up to the first that does not fit or, with `fill`, every
+document in turn that still fits.  The copies are laid out in blocks in which
 every source has its share, and within a block at random.
 
 DataFrame and SQL functions only.  Running sums are taken in two steps, over the slices
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -85,45 +87,79 @@ def counted(docs: DataFrame) -> DataFrame:
     return docs.withColumn("__tv_source", F.coalesce(F.col("source").cast("string"), F.lit(""))).withColumn("__tv_tokens", words.cast("long"))
 
 
-def placed(items: DataFrame, targets: DataFrame, block_tokens: int = BLOCK_TOKENS, seed: int = SEED) -> DataFrame:
+def along(rows: DataFrame) -> DataFrame:
+    """`rows` with _end, the running sum of tokens in each source's order."""
+    sums = rows.groupBy("__tv_source", "_slice").agg(F.sum("__tv_tokens").alias("_sum"))
+    before = sums.withColumn("_before", F.sum("_sum").over(Window.partitionBy("__tv_source").orderBy("_slice")) - F.col("_sum")).select("__tv_source", "_slice", "_before")
+    within = Window.partitionBy("__tv_source", "_slice").orderBy("_order", "__tv_key", "__tv_tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return rows.withColumn("_in", F.sum("__tv_tokens").over(within)).join(before, ["__tv_source", "_slice"]).withColumn("_end", F.col("_before") + F.col("_in")).drop("_before", "_in")
+
+
+def fitting(rows: DataFrame, small: bool) -> DataFrame:
+    """The rows of the last round, with _end among them: in a source's order, every row that fits in what is left of _rest.
+
+    A pass takes the rows up to the first that does not fit, and leaves to the next those
+    behind it that still may; so it ends when no row fits.
+    """
+    todo, taken = rows.drop("_end").filter("__tv_tokens <= _rest").withColumn("_gap", F.col("_rest")), []
+    while True:
+        todo = settle(along(todo))
+        taken.append(todo.filter("_end <= _gap").withColumn("_end", F.col("_rest") - F.col("_gap") + F.col("_end")).drop("_gap"))
+        took = todo.filter("_end <= _gap").groupBy("__tv_source").agg(F.max("_end").alias("_took"))
+        left = todo.filter("_end > _gap").drop("_end").join(F.broadcast(took) if small else took, "__tv_source")
+        todo = left.withColumn("_gap", F.col("_gap") - F.col("_took")).drop("_took").filter("__tv_tokens <= _gap")
+        if todo.isEmpty():
+            return reduce(DataFrame.unionByName, taken)
+
+
+def placed(items: DataFrame, targets: DataFrame, block_tokens: int = BLOCK_TOKENS, seed: int = SEED, fill: bool = False) -> DataFrame:
     """The copies of the mix: `items` (__tv_source, __tv_tokens, __tv_key, more) with copy, block, at (0 to 1 in its source's budget) and weight."""
     n = items.count()
     bits = max(0, min(16, (max(1, n // SLICE_ROWS)).bit_length()))
     order = F.md5(F.concat_ws("/", F.lit(seed), "__tv_key"))
     slices = items.withColumn("_order", order).withColumn("_slice", F.shiftright(F.conv(F.substring("_order", 1, 4), 16, 10).cast("int"), 16 - bits))
-    sums = slices.groupBy("__tv_source", "_slice").agg(F.sum("__tv_tokens").alias("_sum"))
-    before = sums.withColumn("_before", F.sum("_sum").over(Window.partitionBy("__tv_source").orderBy("_slice")) - F.col("_sum")).select("__tv_source", "_slice", "_before")
-    within = Window.partitionBy("__tv_source", "_slice").orderBy("_order", "__tv_key", "__tv_tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    running = slices.withColumn("_in", F.sum("__tv_tokens").over(within)).join(before, ["__tv_source", "_slice"]).withColumn("_end", F.col("_before") + F.col("_in"))
+    running = along(slices)
     sources = targets.select(F.col("source").alias("__tv_source"), F.col("tokens").alias("_all"), "goal", "weight")
-    known = running.join(F.broadcast(sources) if sources.count() <= BROADCAST_ROWS else sources, "__tv_source")
-    rounds, rest = F.expr("goal div _all"), F.expr("goal % _all")
-    copies = rounds + F.when(F.col("_end") <= rest, 1).otherwise(0)
-    each = known.filter(copies > 0).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), copies)))
+    small = sources.count() <= BROADCAST_ROWS
+    known = running.join(F.broadcast(sources) if small else sources, "__tv_source").withColumn("_rounds", F.expr("goal div _all")).withColumn("_rest", F.expr("goal % _all"))
+    if fill:
+        last = fitting(known, small).withColumn("copy", F.col("_rounds") + 1)
+        each = known.filter("_rounds > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_rounds")))).unionByName(last)
+    else:
+        copies = F.col("_rounds") + F.when(F.col("_end") <= F.col("_rest"), 1).otherwise(0)
+        each = known.filter(copies > 0).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), copies)))
     each = each.withColumn("at", ((F.col("copy") - 1) * F.col("_all") + F.col("_end") - F.col("__tv_tokens")) / F.col("goal"))
     blocks = F.greatest(F.lit(1), F.ceil(F.lit(targets.agg(F.sum("goal")).first()[0] or 0) / block_tokens))
     return each.withColumn("block", F.floor(F.col("at") * blocks).cast("long"))
 
 
-def mixed(docs: DataFrame, budget: int | None = None, entropy: float = ENTROPY, most_repeats: float = MOST_REPEATS, block_tokens: int = BLOCK_TOKENS, seed: int = SEED) -> DataFrame:
+def mixed(docs: DataFrame, budget: int | None = None, entropy: float = ENTROPY, most_repeats: float = MOST_REPEATS, block_tokens: int = BLOCK_TOKENS, seed: int = SEED, fill: bool = False) -> DataFrame:
     """doc_id, source, copy, block, position (in its block, from 0), tokens and weight of each copy of a document in the mix.
 
     A null source is one source with an empty name.  Null and empty texts count as one
     token.  Rows are told apart by doc_id and text: repeated rows stand side by side in
     the order, and each is in the mix by itself.  Columns other than doc_id, text and
-    source are ignored.  An empty table gives an empty mix.
+    source are ignored.  An empty table gives an empty mix.  With `fill`, which the SQL does
+    not have, the last round leaves out only documents that do not fit, and a column
+    realised has each source's share of the mix's tokens beside its weight.
     """
     items = counted(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "__tv_source", "__tv_tokens", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("__tv_key"))
     items = settle(items)
     targets = settle(weights(items.groupBy(F.col("__tv_source").alias("source")).agg(F.sum("__tv_tokens").alias("tokens")), budget, entropy, most_repeats))
-    copies = placed(items, targets, block_tokens, seed)
+    copies = placed(items, targets, block_tokens, seed, fill)
     shuffle = F.md5(F.concat_ws("/", F.lit(seed), "__tv_key", "copy"))
     spot = F.row_number().over(Window.partitionBy("block").orderBy(shuffle, "__tv_key", "copy", "__tv_source", "__tv_tokens")) - 1
-    return copies.select("doc_id", F.col("__tv_source").alias("source"), F.col("copy").cast("int").alias("copy"), "block", spot.cast("int").alias("position"), F.col("__tv_tokens").alias("tokens"), F.round("weight", 6).alias("weight"))
+    out = copies.select("doc_id", F.col("__tv_source").alias("source"), F.col("copy").cast("int").alias("copy"), "block", spot.cast("int").alias("position"), F.col("__tv_tokens").alias("tokens"), F.round("weight", 6).alias("weight"))
+    if not fill:
+        return out
+    shares = settle(copies.groupBy(F.col("__tv_source").alias("source")).agg(F.sum("__tv_tokens").alias("_mixed")))
+    total = shares.agg(F.sum("_mixed")).first()[0] or 1
+    shares = shares.select("source", F.round(F.col("_mixed") / F.lit(float(total)), 6).alias("realised"))
+    return out.join(F.broadcast(shares) if shares.count() <= BROADCAST_ROWS else shares, "source").select(*out.columns, "realised")
 
 
 def resampled(docs: DataFrame, budget: int | None = None, entropy: float = ENTROPY, most_repeats: float = MOST_REPEATS, seed: int = SEED) -> DataFrame:
-    """`docs` as the mix has them: each row as many times as the mix repeats it, with all its columns.
+    """`docs` as the mix has them, its last rounds filled: each row as many times as the mix repeats it, with all its columns.
 
     Rows that share doc_id, source and token count are repeated equally often: their copies
     by their number, rounded up.  The rows' order is left to the reader; `mixed` has it.
@@ -131,7 +167,7 @@ def resampled(docs: DataFrame, budget: int | None = None, entropy: float = ENTRO
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("__tv_key")
     items = settle(counted(docs).select(key, "__tv_source", "__tv_tokens"))
     targets = settle(weights(items.groupBy(F.col("__tv_source").alias("source")).agg(F.sum("__tv_tokens").alias("tokens")), budget, entropy, most_repeats))
-    copies = placed(items, targets, seed=seed).groupBy("__tv_key", "__tv_source", "__tv_tokens").agg(F.count("*").alias("_copies"))
+    copies = placed(items, targets, seed=seed, fill=True).groupBy("__tv_key", "__tv_source", "__tv_tokens").agg(F.count("*").alias("_copies"))
     rows = items.groupBy("__tv_key", "__tv_source", "__tv_tokens").agg(F.count("*").alias("_rows"))
     times = settle(copies.join(rows, ["__tv_key", "__tv_source", "__tv_tokens"]).withColumn("__tv_times", F.ceil(F.col("_copies") / F.col("_rows"))).drop("_copies", "_rows"))
     once = F.broadcast(times) if times.count() <= BROADCAST_ROWS else times

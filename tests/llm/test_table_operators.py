@@ -34,6 +34,47 @@ def test_mixing_of_skewed_sources(docs, words, duck_of):
     assert total <= goal and shares["hot"] < 0.75 * total
 
 
+def greedy(docs, budget):
+    """Copies of each document (key, source, tokens): whole rounds, and of the last one every document in turn that fits."""
+    import hashlib
+
+    rows = sorted((r["source"], hashlib.md5(f"{mixing.SEED}/{r['doc_id']}".encode()).hexdigest(), str(r["doc_id"]), r["__tv_tokens"]) for r in mixing.counted(docs).collect())
+    totals = collections.Counter()
+    for source, _, _, n in rows:
+        totals[source] += n
+    t = mixing.exponent(sorted(totals.values()), budget)
+    z = sum((x / sum(totals.values())) ** t for x in totals.values())
+    goals = {s: math.floor((x / sum(totals.values())) ** t / z * budget + 1e-6) for s, x in totals.items()}
+    left = {s: goals[s] % totals[s] for s in totals}
+    out = {}
+    for source, _, key, n in rows:
+        out[key] = goals[source] // totals[source] + (n <= left[source])
+        left[source] -= n if n <= left[source] else 0
+    return {k: n for k, n in out.items() if n}, goals
+
+
+def test_long_documents_do_not_empty_a_source(docs, words):
+    rows = [(i, words(i, 3 + i % 9), "long") for i in range(150)] + [(1000 + i, words(1000 + i, n), "long") for i, n in enumerate((400, 500, 620, 90, 60))] + [(2000 + i, words(2000 + i, 8), "short") for i in range(40)]
+    table = docs(rows)
+    for budget in (900, 1700, 4100):
+        want, goals = greedy(table, budget)
+        got = mixing.mixed(table, budget, fill=True).collect()
+        assert collections.Counter(str(r["doc_id"]) for r in got) == want
+        assert len({(r["doc_id"], r["copy"]) for r in got}) == len(got)
+        took = collections.Counter()
+        for r in got:
+            took[r["source"]] += r["tokens"]
+        sums = collections.Counter()
+        for r in mixing.counted(table).collect():
+            sums[r["source"]] += r["__tv_tokens"]
+        for r in mixing.counted(table).collect():  # a document without a copy of the last round does not fit
+            gap = goals[r["source"]] - took[r["source"]]
+            assert gap >= 0 and (want.get(str(r["doc_id"]), 0) > goals[r["source"]] // sums[r["source"]] or r["__tv_tokens"] > gap)
+        assert all(abs(r["realised"] - took[r["source"]] / sum(took.values())) < 1e-6 for r in got)
+        assert collections.Counter(str(r["doc_id"]) for r in mixing.resampled(table, budget).collect()) == want
+    assert mixing.mixed(table.limit(0), fill=True).isEmpty()
+
+
 def test_exponents():
     assert mixing.exponent([5, 5, 5], 15) == 1.0 and mixing.exponent([7], 7) == 1.0
     t = mixing.exponent([1000, 100, 10], 1110, 0.95, 1e9)
