@@ -45,7 +45,7 @@ STAGES = [
     ("packing", into_sequences),
 ]
 
-#: Language identification, deobfuscation and tokens are not within reach of SQL; tests/llm/test_pipeline.py has brute force.
+#: Language identification, deobfuscation and tokens are not within reach of SQL; tests/llm/test_table_operators.py checks the stages, the mix by brute force.
 ORACLE_SQL = None
 
 

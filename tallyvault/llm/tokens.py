@@ -10,7 +10,7 @@ at last up to the end of the text.
 
 Ids are those of the `tokenizers` file.  Texts without its special string are encoded
 by `tiktoken` from the same ranks, which gives the same ids for every code point
-(tests/llm/test_tokens.py compares them) in a fifth of the time; texts with the special
+(tests/llm/test_text_operators.py compares them) in a fifth of the time; texts with the special
 string go through `tokenizers`.
 """
 

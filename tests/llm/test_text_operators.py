@@ -1,5 +1,6 @@
 """Operators that look at one text at a time."""
 
+import functools
 import hashlib
 import re
 import zlib
@@ -21,6 +22,17 @@ def reference_ids(text):
     return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode(text, add_special_tokens=False).ids
 
 
+@functools.lru_cache(maxsize=1)
+def reference():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def reference_ids_of_many(text):
+    return reference().encode(text, add_special_tokens=False).ids
+
+
 TEXTS = ["", "a", "hello world  \n\n x", "<|endoftext|> mid <|endoftext|>", "naïve café — ½ ²", "it's we'll 's", "日本語 テキスト", "\x1c\x85   ", "1234567890" * 30, " " * 300, "a" * 3000, "é" * 999 + " end", "<|endof" + "text|>x"]
 
 
@@ -35,6 +47,13 @@ def test_ids_of_any_text(text):
     assert tokens.encoder().ids(text).tolist() == reference_ids(text)
 
 
+def test_ids_of_every_code_point():
+    points = [chr(i) for i in range(0x110000) if not 0xD800 <= i <= 0xDFFF]
+    for at in range(0, len(points), 4_000):
+        text = "".join(f"{c}a {c}1" for c in points[at : at + 4_000])
+        assert tokens.encoder().ids(text).tolist() == reference_ids_of_many(text), hex(ord(points[at]))
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.text(alphabet=" \nab1'é.", min_size=60, max_size=600))
 def test_chunks_are_spliced_as_the_whole(text):
