@@ -11,6 +11,7 @@ detectors run over what it writes, and the spans they find are mapped back.
 
 from __future__ import annotations
 
+import bisect
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -42,11 +43,22 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _WORDS = "|".join(DIGIT_WORDS)
 _SPELLED = re.compile(rf"(?<![A-Za-z])(?:plus[\x20,-]+)?(?:{_WORDS})(?:[\x20,-]+(?:{_WORDS}))+(?![A-Za-z])", re.IGNORECASE | re.ASCII)
 _DIGIT_WORD = re.compile(rf"(?:plus|{_WORDS})", re.IGNORECASE | re.ASCII)
-_AT = re.compile(r"\x20*[\[({<]\x20*at\x20*[\])}>]\x20*|\x20*[\[({<]\x20*@\x20*[\])}>]\x20*", re.IGNORECASE | re.ASCII)
-_DOT = re.compile(r"\x20*[\[({<]\x20*(?:dot|\.)\x20*[\])}>]\x20*", re.IGNORECASE | re.ASCII)
+# the spaces around a bracketed disguise are taken in by `around`, as a pattern that begins with them would be quadratic
+_AT = re.compile(r"[\[({<]\x20*+(?:at|@)\x20*+[\])}>]", re.IGNORECASE | re.ASCII)
+_DOT = re.compile(r"[\[({<]\x20*+(?:dot|\.)\x20*+[\])}>]", re.IGNORECASE | re.ASCII)
 # without brackets, only as part of a whole address
-_SPOKEN = re.compile(r"(?<![A-Za-z0-9._%+@-])([A-Za-z0-9][A-Za-z0-9._%+-]*)(\x20+at\x20+)([A-Za-z0-9-]+)((?:\x20+dot\x20+[A-Za-z0-9-]+)+)(?![A-Za-z0-9])", re.IGNORECASE | re.ASCII)
-_SPOKEN_DOT = re.compile(r"\x20+dot\x20+", re.IGNORECASE | re.ASCII)
+_SPOKEN = re.compile(r"(?<![A-Za-z0-9._%+@-])([A-Za-z0-9][A-Za-z0-9._%+-]*+)(\x20++at\x20++)([A-Za-z0-9-]++)((?:\x20++dot\x20++[A-Za-z0-9-]++)+)", re.IGNORECASE | re.ASCII)
+_SPOKEN_DOT = re.compile(r"\x20++dot\x20++", re.IGNORECASE | re.ASCII)
+_SPOKEN_IP = re.compile(r"(?<![A-Za-z0-9.])[0-9]{1,3}(?:\x20++dot\x20++[0-9]{1,3}){3}(?![A-Za-z0-9])", re.IGNORECASE | re.ASCII)
+
+
+def around(text: str, start: int, end: int, least: int) -> tuple[int, int]:
+    """A span widened over the spaces at both sides, but not before `least`."""
+    while start > least and text[start - 1] == " ":
+        start -= 1
+    while end < len(text) and text[end] == " ":
+        end += 1
+    return start, end
 
 
 def emails(text: str) -> Iterator[Span]:
@@ -109,14 +121,22 @@ def normalised(text: str) -> tuple[str, list[tuple[int, int, int]]] | None:
     """
     folded = text.translate(_FOLDS) if not text.isascii() and (_ODD.search(text) or _BEYOND.search(text)) else text
     edits: list[tuple[int, int, str]] = [(m.start(), m.end(), "") for m in _HIDDEN.finditer(folded)] if folded is not text or _HIDDEN.search(text) else []
-    lower = None
-    if "dot" in (lower := folded.lower()) or "at" in lower or "@" in lower:
-        edits += [(m.start(), m.end(), "@") for m in _AT.finditer(folded)] if re.search(r"[\[({<]", folded) else []
-        edits += [(m.start(), m.end(), ".") for m in _DOT.finditer(folded)] if edits or "dot" in lower else []
-        if "dot" in lower:
-            for m in _SPOKEN.finditer(folded):
-                edits.append((m.start(2), m.end(2), "@"))
-                edits += [(d.start(), d.end(), ".") for d in _SPOKEN_DOT.finditer(folded, m.start(4), m.end(4))]
+    lower = folded.lower()
+    dots = "dot" in lower
+    if any(c in folded for c in "[({<"):
+        found = sorted([(*m.span(), "@") for m in _AT.finditer(folded)] + [(*m.span(), ".") for m in _DOT.finditer(folded)])
+        least = 0
+        for start, end, sign in found:
+            start, end = around(folded, start, end, least)
+            edits.append((start, end, sign))
+            least = end
+    if dots and "at" in lower:
+        for m in _SPOKEN.finditer(folded):
+            edits.append((m.start(2), m.end(2), "@"))
+            edits += [(d.start(), d.end(), ".") for d in _SPOKEN_DOT.finditer(folded, m.start(4), m.end(4))]
+    if dots:
+        for m in _SPOKEN_IP.finditer(folded):
+            edits += [(d.start(), d.end(), ".") for d in _SPOKEN_DOT.finditer(folded, m.start(), m.end())]
     for m in _SPELLED.finditer(folded):
         words = list(_DIGIT_WORD.finditer(m[0]))
         if len(words) >= LEAST_DIGIT_WORDS:
@@ -145,11 +165,8 @@ def normalised(text: str) -> tuple[str, list[tuple[int, int, int]]] | None:
     return "".join(out), pieces
 
 
-def back(pieces: list[tuple[int, int, int]], start: int, end: int) -> tuple[int, int]:
-    """The source span of a written span."""
-    import bisect
-
-    keys = [p[0] for p in pieces]
+def back(pieces: list[tuple[int, int, int]], keys: list[int], start: int, end: int) -> tuple[int, int]:
+    """The source span of a written span; `keys` are the places where the pieces start."""
 
     def place(i: int, last: bool) -> int:
         k = bisect.bisect_right(keys, i) - 1
@@ -162,15 +179,20 @@ def back(pieces: list[tuple[int, int, int]], start: int, end: int) -> tuple[int,
 
 
 def added_spans(text: str, base: list[Span]) -> list[Span]:
-    """Identifiers found only after rewriting; those that touch a base span of their kind add nothing."""
+    """Identifiers found only after rewriting; those that lie within a base span of their kind add nothing, longer ones do."""
     got = normalised(text)
     if got is None:
         return []
     written, pieces = got
+    keys = [p[0] for p in pieces]
+    own: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
+    for kind, a, b in sorted(base):
+        own[kind].append((a, b))
     out = []
     for kind, a, b in base_spans(written):
-        start, end = back(pieces, a, b)
-        if not any(k == kind and s < end and start < e for k, s, e in base):
+        start, end = back(pieces, keys, a, b)
+        at = bisect.bisect_right(own[kind], (start, len(text))) - 1
+        if at < 0 or own[kind][at][1] < end:
             out.append((kind, start, end))
     return out
 

@@ -5,13 +5,15 @@ in overlapping chunks whose token ends are known as byte offsets.  Two neighbour
 chunks are spliced at a position that is a token end in both and that is proven
 stable: a letter or digit followed by a space or newline.  The pre-tokenizer's pattern
 never matches across such a position and never looks behind, so whatever follows it is
-encoded as in the whole text.  Where the overlap holds no such position it is doubled,
-at last up to the end of the text.
-
-Ids are those of the `tokenizers` file.  Texts without its special string are encoded
-by `tiktoken` from the same ranks, which gives the same ids for every code point
-(tests/llm/test_text_operators.py compares them) in a fifth of the time; texts with the special
-string go through `tokenizers`.
+encoded as in the whole text.  Where the overlap holds no such position it is widened to
+the next one in the text, or to its end.
+
+Ids are those of the `tokenizers` file, which cuts a text at its special string and encodes
+what stands between by itself; so is it done here.  `tiktoken` encodes from the same ranks
+and gives the same ids for every code point (tests/llm/test_text_operators.py compares
+them) in a fifth of the time.  Its pattern engine fails on runs of white space of about a
+million characters, so chunks that had to be widened over `LONG` characters are encoded by
+`tokenizers` itself.
 """
 
 from __future__ import annotations
@@ -29,6 +31,7 @@ from pyspark.sql import functions as F
 VOCABULARY = "byte_bpe_50k"
 CHUNK = 1 << 16
 OVERLAP = 1 << 10
+LONG = 1 << 18
 _STABLE = re.compile(r"(?<=[^\W_])(?=[ \n])")
 
 
@@ -47,7 +50,7 @@ class ByteBpe:
             self.sizes[rank] = len(token)
         self.json_path = json_path
         self._whole = None
-        self.special = "<|endoftext|>"
+        self.special, self.special_ids = "<|endoftext|>", np.array([max(ranks.values()) + 1], np.uint32)
         self.widened = 0
 
     @property
@@ -58,40 +61,52 @@ class ByteBpe:
             self._whole = Tokenizer.from_file(self.json_path)
         return self._whole
 
+    def parts(self, text: str | None) -> Iterator[np.ndarray]:
+        """Ids of the whole text as unsigned 32-bit integers, a chunk at a time; none for null or empty."""
+        for k, part in enumerate((text or "").split(self.special)):
+            if k:
+                yield self.special_ids
+            if len(part) <= self.chunk:
+                yield self.fast.encode_to_numpy(part)
+            else:
+                yield from self.spliced(part)
+
     def ids(self, text: str | None) -> np.ndarray:
-        """Ids of the whole text as unsigned 32-bit integers; none for null or empty."""
-        if not text:
-            return np.empty(0, np.uint32)
-        if self.special in text:
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint32)
-        if len(text) <= self.chunk:
+        """Ids of the whole text in one array."""
+        return np.concatenate(list(self.parts(text)))
+
+    def count(self, text: str | None) -> int:
+        return sum(map(len, self.parts(text)))
+
+    def encoded(self, text: str) -> np.ndarray:
+        """Ids of a text without the special string, whatever its length."""
+        if len(text) <= LONG:
             return self.fast.encode_to_numpy(text)
-        return np.concatenate(list(self.spliced(text)))
+        return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint32)
 
     def spliced(self, text: str) -> Iterator[np.ndarray]:
         """Ids of a long text, chunk by chunk; no more than two chunks are held."""
         begin, n = 0, len(text)
-        while True:
-            cut, overlap = begin + self.chunk, self.overlap
-            while True:
-                end = cut + overlap
-                left = self.fast.encode_to_numpy(text[begin : min(end, n)])
-                if end >= n:
-                    yield left
-                    return
-                at = self._common(text, begin, cut, end, left)
-                if at:
-                    break
-                overlap *= 2
+        while n - begin > self.chunk + self.overlap:
+            cut = begin + self.chunk
+            end = cut + self.overlap
+            left = self.encoded(text[begin:end])
+            at = self._common(text, begin, cut, end, left)
+            if at is None:  # widened: what ends at a proven position needs no second chunk to agree
                 self.widened += 1
-            position, kept = at
+                stable = _STABLE.search(text, end - 1)
+                if not stable:
+                    break
+                at = stable.start(), None
+                left = self.encoded(text[begin : at[0]])
+            begin, kept = at
             yield left[:kept]
-            begin = position
+        yield self.encoded(text[begin:])
 
     def _common(self, text: str, begin: int, cut: int, end: int, left: np.ndarray) -> tuple[int, int] | None:
         """The first proven position in the overlap that ends a token in both chunks, with the left tokens before it."""
         right_text = text[cut : end + self.overlap]
-        right_ends = np.cumsum(self.sizes[self.fast.encode_to_numpy(right_text)])
+        right_ends = np.cumsum(self.sizes[self.encoded(right_text)])
         left_ends = np.cumsum(self.sizes[left])
         base = len(text[begin:cut].encode())
         for m in _STABLE.finditer(text, cut + 1, end - 1):
@@ -121,7 +136,7 @@ def token_counts(docs: DataFrame, limit: int = 1024, vocabulary: str = VOCABULAR
 
     def count(texts: pd.Series) -> pd.Series:
         bpe = encoder(vocabulary, chunk, overlap)
-        return pd.Series([len(bpe.ids(t)) for t in texts], dtype="int64")
+        return pd.Series([bpe.count(t) for t in texts], dtype="int64")
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     return (
