@@ -6,11 +6,18 @@ is parsed into such longest matches from left to right.  The language that needs
 fewest phrases for each character wins.
 
 Texts are normalised first: lower case, and every run of characters that are not
-letters becomes one gap.  They are parsed in segments of `SEGMENT` characters, each
-from its own start, so one long text is parsed by many lanes at once and no text is
-cut short; a segment adds at most one phrase to the exact parse.  An automaton is laid
-out as a table of state by character; an entry without a match holds the state after
-the character alone, with a flag that a phrase ended.
+letters becomes one gap.  A letter that the labelled text of a language lacks is a phrase
+of its own and counts twice, for an escape and the letter.
+
+A text is parsed in segments of `SEGMENT` characters by many lanes at once, each from its
+own start, and the parses are then stitched: the parse that comes from the left goes on
+into the next segment until it begins a phrase where that segment's own parse does, and
+from there on both are the same.  So the result is the exact parse of the whole text.
+
+An automaton's transitions on the commonest characters are a table of state by character;
+those on all other characters are looked up in a sorted list, so no character is left out.
+An entry without a match holds the state after the character alone and what a new phrase
+costs.
 """
 
 from __future__ import annotations
@@ -23,16 +30,21 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bounds of the labelled sample that is fitted, for each language.
+#: Bounds of the labelled sample that is fitted: rows and characters of each language, characters of a row (a part of a language's) and of all languages.
 SAMPLE_DOCS = 300
 SAMPLE_CHARS = 40_000
+ROW_SHARE = 8
+ALL_CHARS = 1_000_000
 SEGMENT = 256
-ALPHABET = 96
+#: Characters of the table's columns, and its entries; a trade of memory for time without effect on results.
+COLUMNS = 96
+TABLE = 1 << 26
 BATCH_CHARS = 1 << 21
 UNKNOWN = "und"
-#: A text is rejected if even its own language needs more than so many phrases a character, beyond the first few.
-MOST_PHRASES, FIRST_PHRASES = 0.5, 3
-_FLAG = np.int32(1 << 30)
+#: A text is rejected if its winner needs more than so many phrases a character, beyond the first few, or, of languages that need more themselves, more than `SPARE` times what their held-back labelled texts need.
+MOST_PHRASES, FIRST_PHRASES, SPARE = 0.5, 3, 1.25
+_COST = 29
+_STATE = (1 << _COST) - 1
 
 
 @lru_cache(maxsize=1)
@@ -79,98 +91,200 @@ def automaton(codes: list[int]) -> tuple[list[dict[int, int]], list[int]]:
 
 
 class Model:
-    """The automata of all languages, stacked in one table."""
+    """The automata of all languages, stacked, and each language's rate of phrases at which a text is rejected."""
 
-    def __init__(self, samples: dict[str, list[str]], chars: int = SAMPLE_CHARS, alphabet: int = ALPHABET):
+    def __init__(self, samples: dict[str, list[str]], held_back: dict[str, list[str]] | None = None, columns: int = COLUMNS):
         self.langs = sorted(samples)
-        parts = {k: np.concatenate([np.append(points(t), np.uint32(32)) for t in samples[k]] or [np.empty(0, np.uint32)])[:chars] for k in self.langs}
+        parts = {k: np.concatenate([np.append(points(t), np.uint32(32)) for t in samples[k]] or [np.empty(0, np.uint32)]) for k in self.langs}
         seen, n = np.unique(np.concatenate([*parts.values(), np.array([32], np.uint32)]), return_counts=True)
-        kept = seen[np.lexsort((seen, -n))][: alphabet - 1]
-        self.code = {int(c): i + 1 for i, c in enumerate(kept)}  # 0: any other letter
-        self.width = len(kept) + 1
-        tables, self.roots, at = [], [], 0
-        for k in self.langs:
-            # a letter outside the alphabet is never matched, in the labelled text either
-            step, _ = automaton([self.code.get(int(c), -1) for c in parts[k]])
-            table = np.full((len(step), self.width), -1, np.int64)
+        self.letters = seen[np.lexsort((seen, -n))]  # the commonest first; a letter's code is its place from 1, and 0 is any other
+        code = {int(c): i + 1 for i, c in enumerate(self.letters)}
+        self.codes = len(self.letters) + 1
+        steps = [automaton([code[int(c)] for c in parts[k]])[0] for k in self.langs]
+        states = sum(map(len, steps))
+        self.width = max(1, min(columns + 1, self.codes, TABLE // max(1, states)))
+        table = np.empty((states, self.width), np.int32)
+        keys, values, self.roots, at = [], [], [], 0
+        for step in steps:
+            self.roots.append(at)
+            table[at : at + len(step)] = at | 2 << _COST  # a letter that the language lacks
+            alone = [(c, t) for c, t in step[0].items() if c < self.width]
+            for c, t in alone:
+                table[at : at + len(step), c] = (at + t) | 1 << _COST
             for s, out in enumerate(step):
                 for c, t in out.items():
-                    if c >= 0:
-                        table[s, c] = t
-            alone = np.where(table[0] >= 0, table[0], 0)
-            table = np.where(table >= 0, table + at, (alone + at) | int(_FLAG))
-            tables.append(table)
-            self.roots.append(at)
+                    cost = (not s) << _COST
+                    if c < self.width:
+                        table[at + s, c] = (at + t) | cost
+                    else:
+                        keys.append((at + s) * self.codes + c)
+                        values.append((at + t) | cost)
             at += len(step)
-        self.table = (np.concatenate(tables) if tables else np.zeros((1, self.width), np.int64)).astype(np.int32).ravel()
+        self.table = table.ravel()
+        order = np.argsort(np.array(keys, np.int64), kind="stable")
+        self.keys, self.values = np.array(keys, np.int64)[order], np.array(values, np.int32)[order]
+        self.most = np.full(len(self.langs), MOST_PHRASES)
+        for k, lang in enumerate(self.langs):
+            texts = [p for p in map(points, (held_back or {}).get(lang, ())) if len(p) >= 20]
+            if texts:
+                self.most[k] = max(MOST_PHRASES, SPARE * float(np.quantile(self.phrases(texts)[:, k], 0.95)))
 
     @property
     def lookup(self) -> np.ndarray:
         if getattr(self, "_lookup", None) is None:
-            out = np.zeros(0x110000, np.uint8)
-            for c, i in self.code.items():
-                out[c] = i
+            out = np.zeros(0x110000, np.int32)
+            out[self.letters] = np.arange(1, self.codes)
             self._lookup = out
         return self._lookup
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k != "_lookup"}
 
+    def _next(self, state: np.ndarray, code: np.ndarray, root: int, rare: bool) -> np.ndarray:
+        """State and cost after a character each."""
+        if not rare:
+            return self.table[state * self.width + code]
+        common = code < self.width
+        out = self.table[state * self.width + np.where(common, code, 0)]
+        other = np.flatnonzero(~common)
+        if len(other) and len(self.keys):
+            for base, cost in ((root, 1 << _COST), (state[other].astype(np.int64), 0)):  # what follows the state comes last and counts
+                want = base * self.codes + code[other]
+                at = np.minimum(np.searchsorted(self.keys, want), len(self.keys) - 1)
+                hit = self.keys[at] == want
+                out[other[hit]] = self.values[at[hit]] if cost == 0 else self.values[at[hit]] & _STATE | cost
+        return out
+
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
         """Phrases a character of each text (given as normalised code points) by language."""
-        lanes = [-(-len(t) // SEGMENT) for t in texts]
-        total = sum(lanes)
+        lanes = np.array([-(-len(t) // SEGMENT) for t in texts], np.int64)
+        total = int(lanes.sum())
         out = np.zeros((len(texts), len(self.langs)))
         if not total or not self.langs:
             return out
-        grid = np.full(total * SEGMENT, 255, np.uint8)
+        grid = np.full(total * SEGMENT, -1, np.int32)
         at = 0
         for t, n in zip(texts, lanes, strict=True):
             grid[at * SEGMENT : at * SEGMENT + len(t)] = self.lookup[t]
             at += n
         grid = grid.reshape(total, SEGMENT)
-        length = (grid != 255).sum(1)
+        length = (grid >= 0).sum(1)
         order = np.argsort(-length, kind="stable")
-        columns = np.ascontiguousarray(grid[order].T).astype(np.int32)
+        columns = np.ascontiguousarray(grid[order].T)
         alive = np.searchsorted(-length[order], -np.arange(SEGMENT), side="left")  # lanes with a character at each step
-        counts = np.empty((total, len(self.langs)))
+        rare = [bool((columns[i] >= self.width).any()) for i in range(SEGMENT)]
+        owner = np.repeat(np.arange(len(texts)), lanes)
+        follows = np.flatnonzero(owner[1:] == owner[:-1]) + 1  # lanes that go on with a text
         for k, root in enumerate(self.roots):
-            state, ended = np.full(total, root, np.int32), np.ones(total, np.int32)
+            costs = np.zeros((SEGMENT, total), np.uint8)
+            state = np.full(total, root, np.int32)
             for i in range(SEGMENT):
                 m = alive[i]
                 if not m:
                     break
-                s = self.table[state[:m] * self.width + columns[i, :m]]
-                ended[:m] += s >> 30
-                state[:m] = s & (_FLAG - 1)
-            counts[order, k] = ended
-        owner = np.repeat(np.arange(len(texts)), lanes)
-        for k in range(len(self.langs)):
-            out[:, k] = np.bincount(owner, counts[:, k], len(texts))
+                s = self._next(state[:m], columns[i, :m], root, rare[i])
+                costs[i, :m] = s >> _COST
+                state[:m] = s & _STATE
+            own, last = np.empty((total, SEGMENT), np.uint8), np.empty(total, np.int32)
+            own[order], last[order] = costs.T, state
+            spent = own.sum(1, dtype=np.int64)
+            if len(follows):
+                spent = self._stitched(grid, length, own, last, spent, follows, root)
+            out[:, k] = np.bincount(owner, spent, len(texts))
         return out / np.maximum([len(t) for t in texts], 1)[:, None]
 
+    def _stitched(self, grid: np.ndarray, length: np.ndarray, own: np.ndarray, last: np.ndarray, spent: np.ndarray, follows: np.ndarray, root: int) -> np.ndarray:
+        """What each lane costs in the exact parse, from what it costs when parsed from its own start."""
+        spent = spent.copy()
+        came = last.copy()  # the exact parse's state at the end of each lane
+        lane, state = follows, last[follows - 1]
+        extra, gone = np.zeros(len(lane), np.int64), np.zeros(len(lane), np.int64)  # what the parse from the left costs, and what it replaces
+        loose: list[tuple[int, int]] = []  # lanes it went through without meeting the lane's own parse, with its state then
+        for i in range(SEGMENT):
+            ended = length[lane] <= i
+            if ended.any():
+                loose += zip(lane[ended].tolist(), state[ended].tolist(), strict=True)
+                spent[lane[ended]] = extra[ended]
+                lane, state, extra, gone = (x[~ended] for x in (lane, state, extra, gone))
+            if not len(lane):
+                break
+            code = grid[lane, i]
+            s = self._next(state, code, root, bool((code >= self.width).any()))
+            cost, mine = s >> _COST, own[lane, i]
+            met = (cost > 0) & (mine > 0)
+            spent[lane[met]] += extra[met] - gone[met]
+            lane, state, extra, gone = lane[~met], (s & _STATE)[~met], (extra + cost)[~met], (gone + mine)[~met]
+        loose += zip(lane.tolist(), state.tolist(), strict=True)
+        spent[lane] = extra
+        # beyond such a lane the parse goes on, a character at a time, until it meets a lane's own
+        next_of = set(follows.tolist())
+        open_ = dict(loose)
+        for at in sorted(open_):
+            if at not in open_:
+                continue
+            state_, j = open_.pop(at), at + 1
+            while j in next_of:
+                extra_, gone_, met_ = 0, 0, False
+                for i in range(int(length[j])):
+                    s = self._one(state_, int(grid[j, i]), root)
+                    if s >> _COST and own[j, i]:
+                        met_ = True
+                        break
+                    extra_, gone_, state_ = extra_ + (s >> _COST), gone_ + int(own[j, i]), s & _STATE
+                open_.pop(j, None)
+                whole = int(own[j].sum(dtype=np.int64))
+                spent[j] = whole + extra_ - gone_ if met_ else extra_
+                if met_:
+                    break
+                j += 1
+        return spent
 
-def fit(labelled: DataFrame, docs: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> Model:
-    """Fit on a bounded sample of `labelled` (doc_id, text, lang), spread evenly over each language by a hash of the id.
+    def _one(self, state: int, code: int, root: int) -> int:
+        if code < self.width:
+            return int(self.table[state * self.width + code])
+        for base in (state, root):
+            at = int(np.searchsorted(self.keys, base * self.codes + code))
+            if at < len(self.keys) and self.keys[at] == base * self.codes + code:
+                return int(self.values[at]) if base == state else int(self.values[at]) & _STATE | 1 << _COST
+        return root | 2 << _COST
 
-    About `docs` texts of each language are taken, and their first `chars` characters
-    together.  Rows without text or language are no labels.  A label is learned however
-    few rows it has.  Without labels the model has no language, and every text is `und`.
+
+def fit(labelled: DataFrame, docs: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> Model:
+    """Fit on a bounded sample of `labelled` (doc_id, text, lang), spread evenly over each language by a hash of the row.
+
+    A sample has whole rows only: about `docs` of each language, of those with at most a
+    `ROW_SHARE`th of `chars` characters, as long as they fit into `chars`; every tenth is
+    held back to learn what texts of the language need.  A language without such rows is
+    learned from the shortest that it has, of which the first `chars` characters are taken.
+    With many languages `chars` shrinks, so that all have ALL_CHARS together.  Rows without
+    text or language are no labels.  A label is learned however few rows it has.  Without
+    labels the model has no language, and every text is `und`.  One number a language comes
+    to the driver, and the sample.
     """
-    rows = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"))
-    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
+    rows = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")).alias("h"))
+    n, long_ = F.char_length("text"), rows.select("lang").distinct().count()
+    chars = min(chars, ALL_CHARS // max(1, long_))
+    short = n.between(1, chars // ROW_SHARE)
+    counts = {r["lang"]: r["short"] for r in rows.groupBy("lang").agg(F.count_if(short).alias("short")).collect()}
     if not counts:
-        return Model({}, chars)
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, docs / n))])
-    hashed = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1))), F.lit(1 << 30)) / float(1 << 30)
+        return Model({})
     samples: dict[str, list[str]] = {k: [] for k in counts}
-    used: dict[str, int] = dict.fromkeys(counts, 0)
-    picked = rows.filter(hashed < share[F.col("lang")]).select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
-    for r in picked.orderBy("h").toLocalIterator():
-        if used[r["lang"]] < chars:
-            samples[r["lang"]].append(r["text"])
-            used[r["lang"]] += len(r["text"])
-    return Model({k: v for k, v in samples.items() if v}, chars)
+    held: dict[str, list[str]] = {k: [] for k in counts}
+    if some := {k: c for k, c in counts.items() if c}:
+        share = F.create_map(*[F.lit(x) for k, c in some.items() for x in (k, min(1.0, docs / c))])
+        picked = rows.filter(short & (F.pmod("h", F.lit(1 << 30)) / float(1 << 30) < share[F.col("lang")]))
+        used: dict[str, int] = dict.fromkeys(counts, 0)
+        for i, r in enumerate(sorted(picked.collect(), key=lambda r: (r["h"], r["text"]))):
+            k, text = r["lang"], r["text"]
+            if i % 10 == 9:
+                held[k].append(text)
+            elif used[k] + len(text) <= chars:
+                samples[k].append(text)
+                used[k] += len(text)
+    if none := [k for k, v in samples.items() if not v]:
+        for r in rows.filter(F.col("lang").isin(none)).groupBy("lang").agg(F.min(F.struct(n.alias("n"), F.substring("text", 1, chars).alias("text"))).alias("s")).collect():
+            samples[r["lang"]].append(r["s"]["text"])
+    return Model(samples, held)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
@@ -216,8 +330,8 @@ def accepted(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of `docs` whose text is in a learned language, with all their columns; the prediction is not stored.
 
     Rejected are null texts, texts without a letter, and texts that no language's labelled
-    text explains (more than MOST_PHRASES phrases a character, beyond FIRST_PHRASES).  Under
-    a model without languages nothing but the first two is rejected.
+    text explains (see MOST_PHRASES).  Repeated rows are judged alike.  Under a model without
+    languages nothing but the first two is rejected.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -225,8 +339,10 @@ def accepted(docs: DataFrame, model: Model) -> DataFrame:
         m, out, held, size = shared.value, [], [], 0
 
         def flush(held: list[np.ndarray]) -> list[bool]:
-            most = np.array([MOST_PHRASES * len(t) + FIRST_PHRASES for t in held])
-            fine = m.phrases(held).min(1) * [len(t) for t in held] <= most if m.langs else np.ones(len(held), bool)
+            fine = np.ones(len(held), bool)
+            if m.langs:
+                cost, n = m.phrases(held), np.array([len(t) for t in held])
+                fine = cost.min(1) * n <= m.most[cost.argmin(1)] * n + FIRST_PHRASES
             return (fine & [bool((t != 32).any()) for t in held]).tolist()
 
         for text in texts:

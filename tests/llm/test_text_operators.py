@@ -325,24 +325,51 @@ def test_digest_columns(odd, docs, query, kinds, base):
 
 
 def naive_phrases(sample, text):
-    """Greedy longest matches within `sample`, in segments."""
-    n = 0
-    for at in range(0, len(text), language.SEGMENT):
-        part, i = text[at : at + language.SEGMENT], 0
-        while i < len(part):
-            j = i + 1
-            while j < len(part) and part[i : j + 1] in sample:
-                j += 1
-            n, i = n + 1, j
+    """Greedy longest matches within `sample`; a character it lacks counts twice."""
+    n, i = 0, 0
+    while i < len(text):
+        j = i + 1
+        while j < len(text) and text[i : j + 1] in sample:
+            j += 1
+        n, i = n + 1 + (text[i] not in sample), j
     return n
 
 
-def test_phrases_are_the_longest_matches(words):
-    sample, text = words(1, 60), words(2, 120)
-    model = language.Model({"x": [sample], "y": [words(5, 30)]})
+@pytest.mark.parametrize("columns", [96, 4, 0])
+def test_phrases_are_the_longest_matches(words, columns, monkeypatch):
+    monkeypatch.setattr(language, "SEGMENT", 16)
+    samples = {"x": [words(1, 60)], "y": [words(5, 30), "ζ καὶ λόγος"], "z": ["abababab" * 3]}
+    texts = [words(2, 120), "ab" * 90, words(1, 20) + " ζ λόγος qq ж " + words(3, 9), "", "жж", "a" * 100, "ba" * 8]
+    model = language.Model(samples, columns=columns)
     plain = lambda t: "".join(map(chr, language.points(t)))
-    got = model.phrases([language.points(text)])[0] * len(plain(text))
-    assert [round(g) for g in got] == [naive_phrases(plain(sample) + " ", plain(text)), naive_phrases(plain(words(5, 30)) + " ", plain(text))]
+    got = model.phrases([language.points(t) for t in texts])
+    for i, text in enumerate(texts):
+        for k, (_, given) in enumerate(sorted(samples.items())):
+            want = naive_phrases("".join(plain(s) + " " for s in given), plain(text))
+            assert round(got[i, k] * len(plain(text))) == want, (text, k)
+
+
+def test_scripts_of_many_letters():
+    import random
+
+    dice = random.Random(3)
+    scripts = {"first": range(0x4E00, 0x4E00 + 1500), "second": range(0xAC00, 0xAC00 + 1500)}
+    text = lambda k, n: "".join(chr(dice.choice(scripts[k])) for _ in range(n))
+    model = language.Model({k: [text(k, 400) for _ in range(80)] for k in scripts}, {k: [text(k, 300) for _ in range(5)] for k in scripts})
+    for k in scripts:
+        for n in (10, 20, 40):
+            cost = model.phrases([language.points(text(k, n)) for _ in range(200)])
+            assert (cost.argmin(1) == sorted(scripts).index(k)).mean() >= 0.95
+    cost = model.phrases([language.points(text(k, 200)) for k in scripts] + [language.points("an unknown script " * 9)])
+    assert [bool(c.min() <= model.most[c.argmin()]) for c in cost] == [True, True, False]
+
+
+def test_a_long_row_is_not_the_whole_sample(docs):
+    rows = [(i, f"common words of row {i}") for i in range(40)] + [(100, "zq " * 40_000)]
+    model = language.fit(docs(rows))
+    assert model.phrases([language.points("common words")])[0, 0] < 0.3
+    alone = language.fit(docs([(100, "zq " * 40_000)]))
+    assert alone.langs == ["en"] and alone.phrases([language.points("zq zq zq")])[0, 0] < 0.3
 
 
 def test_languages_are_told_apart(spark, sf_dir, odd):
