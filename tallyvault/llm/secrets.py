@@ -3,13 +3,14 @@
 Base: assignments of a named secret, access key ids, and long hexadecimal strings.
 
 Method: token efficiency.  A vocabulary of natural text needs few tokens for words and
-many for random strings, so a string with few characters a token (under `MOST_RATIO`)
-is taken for a secret.  Only unbroken strings of at least `LEAST` characters that mix
-letters with digits are candidates.  Words joined to a random string raise the ratio of
-the whole, so a string that is not taken as a whole is tried in parts: each part between
-joints, then neighbouring parts together.  Known digests (hexadecimal of a usual digest
-length), UUIDs and identifiers (words joined by `-`, `_`, `/` or `.`, and numbers) are
-excluded.
+many for random strings, so a string of few characters a token is taken for a secret.
+Only unbroken strings of at least `LEAST` characters, `DISTINCT` of them different, are
+candidates.  How few are needed hangs on what the string is made of (`MOST_RATIO`): letters
+without digits are words more often than not.  Words joined to a random string raise the
+ratio of the whole, so a string that is not taken as a whole is tried in parts: each part
+between joints, then neighbouring parts together.  Known digests (hexadecimal of a usual
+digest length), UUIDs and identifiers (words joined by `-`, `_`, `/` or `.`, and numbers)
+are excluded.
 """
 
 from __future__ import annotations
@@ -26,7 +27,9 @@ from tallyvault.llm.tokens import VOCABULARY, encoder
 
 KINDS = ("assign", "access", "hex", "random")
 LEAST = 20
-MOST_RATIO = 2.0
+DISTINCT = 8
+#: Characters a token up to which a string is random: of letters and digits, of letters in both cases, of letters in one case.
+MOST_RATIO = {"mixed": 2.0, "cases": 1.9, "case": 1.85}
 DIGESTS = (32, 40, 56, 64, 96, 128)
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 _NAMED = re.compile(r"passw|secret|token|api_?key", re.IGNORECASE | re.ASCII)
@@ -50,16 +53,27 @@ def base_spans(text: str) -> list[Span]:
 
 
 def known(string: str) -> bool:
-    """Digests, UUIDs, and strings whose parts between joints are each a word or a number."""
-    if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", string) and len(string) in DIGESTS:
-        return True
-    return bool(_UUID.fullmatch(string)) or all(_PART.fullmatch(p) for p in re.split(r"[-_/.=+]+", string) if p)
+    """Digests and UUIDs."""
+    return bool(re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", string) and len(string) in DIGESTS or _UUID.fullmatch(string))
+
+
+def plain(string: str) -> bool:
+    """Strings whose parts between joints are each a word or a number."""
+    return all(_PART.fullmatch(p) for p in re.split(r"[-_/.=+]+", string) if p)
 
 
 def mixes(string: str) -> bool:
     return any(c.isdigit() for c in string) and any(c.isalpha() for c in string)
 
 
+def random_string(string: str, ids) -> bool:
+    """Whether a string, its joints included, has few characters a token."""
+    if len(string) < LEAST or string.isdigit() or known(string) or len(set(string)) < DISTINCT:
+        return False
+    kind = "mixed" if mixes(string) else "case" if string in (string.lower(), string.upper()) else "cases"
+    return len(string) <= MOST_RATIO[kind] * len(ids(string))
+
+
 def joined_spans(string: str, ids) -> list[tuple[int, int]]:
     """Random parts of a string of parts between joints.
 
@@ -69,11 +83,11 @@ def joined_spans(string: str, ids) -> list[tuple[int, int]]:
     """
     out, rows = [], [[]]
     for m in _JOINED.finditer(string):
-        candidate = len(m[0]) >= LEAST and mixes(m[0])
-        if candidate and not known(m[0]) and len(m[0]) / len(ids(m[0])) < MOST_RATIO:
+        part = m[0]
+        if random_string(part, ids):
             out.append(m.span())
-        elif not (candidate and known(m[0])):
-            rows[-1].append((*m.span(), 0 if _PART.fullmatch(m[0]) else len(m[0])))
+        elif not (len(part) >= LEAST and known(part)):
+            rows[-1].append((*m.span(), 0 if _PART.fullmatch(part) else len(part)))
             continue
         rows.append([])
     for row in rows:
@@ -87,7 +101,7 @@ def joined_spans(string: str, ids) -> list[tuple[int, int]]:
         for i, j in sorted(groups):
             a, b = row[i][0], row[j][1]
             part = string[a:b]
-            if 2 * sum(n for *_, n in row[i : j + 1]) >= len(part) and mixes(part) and not known(part) and len(part) / len(ids(part)) < MOST_RATIO:
+            if i < j and 2 * sum(n for *_, n in row[i : j + 1]) >= len(part) and not plain(part) and mixes(part) and random_string(part, ids):
                 out.append((a, b))
     merged: list[tuple[int, int]] = []
     for a, b in sorted(out):
@@ -102,11 +116,11 @@ def random_spans(text: str, ids) -> list[Span]:
     out = []
     for m in _CANDIDATE.finditer(text):
         s = m[0].strip(".=-/_+")
-        if len(s) < LEAST or not mixes(s) or known(s):
+        if len(s) < LEAST or known(s):
             continue
         at = m.start() + m[0].index(s)
-        spans = [(0, len(s))] if len(s) / len(ids(s)) < MOST_RATIO else joined_spans(s, ids)
-        out += [("random", at + a, at + b) for a, b in spans]
+        whole = not plain(s) and mixes(s) and random_string(s, ids)
+        out += [("random", at + a, at + b) for a, b in ([(0, len(s))] if whole else joined_spans(s, ids))]
     return out
 
 

@@ -192,6 +192,26 @@ def test_random_strings():
         assert found(clean) == []
 
 
+LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+
+
+@pytest.mark.parametrize("alphabet, least", [(LOWER + UPPER + DIGITS, 0.98), (LOWER + DIGITS, 0.95), (LOWER + UPPER, 0.95), (DIGITS + "abcdef", 0.9), (DIGITS + "ABCDEF", 0.9), (UPPER, 0.75), (LOWER, 0.7)])
+def test_recall_of_random_strings(alphabet, least):
+    ids, dice = tokens.encoder().ids, np.random.default_rng(9)
+    for n in (20, 23, 27, 48):
+        found = 0
+        for _ in range(300):
+            key = "".join(dice.choice(list(alphabet), n))
+            found += ("random", 4, 4 + n) in secrets.random_spans(f"see {key} now", ids)
+        assert found >= least * 300, (n, found / 300)
+
+
+def test_clean_strings_stay():
+    ids = tokens.encoder().ids
+    for clean in ("getElementByIdAndTagName", "XMLHttpRequestEventTarget", "AbstractSingletonProxyFactoryBean", "Donaudampfschifffahrtsgesellschaft", "Llanfairpwllgwyngyllgogerychwyrndrobwll", "internationalization_of_the_interface", "README_FOR_DEVELOPERS.md", "a-b-c-d-e-f-g-h-i-j-k-l", "HAHAHAHAHAHAHAHAHAHAHA", "rechtsschutzversicherungsgesellschaften", "1234567890-1234567890", "0000000000000000000000", "www.example.com/some/page.html"):
+        assert secrets.random_spans(f"see {clean} now", ids) == [], clean
+
+
 def test_random_strings_after_words():
     ids = tokens.encoder().ids
     dice = np.random.default_rng(5)
