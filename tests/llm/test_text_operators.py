@@ -104,12 +104,14 @@ def test_token_counts(odd):
     rows = tokens.token_counts(odd).collect()
     assert len(rows) == odd.count()
     by = {(r["doc_id"], r["n_bytes"]): r for r in rows}
+    assert tokens.token_counts(odd.limit(0)).isEmpty()
     assert by[1, 0]["n_tokens"] == 0 and by[4, 70_000]["n_tokens"] == len(reference_ids("x" * 70_000)) and by[4, 70_000]["over_limit"]
 
 
 def test_pieces(odd):
     texts = {(r["doc_id"], r["text"] or "") for r in odd.collect()}
     got = packing.packed(odd, capacity=64).collect()
+    assert packing.packed(odd.limit(0)).isEmpty()
     sequences = {}
     for r in got:
         sequences.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
@@ -336,7 +338,7 @@ def test_plain_words_are_no_disguise():
 
 @pytest.mark.parametrize("query, kinds, base", [(secrets.digests, secrets.KINDS, secrets.base_spans), (pii.digests, pii.KINDS, pii.base_spans)])
 def test_digest_columns(odd, docs, query, kinds, base):
-    assert query(odd).count() == odd.count()
+    assert query(odd).count() == odd.count() and query(odd.limit(0)).isEmpty()
     text = 'é token = "abcdef0123456789abcdef0123456789" mail a@b.cd 10.0.0.1 +1 (555) 123-4567'
     (row,) = query(docs([(9, text)])).collect()
     assert row["base_sha256"] == digest(base(text), kinds)
@@ -407,16 +409,46 @@ def test_languages_are_told_apart(spark, sf_dir, odd):
     assert language.predict(odd, language.fit(empty)).filter("lang_pred <> 'und'").isEmpty() and language.predict(empty, model).isEmpty()
 
 
-def test_pairs_count_for_more_than_their_parts():
+@pytest.mark.parametrize("label", [lambda a, b: a and b, lambda a, b: a != b])
+def test_pairs_count_for_more_than_their_parts(label):
+    """No sum of two weights separates the second."""
     dice = np.random.default_rng(1)
     rows, labels = [], []
     for _ in range(600):
         a, b, noise = dice.random(3) < 0.5
         rows.append([t for t, on in ((1, a), (2, b), (3, noise)) if on])
-        labels.append(int(a and b))
+        labels.append(int(label(a, b)))
     m = toxicity.Machine([1, 2, 3], rows, np.array(labels), np.ones(600), epochs=400)
-    both, one, other, none = m.score([[0, 1], [0], [1], []])
-    assert both > 0.8 and max(one, other, none) < 0.3
+    got = m.score([[0, 1], [0], [1], []])
+    for p, want in zip(got, (label(True, True), label(True, False), label(False, True), label(False, False)), strict=True):
+        assert p > 0.8 if want else p < 0.3
+
+
+def test_scores_are_the_sum_over_all_pairs():
+    dice = np.random.default_rng(2)
+    m = toxicity.Machine(list(range(12)), [], np.empty(0), np.empty(0))
+    m.bias, m.w, m.v = 0.3, dice.normal(size=12), dice.normal(size=(12, 4))
+    present = [sorted(dice.choice(12, n, replace=False).tolist()) for n in (0, 1, 2, 7, 12)]
+    for got, own in zip(m.score(present), present, strict=True):
+        raw = m.bias + sum(m.w[i] for i in own) + sum(m.v[i] @ m.v[j] for i in own for j in own if i < j)
+        assert abs(got - 1 / (1 + np.exp(-raw))) < 1e-9
+
+
+def test_toxicity_of_held_out_documents(spark):
+    from tallyvault.llm.registry import op3_toxicity
+
+    folder = "/root/testdata/sf0.1"
+    scores = op3_toxicity(spark, folder).filter("held_out").join(spark.read.parquet(f"{folder}/labels.parquet").dropna(subset=["toxic"]), "doc_id").select("score", "predicted", "toxic").toPandas()
+    bad, good = (scores.score[scores.toxic == k].to_numpy() for k in (1, 0))
+    assert len(bad) > 50 and (bad[:, None] > good[None, :]).mean() > 0.97
+    assert scores.predicted[scores.toxic == 1].mean() > 0.8 and scores.predicted[scores.toxic == 0].mean() < 0.01
+
+
+def test_the_model_hangs_on_the_rows_alone(spark, docs):
+    rows = [(i % 40, f"text {i} " + ("vile words" if i % 3 else "kind words")) for i in range(160)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 1)) for i in range(40)], "doc_id long, toxic int")
+    a, b = (toxicity.fit(docs(r).repartition(n), labels) for r, n in ((rows, 2), (rows[::-1], 5)))
+    assert a.index == b.index and (a.w == b.w).all() and (a.v == b.v).all()
 
 
 def test_toxicity_of_odd_tables(spark, odd):
@@ -425,5 +457,6 @@ def test_toxicity_of_odd_tables(spark, odd):
     rows = toxicity.score(odd, machine).collect()
     assert len(rows) == odd.count() and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for r in rows)
     assert len({r["score"] for r in rows if r["doc_id"] in (1, 2)}) == 1
+    assert toxicity.score(odd.limit(0), machine).isEmpty()
     bare = toxicity.fit(odd, labels.limit(0))
     assert toxicity.score(odd, bare).count() == odd.count()
