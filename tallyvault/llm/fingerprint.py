@@ -4,8 +4,9 @@ Method: I-Match.  The lexicon holds the terms whose document frequency lies in a
 (a band of inverse document frequency).  A document keeps its distinct terms of the
 lexicon, sorts them and hashes them, once for each of several randomised subsets of the
 lexicon; an edit changes only the hashes of the subsets that hold a term it touches.
-The subsets hold a 1/16 to a 1/64 of the lexicon, so that short and long documents both
-have subsets with a few of their terms.
+The subsets come in tiers, from an eighth to a 512th of the lexicon, so that short and long
+documents both have a tier whose subsets hold one or two of their terms; the likeness of two
+fingerprints is that of the tier that fits them best.
 
 DataFrame and SQL functions only.  Documents are dealt once into ranges of ids, small
 enough for a task; a document's neighbour, its edited text, its terms and its hashes are
@@ -22,10 +23,12 @@ from tallyvault.llm.common import settle
 #: The band, as shares of all documents that have the term; a term of one document only is never in it.
 LOW, HIGH = 0.002, 0.01
 SUBSETS = 32
-#: A subset's share of the lexicon, in 256ths, by its number modulo 4.
-SHARES = (16, 8, 4, 4)
+#: A subset's share of the lexicon, in 65536ths, by its tier: its number modulo 4.
+SHARES = (8192, 2048, 512, 128)
+#: Subsets of a tier that must have a term in either text for the tier to count.
+LEAST = 2
 #: Rows of a range, about; more where that would make over MOST_RANGES, whose bounds the driver holds.
-RANGE_ROWS = 2_000
+RANGE_ROWS = 500
 MOST_RANGES = 50_000
 #: A lexicon over this size is joined by shuffling.  It holds at most (mean distinct terms a document) / LOW terms, however many documents there are.
 BROADCAST_TERMS = 400_000
@@ -38,19 +41,16 @@ def terms(text: Column) -> Column:
 
 
 def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
-    """term and subsets (a bit for each) of the band, from the document frequencies over all of `docs`."""
+    """term and marked (the term behind the number of each subset that has it) of the band's terms that some subset has, from the document frequencies over all of `docs`."""
     n = docs.count()
     each = docs.select(F.explode(terms(F.coalesce(F.col("text").cast("string"), F.lit("")))).alias("term")).groupBy("term").count()
     band = each.filter((F.col("count") >= max(2.0, low * n)) & (F.col("count") <= max(2.0, high * n)))
-    digest = F.sha2(F.col("term").cast("binary"), 256)
-
-    def bit(k: int) -> Column:
-        return F.when(F.conv(F.substring("_digest", 2 * k + 1, 2), 16, 10).cast("int") < SHARES[k % len(SHARES)], F.lit(1 << k)).otherwise(F.lit(0)).cast("long")
-
-    subsets = bit(0)
-    for k in range(1, SUBSETS):
-        subsets = subsets + bit(k)
-    return band.select("term", digest.alias("_digest")).select("term", subsets.alias("subsets"))
+    sha = F.sha2(F.col("term").cast("binary"), 256)
+    digest = F.concat(sha, F.substring(sha, 1, 2))
+    shares = f"array({', '.join(map(str, SHARES))})"
+    own = f"transform(filter(sequence(0, {SUBSETS - 1}), k -> int(conv(substring(_digest, 2 * k + 1, 4), 16, 10)) < {shares}[k % {len(SHARES)}]), k -> concat(lpad(k, 2, '0'), ' ', term))"
+    # settled here, as a filter on what follows would be tried on every term before the band is
+    return settle(settle(band.select("term", digest.alias("_digest"))).select("term", F.expr(own).alias("marked"))).filter(F.size("marked") > 0)
 
 
 def ranged(docs: DataFrame, rows: int = RANGE_ROWS) -> DataFrame:
@@ -85,22 +85,34 @@ def ranged(docs: DataFrame, rows: int = RANGE_ROWS) -> DataFrame:
     return both.select("_range", "doc_id", "text", "_ghost", F.row_number().over(along).alias("_rn"), F.lead("text").over(along).alias("next_text"))
 
 
-def hashes(kept: Column) -> Column:
-    """The hash of the terms of each subset, empty where a subset has none of them; `kept` is a sorted array of (term, subsets)."""
+def hashes(marked: Column) -> Column:
+    """The hash of the marked terms of each subset, empty where a subset has none of them.
+
+    Each subset's number and a sign sort before its terms, so one sorted list, joined and
+    split at these, has the subsets' lists: linear in the terms, whatever the subsets.
+    """
+    heads = F.array(*[F.lit(f"{k:02}\x02") for k in range(SUBSETS)])
+    lists = F.split(F.array_join(F.sort_array(F.concat(heads, marked)), " "), "[0-9]{2}\x02")
+    return F.transform(F.slice(lists, 2, SUBSETS), lambda x: F.when(F.trim(x) == "", "").otherwise(F.substring(F.md5(F.trim(x).cast("binary")), 1, 12)))
+
+
+def equals(a: Column, b: Column) -> Column:
+    """For each subset of two fingerprints whether its hashes are equal; null where both have none."""
+    return F.zip_with(F.split(a, "-"), F.split(b, "-"), lambda p, q: F.when((p == "") & (q == ""), None).otherwise(p == q))
 
-    def one(k: int) -> Column:
-        mine = F.transform(F.filter(kept, lambda x: x["subsets"].bitwiseAND(F.lit(1 << k)) != 0), lambda x: x["term"])
-        return F.when(F.size(mine) > 0, F.substring(F.md5(F.array_join(mine, " ").cast("binary")), 1, 12)).otherwise("")
 
-    return F.array(*[one(k) for k in range(SUBSETS)])
+def likeness(a: Column, b: Column, equal: Column) -> Column:
+    """1 for equal fingerprints; else the greatest tier's share of equal hashes among the subsets that either fingerprint has, of tiers with LEAST of them; else that of all subsets."""
 
+    def share(pairs: Column, least: int) -> Column:
+        n = F.size(F.array_compact(pairs))
+        return F.when(n >= least, F.size(F.array_remove(F.array_compact(pairs), False)) / F.greatest(n, F.lit(1)))
 
-def likeness(a: Column, b: Column) -> Column:
-    """The share of equal hashes among the subsets that either fingerprint has; 1 for equal fingerprints."""
-    x, y = F.split(a, "-"), F.split(b, "-")
-    pairs = F.filter(F.zip_with(x, y, lambda p, q: F.when((p == "") & (q == ""), None).otherwise(p == q)), lambda e: e.isNotNull())
-    share = F.size(F.filter(pairs, lambda e: e)) / F.greatest(F.size(pairs), F.lit(1))
-    return F.when(a == b, 1.0).when((F.size(x) != F.size(y)), 0.0).otherwise(share)
+    def tier(t: int) -> Column:
+        return F.array(*[F.get(equal, F.lit(k)) for k in range(t, SUBSETS, len(SHARES))])
+
+    one_hash = (F.instr(a, "-") == 0) != (F.instr(b, "-") == 0)
+    return F.when(a == b, 1.0).when(one_hash, 0.0).otherwise(F.coalesce(F.greatest(*[share(tier(t), LEAST) for t in range(len(SHARES))]), share(equal, 0)))
 
 
 def fingerprints(docs: DataFrame, low: float = LOW, high: float = HIGH, rows: int = RANGE_ROWS) -> DataFrame:
@@ -116,7 +128,6 @@ def fingerprints(docs: DataFrame, low: float = LOW, high: float = HIGH, rows: in
     are ignored; an empty table gives no rows.
     """
     words = lexicon(docs, low, high)
-    words = settle(words)
     words = F.broadcast(words) if words.count() <= BROADCAST_TERMS else words
     third = F.expr("int(n_chars div 3)")
     lead = ranged(docs, rows).withColumn("n_chars", F.char_length("text").cast("long"))
@@ -125,7 +136,7 @@ def fingerprints(docs: DataFrame, low: float = LOW, high: float = HIGH, rows: in
     own, other = terms(F.col("text")), terms(F.coalesce("edited", F.lit("")))
 
     def whole(array: Column) -> Column:
-        return F.substring(F.md5(F.array_join(F.array_sort(array), " ").cast("binary")), 1, 12)
+        return F.substring(F.md5(F.array_join(F.sort_array(array), " ").cast("binary")), 1, 12)
 
     made = both.select("_range", "_rn", "_ghost", "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("sha"), own.alias("own"), other.alias("other"))
     info = F.struct("_ghost", "doc_id", "n_chars", "sha", whole(F.col("own")).alias("own"), whole(F.col("other")).alias("other"))
@@ -135,12 +146,11 @@ def fingerprints(docs: DataFrame, low: float = LOW, high: float = HIGH, rows: in
         F.struct(F.lit(1).alias("side"), F.col("other").alias("terms"), nothing.alias("info")),
         F.struct(F.lit(2).alias("side"), F.array(F.lit("")).alias("terms"), info.alias("info")),
     )).alias("s")).select("_range", "_rn", "s.side", "s.info", F.explode("s.terms").alias("term"))
-    hit = rows_.join(words, "term", "left").filter("subsets > 0 or side = 2")
-    pair = F.struct("term", "subsets")
+    hit = rows_.join(words, "term", "left").filter("marked is not null or side = 2")
     lists = hit.groupBy("_range", "_rn").agg(
-        F.collect_list(F.when(F.col("side") == 0, pair)).alias("a"), F.collect_list(F.when(F.col("side") == 1, pair)).alias("b"), F.first("info", ignorenulls=True).alias("i")
-    )
-    lists = lists.select("_range", "_rn", "i", F.array_sort("a").alias("a"), F.array_sort("b").alias("b"))
+        F.flatten(F.collect_list(F.when(F.col("side") == 0, F.col("marked")))).alias("a"), F.flatten(F.collect_list(F.when(F.col("side") == 1, F.col("marked")))).alias("b"),
+        F.first("info", ignorenulls=True).alias("i"),
+    )
 
     def print_of(kept: str, fallback: str) -> Column:
         return F.when(F.size(kept) > 0, F.array_join(hashes(F.col(kept)), "-")).otherwise(F.col(f"i.{fallback}"))
@@ -148,7 +158,9 @@ def fingerprints(docs: DataFrame, low: float = LOW, high: float = HIGH, rows: in
     printed = lists.select("_range", "_rn", "i", print_of("a", "own").alias("fingerprint"), print_of("b", "other").alias("edited_fingerprint"))
     along = Window.partitionBy("_range").orderBy("_rn")
     nexts = printed.withColumn("following", F.lead("fingerprint").over(along)).filter("i._ghost = 0")
-    return nexts.select(
+    own, other, following = F.col("fingerprint"), F.col("edited_fingerprint"), F.col("following")
+    compared = nexts.withColumn("_edited", equals(own, other)).withColumn("_next", equals(own, following))
+    return compared.select(
         "i.doc_id", "i.n_chars", F.col("i.sha").alias("edited_sha256"), "fingerprint", "edited_fingerprint",
-        likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("following")).alias("near_next"),
+        likeness(own, other, F.col("_edited")).alias("near_edited"), likeness(own, following, F.col("_next")).alias("near_next"),
     )

@@ -38,19 +38,23 @@ ed AS (SELECT *, substr(text, 1, n - n // 3) || substr(following, 1, n // 3) AS
 sides AS (SELECT rn, 0 AS side, text AS body FROM ed UNION ALL SELECT rn, 1, edited FROM ed),
 lists AS (SELECT rn, side, list_sort(list_distinct(list_filter(string_split_regex(lower(body), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> ''))) AS ts FROM sides),
 words AS (SELECT rn, side, unnest(ts) AS term FROM lists),
-band AS (SELECT term, sha256(term) AS h FROM words WHERE side = 0 GROUP BY term HAVING count(*) BETWEEN greatest(2, {fingerprint.LOW} * (SELECT count(*) FROM d)) AND greatest(2, {fingerprint.HIGH} * (SELECT count(*) FROM d))),
-subsets AS (SELECT term, k FROM band, range(0, {fingerprint.SUBSETS}) r(k) WHERE ('0x' || substr(h, (2 * k + 1)::BIGINT, 2))::INTEGER < list_extract({_SHARES}, (k % {len(_SHARES)} + 1)::BIGINT)),
-hashed AS (SELECT rn, side, k, substr(md5(string_agg(term, ' ' ORDER BY term)), 1, 12) AS h FROM words JOIN subsets USING (term) GROUP BY ALL),
+band AS (SELECT term, sha256(term) || substr(sha256(term), 1, 2) AS h FROM words WHERE side = 0 GROUP BY term HAVING count(*) BETWEEN greatest(2, {fingerprint.LOW} * (SELECT count(*) FROM d)) AND greatest(2, {fingerprint.HIGH} * (SELECT count(*) FROM d))),
+subsets AS (SELECT term, k FROM band, range(0, {fingerprint.SUBSETS}) r(k) WHERE ('0x' || substr(h, (2 * k + 1)::BIGINT, 4))::INTEGER < list_extract({_SHARES}, (k % {len(_SHARES)} + 1)::BIGINT)),
+hashed AS (SELECT rn, side, k, substr(md5(string_agg(lpad(k::VARCHAR, 2, '0') || ' ' || term, ' ' ORDER BY term)), 1, 12) AS h FROM words JOIN subsets USING (term) GROUP BY ALL),
 printed AS (SELECT l.rn, l.side, coalesce((SELECT string_agg(coalesce(h.h, ''), '-' ORDER BY r.k) FROM range(0, {fingerprint.SUBSETS}) r(k) LEFT JOIN (SELECT * FROM hashed) h ON h.k = r.k AND h.rn = l.rn AND h.side = l.side HAVING count(h.h) > 0), substr(md5(array_to_string(ts, ' ')), 1, 12)) AS f FROM lists l),
 three AS (SELECT ed.doc_id, ed.n, ed.edited, a.f AS f, b.f AS e, c.f AS x FROM ed JOIN printed a ON a.rn = ed.rn AND a.side = 0 JOIN printed b ON b.rn = ed.rn AND b.side = 1 JOIN printed c ON c.rn = ed.next_rn AND c.side = 0)
 SELECT doc_id, n AS n_chars, sha256(edited) AS edited_sha256, f AS fingerprint, e AS edited_fingerprint, @EDITED AS near_edited, @NEXT AS near_next FROM three"""
 
 
 def _likeness(a: str, b: str) -> str:
-    x, y = f"string_split({a}, '-')", f"string_split({b}, '-')"
-    equal = f"len(list_filter(list_zip({x}, {y}), lambda p: p[1] = p[2] AND p[1] <> ''))"
-    either = f"len(list_filter(list_zip({x}, {y}), lambda p: p[1] <> '' OR p[2] <> ''))"
-    return f"CASE WHEN {a} = {b} THEN 1::DOUBLE WHEN len({x}) <> len({y}) THEN 0::DOUBLE ELSE {equal} / greatest({either}, 1)::DOUBLE END"
+    pairs = f"list_zip(string_split({a}, '-'), string_split({b}, '-'))"
+
+    def share(some: str, least: int) -> str:
+        equal, either = f"len(list_filter({some}, lambda p: p[1] = p[2] AND p[1] <> ''))", f"len(list_filter({some}, lambda p: p[1] <> '' OR p[2] <> ''))"
+        return f"CASE WHEN {either} >= {least} THEN {equal} / greatest({either}, 1)::DOUBLE END"
+
+    tiers = ", ".join(share(f"({pairs})[{t + 1}:{fingerprint.SUBSETS}:{len(_SHARES)}]", fingerprint.LEAST) for t in range(len(_SHARES)))
+    return f"CASE WHEN {a} = {b} THEN 1::DOUBLE WHEN len(string_split({a}, '-')) <> len(string_split({b}, '-')) THEN 0::DOUBLE ELSE coalesce(greatest({tiers}), {share(pairs, 0)}) END"
 
 
 FINGERPRINTS = FINGERPRINTS.replace("@EDITED", _likeness("f", "e")).replace("@NEXT", _likeness("f", "x"))
