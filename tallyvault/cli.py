@@ -20,8 +20,11 @@ from tallyvault.inventory import Inventory, Store, scan
 from tallyvault.operators import archives, browse, candidates, duplicates, images, merge
 from tallyvault.schemas import BASE, SCHEMAS
 from tallyvault.sources import filesystem, hashing
+from tallyvault.storage import settle
 
 OK, FAILED, USAGE, PARTIAL, INCONSISTENT = 0, 1, 2, 3, 4
+#: Open directories of an interrupted discovery that one round walks.
+MOST_DIRECTORIES = 1000
 
 
 def lines(df: DataFrame) -> Iterator[str]:
@@ -55,21 +58,56 @@ def discovered(store: Store, name: str, root: str) -> int:
     now = datetime.now(timezone.utc)
     head = store.spark.createDataFrame([(id_, name, root.rstrip("/") or "/", "READY", "SHA-256", None, top, now, now)], SCHEMAS["scans"])
     folders = entries.filter("kind = 'DIRECTORY'").select("scan_id", "entry_id", "parent_id", "relative_path", F.lit(True).alias("completed"))
-    store.save(scans=inv.scans.unionByName(head), entries=inv.entries.unionByName(entries), directories=inv.directories.unionByName(folders), scan_errors=inv.scan_errors.unionByName(errors))
+    store.save(append=True, scans=head, entries=entries, directories=folders, scan_errors=errors)
     return id_
 
 
+def resumed(store: Store, name: str) -> None:
+    """Walk again what an interrupted discovery had not finished, if anything.
+
+    What the active directory had recorded in part is dropped, and the open directories are
+    walked; their entries get ids after the scan's last.  A scan that is discovered to its
+    end is left as it is.
+    """
+    inv = loaded(store)
+    own = scan(inv, name)
+    id_ = own["scan_id"]
+    mine = F.col("scan_id") == id_
+    open_ = candidates.unfinished_directories(inv, id_, MOST_DIRECTORIES)
+    rows = open_.collect()
+    if not rows and own["active_dir"] is None:
+        return
+    while rows:
+        kept = settle(candidates.without_partial_walk(inv, id_).filter(mine))
+        entries, errors = filesystem.continued(store.spark, own["root"], id_, open_, own["next_entry_id"], [store.folder])
+        done = [r["entry_id"] for r in rows]
+        folders = inv.directories.filter(mine).withColumn("completed", F.col("completed") | F.col("entry_id").isin(done))
+        deeper = entries.filter("kind = 'DIRECTORY'").select("scan_id", "entry_id", "parent_id", "relative_path", F.lit(True).alias("completed"))
+        own |= {"active_dir": None, "next_entry_id": max(own["next_entry_id"], (entries.agg(F.max("entry_id")).first()[0] or 0) + 1), "updated_at": datetime.now(timezone.utc)}
+        head = store.spark.createDataFrame([tuple(own[c] for c in SCHEMAS["scans"].names)], SCHEMAS["scans"])
+        # a directory that is walked again replaces what was recorded under it
+        fresh = kept.join(F.broadcast(open_.select("scan_id", F.col("entry_id").alias("parent_id"))), ["scan_id", "parent_id"], "left_anti").select(*SCHEMAS["entries"].names)
+        store.save(scan=id_, scans=head, entries=fresh.unionByName(entries), directories=folders.unionByName(deeper), scan_errors=inv.scan_errors.filter(mine).unionByName(errors))
+        inv = loaded(store)
+        open_ = candidates.unfinished_directories(inv, id_, MOST_DIRECTORIES)
+        rows = open_.collect()
+    if own["active_dir"] is not None or own["phase"] == "DISCOVERING":
+        own |= {"active_dir": None, "phase": "READY", "updated_at": datetime.now(timezone.utc)}
+        store.save(scan=id_, scans=store.spark.createDataFrame([tuple(own[c] for c in SCHEMAS["scans"].names)], SCHEMAS["scans"]))
+
+
 def hashed(store: Store, name: str, rehash: bool, complete: bool) -> int:
     inv = loaded(store)
     own = scan(inv, name)
-    new, errors = hashing.hashed(candidates.to_hash(inv, own["scan_id"], rehash, complete), inv.scans)
-    mine = F.col("scan_id") == own["scan_id"]
-    kept = inv.scan_errors.filter(~(mine & (F.col("phase") == "HASHING")))
-    failed = kept.filter(mine).unionByName(errors).count()
-    phase = "COMPLETE_WITH_ERRORS" if failed else "COMPLETE"
-    scans = inv.scans.withColumn("phase", F.when(mine, phase).otherwise(F.col("phase"))).withColumn("updated_at", F.when(mine, F.current_timestamp()).otherwise(F.col("updated_at")))
-    store.save(scans=scans, hashes=candidates.upserted(inv.hashes, new), scan_errors=kept.unionByName(errors))
-    return PARTIAL if failed else OK
+    id_ = own["scan_id"]
+    mine = F.col("scan_id") == id_
+    new, errors = hashing.hashed(candidates.to_hash(inv, id_, rehash, complete), inv.scans)
+    failed = inv.scan_errors.filter(mine & (F.col("phase") != "HASHING")).unionByName(errors)
+    some = not failed.isEmpty()
+    own |= {"phase": "COMPLETE_WITH_ERRORS" if some else "COMPLETE", "updated_at": datetime.now(timezone.utc)}
+    head = store.spark.createDataFrame([tuple(own[c] for c in SCHEMAS["scans"].names)], SCHEMAS["scans"])
+    store.save(scan=id_, scans=head, hashes=candidates.upserted(inv.hashes.filter(mine), new), scan_errors=failed)
+    return PARTIAL if some else OK
 
 
 def parser() -> argparse.ArgumentParser:
@@ -115,6 +153,8 @@ def run(spark: SparkSession, argv: list[str], out=print) -> int:
             discovered(store, args.name, args.root)
             return OK if args.discover_only else hashed(store, args.name, False, False)
         if args.command in ("hash", "resume"):
+            if args.command == "resume":
+                resumed(store, args.name)
             return hashed(store, args.name, args.rehash, args.hash_complete)
         if args.command == "merge-database":
             try:

@@ -1,8 +1,12 @@
 """An inventory: named tables, and their immutable generations on storage.
 
-A save writes every changed table into a new generation folder and then swaps one small
-manifest that names the live generation of each table.  Readers follow the manifest, so
-an unfinished save is invisible and the one before it stays whole.
+A save writes what changed into new generation folders and then swaps one small manifest
+that names the live generations.  Readers follow the manifest, so an unfinished save is
+invisible and the one before it stays whole.
+
+Tables with a scan_id are stored by scan, and the manifest names the generations of each
+scan of a table: a new scan, or new digests of one, write that scan alone, and a filter
+on scan_id reads only its folders.  Other tables are small and stored whole.
 """
 
 from __future__ import annotations
@@ -17,6 +21,10 @@ from tallyvault.errors import InvalidInventory, Refused
 from tallyvault.schemas import BASE, SCHEMAS, VERSION, conforming
 
 
+def by_scan(table: str) -> bool:
+    return "scan_id" in SCHEMAS[table].names
+
+
 @dataclass
 class Inventory:
     spark: SparkSession
@@ -59,24 +67,65 @@ class Store:
             raise Refused(f"version {found.get('version')} is not {VERSION}", "UNSUPPORTED_SCHEMA")
         return found
 
-    def load(self) -> Inventory:
-        tables = {}
-        for name, generation in self.manifest()["tables"].items():
-            tables[name] = conforming(self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.folder}/{name}/generation={generation}"), name)
-        return Inventory(self.spark, tables)
+    def _read(self, name: str, live: str | dict) -> DataFrame:
+        if isinstance(live, str):
+            return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.folder}/{name}/generation={live}")
+        folders = [f"{self.folder}/{name}/generation={g}/scan_id={scan_}" for scan_, generations in live.items() for g in generations]
+        if not folders:
+            return self.spark.createDataFrame([], SCHEMAS[name])
+        # the folders' names give scan_id, so that filters on it choose folders
+        return self.spark.read.schema(SCHEMAS[name]).option("basePath", f"{self.folder}/{name}").parquet(*folders).select(*SCHEMAS[name].names)
 
-    def save(self, revision: int | None = None, **tables: DataFrame) -> int:
-        """Publish new generations; `revision` is what the caller read, and a different live one is refused."""
+    def load(self) -> Inventory:
+        return Inventory(self.spark, {name: conforming(self._read(name, live), name) for name, live in self.manifest()["tables"].items()})
+
+    def _write(self, name: str, df: DataFrame, generation: str) -> list[str]:
+        """Write rows as a generation; of a table by scan, the scans that it has."""
+        path = f"{self.folder}/{name}/generation={generation}"
+        rows = conforming(df, name)
+        if not by_scan(name):
+            rows.write.mode("errorifexists").parquet(path)
+            return []
+        rows.write.partitionBy("scan_id").mode("errorifexists").parquet(path)
+        found = self._fs.listStatus(self._path(path))
+        return sorted((n.removeprefix("scan_id=") for n in (str(f.getPath().getName()) for f in found) if n.startswith("scan_id=")), key=lambda n: (len(n), n))
+
+    def save(self, revision: int | None = None, scan: int | None = None, append: bool = False, **tables: DataFrame) -> int:
+        """Publish new generations; `revision` is what the caller read, and a different live one is refused.
+
+        A table is replaced as a whole, unless `append` adds the rows to those there are, or
+        `scan` replaces what it has of that scan alone.  Only tables by scan know the latter.
+        """
         before = self.manifest()
         if revision is not None and revision != before["revision"]:
             raise Refused("the store has changed meanwhile", "SCENARIO_REVISION_CONFLICT")
-        generation = uuid.uuid4().hex
+        generation, live = uuid.uuid4().hex, dict(before["tables"])
         for name, df in tables.items():
-            conforming(df, name).write.mode("errorifexists").parquet(f"{self.folder}/{name}/generation={generation}")
-        after = {"version": VERSION, "revision": before["revision"] + 1, "tables": before["tables"] | dict.fromkeys(tables, generation)}
+            old = live.get(name, {})
+            if by_scan(name) and (append or scan is not None) and isinstance(old, str):
+                raise Refused(f"{name} is not stored by scan", "UNSUPPORTED_SCHEMA")
+            if not by_scan(name):
+                if append and old:
+                    df = self._read(name, old).unionByName(conforming(df, name))
+                self._write(name, df, generation)
+                live[name] = generation
+                continue
+            new = {s: [generation] for s in self._write(name, df if scan is None else df.filter(df.scan_id == scan), generation)}
+            if append:
+                live[name] = old | {s: [*old.get(s, []), generation] for s in new}
+            elif scan is not None:
+                live[name] = {s: g for s, g in old.items() if s != str(scan)} | new
+            else:
+                live[name] = new
+        after = {"version": VERSION, "revision": before["revision"] + 1, "tables": live}
         self._swap(json.dumps(after, sort_keys=True))
         return after["revision"]
 
+    def compact(self, *names: str) -> int:
+        """Write tables anew, so that many small generations become one."""
+        found = self.load()
+        return self.save(revision=self.manifest()["revision"], **{n: getattr(found, n) for n in names or found.tables})
+
     def _swap(self, text: str) -> None:
         new, live = self._path(f"{self.folder}/.MANIFEST-{uuid.uuid4().hex}"), self._path(f"{self.folder}/MANIFEST.json")
         self._fs.mkdirs(self._path(self.folder))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,9 +35,10 @@ def selected(inv: Inventory, names: list[str]) -> DataFrame:
             raise Refused(f"{n!r} has other digests", "UNSUPPORTED_ALGORITHM")
     chosen = inv.spark.createDataFrame([(found[n]["scan_id"], i) for i, n in enumerate(names)], "scan_id long, scan_ordinal int")
     ids = [found[n]["scan_id"] for n in names]
-    for what, bad in audits(inv, ids).items():
-        if not bad.isEmpty():
-            raise Refused(what, "INVALID_INVENTORY")
+    # one job for all audits
+    wrong = reduce(DataFrame.unionByName, [bad.limit(1).select(F.lit(i).alias("n"), F.lit(what).alias("what")) for i, (what, bad) in enumerate(audits(inv, ids).items())]).collect()
+    if wrong:
+        raise Refused(min(wrong)["what"], "INVALID_INVENTORY")
     return chosen
 
 

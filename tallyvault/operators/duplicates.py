@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyvault import cursor, spec
@@ -19,15 +19,23 @@ def hashed_files(inv: Inventory) -> DataFrame:
     return inv.entries.filter("kind = 'FILE'").join(inv.hashes, ["scan_id", "entry_id"])
 
 
+def with_counts(files: DataFrame, counts: list[Column], kept: Column) -> DataFrame:
+    """Files of the contents whose counts pass `kept`, with the counts.
+
+    The counts are an aggregate, combined before it is shuffled, that is joined back: unlike
+    a window's, a content that most files have is no single task, as a skewed join is split.
+    """
+    return files.join(files.groupBy("size", "sha256").agg(*counts).filter(kept), ["size", "sha256"])
+
+
 def report(inv: Inventory, name: str, allow_partial: bool = False) -> DataFrame:
     """Every copy of each content that a scan holds more than once, largest first."""
     own = scan(inv, name)
     if own["phase"] not in DONE and not allow_partial:
         raise Refused(f"{name!r} is not finished", "INVALID_INVENTORY")
-    # one shuffle by content; Spark's aggregate joined back would read the files twice
-    group = Window.partitionBy("size", "sha256")
-    files = hashed_files(inv).filter(F.col("scan_id") == own["scan_id"]).withColumn("copies", F.count("*").over(group)).filter("copies > 1")
-    return files.select(
+    mine = F.col("scan_id") == own["scan_id"]
+    files = inv.entries.filter(mine & (F.col("kind") == "FILE")).join(inv.hashes.filter(mine), ["scan_id", "entry_id"])
+    return with_counts(files, [F.count("*").alias("copies")], F.col("copies") > 1).select(
         "size", "sha256", "copies", "entry_id", "relative_path", paths.joined(F.lit(own["root"]), F.col("relative_path")).alias("path"), F.lit(own["phase"] not in DONE).alias("partial")
     ).orderBy(F.desc("size"), "sha256", "relative_path")
 
@@ -63,9 +71,7 @@ def cross_report(inv: Inventory, names: list[str]) -> DataFrame:
     """Every copy of such contents, largest first, scans in the order asked for."""
     chosen = candidates.selected(inv, names)
     files = candidates.cross_candidates(inv, chosen).filter("sha256 is not null")
-    group = Window.partitionBy("size", "sha256")
-    scans = F.size(F.collect_set("scan_id").over(group)).cast("long")  # at most as many as were named
-    kept = files.withColumn("copies", F.count("*").over(group)).withColumn("scan_count", scans).filter("scan_count >= 2")
+    kept = with_counts(files, [F.count("*").alias("copies"), F.size(F.collect_set("scan_id")).cast("long").alias("scan_count")], F.col("scan_count") >= 2)  # a set is at most the named scans
     named = kept.join(F.broadcast(inv.scans.select("scan_id", "name", "root")), "scan_id")
     return named.select("size", "sha256", "copies", "scan_count", "scan_ordinal", F.col("name").alias("scan_name"), "entry_id", "relative_path", paths.joined(F.col("root"), F.col("relative_path")).alias("path")).orderBy(
         F.desc("size"), "sha256", "scan_ordinal", "relative_path", "entry_id"

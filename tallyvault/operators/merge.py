@@ -95,12 +95,12 @@ def merge(source: Inventory, store: Store, dry_run: bool = False, salt: str = "m
         return out | {"status": "NO_SCANS"}
     if dry_run:
         return out
-    merged = {}
+    merged, came = {}, {}
     for t in tables:
-        copy = projected(getattr(source, t).select(*SCHEMAS[t].names), scans, results.get(t.split("_")[0]))
+        came[t] = copy = projected(getattr(source, t).select(*SCHEMAS[t].names), scans, results.get(t.split("_")[0]))
         merged[t] = getattr(destination, t).unionByName(copy)
         if not differences(copy, imported(merged[t], scans, results.get(t.split("_")[0]))).isEmpty():
             raise Refused(f"{t} was not copied as it is", "ROW_CONTENT_MISMATCH")
     audit.require(destination.with_tables(**merged))
-    store.save(**merged)
+    store.save(append=True, **came)  # what was there is not written again
     return out

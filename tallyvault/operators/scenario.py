@@ -7,8 +7,12 @@ from __future__ import annotations
 
 import hashlib
 import json
+import threading
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyvault import spec
@@ -18,6 +22,7 @@ from tallyvault.functions.text import digest
 from tallyvault.inventory import Inventory
 from tallyvault.operators import duplicates
 from tallyvault.operators import predicates as P
+from tallyvault.storage import settle
 
 MOST_RULES, MOST_PROTECTIONS, MOST_OBSERVATIONS, MOST_SECONDS, MOST_OVERRIDES = 32, 100, 1_000_000, 600, 100
 RULES = ("PREFER_SCAN", "PREFER_PATH", "NEWEST", "OLDEST", "SHALLOWEST")
@@ -48,7 +53,10 @@ def _at(path: str, scan_id: int | None) -> Column:
 
 
 def _order(config: dict) -> list[Column]:
-    """Sound copies first, of those the ones that stay anyway, then by the rules, at last by name."""
+    """Sound copies first, of those the ones that stay anyway, then by the rules, at last by name; the least is kept.
+
+    A time that is missing comes before others where the oldest are preferred, and after them where the newest are.
+    """
     out = [F.when(F.col("conflicting") | F.col("path_error"), 1).otherwise(0), F.when(F.col("is_protected") | ~F.col("target"), 0).otherwise(1)]
     for r in config["rules"]:
         if r["kind"] == "PREFER_SCAN":
@@ -57,8 +65,10 @@ def _order(config: dict) -> list[Column]:
             out.append(F.when(_at(r["path"], r.get("scan_id")), 0).otherwise(1))
         elif r["kind"] == "SHALLOWEST":
             out.append(paths.depth(F.col("relative_path")))
+        elif r["kind"] == "OLDEST":
+            out += [F.col("modified_sec"), F.col("modified_nano")]
         else:
-            out += [F.col(c).desc() if r["kind"] == "NEWEST" else F.col(c).asc() for c in ("modified_sec", "modified_nano")]
+            out += [o for c in ("modified_sec", "modified_nano") for o in (F.when(F.col(c).isNull(), 1).otherwise(0), F.bitwise_not(F.col(c)))]
     return [*out, F.col("path_key"), F.col("scan_id"), F.col("entry_id")]
 
 
@@ -90,15 +100,15 @@ def decisions(inv: Inventory, config: dict, overrides: DataFrame | None = None)
     for p in plan["protections"]:
         protected = protected | _at(p.get("path") or "", p.get("scan_id"))
     rows = rows.withColumn("group_id", F.concat_ws(":", F.col("size").cast("string"), "sha256")).withColumn("row_protected", protected)
-    # facts of a path in its group: unordered windows, so that flags need no join
+    # facts of a path in its group: unordered windows over a path's observations, one for each scan
     same = Window.partitionBy("group_id", "path_key")
-    flags = rows.withColumns({
+    flags = settle(rows.withColumns({
         "target": F.bool_and("filter_match").over(same), "is_protected": F.bool_or("row_protected").over(same), "path_error": F.bool_or("has_error").over(same)
-    }).join(history(inv, wanted["scan_ids"]), "path_key")
-    group = Window.partitionBy("group_id")
-    chosen = flags.withColumns({
-        "keep_key": F.first("path_key").over(group.orderBy(*_order(plan))), "has_keeper": F.bool_or(~F.col("conflicting") & ~F.col("path_error")).over(group)
-    })
+    }).join(history(inv, wanted["scan_ids"]), "path_key"))
+    # facts of a group: an aggregate joined back, as a group may hold most of the files
+    order = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(_order(plan))])
+    keepers = flags.groupBy("group_id").agg(F.min_by("path_key", order).alias("keep_key"), F.bool_or(~F.col("conflicting") & ~F.col("path_error")).alias("has_keeper"))
+    chosen = flags.join(keepers, "group_id")
     steps = [
         (F.col("is_protected"), "KEEP", "PROTECTED"), (~F.col("target"), "KEEP", "OUTSIDE_SCOPE"), (F.col("conflicting"), "UNRESOLVED", "CONFLICTING_HISTORY"),
         (F.col("path_error"), "UNRESOLVED", "RECORDED_ERROR"), (~F.col("has_keeper"), "UNRESOLVED", "NO_CONFIRMED_KEEPER"),
@@ -111,7 +121,7 @@ def decisions(inv: Inventory, config: dict, overrides: DataFrame | None = None)
     if overrides is None:
         auto = auto.withColumn("decision", F.col("auto_decision")).withColumn("reason", F.col("auto_reason"))
     else:
-        manual = F.broadcast(overrides.select("path_key", "group_id", F.col("decision").alias("_manual")))
+        manual = overrides.select("path_key", "group_id", F.col("decision").alias("_manual"))
         auto = auto.join(manual, ["path_key", "group_id"], "left")
         free = ~F.col("is_protected") & ~F.col("path_error") & ~F.col("conflicting") & F.col("target")
         taken = F.col("_manual").isNotNull() & (F.col("_manual") != "AUTO") & ((F.col("_manual") == "KEEP") | free)
@@ -171,10 +181,10 @@ def validation(made: DataFrame, overrides: DataFrame | None = None) -> dict:
     return {"valid": not (found.keys() - warnings.keys()), "errors": {k: v for k, v in found.items() if k not in warnings}, "warnings": warnings}
 
 
-def fingerprint(inv: Inventory, config: dict) -> str:
-    """Of everything a plan is made from; it changes whenever the plan's source does."""
+def fingerprint(inv: Inventory, config: dict, made: DataFrame | None = None) -> str:
+    """Of everything a plan is made from; it changes whenever the plan's source does.  `made` are its decisions, if they are at hand."""
     plan = normal(config)
-    made = decisions(inv, config)
+    made = decisions(inv, config) if made is None else made
     row = F.sha2(F.to_json(F.struct(*[F.col(c) for c in sorted(made.columns) if not c.endswith(("decision", "reason"))])), 256)
     # the rows' digests add up to one that does not depend on their order
     halves = [F.sum(F.conv(F.substring(row, at, 12), 16, 10).cast(P.HUGE)).cast("string") for at in (1, 13, 25, 37)]
@@ -182,16 +192,49 @@ def fingerprint(inv: Inventory, config: dict) -> str:
     return hashlib.sha256(json.dumps([plan, list(got)], sort_keys=True).encode()).hexdigest()
 
 
+@contextmanager
+def deadline(spark: SparkSession, seconds: float) -> Iterator[None]:
+    """Jobs that this thread starts within are cancelled after so many seconds, and the work is refused."""
+    context, tag, late = spark.sparkContext, f"deadline-{uuid.uuid4().hex}", threading.Event()
+
+    def stop() -> None:
+        late.set()
+        while not over.wait(0.2):  # jobs that are started meanwhile, too
+            context.cancelJobsWithTag(tag)
+
+    over = threading.Event()
+    timer = threading.Timer(seconds, stop)
+    timer.daemon = True
+    context.addJobTag(tag)
+    timer.start()
+    try:
+        yield
+    except Exception:
+        if not late.is_set():
+            raise
+    finally:
+        over.set()
+        timer.cancel()
+        context.removeJobTag(tag)
+    if late.is_set():
+        raise Refused("the plan took too long", "SCENARIO_TIMEOUT")
+
+
 def generate(inv: Inventory, config: dict, overrides: DataFrame | None = None) -> dict:
-    """The whole plan: decisions, groups, summary and validation; refused for unfinished scans and over its bounds."""
+    """The whole plan: decisions, groups, summary and validation; refused for unfinished scans and over its bounds.
+
+    The decisions are made once and kept; all else is read from them.  After the plan's
+    max_seconds its jobs are cancelled and it is refused.
+    """
     plan = normal(config)
     ids = spec.group_search(plan["request"])["scan_ids"]
-    chosen = inv.scans.filter(F.col("scan_id").isin(ids)).collect()
-    if len(chosen) < len(ids):
-        raise Refused("a scan is not there", "SCAN_NOT_FOUND")
-    if any(r["phase"] not in duplicates.DONE for r in chosen):
-        raise Refused("a scan is not finished", "SCENARIO_INCOMPLETE_SCANS")
-    made = decisions(inv, config, overrides)
-    if made.limit(plan["max_occurrences"] + 1).count() > plan["max_occurrences"]:
-        raise Refused("the plan has too many observations", "SCENARIO_LIMIT_EXCEEDED")
-    return {"decisions": made, "groups": groups(made), "summary": summary(made).first().asDict(), "validation": validation(made, overrides), "source_fingerprint": fingerprint(inv, config)}
+    with deadline(inv.spark, plan["max_seconds"]):
+        chosen = inv.scans.filter(F.col("scan_id").isin(ids)).collect()
+        if len(chosen) < len(ids):
+            raise Refused("a scan is not there", "SCAN_NOT_FOUND")
+        if any(r["phase"] not in duplicates.DONE for r in chosen):
+            raise Refused("a scan is not finished", "SCENARIO_INCOMPLETE_SCANS")
+        made = settle(decisions(inv, config, overrides))
+        if made.count() > plan["max_occurrences"]:
+            raise Refused("the plan has too many observations", "SCENARIO_LIMIT_EXCEEDED")
+        return {"decisions": made, "groups": groups(made), "summary": summary(made).first().asDict(), "validation": validation(made, overrides), "source_fingerprint": fingerprint(inv, config, made)}

@@ -9,6 +9,7 @@ from tallyvault import cursor, spec
 from tallyvault.functions import paths
 from tallyvault.inventory import Inventory
 from tallyvault.operators import predicates as P
+from tallyvault.storage import settle
 
 
 def sort_key(kind: str) -> Column:
@@ -18,18 +19,24 @@ def sort_key(kind: str) -> Column:
     }[kind]
 
 
+def _found(inv: Inventory, seen: DataFrame, wanted: dict) -> DataFrame:
+    """The observations that a request finds, named, with the key they are sorted by."""
+    found = seen.filter(P.content(inv, wanted, wanted["duplicate_state"])).join(F.broadcast(inv.scans.select("scan_id", "name", "root")), "scan_id")
+    return found.withColumn("sort_key", sort_key(wanted["sort"]))
+
+
+def _shown(found: DataFrame) -> DataFrame:
+    return found.select(
+        "scan_id", "entry_id", F.col("name").alias("scan_name"), "filename", "relative_path", paths.joined(F.col("root"), F.col("relative_path")).alias("path"), "kind", "size", "modified_sec", "modified_nano", "sha256",
+        F.when(F.col("sha256").isNull(), "UNHASHED").otherwise("HASHED").alias("hash_state"), F.coalesce("copies", F.lit(0)).alias("copies"), F.coalesce("scan_copies", F.lit(0)).alias("scan_copies"), "has_error", "sort_key",
+    )
+
+
 def matching(inv: Inventory, request: dict) -> DataFrame:
     """Every file that a request finds, with its scan, its copies and the key it is sorted by."""
     wanted = spec.file_search(request)
     seen = P.observations(inv, wanted["scan_ids"])
-    counted = seen.join(P.copies(seen), ["size", "sha256"], "left")
-    found = counted.filter(P.content(inv, wanted, wanted["duplicate_state"]))
-    named = found.join(F.broadcast(inv.scans.select("scan_id", "name", "root")), "scan_id")
-    return named.select(
-        "scan_id", "entry_id", F.col("name").alias("scan_name"), "filename", "relative_path", paths.joined(F.col("root"), F.col("relative_path")).alias("path"), "kind", "size", "modified_sec", "modified_nano", "sha256",
-        F.when(F.col("sha256").isNull(), "UNHASHED").otherwise("HASHED").alias("hash_state"), F.coalesce("copies", F.lit(0)).alias("copies"), F.coalesce("scan_copies", F.lit(0)).alias("scan_copies"), "has_error",
-        sort_key(wanted["sort"]).alias("sort_key"),
-    )
+    return _shown(_found(inv, seen.join(P.copies(seen), ["size", "sha256"], "left"), wanted))
 
 
 def keys(falling: bool) -> list[tuple[Column, bool]]:
@@ -37,9 +44,20 @@ def keys(falling: bool) -> list[tuple[Column, bool]]:
 
 
 def page(inv: Inventory, request: dict, position: list | None = None) -> DataFrame:
-    """One page and one row more."""
+    """One page and one row more.
+
+    Unless the request asks for copies, they are counted after the page is cut, for its contents alone.
+    """
     wanted = spec.file_search(request)
-    return cursor.page(matching(inv, request), keys(wanted["descending"]), wanted["limit"], position)
+    order = keys(wanted["descending"])
+    if wanted["duplicate_state"] not in (None, "ANY"):
+        return cursor.page(matching(inv, request), order, wanted["limit"], position)
+    seen = P.observations(inv, wanted["scan_ids"])
+    rows = settle(cursor.page(_found(inv, seen, wanted), order, wanted["limit"], position))
+    contents = F.broadcast(rows.select("size", "sha256").filter("sha256 is not null").distinct())  # a page's, at most 501
+    files = P.scoped(inv.entries, wanted["scan_ids"]).filter("kind = 'FILE'").join(F.broadcast(rows.select("size").distinct()), "size", "left_semi")
+    same = files.join(P.scoped(inv.hashes, wanted["scan_ids"]), ["scan_id", "entry_id"]).join(contents, ["size", "sha256"], "left_semi")
+    return cursor.page(_shown(rows.join(P.copies(same), ["size", "sha256"], "left")), order, wanted["limit"])
 
 
 def search(inv: Inventory, request: dict) -> dict:

@@ -1,12 +1,13 @@
 """A file tree as a table of entries: one row a file, directory, link or other thing.
 
-Nothing is opened and no link is followed.  The top directories are dealt over
-partitions; each task walks its own breadth first.  What cannot be looked at becomes a
+Nothing is opened and no link is followed.  The driver lists the top levels until there
+are enough directories to deal over tasks; each task walks its own breadth first.  What cannot be looked at becomes a
 row with an `error` and the walk goes on.  The tree must be where all executors see it.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import stat
 from collections import deque
@@ -39,16 +40,21 @@ def row(root: str, relative: str) -> tuple:
     return relative, name, kind, s.st_size if kind == "FILE" else 0, seconds, nanos, None
 
 
-class Subtree(InputPartition):
-    def __init__(self, start: str | None, deep: bool):
-        super().__init__((start, deep))
-        self.start, self.deep = start, deep
+#: How many levels the driver lists at most, until so many directories or entries are found; and the tasks that they are dealt to at most.
+MOST_LEVELS, ENOUGH, MOST_LISTED, MOST_TASKS = 8, 512, 200_000, 4096
+
+
+class Subtrees(InputPartition):
+    def __init__(self, starts: list[str], deep: bool):
+        super().__init__((len(starts), deep))
+        self.starts, self.deep = starts, deep
 
 
 class TreeReader(DataSourceReader):
     def __init__(self, options: dict):
         self.root = options["path"].removeprefix("file://").rstrip("/") or "/"
         excluded = options.get("exclude") or ""
+        self.start = json.loads(options["start"]) if options.get("start") else None
         self.excluded = {os.path.realpath(p) + end for p in excluded.split(os.pathsep) if p for end in ("", *OWN_SUFFIXES)}
 
     def names(self, relative: str) -> list[str]:
@@ -57,28 +63,61 @@ class TreeReader(DataSourceReader):
             names = sorted(e.name for e in found)
         return [f"{relative}/{n}" if relative else n for n in names if os.path.join(os.path.realpath(folder), n) not in self.excluded]
 
-    def partitions(self) -> list[Subtree]:
-        """The root itself, and a subtree for each of its children."""
-        return [Subtree(None, False), *(Subtree(n, True) for n in self.names(""))]
-
-    def read(self, partition: Subtree) -> Iterator[tuple]:
-        if partition.start is None:
-            yield row(self.root, "")
-            return
-        queue = deque([partition.start])
+    def partitions(self) -> list[Subtrees]:
+        """What the driver has listed, entry by entry, and the subtrees below, dealt over tasks.
+
+        Directories are listed level by level until there are enough of them, so a tree whose
+        files are all under one top directory is still walked by many tasks.  With `start`,
+        only what is below those directories is walked.
+        """
+        if self.start is None:
+            alone, open_ = [""], [""]
+            self.names("")  # a root that cannot be listed is refused
+        else:
+            alone, open_ = [], list(self.start)
+        shown = [""] if self.start is None else open_  # have a row already, or need none
+        for level in range(MOST_LEVELS):
+            if not open_ or (level and (len(open_) >= ENOUGH or len(alone) >= MOST_LISTED)):
+                break
+            below: list[str] = []
+            for at in open_:
+                try:
+                    names = self.names(at)
+                except OSError:  # told by the task that has its row
+                    names = []
+                for name in names:
+                    (below if self.is_folder(name) else alone).append(name)
+            alone += [at for at in open_ if at not in shown] if level else []
+            open_ = below
+        tasks = []
+        for starts, deep, n in ((alone, False, -(-len(alone) // 1000)), (open_, True, len(open_))):
+            n = min(MOST_TASKS, n)
+            tasks += [Subtrees(starts[i::n], deep) for i in range(n)]
+        return tasks
+
+    def is_folder(self, relative: str) -> bool:
+        try:
+            return stat.S_ISDIR(os.lstat(os.path.join(self.root, relative)).st_mode)
+        except OSError:
+            return False
+
+    def read(self, partition: Subtrees) -> Iterator[tuple]:
+        queue = deque(partition.starts)
         while queue:
             at = queue.popleft()
             found = row(self.root, at)
-            if found[2] == "DIRECTORY":
+            if found[2] == "DIRECTORY" and at:
                 try:
-                    queue.extend(self.names(at))
+                    names = self.names(at)
+                    if partition.deep:
+                        queue.extend(names)
                 except OSError as e:
                     found = (*found[:-1], f"{type(e).__name__}: {e.strerror}"[:4096])
             yield found
 
 
 class FileTree(DataSource):
-    """`spark.read.format("file_tree").load(root)`; option `exclude` names files that are never listed."""
+    """`spark.read.format("file_tree").load(root)`; option `exclude` names files that are never listed, `start` (JSON) directories whose contents alone are wanted."""
 
     @classmethod
     def name(cls) -> str:
@@ -99,10 +138,26 @@ def discover(spark: SparkSession, root: str, scan_id: int, exclude: list[str] |
     """
     spark.dataSource.register(FileTree)
     read = spark.read.format("file_tree").option("exclude", os.pathsep.join(exclude or [])).load(root)
+    return _placed(read, scan_id, 1, None)
+
+
+def continued(spark: SparkSession, root: str, scan_id: int, folders: DataFrame, first: int, exclude: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """entries and scan_errors of what is below some directories (entry_id, relative_path; a round's, so not many), with ids from `first`."""
+    spark.dataSource.register(FileTree)
+    known = folders.select("entry_id", "relative_path")
+    starts = [r["relative_path"] for r in known.collect()]
+    read = spark.read.format("file_tree").option("exclude", os.pathsep.join(exclude or [])).option("start", json.dumps(starts)).load(root)
+    return _placed(read, scan_id, first, known)
+
+
+def _placed(read: DataFrame, scan_id: int, first: int, known: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Found things with ids from `first` and their parents', which are among them or `known`."""
     found = read.withColumn("_level", F.when(F.col("relative_path") == "", 0).otherwise(F.size(F.split("relative_path", "/"))))
     ordered = found.repartitionByRange("_level", "relative_path").sortWithinPartitions("_level", "relative_path")
-    numbered = settle(_numbered(ordered))
+    numbered = settle(_numbered(ordered).withColumn("entry_id", F.col("entry_id") + (first - 1)))
     parents = numbered.filter("kind = 'DIRECTORY'").select(F.col("relative_path").alias("_folder"), F.col("entry_id").alias("_parent"))
+    if known is not None:
+        parents = parents.unionByName(known.select(F.col("relative_path").alias("_folder"), F.col("entry_id").alias("_parent")))
     folder = F.when(F.col("_level") <= 1, F.lit("")).otherwise(F.expr("left(relative_path, length(relative_path) - length(filename) - 1)"))
     placed = numbered.withColumn("_folder", F.when(F.col("_level") > 0, folder)).join(parents, "_folder", "left")
     entries = placed.select(

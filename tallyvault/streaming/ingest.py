@@ -6,6 +6,7 @@ An extension beyond batch saving; each batch follows the rules of `candidates.ab
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tallyvault.inventory import Store
@@ -16,16 +17,19 @@ from tallyvault.schemas import SCHEMAS
 def hashes(spark: SparkSession, folder: str, store_folder: str, checkpoint: str) -> StreamingQuery:
     """Read Parquet files of hashes that appear in `folder` and publish those that are new.
 
-    A batch that is run again after a failure finds its digests stored and adds nothing.
+    A batch that is run again after a failure finds its digests stored and adds nothing.  A
+    batch writes its own digests alone and looks only at the scans that it names.
     """
 
     def take(batch: DataFrame, _: int) -> None:
         store = Store(spark, store_folder)
         found = store.load()
-        files = found.entries.filter("kind = 'FILE'").select("scan_id", "entry_id")
-        new = absent(batch.select("scan_id", "entry_id", "sha256"), found.hashes, files).persist()
+        named = [r[0] for r in batch.select("scan_id").distinct().collect()]  # scans, not files
+        mine = F.col("scan_id").isin(named)
+        files = found.entries.filter(mine & (F.col("kind") == "FILE")).select("scan_id", "entry_id")
+        new = absent(batch.select("scan_id", "entry_id", "sha256"), found.hashes.filter(mine), files).persist()
         if not new.isEmpty():
-            store.save(hashes=found.hashes.unionByName(new.select("scan_id", "entry_id", "sha256")))
+            store.save(append=True, hashes=new.select("scan_id", "entry_id", "sha256"))
         new.unpersist()
 
     stream = spark.readStream.schema(SCHEMAS["hashes"]).parquet(folder)

@@ -1,6 +1,9 @@
 import json
 
+from pyspark.sql import functions as F
+
 from tallyvault import cli
+from tallyvault.inventory import Store
 
 
 def test_scan_report_and_merge(spark, tmp_path):
@@ -28,3 +31,30 @@ def test_scan_report_and_merge(spark, tmp_path):
     assert call("t", "merge-database", "--source", str(tmp_path / "s"))[0] == cli.OK
     assert call("t", "merge-database", "--source", str(tmp_path / "s"))[0] == cli.PARTIAL
     assert len(call("t", "list")[1]) == 3
+
+
+def test_an_interrupted_discovery_is_resumed(spark, tmp_path):
+    """As a walk leaves it that stopped within one directory and had another still to come."""
+    root, folder = tmp_path / "root", str(tmp_path / "store")
+    for f in ("done/a", "active/b", "active/deep/c", "later/d"):
+        (root / f).parent.mkdir(parents=True, exist_ok=True)
+        (root / f).write_text("same")
+    call = lambda *argv: cli.run(spark, ["--store", folder, *argv], lambda _: None)
+    assert call("scan", "--name", "whole", "--root", str(root)) == cli.OK
+    assert call("scan", "--name", "cut", "--root", str(root), "--discover-only") == cli.OK
+    store = Store(spark, folder)
+    inv = store.load()
+    mine = F.col("scan_id") == 2
+    at = {r["relative_path"]: r["entry_id"] for r in inv.entries.filter(mine).collect()}
+    entries = inv.entries.filter(mine & ~F.col("relative_path").isin("active/deep", "active/deep/c", "later/d"))
+    dirs = inv.directories.filter(mine & (F.col("relative_path") != "active/deep")).withColumn("completed", ~F.col("relative_path").isin("active", "later"))
+    scans = inv.scans.filter(mine).withColumn("active_dir", F.lit(at["active"]).cast("long")).withColumn("phase", F.lit("DISCOVERING"))
+    store.save(scan=2, scans=scans, entries=entries, directories=dirs)
+    assert call("resume", "--name", "cut") == cli.OK
+    after = store.load()
+    key = lambda i: sorted((r["relative_path"], r["kind"], r["size"]) for r in after.entries.filter(F.col("scan_id") == i).collect())
+    assert key(1) == key(2)
+    rows = {r["relative_path"]: r for r in after.entries.filter(mine).collect()}
+    assert all(r["parent_id"] == rows[p.rpartition("/")[0]]["entry_id"] for p, r in rows.items() if p) and len({r["entry_id"] for r in rows.values()}) == len(rows)
+    assert after.directories.filter(mine & ~F.col("completed")).isEmpty() and after.hashes.filter(mine).count() == 4
+    assert after.scans.filter(mine).select("phase", "active_dir").first() == ("COMPLETE", None)

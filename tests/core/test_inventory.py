@@ -279,6 +279,43 @@ def test_plan_overrides_and_validation(spark, planned):
         scenario.generate(planned, config | {"max_occurrences": 1})
 
 
+def test_plans_that_take_too_long_are_cancelled(spark):
+    import time
+
+    from tallyvault.operators import scenario
+
+    began = time.time()
+    with pytest.raises(Refused, match="too long"), scenario.deadline(spark, 1):
+        spark.range(10**13).selectExpr("sum(hash(id, id + 1) % 7)").collect()
+    assert time.time() - began < 30
+    with scenario.deadline(spark, 60):
+        assert spark.range(10).count() == 10
+    with pytest.raises(ZeroDivisionError), scenario.deadline(spark, 60):
+        1 / 0
+
+
+def test_one_content_that_most_files_have(spark, monkeypatch):
+    """No task of a report or a plan holds a hot content: there is no window by content."""
+    from tallyvault.operators import scenario
+
+    rows = [(1, i, 0, f"d{i % 7}/f{i}", f"f{i}", "FILE", 5 if i % 10 else 6, 100 + i, 0) for i in range(1, 3001)]
+    digests = [(1, i, ("a" if i % 10 else "b" if i % 20 else "c") * 64) for i in range(1, 3001)]
+    inv = Inventory(spark, {t: spark.createDataFrame([], schemas.SCHEMAS[t]) for t in schemas.BASE}).with_tables(
+        scans=spark.createDataFrame([(1, "one", "/r", "COMPLETE", "SHA-256", None, 3001, None, None)], schemas.SCHEMAS["scans"]),
+        entries=spark.createDataFrame(rows, schemas.SCHEMAS["entries"]), hashes=spark.createDataFrame(digests, schemas.SCHEMAS["hashes"]),
+    )
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        report = duplicates.report(inv, "one")
+        assert report.groupBy("copies").count().orderBy("copies").collect() == [(150, 300), (2700, 2700)]
+        plan = scenario.decisions(inv, {"request": {"scan_ids": [1]}, "rules": [{"kind": "NEWEST"}]})
+        assert {r[0] for r in plan.filter("decision = 'KEEP'").select("entry_id").collect()} == {2999, 2990, 3000}
+        for df in (report, plan):
+            assert "Window" not in df._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "2")
+
+
 def test_conflicting_history_is_unresolved(spark):
     inv = built(spark, {1: {"p": "one!", "q": "same"}, 2: {"p": "same", "r": "same"}}, roots={1: "/x", 2: "/x"})
     by = {(r["scan_id"], r["relative_path"]): r["reason"] for r in scenario.decisions(inv, {"request": {"scan_ids": [1, 2]}}).collect()}

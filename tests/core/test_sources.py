@@ -36,6 +36,25 @@ def test_discover_hash_and_report(spark, tmp_path):
     audit.require(inv)
 
 
+def test_deep_trees_are_dealt_over_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(filesystem, "ENOUGH", 4)
+    for i in range(6):
+        (tmp_path / f"only/one/way/d{i}/e").mkdir(parents=True)
+        (tmp_path / f"only/one/way/d{i}/e/f").write_text("x")
+    (tmp_path / "only/g").write_text("y")
+    reader = filesystem.TreeReader({"path": str(tmp_path)})
+    tasks = reader.partitions()
+    assert sum(t.deep for t in tasks) == 6
+    found = sorted(r[0] for t in tasks for r in reader.read(t))
+    want = sorted(os.path.relpath(os.path.join(d, n), tmp_path) for d, folders, files in os.walk(tmp_path) for n in [*folders, *files])
+    assert found == ["", *want]
+    entries, _ = filesystem.discover(spark, str(tmp_path), 1)
+    rows = {r["relative_path"]: r for r in entries.collect()}
+    assert sorted(rows) == found and all(r["parent_id"] == rows[p.rpartition("/")[0]]["entry_id"] < r["entry_id"] for p, r in rows.items() if p)
+    with pytest.raises(OSError):
+        filesystem.TreeReader({"path": str(tmp_path / "none")}).partitions()
+
+
 def test_checked_hashes(tmp_path):
     f = tmp_path / "f"
     f.write_text("same")
