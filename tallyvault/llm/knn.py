@@ -3,22 +3,25 @@
 Method: block matrix join.  Vectors are quantised to int8 with a scale each.  Queries
 and candidates are dealt into blocks, and each pair of blocks is a tile: the product of
 its int8 matrices gives every score to within a bound that follows from the rounding,
-so a candidate whose upper bound is under the k-th best lower bound is out.  Survivors
-are scored in double precision on the original vectors, and each query's best of a tile
-are merged with those of the other tiles by heaps.  The result is exact.
-
-Skew: equal vectors score equally, so of a set of equal candidates in a tile only the
-k with the least ids can be among the nearest, and the rest leave the tile at once.
+so a candidate whose upper bound is under the k-th best lower bound is out, first in its
+tile and then over all tiles of its query.  Only int8 rows go to tiles; the original
+vectors are fetched for the survivors alone, which are scored in double precision and
+merged by heaps.  The result is exact.
+
+Skew: rows with one id and one vector are one candidate with a count, and equal vectors
+score equally, so of a set of equal candidates only the k with the least ids can be among
+the nearest, and the rest leave the tile at once.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import TypeVar
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyvault.llm.common import parts, settle
@@ -28,6 +31,9 @@ K = 20
 QUERY_BLOCK = 2_048
 CANDIDATE_BLOCK = 8_192
 STRIP = 128
+#: Rows that are held before they are cut to what can be among the nearest, or written.
+PENDING = 8_192
+T = TypeVar("T")
 
 
 def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -46,46 +52,63 @@ def exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def representatives(ids: np.ndarray, x: np.ndarray, keep: int) -> np.ndarray:
-    """Of each set of equal vectors the places of those with the `keep` least ids."""
-    order = np.argsort(ids, kind="stable")
-    _, group = np.unique(np.ascontiguousarray(x[order] + 0.0).view(np.dtype((np.void, x.dtype.itemsize * x.shape[1]))).ravel(), return_inverse=True)
-    by = np.argsort(group, kind="stable")
-    first = np.searchsorted(group[by], group[by], side="left")
-    return np.sort(order[by[np.arange(len(by)) - first < keep]])
+def representatives(ids: np.ndarray, same: np.ndarray, keep: int) -> np.ndarray:
+    """Of each set of rows with an equal `same` the places of those with the `keep` least ids."""
+    by = np.lexsort((ids, same))
+    group = same[by]
+    first = np.searchsorted(group, group, side="left")
+    return np.sort(by[np.arange(len(by)) - first < keep])
 
 
-def best(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Each query with its k nearest of a tile (ids and scores), a strip of queries at a time."""
-    kept = representatives(ids, x, k + 1)
-    ids, x = ids[kept], x[kept]
-    c, c_scale, c_sum = quantised(x)
-    q, q_scale, q_sum = quantised(queries)
+def bounded(query_ids: np.ndarray, q: np.ndarray, q_scale: np.ndarray, ids: np.ndarray, c: np.ndarray, c_scale: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Each query with the places of a tile's candidates that may be among its k nearest, and their scores' lower and upper bounds."""
+    q_sum, c_sum = (np.abs(x.astype(np.int32)).sum(1).astype(np.float64) for x in (q, c))
     # whole numbers under 2**24 are exact in float32, so the product of int8 matrices may use it
-    kind = np.float32 if x.shape[1] * 127 * 127 < 1 << 24 else np.float64
+    kind = np.float32 if q.shape[1] * 127 * 127 < 1 << 24 else np.float64
     ct = np.ascontiguousarray(c.T.astype(kind))
-    for at in range(0, len(queries), STRIP):
-        end = min(at + STRIP, len(queries))
+    for at in range(0, len(q), STRIP):
+        end = min(at + STRIP, len(q))
         rough = (q[at:end].astype(kind) @ ct).astype(np.float64)
-        slack = 0.5 * (q_sum[at:end, None] + c_sum[None, :]) + 0.25 * x.shape[1]
+        slack = 0.5 * (q_sum[at:end, None] + c_sum[None, :]) + 0.25 * q.shape[1]
         scale = q_scale[at:end, None] * c_scale[None, :]
         # a trifle more for the rounding of the double products themselves
         slack = slack * scale * (1 + 1e-9) + 1e-12 * np.abs(rough * scale)
         rough *= scale
         own = ids[None, :] == query_ids[at:end, None]
         low = np.where(own, -np.inf, rough - slack)
-        if low.shape[1] > k:
-            least = np.partition(low, -k, axis=1)[:, -k]
-        else:
-            least = np.full(len(low), -np.inf)
-        row, col = np.nonzero((rough + slack >= least[:, None]) & ~own)
-        scores = exact(queries[at + row], x[col])
-        order = np.lexsort((ids[col], -scores, row))
-        row, col, scores = row[order], col[order], scores[order]
-        bounds = np.searchsorted(row, np.arange(end - at + 1))
+        least = np.partition(low, -k, axis=1)[:, -k] if low.shape[1] > k else np.full(len(low), -np.inf)
+        kept = (rough + slack >= least[:, None]) & ~own
         for i in range(end - at):
-            a, b = bounds[i], min(bounds[i + 1], bounds[i] + k)
-            yield int(query_ids[at + i]), ids[col[a:b]], scores[a:b]
+            col = np.flatnonzero(kept[i])
+            yield int(query_ids[at + i]), col, low[i, col], (rough + slack)[i, col]
+
+
+class Survivors:
+    """What may be among a query's k nearest, from bounds that come tile by tile."""
+
+    def __init__(self, k: int):
+        self.k, self.lows, self.rows, self.n = k, [], [], 0
+
+    def add(self, ids: np.ndarray, same: np.ndarray, low: np.ndarray, high: np.ndarray) -> None:
+        for x in low:
+            if len(self.lows) < self.k:
+                heapq.heappush(self.lows, x)
+            elif x > self.lows[0]:
+                heapq.heapreplace(self.lows, x)
+        self.rows.append((ids, same, high))
+        self.n += len(ids)
+        if self.n > PENDING:
+            self.left()
+
+    def left(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        ids, same, high = (np.concatenate(x) for x in zip(*self.rows, strict=True))
+        if len(self.lows) == self.k:
+            fit = high >= self.lows[0]
+            ids, same, high = ids[fit], same[fit], high[fit]
+        kept = representatives(ids, same, self.k + 1)
+        self.rows = [(ids[kept], same[kept], high[kept])]
+        self.n = len(kept)
+        return self.rows[0]
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -108,51 +131,105 @@ def nearest(vectors: DataFrame, is_query: str, k: int = K, query_block: int = QU
     never compared.  Of rows with one vec_id each is a candidate, and the query's vector
     is the greatest of them.  Other columns are ignored; an empty table gives no rows.
     """
-    kept = settle(usable(vectors).withColumn("dim", F.size("vec")))
+    # 128 bits of a vector's hash tell it from others
+    told = usable(vectors).withColumn("dim", F.size("vec")).withColumn("same", F.concat(F.hex(F.xxhash64(F.lit(1), "vec")), F.lit("-"), F.hex(F.xxhash64(F.lit(2), "vec"))))
+    kept = settle(told.groupBy("vec_id", "dim", "same").agg(F.first("vec").alias("vec"), F.count("*").alias("n")))
     n = kept.count()
-    queries = kept.filter(is_query).groupBy("vec_id", "dim").agg(F.max("vec").alias("vec"))
+    queries = settle(kept.filter(is_query).groupBy("vec_id", "dim").agg(F.max("vec").alias("vec")))
     rows, columns = max(1, -(-queries.count() // query_block)), max(1, -(-n // candidate_block))
 
-    def dealt(frame: DataFrame, own: str, blocks: int, other: str, others: int) -> DataFrame:
-        return frame.withColumn(own, F.pmod(F.xxhash64(F.lit(own), "vec_id"), F.lit(blocks)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
-
-    sides = dealt(queries, "i", rows, "j", columns).select("dim", "i", "j", "vec_id", "vec")
-    others = dealt(kept, "j", columns, "i", rows).select("dim", "i", "j", "vec_id", "vec")
+    def code(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            codes, scales = [], []
+            for v in batch["vec"]:
+                q, scale, _ = quantised(np.asarray(v, np.float64)[None, :])
+                codes.append(q.tobytes())
+                scales.append(scale[0])
+            yield batch.drop(columns="vec").assign(q=codes, scale=np.array(scales, np.float64))
+
+    def dealt(frame: DataFrame, key: Column, own: str, blocks: int, other: str, others: int) -> DataFrame:
+        return frame.withColumn(own, F.pmod(key, F.lit(blocks)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
+
+    # a block goes by the row, not by the id alone, which many rows may share
+    coded = queries.mapInPandas(code, "vec_id long, dim int, q binary, scale double")
+    sides = dealt(coded, F.xxhash64(F.lit("i"), "vec_id"), "i", rows, "j", columns)
+    coded = kept.drop("n").select("vec_id", "dim", "same", "vec").mapInPandas(code, "vec_id long, dim int, same string, q binary, scale double")
+    others = dealt(coded, F.xxhash64(F.lit("j"), "vec_id", "same"), "j", columns, "i", rows)
 
     def tile(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(q) and len(c):
-            out = [(a, ids, s) for a, ids, s in best(q["vec_id"].to_numpy(), np.stack(q["vec"].to_numpy()), c["vec_id"].to_numpy(), np.stack(c["vec"].to_numpy()), k)]
-        return pd.DataFrame({"query_id": np.array([o[0] for o in out], np.int64), "vec_ids": pd.Series([o[1] for o in out], dtype=object), "scores": pd.Series([o[2] for o in out], dtype=object)})
-
-    shape = "query_id long, vec_ids array<long>, scores array<double>"
+            own = representatives(c["vec_id"].to_numpy(), np.unique(c["same"].to_numpy().astype(str), return_inverse=True)[1], k + 1)
+            c = c.iloc[own]
+            ids, same, dim = c["vec_id"].to_numpy(), c["same"].to_numpy(), int(q["dim"].iloc[0])
+            a, b = (np.frombuffer(b"".join(x["q"]), np.int8).reshape(len(x), dim) for x in (q, c))
+            out = [(query, ids[at], list(same[at]), low, high) for query, at, low, high in bounded(q["vec_id"].to_numpy(), a, q["scale"].to_numpy(), ids, b, c["scale"].to_numpy(), k)]
+        return pd.DataFrame({"query_id": np.array([o[0] for o in out], np.int64)} | {name: pd.Series([o[i] for o in out], dtype=object) for i, name in enumerate(("vec_ids", "sames", "lows", "highs"), 1)})
+
+    shape = "query_id long, vec_ids array<long>, sames array<string>, lows array<double>, highs array<double>"
     keys = ["dim", "i", "j"]
     found = sides.groupBy(*keys).cogroup(others.groupBy(*keys)).applyInPandas(tile, shape)
 
-    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """One row a tile in, by query: a heap holds the k best so far."""
-        at, heap = None, []
+    def by_query(batches: Iterator[pd.DataFrame], fresh: Callable[[], T], add: Callable[[T, tuple], None]) -> Iterator[tuple[int, T]]:
+        """Rows that are ordered by query, gathered a query at a time."""
+        at, held = None, None
+        for batch in batches:
+            for r in batch.itertuples(index=False):
+                if held is None or r.query_id != at:
+                    if held is not None:
+                        yield at, held
+                    at, held = r.query_id, fresh()
+                add(held, r)
+        if held is not None:
+            yield at, held
+
+    def chunked(rows: Iterator[pd.DataFrame], empty: list[str]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
+        for r in rows:
+            held.append(r)
+            size += len(r)
+            if size >= PENDING:
+                yield pd.concat(held, ignore_index=True)
+                held, size = [], 0
+        yield pd.concat(held, ignore_index=True) if held else pd.DataFrame(columns=empty)
+
+    def surviving(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def out() -> Iterator[pd.DataFrame]:
+            for query, s in by_query(batches, lambda: Survivors(k), lambda s, r: s.add(np.asarray(r.vec_ids, np.int64), np.asarray(r.sames, str), np.asarray(r.lows, np.float64), np.asarray(r.highs, np.float64))):
+                ids, same, _ = s.left()
+                yield pd.DataFrame({"query_id": np.full(len(ids), query, np.int64), "vec_id": ids, "same": same.astype(object)})
+
+        yield from chunked(out(), ["query_id", "vec_id", "same"])
 
-        def out() -> list[tuple]:
-            ranked = sorted(((-s, -i) for s, i in heap))
-            return [(at, r, i, -s) for r, (s, i) in enumerate(ranked, 1)]
+    ordered = found.repartition(parts(found), "query_id").sortWithinPartitions("query_id")
+    pairs = settle(ordered.mapInPandas(surviving, "query_id long, vec_id long, same string"))
+    fetched = pairs.join(kept.select("vec_id", "same", "dim", "vec", "n"), ["vec_id", "same"]).join(queries.select(F.col("vec_id").alias("query_id"), "dim", F.col("vec").alias("own")), ["query_id", "dim"])
 
+    def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows: list[tuple] = []
-            for query, ids, scores in zip(batch["query_id"], batch["vec_ids"], batch["scores"], strict=True):
-                if query != at:
-                    rows += out()
-                    at, heap = query, []
-                for i, s in zip(ids, scores, strict=True):
-                    item = (float(s), -int(i))
-                    if len(heap) < k:
-                        heapq.heappush(heap, item)
-                    elif item > heap[0]:
-                        heapq.heapreplace(heap, item)
-                    else:
-                        break  # a tile's list is ordered
-            yield pd.DataFrame(rows, columns=["query_id", "rank", "vec_id", "score"])
-        yield pd.DataFrame(out(), columns=["query_id", "rank", "vec_id", "score"])
+            s = np.empty(len(batch))
+            for dim, rows in batch.groupby("dim").indices.items():
+                s[rows] = exact(np.stack(batch["own"].to_numpy()[rows]).reshape(len(rows), dim), np.stack(batch["vec"].to_numpy()[rows]).reshape(len(rows), dim))
+            yield batch[["query_id", "vec_id", "n"]].assign(score=s)
+
+    scores = fetched.select("query_id", "vec_id", "n", "dim", "own", "vec").mapInPandas(scored, "query_id long, vec_id long, n long, score double")
+
+    def keep(heap: list[tuple[float, int]], r: tuple) -> None:
+        """The k best so far; a row that stands for several counts as often."""
+        item = (float(r.score), -int(r.vec_id))
+        for _ in range(min(k, int(r.n))):
+            if len(heap) < k:
+                heapq.heappush(heap, item)
+            elif item > heap[0]:
+                heapq.heapreplace(heap, item)
 
-    ordered = found.repartition(parts(found), "query_id").sortWithinPartitions("query_id")
+    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def out() -> Iterator[pd.DataFrame]:
+            for query, heap in by_query(batches, list, keep):
+                ranked = sorted((-s, -i) for s, i in heap)
+                yield pd.DataFrame([(query, r, i, -s) for r, (s, i) in enumerate(ranked, 1)], columns=["query_id", "rank", "vec_id", "score"])
+
+        yield from chunked(out(), ["query_id", "rank", "vec_id", "score"])
+
+    ordered = scores.repartition(parts(scores), "query_id").sortWithinPartitions("query_id")
     return ordered.mapInPandas(merge, "query_id long, rank int, vec_id long, score double")
