@@ -75,6 +75,44 @@ def test_long_documents_do_not_empty_a_source(docs, words):
     assert mixing.mixed(table.limit(0), fill=True).isEmpty()
 
 
+def test_rows_that_are_alike(docs, words, duck_of, monkeypatch):
+    """Null and repeated ids, also more than one task deals, are mixed as the SQL mixes them, and resampled within the budget."""
+    monkeypatch.setattr(mixing, "CHUNK", 7)
+    rows = [(None, words(i % 3, 6), "hot") for i in range(90)] + [(5, words(9, 4), "hot") for _ in range(40)] + [(1000 + i, words(i, 3 + i % 5), "b") for i in range(30)] + [(7, "one two", "c"), (7, "three four", "c"), (7, "five six", "c")]
+    table = docs(rows).repartition(5)
+    ours, theirs = compared(mixing.mixed(table), duck_of(table), oracles.MIXING)
+    assert ours == theirs
+    for budget in (100, 700, 1900):
+        mix = collections.Counter((r["doc_id"], r["source"], r["tokens"]) for r in mixing.mixed(table, budget, fill=True).collect())
+        got = mixing.counted(mixing.resampled(table, budget)).collect()
+        assert collections.Counter((r["doc_id"], r["source"], r["__tv_tokens"]) for r in got) == mix
+        assert sum(r["__tv_tokens"] for r in got) <= budget
+
+
+def test_many_sources_are_weighed_where_they_are(docs, words, monkeypatch):
+    table = docs([(i, words(i, 4 + i % 30), f"s{i * i % 37}") for i in range(300)])
+    few = {r["source"]: (r["weight"], r["goal"]) for r in mixing.targets_of(mixing.alike(table), None, mixing.ENTROPY, 1.2).collect()}
+    monkeypatch.setattr(mixing, "COLLECTED", 0)
+    many = {r["source"]: (r["weight"], r["goal"]) for r in mixing.targets_of(mixing.alike(table), None, mixing.ENTROPY, 1.2).collect()}
+    assert few.keys() == many.keys() and all(abs(few[s][0] - many[s][0]) < 1e-9 and abs(few[s][1] - many[s][1]) <= 1 for s in few)
+
+
+def test_resampled_rows_come_in_blocks(docs, words):
+    table = docs([(i, words(i, 10), "ab"[i % 3 == 0]) for i in range(300)])
+    spots = collections.defaultdict(list)
+    for r in mixing.mixed(table, fill=True, block_tokens=200).collect():
+        spots[r["doc_id"]].append((r["block"], r["position"]))
+    assert len({b for s in spots.values() for b, _ in s}) > 3
+    parts = mixing.resampled(table, block_tokens=200).select("doc_id").rdd.glom().collect()
+    assert collections.Counter(r[0] for part in parts for r in part) == {d: len(s) for d, s in spots.items()}
+    seen, checked = {}, 0
+    for i, part in enumerate(parts):
+        once = [spots[r[0]][0] for r in part if len(spots[r[0]]) == 1]
+        checked += len(once)
+        assert once == sorted(once) and all(seen.setdefault(block, i) == i for block, _ in once)
+    assert checked > 100
+
+
 def test_exponents():
     assert mixing.exponent([5, 5, 5], 15) == 1.0 and mixing.exponent([7], 7) == 1.0
     t = mixing.exponent([1000, 100, 10], 1110, 0.95, 1e9)
