@@ -36,6 +36,8 @@ GROUP_BLOCK = 384
 COLUMNS = 8192
 #: Above so many documents to verify their texts are shuffled to them; below, the list of them is broadcast (40 bytes each).
 BROADCAST_ROWS = 250_000
+#: A set that so small a share of all rows have is joined to them by broadcast.
+HOT_SHARE = 1_000
 _WORD = re.compile(r"\w+")
 _MASK = (1 << 64) - 1
 
@@ -264,9 +266,23 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRE
     classes = sets.join(named, "node", "left").select(
         "node", "copies", F.coalesce("class_id", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("class_key", "node").alias("class_key")
     )
-    return signed.select("doc_id", "text_hash", "node").join(classes, "node", "left").select(
-        "doc_id", "text_hash", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("copies", F.lit(1)).alias("copies"), "class_key"
-    )
+    shown = ("doc_id", "text_hash", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("copies", F.lit(1)).alias("copies"), "class_key")
+    return spread(signed.select("doc_id", "text_hash", "node"), settle(classes)).select(*shown)
+
+
+def spread(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """`rows` with the columns of their `node` in `classes`, none where it is null.
+
+    Nodes of a HOT_SHAREth of all rows and more, HOT_SHARE at most, are broadcast, so that
+    no task of the shuffled join holds the rows of one of them, nor those without a node.
+    """
+    least = max(2, (classes.agg(F.sum("copies")).first()[0] or 0) // HOT_SHARE)
+    hot = F.broadcast(classes.filter(F.col("copies") >= least))
+    told = rows.join(hot.withColumn("_hot", F.lit(True)), "node", "left")
+    columns = [c for c in classes.columns if c != "node"]
+    done = told.filter("_hot or node is null").select(*rows.columns, *columns)
+    rest = told.filter("_hot is null and node is not null").select(*rows.columns).join(classes.filter(F.col("copies") < least), "node", "left")
+    return done.unionByName(rest.select(*rows.columns, *columns))
 
 
 def bounded(small: DataFrame) -> DataFrame:
