@@ -10,6 +10,7 @@ import argparse
 import json
 import sys
 from collections.abc import Iterator
+from dataclasses import asdict
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,12 +20,13 @@ from tallyvault.errors import InvalidInventory, Refused
 from tallyvault.inventory import Inventory, Store, scan
 from tallyvault.operators import archives, browse, candidates, duplicates, images, merge
 from tallyvault.schemas import BASE, SCHEMAS
-from tallyvault.sources import filesystem, hashing
+from tallyvault.sources import archive_files, archive_run, filesystem, hashing
 from tallyvault.storage import settle
 
 OK, FAILED, USAGE, PARTIAL, INCONSISTENT = 0, 1, 2, 3, 4
 #: Open directories of an interrupted discovery that one round walks.
 MOST_DIRECTORIES = 1000
+LIMITS = {k.replace("_", "-"): v for k, v in asdict(archive_files.Limits()).items()}
 
 
 def lines(df: DataFrame) -> Iterator[str]:
@@ -125,6 +127,7 @@ def parser() -> argparse.ArgumentParser:
     add("scan", named, ("--root", {"required": True}), ("--discover-only", yes))
     for c in ("hash", "resume"):
         add(c, named, ("--rehash", yes), ("--hash-complete", yes))
+    add("archives", named, *[(f"--{flag}", {"type": int, "default": default}) for flag, default in LIMITS.items()])
     add("list")
     for c in ("status", "errors", "archive-status", "archive-list", "archive-errors", "image-status", "image-list", "image-errors"):
         add(c, named)
@@ -156,6 +159,9 @@ def run(spark: SparkSession, argv: list[str], out=print) -> int:
             if args.command == "resume":
                 resumed(store, args.name)
             return hashed(store, args.name, args.rehash, args.hash_complete)
+        if args.command == "archives":
+            chosen = archive_files.Limits(**{k.replace("-", "_"): getattr(args, k.replace("-", "_")) for k in LIMITS})
+            return OK if archive_run.publish(store, args.name, chosen) == "COMPLETE" else PARTIAL
         if args.command == "merge-database":
             try:
                 out(json.dumps(merge.merge(store_inventory(spark, args.source), store, args.dry_run), default=str))

@@ -6,7 +6,7 @@ invisible and the one before it stays whole.
 
 Tables with a scan_id are stored by scan, and the manifest names the generations of each
 scan of a table: a new scan, or new digests of one, write that scan alone, and a filter
-on scan_id reads only its folders.  Other tables are small and stored whole.
+on scan_id reads only its folders.  Other tables are lists of generations.
 """
 
 from __future__ import annotations
@@ -67,9 +67,9 @@ class Store:
             raise Refused(f"version {found.get('version')} is not {VERSION}", "UNSUPPORTED_SCHEMA")
         return found
 
-    def _read(self, name: str, live: str | dict) -> DataFrame:
-        if isinstance(live, str):
-            return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.folder}/{name}/generation={live}")
+    def _read(self, name: str, live: list | dict) -> DataFrame:
+        if isinstance(live, list):
+            return self.spark.read.schema(SCHEMAS[name]).parquet(*[f"{self.folder}/{name}/generation={g}" for g in live])
         folders = [f"{self.folder}/{name}/generation={g}/scan_id={scan_}" for scan_, generations in live.items() for g in generations]
         if not folders:
             return self.spark.createDataFrame([], SCHEMAS[name])
@@ -90,28 +90,27 @@ class Store:
         found = self._fs.listStatus(self._path(path))
         return sorted((n.removeprefix("scan_id=") for n in (str(f.getPath().getName()) for f in found) if n.startswith("scan_id=")), key=lambda n: (len(n), n))
 
-    def save(self, revision: int | None = None, scan: int | None = None, append: bool = False, **tables: DataFrame) -> int:
+    def save(self, revision: int | None = None, scan: int | None = None, append: bool | tuple[str, ...] = False, **tables: DataFrame) -> int:
         """Publish new generations; `revision` is what the caller read, and a different live one is refused.
 
-        A table is replaced as a whole, unless `append` adds the rows to those there are, or
-        `scan` replaces what it has of that scan alone.  Only tables by scan know the latter.
+        A table is replaced as a whole, unless `append` (for all tables, or those named) adds
+        the rows to those there are, or `scan` replaces what it has of that scan alone.  Only
+        tables by scan know the latter.
         """
         before = self.manifest()
         if revision is not None and revision != before["revision"]:
             raise Refused("the store has changed meanwhile", "SCENARIO_REVISION_CONFLICT")
         generation, live = uuid.uuid4().hex, dict(before["tables"])
         for name, df in tables.items():
-            old = live.get(name, {})
-            if by_scan(name) and (append or scan is not None) and isinstance(old, str):
-                raise Refused(f"{name} is not stored by scan", "UNSUPPORTED_SCHEMA")
+            old, added = live.get(name, {} if by_scan(name) else []), name in append if isinstance(append, tuple) else append
             if not by_scan(name):
-                if append and old:
-                    df = self._read(name, old).unionByName(conforming(df, name))
+                if scan is not None and not added:
+                    raise Refused(f"{name} is not stored by scan", "UNSUPPORTED_SCHEMA")
                 self._write(name, df, generation)
-                live[name] = generation
+                live[name] = [*old, generation] if added else [generation]
                 continue
-            new = {s: [generation] for s in self._write(name, df if scan is None else df.filter(df.scan_id == scan), generation)}
-            if append:
+            new = {s: [generation] for s in self._write(name, df if scan is None or added else df.filter(df.scan_id == scan), generation)}
+            if added:
                 live[name] = old | {s: [*old.get(s, []), generation] for s in new}
             elif scan is not None:
                 live[name] = {s: g for s, g in old.items() if s != str(scan)} | new

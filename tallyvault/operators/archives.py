@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 
 from pyspark.sql import Column, DataFrame, Window
@@ -13,9 +14,19 @@ from tallyvault.inventory import Inventory, scan
 from tallyvault.operators import dag
 from tallyvault.operators import predicates as P
 
-#: File names of archives and their volumes.
+# fixed values: file names of archives and their volumes, the first that fits counts: (pattern of stem and number, flavor, added to the number)
+NAMES = (
+    (r"(.*)\.part([0-9]+)\.rar", "rar-parts", 0),
+    (r"(.*\.7z)\.([0-9]+)", "7z-split", 0),
+    (r"(.*\.zip)\.([0-9]+)", "zip-chunks", 0),
+    (r"(.*)\.r([0-9]{2,3})", "rar-old", 1),
+    (r"(.*)\.z([0-9]{2,3})", "zip-split", 0),
+    (r"(.*)\.rar()", "rar-old", 0),
+    (r"(.*)\.zip()", "zip-split", 0),
+)
 CANDIDATE = r"(?i)\.(zip|tar|tgz|tbz2?|txz|tzst|gz|bz2|xz|zst|rar|7z|r[0-9]{2,3}|z[0-9]{2,3}|7z\.[0-9]+|zip\.[0-9]+)\z"
 SINGLE = r"(?is)\A.*\.(tar|tgz|tbz2?|txz|tzst|gz|bz2|xz|zst|7z)\z"
+MOST_SLOT = 2**31 - 1
 VISIBLE = ("COMPLETE", "PARTIAL", "SKIPPED")
 #: First bytes of what a set's digest covers; inventories that are to share digests share the tag.
 SET_TAG = "ARCHIVE-SET-V1"
@@ -26,31 +37,26 @@ def classified(path: Column) -> Column:
     name = F.substring_index(path, "/", -1)
     folder = F.substring(path, F.lit(1), F.length(path) - F.length(name))
 
-    def slot(pattern: str, group: int, plus: int = 0) -> Column:
-        """A number too large for an int is the largest int."""
-        number = F.coalesce(F.regexp_extract(name, pattern, group).try_cast("int"), F.lit(2**31 - 1))
-        return (number.cast("long") + plus).cast("int")
-
-    def found(flavor: str | Column, stem: Column, slot_: Column) -> Column:
-        flavor = F.lit(flavor) if isinstance(flavor, str) else flavor
-        return F.struct(F.concat(flavor, F.lit(":"), stem).alias("group_key"), flavor.alias("flavor"), slot_.alias("slot"))
-
-    def stem(pattern: str) -> Column:
-        return F.concat(folder, F.regexp_extract(name, pattern, 1))
-
-    parts, chunks = r"(?is)\A(.*)\.part([0-9]+)\.rar\z", r"(?is)\A(.*\.(7z|zip))\.([0-9]+)\z"
-    old, split = r"(?is)\A(.*)\.r([0-9]{2,3})\z", r"(?is)\A(.*)\.z([0-9]{2,3})\z"
-    rar, zip_ = r"(?is)\A(.*)\.rar\z", r"(?is)\A(.*)\.zip\z"
-    kind = F.when(F.lower(F.regexp_extract(name, chunks, 2)) == "7z", "7z-split").otherwise("zip-chunks")
-    return (
-        F.when(name.rlike(parts), found("rar-parts", stem(parts), slot(parts, 2)))
-        .when(name.rlike(chunks), found(kind, stem(chunks), slot(chunks, 3)))
-        .when(name.rlike(old), found("rar-old", stem(old), slot(old, 2, 1)))
-        .when(name.rlike(split), found("zip-split", stem(split), slot(split, 2)))
-        .when(name.rlike(rar), found("rar-old", stem(rar), F.lit(0)))
-        .when(name.rlike(zip_), found("zip-split", stem(zip_), F.lit(0)))
-        .when(name.rlike(SINGLE), found("single", path, F.lit(0)))
-    )
+    def found(flavor: str, stem: Column, slot: Column) -> Column:
+        return F.struct(F.concat(F.lit(f"{flavor}:"), stem).alias("group_key"), F.lit(flavor).alias("flavor"), slot.alias("slot"))
+
+    fits = []
+    for pattern, flavor, plus in NAMES:
+        whole = rf"(?is)\A{pattern}\z"
+        number = F.regexp_extract(name, whole, 2)
+        counted = F.coalesce(number.try_cast("int"), F.lit(MOST_SLOT)).cast("long") + plus
+        slot = F.when(number == "", 0).otherwise(F.least(counted, F.lit(MOST_SLOT)).cast("int")).cast("int")
+        fits.append(F.when(name.rlike(whole), found(flavor, F.concat(folder, F.regexp_extract(name, whole, 1)), slot)))
+    return F.coalesce(*fits, F.when(name.rlike(SINGLE), found("single", path, F.lit(0))))
+
+
+def classified_name(path: str) -> tuple[str, str, int] | None:
+    """The same for one name in hand."""
+    folder, _, name = path.rpartition("/")
+    for pattern, flavor, plus in NAMES:
+        if m := re.fullmatch(pattern, name, re.IGNORECASE | re.DOTALL | re.ASCII):
+            return f"{flavor}:{folder + '/' if folder else ''}{m[1]}", flavor, min(int(m[2]) + plus, MOST_SLOT) if m[2] else 0
+    return (f"single:{path}", "single", 0) if re.search(SINGLE.replace(r"\z", r"\Z"), name) else None
 
 
 def inputs(inv: Inventory, scan_id: int) -> DataFrame:

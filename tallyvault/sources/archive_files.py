@@ -1,6 +1,8 @@
 """Members of archives, read with the standard library: zip, tar and its compressed forms, and single compressed files.
 
-rar and 7z need tools that are not here and give a CAPABILITY error.
+rar and 7z need tools that are not here and give a CAPABILITY error; so does zst where the
+zstandard module is missing.  Archives are read by seeking and members as streams, within
+limits on their number, their bytes and how much larger they are than the archive.
 """
 
 from __future__ import annotations
@@ -10,22 +12,44 @@ import gzip
 import hashlib
 import io
 import lzma
+import os
 import tarfile
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from typing import BinaryIO
+from urllib.parse import unquote, urlparse
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 MOST_PATH = 32_768
 BLOCK = 1 << 20
 SCHEMA = "path string, ordinal long, relative_path string, kind string, declared_size long, actual_size long, modified_sec long, sha256 string, integrity string, encrypted boolean, category string, code string, message string"
+BROKEN = (OSError, EOFError, zipfile.BadZipFile, tarfile.TarError, lzma.LZMAError, NotImplementedError, ValueError, RuntimeError)
+
+
+@dataclass(frozen=True)
+class Limits:
+    """Members of an archive, bytes of a member and of all, bytes of all over the archive's own, levels of archives within archives, and bytes of such a one."""
+
+    members: int = 1_000_000
+    member_bytes: int = 1 << 36
+    total_bytes: int = 1 << 40
+    ratio: int = 10_000
+    depth: int = 8
+    nested_bytes: int = 1 << 28
 
 
 class Unsafe(ValueError):
     pass
 
 
+class LimitHit(Exception):
+    pass
+
+
 def safe_path(name: str | bytes) -> str:
     """A member's name as a relative path: empty and `.` parts go; what could lead outside is refused."""
     text = name.decode("utf-8", "strict") if isinstance(name, bytes) else name
@@ -41,81 +65,180 @@ def safe_path(name: str | bytes) -> str:
     return "/".join(parts)
 
 
-def _read(stream) -> tuple[str, int]:
-    digest, n = hashlib.sha256(), 0
-    while block := stream.read(BLOCK):
-        digest.update(block)
-        n += len(block)
-    return digest.hexdigest(), n
+class Budget:
+    """What is left of an archive's bytes."""
+
+    def __init__(self, size: int, limits: Limits):
+        self.limits, self.left = limits, min(limits.total_bytes, limits.ratio * max(size, 1) + BLOCK)
+
+    def read(self, stream: BinaryIO, keep: bool) -> tuple[str, int, bytes | None]:
+        digest, n, held = hashlib.sha256(), 0, [] if keep else None
+        while block := stream.read(BLOCK):
+            digest.update(block)
+            n += len(block)
+            self.left -= len(block)
+            if n > self.limits.member_bytes:
+                raise LimitHit("MEMBER_BYTES")
+            if self.left < 0:
+                raise LimitHit("TOTAL_BYTES")
+            if held is not None:
+                held.append(block)
+                if n > self.limits.nested_bytes:
+                    held = None
+        return digest.hexdigest(), n, None if held is None else b"".join(held)
 
 
-def _member(ordinal: int, name: str | bytes, kind: str, declared: int | None, seconds: int | None, opened, encrypted: bool = False) -> tuple:
-    """One member, or what is wrong with it; the others are still read."""
+def _member(ordinal: int, name: str | bytes, kind: str, declared: int | None, seconds: int | None, opened: Callable[[], BinaryIO | None], budget: Budget, wanted: Callable[[str], bool], encrypted: bool = False) -> tuple[tuple, bytes | None]:
+    """One member and perhaps its bytes, or what is wrong with it; the others are still read."""
     empty = (None, None)
     try:
         path = safe_path(name)
     except (Unsafe, UnicodeDecodeError) as e:
-        return (ordinal, None, kind, declared, None, seconds, None, "SKIPPED", encrypted, "SAFETY", "UNSAFE_PATH", str(e))
+        return (ordinal, None, kind, declared, None, seconds, None, "SKIPPED", encrypted, "SAFETY", "UNSAFE_PATH", str(e)), None
     if kind != "FILE":
-        return (ordinal, path, kind, declared, None, seconds, None, "METADATA", encrypted, None, *empty)
+        return (ordinal, path, kind, declared, None, seconds, None, "METADATA", encrypted, None, *empty), None
     if encrypted:
-        return (ordinal, path, kind, declared, None, seconds, None, "ENCRYPTED", True, "CAPABILITY", "ENCRYPTED", "a password is needed")
+        return (ordinal, path, kind, declared, None, seconds, None, "ENCRYPTED", True, "CAPABILITY", "ENCRYPTED", "a password is needed"), None
     try:
         with opened() as stream:
-            digest, n = _read(stream)
-    except (OSError, EOFError, zipfile.BadZipFile, tarfile.TarError, lzma.LZMAError, NotImplementedError, ValueError) as e:
-        return (ordinal, path, kind, declared, None, seconds, None, "DAMAGED", False, "CONTENT", "READ", str(e))
+            digest, n, body = budget.read(stream, wanted(path))
+    except LimitHit as e:
+        return (ordinal, path, kind, declared, None, seconds, None, "SKIPPED", False, "LIMIT", str(e), "the member goes over a limit"), None
+    except BROKEN as e:
+        return (ordinal, path, kind, declared, None, seconds, None, "DAMAGED", False, "CONTENT", "READ", str(e)), None
     if declared is not None and n != declared:
-        return (ordinal, path, kind, declared, n, seconds, None, "DAMAGED", False, "CONTENT", "SIZE", "the size is not as declared")
-    return (ordinal, path, kind, declared, n, seconds, digest, "READ_OK", False, None, *empty)
+        return (ordinal, path, kind, declared, n, seconds, None, "DAMAGED", False, "CONTENT", "SIZE", "the size is not as declared"), None
+    return (ordinal, path, kind, declared, n, seconds, digest, "READ_OK", False, None, *empty), body
 
 
-def members(name: str, content: bytes, most: int = 1_000_000) -> Iterator[tuple]:
-    """Members in order and errors, as rows without the archive's path."""
-    data, lower = io.BytesIO(content), name.lower()
+def _zst(data: BinaryIO) -> BinaryIO | None:
+    try:
+        import zstandard
+    except ImportError:
+        return None
+    return zstandard.ZstdDecompressor().stream_reader(data, read_across_frames=True, closefd=False)
+
 
-    def failure(category: str, code: str, e: object) -> tuple:
-        return (0, None, "OTHER", None, None, None, None, "UNREADABLE", False, category, code, str(e))
+def walked(name: str, data: BinaryIO, size: int, limits: Limits = Limits(), wanted: Callable[[str], bool] = lambda path: False) -> Iterator[tuple[tuple, bytes | None]]:  # noqa: B008
+    """Members in order and errors, as rows without the archive's path, each with its bytes if they are wanted."""
+    lower, budget = name.lower(), Budget(size, limits)
 
+    def failure(category: str, code: str, e: object) -> tuple[tuple, None]:
+        return (0, None, "OTHER", None, None, None, None, "UNREADABLE", False, category, code, str(e)), None
+
+    too_many = failure("LIMIT", "MEMBERS", f"more than {limits.members} members")
     try:
-        if lower.endswith((".rar", ".7z")) or content[:4] == b"Rar!" or content[:6] == b"7z\xbc\xaf'\x1c":
+        head = data.read(262)
+        data.seek(0)
+        if lower.endswith((".rar", ".7z")) or head[:4] == b"Rar!" or head[:6] == b"7z\xbc\xaf'\x1c":
             yield failure("CAPABILITY", "UNSUPPORTED", "rar and 7z need other tools")
-        elif zipfile.is_zipfile(data):
+        elif head[:2] == b"PK" or (head[257:262] != b"ustar" and zipfile.is_zipfile(data)):
             with zipfile.ZipFile(data) as z:
-                for i, m in enumerate(z.infolist()[:most], 1):
+                for i, m in enumerate(z.infolist()[: limits.members], 1):
                     kind = "DIRECTORY" if m.is_dir() else "SYMLINK" if (m.external_attr >> 28) == 0xA else "FILE"
-                    yield _member(i, m.filename, kind, m.file_size, None, lambda m=m: z.open(m), bool(m.flag_bits & 1))
-                if len(z.infolist()) > most:
-                    yield failure("LIMIT", "MEMBERS", f"more than {most} members")
-        elif ".tar" in lower or lower.endswith((".tgz", ".tbz", ".tbz2", ".txz")) or content[257:262] == b"ustar":
+                    yield _member(i, m.filename, kind, m.file_size, None, lambda m=m: z.open(m), budget, wanted, bool(m.flag_bits & 1))
+                    if budget.left < 0:
+                        return
+                if len(z.infolist()) > limits.members:
+                    yield too_many
+        elif ".tar" in lower or lower.endswith((".tgz", ".tbz", ".tbz2", ".txz", ".tzst")) or head[257:262] == b"ustar":
             data.seek(0)  # looking for a zip has moved it
-            with tarfile.open(fileobj=data, mode="r:*") as t:
+            zst = _zst(data) if lower.endswith((".zst", ".tzst")) else data
+            if zst is None:
+                yield failure("CAPABILITY", "UNSUPPORTED", "zst needs the zstandard module")
+                return
+            with tarfile.open(fileobj=zst, mode="r:*" if zst is data else "r|") as t:
                 for i, m in enumerate(t, 1):
-                    if i > most:
-                        yield failure("LIMIT", "MEMBERS", f"more than {most} members")
+                    if i > limits.members:
+                        yield too_many
                         break
                     kind = "FILE" if m.isreg() else "DIRECTORY" if m.isdir() else "SYMLINK" if m.issym() else "HARDLINK" if m.islnk() else "OTHER"
-                    yield _member(i, m.name, kind, m.size, int(m.mtime), lambda m=m: t.extractfile(m))
+                    yield _member(i, m.name, kind, m.size, int(m.mtime), lambda m=m: t.extractfile(m), budget, wanted)
+                    if budget.left < 0:
+                        return
         else:
-            single = next((o for end, o in ((".gz", gzip.open), (".bz2", bz2.open), (".xz", lzma.open)) if lower.endswith(end)), None)
+            single = next((o for end, o in ((".gz", gzip.open), (".bz2", bz2.open), (".xz", lzma.open), (".zst", _zst)) if lower.endswith(end)), None)
             if single is None:
                 yield failure("CAPABILITY", "UNSUPPORTED", "no known archive")
             else:
                 data.seek(0)
-                yield _member(1, name.rpartition("/")[2].rpartition(".")[0], "FILE", None, None, lambda: single(data))
-    except (OSError, EOFError, zipfile.BadZipFile, tarfile.TarError, lzma.LZMAError) as e:
+                yield _member(1, name.rpartition("/")[2].rpartition(".")[0], "FILE", None, None, lambda: single(data), budget, wanted)
+    except BROKEN as e:
         yield failure("CONTENT", "HEADER", e)
 
 
-def extracted(spark: SparkSession, paths: list[str] | str, most: int = 1_000_000) -> DataFrame:
-    """A row a member, or an error, of every archive at `paths` (anything that Spark reads)."""
-    files = spark.read.format("binaryFile").load(paths).select("path", "content")
+def local(path: str) -> str | None:
+    """The name under which this machine opens a path that Spark gives, if it is a file of the shared file system."""
+    parsed = urlparse(path)
+    return unquote(parsed.path) if parsed.scheme in ("", "file") else None
+
+
+def listed(spark: SparkSession, paths: list[str] | str, whole: str = "content") -> DataFrame:
+    """path, length and, only for files that cannot be opened by name, `whole`."""
+    files = spark.read.format("binaryFile").load(paths)
+    given = [paths] if isinstance(paths, str) else paths
+    near = all(local(p) is not None for p in given) and spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///").startswith("file")
+    return files.select("path", "length", (F.lit(None).cast("binary") if near else F.expr(whole)).alias("content"))
+
+
+def extracted(spark: SparkSession, paths: list[str] | str, limits: Limits = Limits()) -> DataFrame:  # noqa: B008
+    """A row a member, or an error, of every archive at `paths` (anything that Spark reads; files of this file system by seeking)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in SCHEMA.split(", ")]
         for batch in batches:
-            for path, content in zip(batch["path"], batch["content"], strict=True):
-                out = pd.DataFrame([(path, *m) for m in members(path, bytes(content), most)], columns=names)
-                yield out.astype({c: "Int64" for c in ("ordinal", "declared_size", "actual_size", "modified_sec")})
-
-    return files.mapInPandas(run, SCHEMA)
+            for path, length, content in zip(batch["path"], batch["length"], batch["content"], strict=True):
+                with open(local(path), "rb") if content is None else io.BytesIO(content) as data:
+                    held: list[tuple] = []
+                    for row, _ in walked(path, data, int(length), limits):
+                        held.append((path, *row))
+                        if len(held) >= 10_000:
+                            yield _frame(held, names)
+                            held = []
+                    yield _frame(held, names)
+
+    return listed(spark, paths).mapInPandas(run, SCHEMA)
+
+
+def _frame(rows: list[tuple], names: list[str]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=names, dtype=object).astype({c: "Int64" for c in ("ordinal", "declared_size", "actual_size", "modified_sec")})
+
+
+class Joined(io.RawIOBase):
+    """Several files read as one."""
+
+    def __init__(self, paths: list[str]):
+        self.files = [open(p, "rb") for p in paths]  # noqa: SIM115
+        self.ends, total = [], 0
+        for p in paths:
+            total += os.path.getsize(p)
+            self.ends.append(total)
+        self.total, self.at = total, 0
+
+    def readable(self) -> bool:
+        return True
+
+    def seekable(self) -> bool:
+        return True
+
+    def tell(self) -> int:
+        return self.at
+
+    def seek(self, offset: int, whence: int = 0) -> int:
+        self.at = max(0, offset + (0, self.at, self.total)[whence])
+        return self.at
+
+    def readinto(self, buffer) -> int:
+        for i, end in enumerate(self.ends):
+            if self.at < end:
+                start = self.ends[i - 1] if i else 0
+                self.files[i].seek(self.at - start)
+                n = self.files[i].readinto(memoryview(buffer)[: end - self.at])
+                self.at += n
+                return n
+        return 0
+
+    def close(self) -> None:
+        for f in self.files:
+            f.close()
+        super().close()

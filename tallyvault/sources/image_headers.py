@@ -14,7 +14,8 @@ from typing import Protocol
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from tallyvault.sources.archive_files import listed, local
 
 HEAD = 1 << 16
 SCHEMA = "path string, format string, virtual_size long, backing string, extents array<string>, encrypted boolean, error string"
@@ -79,12 +80,20 @@ def _descriptor(body: bytes, out: dict) -> dict:
 
 
 def headers(spark: SparkSession, paths: list[str] | str) -> DataFrame:
-    """A row for each image at `paths`; only the ends of a file reach Python."""
-    files = spark.read.format("binaryFile").load(paths).select("path", F.expr(f"substring(content, 1, {HEAD})").alias("head"), F.expr("substring(content, greatest(1, length(content) - 511), 512)").alias("tail"))
+    """A row for each image at `paths`; only the ends of a file are read, of files of this file system by seeking."""
+
+    def ends(path: str, length: int, content: bytes | None) -> tuple[bytes, bytes]:
+        if content is not None:
+            return content[:HEAD], content[-512:]
+        with open(local(path), "rb") as f:
+            head = f.read(HEAD)
+            f.seek(max(0, length - 512))
+            return head, f.read(512)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = pd.DataFrame([{"path": p} | described(bytes(h), bytes(t)) for p, h, t in zip(batch["path"], batch["head"], batch["tail"], strict=True)])
+            out = pd.DataFrame([{"path": p} | described(*ends(p, int(n), None if c is None else bytes(c))) for p, n, c in zip(batch["path"], batch["length"], batch["content"], strict=True)])
             yield out.astype({"virtual_size": "Int64"})
 
-    return files.mapInPandas(run, SCHEMA)
+    whole = f"concat(substring(content, 1, {HEAD}), substring(content, greatest({HEAD} + 1, length(content) - 511), 512))"
+    return listed(spark, paths, whole).mapInPandas(run, SCHEMA)

@@ -94,6 +94,103 @@ def test_archives(spark, tmp_path):
     assert rows["a.zip", 2]["category"] == "SAFETY" and rows["c.rar", 0]["category"] == "CAPABILITY" and rows["d.zip", 0]["integrity"] == "UNREADABLE"
 
 
+def _zip(members):
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for name, body in members.items():
+            z.writestr(name, body)
+    return out.getvalue()
+
+
+def _tar(members, mode="w:gz"):
+    out = io.BytesIO()
+    with tarfile.open(fileobj=out, mode=mode) as t:
+        for name, body in members.items():
+            info = tarfile.TarInfo(name)
+            if isinstance(body, tuple):
+                info.type, info.linkname = tarfile.LNKTYPE, body[0]
+                t.addfile(info)
+            else:
+                info.size = len(body)
+                t.addfile(info, io.BytesIO(body))
+    return out.getvalue()
+
+
+def test_archives_of_a_scan_are_analysed(spark, tmp_path):
+    import json
+
+    from tallyvault import cli
+    from tallyvault.operators import archives
+
+    root, folder = tmp_path / "root", str(tmp_path / "store")
+    deep = _tar({"leaf.txt": b"same", "twin.txt": ("leaf.txt",)})
+    inner = _zip({"deep.tar.gz": deep, "note": b"note"})
+    cut = _zip({"x": b"y" * 5000})
+    files = {
+        "a.zip": _zip({"inner.zip": inner, "again/inner.zip": inner, "t": b"t"}), "copy-of-a.zip": None, "b.tar.gz": _tar({"deep.tar.gz": deep, "../out": b"evil"}), "c.rar": b"Rar!....", "d.zip.001": cut[:100], "d.zip.002": cut[100:],
+        "e.part2.rar": b"Rar!", "f.zip": b"PK\3\4 broken", "plain.txt": b"same",
+    }
+    files["copy-of-a.zip"] = files["a.zip"]
+    root.mkdir()
+    for name, body in files.items():
+        (root / name).write_bytes(body)
+    said = []
+    call = lambda *argv: cli.run(spark, ["--store", folder, *argv], said.append)
+    assert call("scan", "--name", "one", "--root", str(root)) == cli.OK and call("archives", "--name", "one") == cli.PARTIAL
+    inv = Store(spark, folder).load()
+    jobs = {r["group_key"]: r for r in inv.archive_jobs.collect()}
+    assert {k: (r["status"], r["duplicate"], r["diagnostic"]) for k, r in jobs.items()} == {
+        "zip-split:a": ("COMPLETE", False, None), "zip-split:copy-of-a": ("COMPLETE", True, None), "single:b.tar.gz": ("PARTIAL", False, None), "rar-old:c": ("PARTIAL", False, None),
+        "zip-chunks:d.zip": ("COMPLETE", False, None), "rar-parts:e": ("PARTIAL", False, "volumes are missing"), "zip-split:f": ("PARTIAL", False, None),
+    }
+    assert jobs["zip-split:a"]["result_id"] == jobs["zip-split:copy-of-a"]["result_id"]
+    results = {r["result_id"]: r for r in inv.archive_results.collect()}
+    top = results[jobs["zip-split:a"]["result_id"]]
+    assert (top["height"], top["reusable"], top["state"]) == (2, True, "COMPLETE")
+    members = {r["relative_path"]: r for r in archives.members(inv, top["result_id"]).collect()}
+    assert members["inner.zip"]["sha256"] == members["again/inner.zip"]["sha256"]
+    nested = {r["group_key"]: r for r in inv.archive_nested.filter(F.col("parent_result_id") == top["result_id"]).collect()}
+    assert not nested["zip-split:inner"]["duplicate"] and nested["zip-split:again/inner"]["duplicate"]
+    # the same deep.tar.gz, met by two tasks, is one result; its hard link is told of, not read
+    deepest = [r for r in results.values() if r["height"] == 0 and r["fingerprint"].startswith("file-sha256:") and inv.archive_members.filter((F.col("result_id") == r["result_id"]) & (F.col("relative_path") == "leaf.txt")).count() == 1]
+    assert len(deepest) == 1
+    leaf = {r["relative_path"]: (r["kind"], r["sha256"]) for r in inv.archive_members.filter(F.col("result_id") == deepest[0]["result_id"]).collect()}
+    assert leaf["twin.txt"] == ("HARDLINK", None) and leaf["leaf.txt"][1] is not None
+    # heights, states and flags are those that the operator derives from the rows
+    facts = inv.archive_nested.join(inv.archive_results.select(F.col("result_id").alias("child_result_id"), F.col("reusable").alias("child_reusable"), F.col("height").alias("child_height")), "child_result_id").withColumnRenamed("parent_result_id", "result_id")
+    derived = {r["result_id"]: r for r in archives.outcome(inv.archive_errors, inv.archive_results.select("result_id", F.lit(True).alias("ended"), F.lit(True).alias("whole")), facts).collect()}
+    assert all((derived[k]["state"], derived[k]["retryable"], derived[k]["reusable"], derived[k]["height"]) == (r["state"], r["retryable"], r["reusable"], r["height"]) for k, r in results.items())
+    assert {(r["category"], r["code"]) for r in inv.archive_errors.collect()} == {("SAFETY", "UNSAFE_PATH"), ("CAPABILITY", "UNSUPPORTED"), ("CONTENT", "HEADER")}
+    said.clear()
+    assert call("archive-status", "--name", "one") == cli.OK
+    assert json.loads(said[0])["root_archives"] == 7 and json.loads(said[0])["nested_archives"] == 4
+    assert [r["ordinal"] for r in archives.volumes(inv, jobs["zip-chunks:d.zip"]["result_id"]).collect()] == [1, 2]
+    broken = {k for k, v in audit.counted(audit.archive(inv)).filter("failures > 0").collect()}
+    assert broken == set(), broken
+    # a second run reads nothing that can be used again
+    assert call("archives", "--name", "one") == cli.PARTIAL
+    again = Store(spark, folder).load()
+    after = {r["group_key"]: r for r in again.archive_jobs.collect()}
+    assert after["zip-split:a"]["result_id"] == jobs["zip-split:a"]["result_id"] and after["zip-split:a"]["duplicate"]
+    assert after["single:b.tar.gz"]["result_id"] == jobs["single:b.tar.gz"]["result_id"] and after["rar-old:c"]["result_id"] != jobs["rar-old:c"]["result_id"]
+    # limits: other limits, other results
+    assert call("archives", "--name", "one", "--depth", "1", "--member-bytes", "4000") == cli.PARTIAL
+    last = Store(spark, folder).load()
+    own = last.archive_jobs.select("result_id").distinct()
+    codes = {r["code"] for r in last.archive_errors.join(own, "result_id", "left_semi").collect()} | {r["code"] for r in last.archive_errors.join(archives.reached(last, 1), "result_id", "left_semi").collect()}
+    assert {"DEPTH", "MEMBER_BYTES"} <= codes
+    assert not last.archive_results.join(own, "result_id", "left_semi").filter("source_label like '%/a.zip'").first()["reusable"]
+
+
+def test_zst_archives(tmp_path):
+    zstandard = pytest.importorskip("zstandard")
+    body = zstandard.ZstdCompressor().compress(_tar({"one": b"same", "two": ("one",)}, "w"))
+    rows = [r for r, _ in archive_files.walked("a.tar.zst", io.BytesIO(body), len(body))]
+    assert [(r[1], r[2], r[7]) for r in rows] == [("one", "FILE", "READ_OK"), ("two", "HARDLINK", "METADATA")]
+    ((row, kept),) = archive_files.walked("b.zst", io.BytesIO(zstandard.ZstdCompressor().compress(b"same")), 20, wanted=lambda p: True)
+    assert (row[1], row[4], kept) == ("b", 4, b"same")
+
+
 def test_image_headers(spark, tmp_path):
     name = b"base.img"
     (tmp_path / "a.qcow2").write_bytes(struct.pack(">4sIQIIQI", b"QFI\xfb", 3, 104, len(name), 16, 1 << 30, 0).ljust(104, b"\0") + name)
