@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -78,6 +80,11 @@ def differences(a: DataFrame, b: DataFrame) -> DataFrame:
     return left.withColumn("side", F.lit("left")).unionByName(right.withColumn("side", F.lit("right")))
 
 
+def row_counts(source: Inventory, tables: list[str]) -> DataFrame:
+    """name and n: the rows of each table."""
+    return reduce(DataFrame.unionByName, [getattr(source, t).agg(F.count("*").alias("n")).select(F.lit(t).alias("name"), "n") for t in tables])
+
+
 def merge(source: Inventory, store: Store, dry_run: bool = False, salt: str = "merge") -> dict:
     """Audit both, map ids, copy every table, check each copy as a multiset, audit again, publish at once."""
     destination = store.load()
@@ -88,7 +95,7 @@ def merge(source: Inventory, store: Store, dry_run: bool = False, salt: str = "m
     scans = scan_map(source, destination).persist()
     results = {f: result_map(source, destination, f, salt).persist() for f in ("archive", "image") if f in source.features()}
     tables = [*BASE, *(ARCHIVE if "archive" in results else ()), *(IMAGE if "image" in results else ())]
-    rows = {t: getattr(source, t).count() for t in tables}
+    rows = {r["name"]: r["n"] for r in row_counts(source, tables).collect()}
     ids = scans.agg(F.min("new_scan_id"), F.max("new_scan_id")).first()
     out = {"status": "READY" if dry_run else "IMPORTED", "dry_run": dry_run, "rows": rows, "new_scan_id_first": ids[0], "new_scan_id_last": ids[1], "features_to_initialize": sorted(source.features() - destination.features())}
     if rows["scans"] == 0:

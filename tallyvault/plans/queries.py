@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tallyvault import cursor
 from tallyvault.functions import paths
 from tallyvault.inventory import Inventory
 from tallyvault.operators import archives, audit, browse, candidates, duplicates, images, merge, scenario, search, signatures
 from tallyvault.operators import predicates as P
 from tallyvault.plans.testbed import SQL, inventory
-from tallyvault.schemas import SCHEMAS
+from tallyvault.schemas import SCHEMAS, differences
 from tallyvault.sources import filesystem, hashing
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -492,6 +493,178 @@ _add("path_depth", f"SELECT ({_DEPTH})::BIGINT AS depth, count(*) AS entries FRO
 _add("candidate_sequence", "SELECT scan_id, entry_id, row_number() OVER (PARTITION BY scan_id ORDER BY entry_id) AS sequence FROM entries WHERE kind = 'FILE'", lambda inv: inv.entries.filter("kind = 'FILE'").select("scan_id", "entry_id", F.row_number().over(Window.partitionBy("scan_id").orderBy("entry_id")).cast("long").alias("sequence")))
 
 
+# summaries, pages and cursors that other queries do not reach
+
+_add(
+    "cross_summary",
+    _CROSS + """, late AS (SELECT phase, count(*) AS n FROM scan_errors SEMI JOIN pick USING (scan_id) GROUP BY phase), c AS (SELECT count(*) AS candidate_files, count(sha256) AS existing_hashes, count(*) FILTER (sha256 IS NULL) AS pending_files FROM cand)
+    SELECT c.*, (SELECT count(*) FROM sizes) AS candidate_sizes, coalesce((SELECT n FROM late WHERE phase = 'DISCOVERY'), 0) AS discovery_errors, coalesce((SELECT n FROM late WHERE phase = 'HASHING'), 0) AS hash_errors,
+    pending_files > 0 OR EXISTS (SELECT 1 FROM late) AS partial, CASE WHEN pending_files > 0 OR EXISTS (SELECT 1 FROM late) THEN 'COMPLETE_WITH_ERRORS' ELSE 'COMPLETE' END AS phase FROM c""",
+    lambda inv: _told(inv, duplicates.cross_summary(inv, _NAMES), "candidate_files long, existing_hashes long, pending_files long, candidate_sizes long, discovery_errors long, hash_errors long, partial boolean, phase string"),
+)
+
+
+def _told(inv: Inventory, found: dict, schema: str) -> DataFrame:
+    return inv.spark.createDataFrame([tuple(found[c.split()[0]] for c in schema.split(", "))], schema)
+
+
+_WORST = "(SELECT min(relative_path) FROM scan_errors WHERE scan_id = 1)"
+_add(
+    "related_errors", f"SELECT * FROM scan_errors WHERE scan_id = 1 AND relative_path = {_WORST} ORDER BY recorded_at_ms DESC LIMIT 20",
+    lambda inv: browse.related_errors(inv, 1, inv.scan_errors.filter("scan_id = 1").agg(F.min("relative_path")).first()[0]),
+)
+_add(
+    "search_second_page", f"""{_OBS} SELECT scan_id, entry_id, relative_path FROM obs WHERE kind = 'FILE' AND ends_with(lower(filename), '.txt') ORDER BY lower(relative_path), scan_id, entry_id LIMIT 7 OFFSET 7""",
+    lambda inv: inv.spark.createDataFrame([(r["scan_id"], r["entry_id"], r["relative_path"]) for r in _second(inv, {"extensions": ["txt"], "limit": 7})], "scan_id long, entry_id long, relative_path string"),
+)
+
+
+def _second(inv: Inventory, request: dict) -> list[dict]:
+    """The page that the first one's cursor leads to."""
+    return search.search(inv, request | {"cursor": search.search(inv, request)["next_cursor"]})["items"]
+
+
+_search("name_exact_cased", "filename = 'doc-6.LOG'", _named("EXACT", "doc-6.LOG", True))
+_search("kinds_all", "kind IN ('FILE', 'DIRECTORY') AND contains(relative_path, 'e')", {"kinds": ["FILE", "DIRECTORY"], "path": {"contains": "e"}})
+_add(
+    "scan_list_error_free", "SELECT scan_id, name, root, phase FROM scans s WHERE phase = 'COMPLETE' AND NOT EXISTS (SELECT 1 FROM scan_errors x WHERE x.scan_id = s.scan_id AND scan_id IN (1, 2))",
+    lambda inv: browse.scans(inv.with_tables(scan_errors=inv.scan_errors.filter("scan_id in (1, 2)")), phase="COMPLETE", has_errors=False),
+)
+_add(
+    "scenario_group_page", _MADE + "SELECT * REPLACE (candidate_bytes::VARCHAR AS candidate_bytes) FROM sg ORDER BY size DESC, sha256 LIMIT 8",
+    lambda inv: cursor.page(scenario.groups(scenario.decisions(inv, _OLDEST)), [(F.col("size"), True), (F.col("sha256"), False)], 7).withColumn("candidate_bytes", F.col("candidate_bytes").cast("string")),
+)
+_add(
+    "scenario_decision_page", _plan(order="modified_sec, modified_nano,") + "SELECT path_key, scan_id, entry_id, decision, reason FROM made WHERE group_id = (SELECT max(group_id) FROM made) ORDER BY path_key, scan_id, entry_id LIMIT 4",
+    lambda inv: _decision_page(scenario.decisions(inv, _OLDEST)).select("path_key", "scan_id", "entry_id", "decision", "reason"),
+)
+
+
+def _decision_page(made: DataFrame) -> DataFrame:
+    last = made.agg(F.max("group_id")).first()[0]
+    return cursor.page(made.filter(F.col("group_id") == last), [(F.col(c), False) for c in ("path_key", "scan_id", "entry_id")], 3)
+
+
+_add(
+    "signature_list", """, n AS (SELECT id, count(*) AS files, count(DISTINCT scan_id) AS scans FROM signatures JOIN entries USING (size) JOIN hashes USING (scan_id, entry_id, sha256) WHERE kind = 'FILE' GROUP BY id)
+    SELECT id, size, sha256, tag, coalesce(files, 0) AS files, coalesce(scans, 0) AS scans FROM signatures LEFT JOIN n USING (id) ORDER BY lower(tag), tag, id LIMIT 11""",
+    lambda inv: signatures.listed(inv, 10).select("id", "size", "sha256", "tag", "files", "scans"),
+)
+_add(
+    "signature_update", """SELECT id, CASE WHEN id = (SELECT min(id) FROM signatures) THEN 'other' ELSE tag END AS tag, CASE WHEN id = (SELECT min(id) FROM signatures) THEN 'a memo' ELSE '' END AS memo FROM signatures""",
+    lambda inv: signatures.updated(inv, inv.signatures.agg(F.min("id")).first()[0], "other", "a memo").select("id", "tag", "memo"),
+)
+
+
+def _searches(inv: Inventory) -> Inventory:
+    """A saved search for each scan, of two scanners."""
+    rows = inv.scans.select(
+        F.concat(F.lit("s-"), F.col("scan_id").cast("string")).alias("id"), F.when(F.col("scan_id") % 2 == 1, "odd").otherwise("even").alias("scanner_path"), F.col("name"), F.col("root").alias("description"), F.lit("{}").alias("request_json"), "created_at", "updated_at",
+    )
+    return inv.with_tables(saved_searches=rows)
+
+
+_add("saved_search_list", "SELECT 's-' || scan_id::VARCHAR AS id, name, root AS description FROM scans WHERE scan_id % 2 = 1 ORDER BY lower(name), name, id LIMIT 501", lambda inv: signatures.saved_searches(_searches(inv), "odd").select("id", "name", "description"))
+_add(
+    "saved_search_update", "SELECT 's-' || scan_id::VARCHAR AS id, CASE WHEN scan_id = 3 THEN 'mine' ELSE name END AS name, CASE WHEN scan_id = 3 THEN 'new' ELSE root END AS description FROM scans",
+    lambda inv: signatures.updated_search(_searches(inv), "s-3", "mine", description="new").select("id", "name", "description"),
+)
+
+# what an archive run derives from what it read
+
+
+def _attempts(inv: Inventory) -> tuple[DataFrame, DataFrame, DataFrame]:
+    ended = inv.archive_results.select("result_id", (F.col("height") % 5 != 4).alias("ended"), (F.col("fingerprint") != "print-7").alias("whole"))
+    below = inv.archive_results.select(F.col("result_id").alias("child_result_id"), F.col("reusable").alias("child_reusable"), F.col("height").alias("child_height"))
+    children = inv.archive_nested.join(below, "child_result_id").select(F.col("parent_result_id").alias("result_id"), "child_reusable", "child_height")
+    return inv.archive_errors, ended, children
+
+
+_add(
+    "archive_outcome",
+    """, e AS (SELECT result_id, count(*) AS n, count(*) FILTER (category = 'OPERATIONAL') AS op, count(*) FILTER (category IN ('LIMIT', 'CAPABILITY')) AS lim FROM archive_errors GROUP BY result_id),
+    c AS (SELECT parent_result_id AS result_id, bool_and(reusable) AS sound, max(height) + 1 AS above FROM archive_nested JOIN archive_results r ON r.result_id = child_result_id GROUP BY parent_result_id)
+    SELECT r.result_id, CASE WHEN n IS NULL THEN 'COMPLETE' ELSE 'PARTIAL' END AS state, coalesce(op, 0) > 0 AS retryable, height % 5 <> 4 AND fingerprint <> 'print-7' AND coalesce(op, 0) = 0 AND coalesce(lim, 0) = 0 AND coalesce(sound, true) AS reusable,
+    coalesce(above, 0)::INTEGER AS height FROM archive_results r LEFT JOIN e ON e.result_id = r.result_id LEFT JOIN c ON c.result_id = r.result_id""",
+    lambda inv: archives.outcome(*_attempts(inv)),
+)
+_add(
+    "archive_nested_sets",
+    f""", m AS (SELECT 'g-' || (7 * ordinal % 3)::VARCHAR AS group_key, CASE WHEN ordinal % 2 = 0 THEN 'single' ELSE 'rar-parts' END AS flavor, ordinal FROM archive_members WHERE result_id = '{_ONE}'),
+    s AS (SELECT group_key, min(flavor) AS flavor, min(ordinal) AS source_ordinal FROM m GROUP BY group_key) SELECT row_number() OVER (ORDER BY source_ordinal, group_key) AS sequence, group_key, flavor, source_ordinal FROM s""",
+    lambda inv: archives.nested_sets(inv.with_tables(archive_members=inv.archive_members.withColumn("group_key", F.concat(F.lit("g-"), (7 * F.col("ordinal") % 3).cast("string"))).withColumn("flavor", F.when(F.col("ordinal") % 2 == 0, "single").otherwise("rar-parts"))), _ONE),
+)
+_add(
+    "archive_volumes_of_result",
+    _VOLUMES + f"SELECT '{_ONE}' AS result_id, rn AS ordinal, slot, source_id, size FROM ranked WHERE group_key = (SELECT min(group_key) FROM vol WHERE flavor = 'zip-split')",
+    lambda inv: archives.volumes(_with_volumes(inv), _ONE).select("result_id", "ordinal", "slot", "source_id", "size"),
+)
+
+
+def _with_volumes(inv: Inventory) -> Inventory:
+    """The volumes of one set as those of one result."""
+    found = _volumes(inv)
+    first = found.filter("flavor = 'zip-split'").agg(F.min("group_key")).first()[0]
+    place = F.row_number().over(Window.partitionBy("group_key").orderBy(archives.volume_order(F.col("flavor"), F.col("slot")), "source_id"))
+    own = found.filter(F.col("group_key") == first).select(F.lit(_ONE).alias("result_id"), place.alias("ordinal"), "slot", "source_id", F.col("relative_path").alias("source_path"), "size", F.lit(None).cast("string").alias("sha256"))
+    return inv.with_tables(archive_volumes=own)
+
+
+_DISK = "00000002-0000-0000-0000-000000000001"
+_add("image_filesystems_of_result", f"SELECT '{_DISK}' AS result_id, nation + 1 AS filesystem_id, '/dev/sda1' AS device, 'ext4' AS type FROM disks WHERE k = 1", lambda inv: images.detail(inv, "image_filesystems", _DISK).select("result_id", "filesystem_id", "device", "type"))
+_add(
+    "image_partitions_of_result", f"SELECT '{_DISK}' AS result_id, '/dev/sda1' AS device, l_linenumber::BIGINT AS number, l_orderkey * 512 AS start_bytes FROM lineitem WHERE l_suppkey = 1",
+    lambda inv: images.detail(inv.with_tables(image_partitions=inv.image_entries.select("result_id", F.lit("/dev/sda1").alias("device"), (F.col("entry_id") % 8).alias("number"), (F.expr("entry_id div 8") * 512).alias("start_bytes"), F.lit(512).cast("long").alias("size_bytes"), F.lit("gpt").alias("table_type"))), "image_partitions", _DISK).select("result_id", "device", "number", "start_bytes"),
+)
+
+
+def _shapes(inv: Inventory) -> DataFrame:
+    """The fingerprint of each image's components, of their shape alone."""
+    parts = inv.image_components.groupBy("result_id").agg(F.sort_array(F.collect_list(F.struct("ordinal", "parent_ordinal", "role", "format", "size"))).alias("parts"))
+    made = F.udf(lambda rows: images.set_fingerprint([r.asDict() for r in rows], False), "string")  # a row an image, its components at most 256
+    return parts.select("result_id", made("parts").alias("fingerprint"))
+
+
+_BYTES = "printf('%016x', CASE WHEN {0} < 0 THEN 18446744073709551615::HUGEINT ELSE {0} END)"
+_UTF = "printf('%04x', strlen({0})) || lower(hex({0}))"
+_FORMAT = f"list_extract([{', '.join(repr(f) for f in ('qcow2', 'vmdk', 'raw', 'vpc', 'vdi'))}], (k % 5 + 1)::BIGINT)"
+_add(
+    "image_fingerprints",
+    f""", c AS (SELECT '00000002-0000-0000-0000-' || lpad(k::VARCHAR, 12, '0') AS result_id, o::BIGINT AS ordinal, (o - 1)::HUGEINT AS parent, list_extract(['PRIMARY', 'BACKING', 'EXTENT'], (o + 1)::BIGINT) AS role, {_FORMAT} AS format, (k % 7 * 1000)::BIGINT AS size
+        FROM disks, range(0, 3) r(o) WHERE m NOT IN (5, 6) AND (o = 0 OR (o = 1 AND k % 3 = 0) OR (o = 2 AND k % 6 = 0)))
+    SELECT result_id, sha256(unhex({_UTF.format("'" + images.SHAPE_TAG + "'")} || printf('%08x', count(*)) || string_agg(printf('%016x', ordinal) || CASE WHEN parent < 0 THEN 'ffffffffffffffff' ELSE printf('%016x', parent::BIGINT) END || {_UTF.format("role")} || {_UTF.format("format")} || printf('%016x', size), '' ORDER BY ordinal))) AS fingerprint FROM c GROUP BY result_id""",
+    _shapes,
+)
+
+# merging whole rows, its counts and ids; stored shapes
+
+_add(
+    "merge_row_counts", "SELECT 'scans' AS name, count(*) AS n FROM scans WHERE scan_id >= 3 UNION ALL SELECT 'entries', count(*) FROM entries WHERE scan_id >= 3 UNION ALL SELECT 'hashes', count(*) FROM hashes WHERE scan_id >= 3 UNION ALL SELECT 'scan_errors', count(*) FROM scan_errors WHERE scan_id >= 3 UNION ALL SELECT 'directories', count(*) FROM dirs WHERE scan_id >= 3",
+    lambda inv: merge.row_counts(_sides(inv)[0], ["scans", "entries", "directories", "hashes", "scan_errors"]),
+)
+_add("merge_id_range", _MAP + " SELECT min(new_scan_id) AS first_id, max(new_scan_id) AS last_id FROM map", lambda inv: merge.scan_map(*_sides(inv)).agg(F.min("new_scan_id").alias("first_id"), F.max("new_scan_id").alias("last_id")))
+_add(
+    "merge_multiset_rows", """, a AS (SELECT * FROM entries WHERE scan_id <> 4), b AS (SELECT * REPLACE (CASE WHEN entry_id % 40 = 7 THEN modified_nano + 1 ELSE modified_nano END AS modified_nano) FROM entries WHERE scan_id <> 5)
+    SELECT *, 'left' AS side FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL SELECT *, 'right' FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)""",
+    lambda inv: merge.differences(inv.entries.filter("scan_id <> 4"), inv.entries.filter("scan_id <> 5").withColumn("modified_nano", F.when(F.col("entry_id") % 40 == 7, F.col("modified_nano") + 1).otherwise(F.col("modified_nano")))),
+)
+_add(
+    "merge_imported", _MAP + " SELECT new_scan_id AS scan_id, entry_id, sha256 FROM hashes JOIN map ON old_scan_id = scan_id",
+    lambda inv: _imported(*_sides(inv)),
+)
+
+
+def _imported(source: Inventory, destination: Inventory) -> DataFrame:
+    scans = merge.scan_map(source, destination)
+    return merge.imported(destination.hashes.unionByName(merge.projected(source.hashes, scans, None)), scans, None)
+
+
+_add(
+    "schema_differences", "SELECT * FROM (VALUES ('entries.size: missing'), ('entries.kind: bigint, not string'), ('entries.more: unknown')) v(difference)",
+    lambda inv: inv.spark.createDataFrame([(x,) for x in differences(inv.entries.drop("size").withColumn("kind", F.lit(1).cast("long")).withColumn("more", F.lit(1)), "entries")], "difference string"),
+)
+
+
 # sources, over the tables' own files; what SQL cannot read has no twin
 
 
