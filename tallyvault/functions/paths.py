@@ -82,3 +82,10 @@ def encoded_windows(value: str) -> str:
     elif not re.match(r"//[^/]+/[^/]+", text):
         raise ValueError("a drive or a share is needed")
     return text[:-1] if len(text) > 3 and text.endswith("/") else text
+
+
+def safe_member(name: Column, most: int = 32_768) -> Column:
+    """A member's name within an archive as a relative path, empty and `.` parts left out; null for what could lead outside."""
+    parts = F.split(name, "/")
+    outside = name.startswith("/") | F.contains(name, F.lit("\\")) | F.contains(name, F.lit("\0")) | name.rlike(r"\A\p{L}:") | (F.octet_length(name) > most) | F.array_contains(parts, "..")
+    return F.when(~outside, F.array_join(F.filter(parts, lambda p: ~p.isin("", ".")), "/"))

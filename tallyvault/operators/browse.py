@@ -98,7 +98,12 @@ def breadcrumbs(inv: Inventory, scan_id: int, entry_id: int) -> DataFrame:
         raise Refused("the entry is nested too deep", "INVALID_INVENTORY")
     chain = ["", *("/".join(parts[: i + 1]) for i in range(len(parts)))]
     found = inv.entries.filter((F.col("scan_id") == scan_id) & F.col("relative_path").isin(chain))
-    return found.select("scan_id", "entry_id", "parent_id", "filename", "relative_path", F.when(F.col("relative_path") == "", 0).otherwise(paths.depth(F.col("relative_path")) + 1).alias("level")).orderBy("level")
+    shown = found.select("scan_id", "entry_id", "parent_id", "filename", "relative_path", F.when(F.col("relative_path") == "", 0).otherwise(paths.depth(F.col("relative_path")) + 1).alias("level"))
+    rows = shown.orderBy("level").collect()  # at most MOST_DEPTH
+    # each is its predecessor's child: a path that turns back or is stored twice is refused
+    if [r["relative_path"] for r in rows] != chain or any(b["parent_id"] != a["entry_id"] for a, b in zip(rows, rows[1:], strict=False)):
+        raise Refused("the entry's ancestors do not lead to the root", "INVALID_INVENTORY")
+    return inv.spark.createDataFrame(rows, shown.schema)
 
 
 def errors(inv: Inventory, scan_id: int, offset: int = 0, limit: int | None = None) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tallyvault.errors import Refused
 from tallyvault.functions.text import digest
 from tallyvault.inventory import Inventory
+from tallyvault.storage import numbered
 
 
 def to_hash(inv: Inventory, scan_id: int, rehash: bool = False, complete: bool = False) -> DataFrame:
@@ -102,3 +103,9 @@ def without_partial_walk(inv: Inventory, scan_id: int) -> DataFrame:
     """Entries without what an interrupted walk of the scan's active directory had recorded."""
     active = inv.scans.filter((F.col("scan_id") == scan_id) & F.col("active_dir").isNotNull()).select("scan_id", F.col("active_dir").alias("parent_id"))
     return inv.entries.join(F.broadcast(active), ["scan_id", "parent_id"], "left_anti")
+
+
+def sequence_page(files: DataFrame, order: list[str], after: int, limit: int) -> DataFrame:
+    """Of files numbered from 1 in an order those past `after`, `limit` at most: candidates of a scan or of its archives by
+    entry, of several scans by ordinal and entry."""
+    return numbered(files, order).filter((F.col("sequence") > after) & (F.col("sequence") <= after + limit))

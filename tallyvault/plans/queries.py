@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyvault import cursor
+from tallyvault import cursor, storage
 from tallyvault.functions import paths
 from tallyvault.inventory import Inventory
 from tallyvault.operators import archives, audit, browse, candidates, duplicates, images, merge, scenario, search, signatures
@@ -493,6 +493,22 @@ _add("path_depth", f"SELECT ({_DEPTH})::BIGINT AS depth, count(*) AS entries FRO
 _add("candidate_sequence", "SELECT scan_id, entry_id, row_number() OVER (PARTITION BY scan_id ORDER BY entry_id) AS sequence FROM entries WHERE kind = 'FILE'", lambda inv: inv.entries.filter("kind = 'FILE'").select("scan_id", "entry_id", F.row_number().over(Window.partitionBy("scan_id").orderBy("entry_id")).cast("long").alias("sequence")))
 
 
+# places in an order, and names of archives' members
+
+_add("cross_sequence", _CROSS + "SELECT scan_id, entry_id, row_number() OVER (ORDER BY scan_ordinal, entry_id) AS sequence FROM cand", lambda inv: storage.numbered(candidates.cross_candidates(inv, candidates.selected(inv, _NAMES)), ["scan_ordinal", "entry_id"]).select("scan_id", "entry_id", "sequence"))
+_add("archive_sequence", _FLAVORS + "SELECT source_id, row_number() OVER (ORDER BY source_id) AS sequence FROM sets", lambda inv: storage.numbered(archives.inputs(inv, 1), ["source_id"]).select("source_id", "sequence"))
+_add(
+    "candidate_page", "SELECT entry_id, row_number() OVER (ORDER BY entry_id) AS sequence FROM entries WHERE scan_id = 2 AND kind = 'FILE' ORDER BY entry_id LIMIT 9 OFFSET 12",
+    lambda inv: candidates.sequence_page(inv.entries.filter("scan_id = 2 and kind = 'FILE'"), ["entry_id"], 12, 9).select("entry_id", "sequence"),
+)
+_MEMBERS = ["{}", "./{}//x", "/{}", "a/../{}", "C:/{}", "a\\{}", "a/./{}/", "..{}", "é:{}"]
+_add(
+    "member_paths",
+    f""", n AS (SELECT scan_id, entry_id, replace(list_extract([{', '.join(repr(m) if chr(92) not in m else "'a' || chr(92) || '{}'" for m in _MEMBERS)}], (entry_id % 9 + 1)::BIGINT), '{{}}', relative_path) AS name FROM entries WHERE kind = 'FILE')
+    SELECT scan_id, entry_id, CASE WHEN starts_with(name, '/') OR contains(name, chr(92)) OR regexp_matches(name, '^\\p{{L}}:') OR list_contains(string_split(name, '/'), '..') THEN NULL ELSE array_to_string(list_filter(string_split(name, '/'), lambda p: p NOT IN ('', '.')), '/') END AS path FROM n""",
+    lambda inv: inv.entries.filter("kind = 'FILE'").withColumn("name", F.replace(F.element_at(F.array(*map(F.lit, _MEMBERS)), (F.col("entry_id") % 9 + 1).cast("int")), F.lit("{}"), F.col("relative_path"))).select("scan_id", "entry_id", paths.safe_member(F.col("name")).alias("path")),
+)
+
 # summaries, pages and cursors that other queries do not reach
 
 _add(

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
+from tallyvault import storage
 from tallyvault.storage import settle
 
 #: What an inventory store leaves beside its files.
@@ -153,8 +154,7 @@ def continued(spark: SparkSession, root: str, scan_id: int, folders: DataFrame,
 def _placed(read: DataFrame, scan_id: int, first: int, known: DataFrame | None) -> tuple[DataFrame, DataFrame]:
     """Found things with ids from `first` and their parents', which are among them or `known`."""
     found = read.withColumn("_level", F.when(F.col("relative_path") == "", 0).otherwise(F.size(F.split("relative_path", "/"))))
-    ordered = found.repartitionByRange("_level", "relative_path").sortWithinPartitions("_level", "relative_path")
-    numbered = settle(_numbered(ordered).withColumn("entry_id", F.col("entry_id") + (first - 1)))
+    numbered = settle(storage.numbered(found, ["_level", "relative_path"], "entry_id").withColumn("entry_id", F.col("entry_id") + (first - 1)))
     parents = numbered.filter("kind = 'DIRECTORY'").select(F.col("relative_path").alias("_folder"), F.col("entry_id").alias("_parent"))
     if known is not None:
         parents = parents.unionByName(known.select(F.col("relative_path").alias("_folder"), F.col("entry_id").alias("_parent")))
@@ -167,14 +167,3 @@ def _placed(read: DataFrame, scan_id: int, first: int, known: DataFrame | None)
         F.lit(scan_id).cast("long").alias("scan_id"), F.lit("DISCOVERY").alias("phase"), "relative_path", F.col("error").alias("message"), F.unix_millis(F.current_timestamp()).alias("recorded_at_ms")
     )
     return entries, errors
-
-
-def _numbered(ordered: DataFrame) -> DataFrame:
-    """entry_id from 1 in the frame's own order: counts by partition first, so no task sees all rows."""
-    marked = settle(ordered.withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id()))
-    before, offsets = 0, []
-    for r in marked.groupBy("_part").agg(F.count("*").alias("n"), F.min("_row").alias("first")).orderBy("_part").collect():  # a row a partition
-        offsets.append((r["_part"], before - r["first"] + 1))
-        before += r["n"]
-    table = ordered.sparkSession.createDataFrame(offsets, "_part int, _offset long")
-    return marked.join(F.broadcast(table), "_part").withColumn("entry_id", F.col("_row") + F.col("_offset")).drop("_part", "_row", "_offset")

@@ -25,15 +25,17 @@ VDI_MARK = 0xBEDA107F
 
 
 class Provider(Protocol):
-    def rows(self, table: str, result_id: str) -> list[dict]: ...
+    """Says what is inside an image, given by its path: the rows of a table, without their result_id."""
+
+    def rows(self, table: str, image: str) -> list[dict]: ...
 
 
 @dataclass
 class Fixture:
     tables: dict[str, list[dict]] = field(default_factory=dict)
 
-    def rows(self, table: str, result_id: str) -> list[dict]:
-        return [r for r in self.tables.get(table, []) if r["result_id"] == result_id]
+    def rows(self, table: str, image: str) -> list[dict]:
+        return [r for r in self.tables.get(table, []) if r["image"] == image]
 
 
 def described(head: bytes, tail: bytes = b"") -> dict:
@@ -79,16 +81,21 @@ def _descriptor(body: bytes, out: dict) -> dict:
     return out | {"format": "vmdk", "virtual_size": out["virtual_size"] or total, "backing": parent[1] if parent else None, "extents": [f for _, f in extents if f], "encrypted": bool(re.search(r"^encryption\.", text, re.MULTILINE))}
 
 
+def read_ends(path: str, length: int) -> tuple[bytes, bytes]:
+    """The first and the last bytes of a file of this file system."""
+    with open(path, "rb") as f:
+        head = f.read(HEAD)
+        f.seek(max(0, length - 512))
+        return head, f.read(512)
+
+
 def headers(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     """A row for each image at `paths`; only the ends of a file are read, of files of this file system by seeking."""
 
     def ends(path: str, length: int, content: bytes | None) -> tuple[bytes, bytes]:
         if content is not None:
             return content[:HEAD], content[-512:]
-        with open(local(path), "rb") as f:
-            head = f.read(HEAD)
-            f.seek(max(0, length - 512))
-            return head, f.read(512)
+        return read_ends(local(path), length)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 
 def settle(df: DataFrame) -> DataFrame:
@@ -20,3 +21,18 @@ def settle(df: DataFrame) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="tallyvault-"))
     return df.checkpoint(eager=True)
+
+
+def numbered(df: DataFrame, order: list[str | Column], name: str = "sequence") -> DataFrame:
+    """`df` with its rows' places from 1 in the order of some columns, which are sorted by range.
+
+    Counts by partition come first, so no task sees all rows, as one window over all would have it.
+    """
+    ordered = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    marked = settle(ordered.withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id()))
+    before, offsets = 0, []
+    for r in marked.groupBy("_part").agg(F.count("*").alias("n"), F.min("_row").alias("first")).orderBy("_part").collect():  # a row a partition
+        offsets.append((r["_part"], before - r["first"] + 1))
+        before += r["n"]
+    table = df.sparkSession.createDataFrame(offsets, "_part int, _offset long")
+    return marked.join(F.broadcast(table), "_part").withColumn(name, F.col("_row") + F.col("_offset")).drop("_part", "_row", "_offset")

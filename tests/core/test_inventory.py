@@ -342,6 +342,29 @@ def test_signatures_and_searches(searched):
     assert signatures.without(saved, saved.first()["id"]).isEmpty()
 
 
+def test_signatures_and_searches_are_updated(searched):
+    inv = searched
+    file = inv.hashes.first()
+    made = inv.with_tables(signatures=signatures.created(inv, file["scan_id"], file["entry_id"], "tag", "memo"))
+    id_ = made.signatures.first()["id"]
+    after = made.with_tables(signatures=signatures.updated(made, id_, tag="other"))
+    row = signatures.get(after.signatures, id_)
+    assert (row["tag"], row["memo"], row["sha256"]) == ("other", "memo", file["sha256"]) and row["updated_at"] >= row["created_at"]
+    assert signatures.listed(after).first()["files"] >= 1
+    for bad in ({"tag": " "}, {"tag": "x" * 121}, {"memo": "x" * 4001}):
+        with pytest.raises(InvalidFilter):
+            signatures.updated(after, id_, **bad)
+    with pytest.raises(Refused):
+        signatures.updated(after, "none", tag="x")
+    for name in ("one", "two"):
+        inv = inv.with_tables(saved_searches=signatures.saved_search(inv, "p", name, {}))
+    ids = {r["name"]: r["id"] for r in inv.saved_searches.collect()}
+    with pytest.raises(Refused, match="name"):
+        signatures.updated_search(inv, ids["one"], name="two")
+    changed = signatures.updated_search(inv, ids["one"], name="three", request={"extensions": ["txt"]})
+    assert {r["name"] for r in changed.collect()} == {"two", "three"} and "txt" in changed.filter("name = 'three'").first()["request_json"]
+
+
 def test_sound_inventories_pass_their_audit(searched, planned):
     for inv in (searched, planned):
         assert audit.counted(audit.rules(inv)).filter("failures > 0").collect() == []

@@ -202,6 +202,54 @@ def test_image_headers(spark, tmp_path):
     assert rows["c.raw"]["format"] == "raw"
 
 
+def test_images_of_a_scan_are_analysed(spark, tmp_path):
+    from tallyvault import cli
+    from tallyvault.operators import images
+    from tallyvault.sources import image_run
+
+    root, folder = tmp_path / "root", str(tmp_path / "store")
+    root.mkdir()
+
+    def qcow(backing):
+        name = backing.encode()
+        return struct.pack(">4sIQIIQI", b"QFI\xfb", 3, 104 if name else 0, len(name), 16, 1 << 30, 0).ljust(104, b"\0") + name
+
+    files = {"a.qcow2": qcow("base.qcow2"), "b.qcow2": qcow("base.qcow2"), "base.qcow2": qcow(""), "lost.qcow2": qcow("gone.qcow2"), "x.qcow2": qcow("y.qcow2"), "y.qcow2": qcow("x.qcow2"), "sick.img": b"\0" * 700, "note.txt": b"-"}
+    for name, body in files.items():
+        (root / name).write_bytes(body)
+    provider = image_headers.Fixture({
+        "image_filesystems": [{"image": "a.qcow2", "filesystem_id": 1, "device": "/dev/sda1", "type": "ext4", "state": "COMPLETE"}],
+        "image_entries": [{"image": "a.qcow2", "filesystem_id": 1, "entry_id": 2, "relative_path": "etc/x", "filename": "x", "kind": "FILE", "size": 4, "actual_size": 4, "sha256": "0" * 64, "integrity": "READ_OK"}],
+        "image_errors": [{"image": "sick.img", "category": "FILESYSTEM", "code": "MOUNT", "message": "cannot be mounted"}],
+    })
+    assert cli.run(spark, ["--store", folder, "scan", "--name", "one", "--root", str(root)], print) == cli.OK
+    store = Store(spark, folder)
+    assert image_run.publish(store, "one", provider, "fixture") == "COMPLETE_WITH_ERRORS"
+    inv = store.load()
+    jobs = {r["relative_path"]: r for r in inv.image_jobs.collect()}
+    assert {k: (r["state"], r["duplicate"]) for k, r in jobs.items()} == {
+        "a.qcow2": ("COMPLETE", False), "b.qcow2": ("COMPLETE", True), "base.qcow2": ("COMPONENT", False), "lost.qcow2": ("PARTIAL", False), "x.qcow2": ("PARTIAL", False), "y.qcow2": ("PARTIAL", False), "sick.img": ("PARTIAL", False),
+    }
+    assert jobs["x.qcow2"]["diagnostic"] == "an image depends on itself"
+    assert jobs["a.qcow2"]["result_id"] == jobs["b.qcow2"]["result_id"] and jobs["base.qcow2"]["component_of"] == jobs["a.qcow2"]["source_id"]
+    assert "MISSING_COMPONENT" in jobs["lost.qcow2"]["diagnostic"]
+    tree = {(r["ordinal"], r["parent_ordinal"], r["role"]) for r in images.component_tree(inv).filter(F.col("result_id") == jobs["a.qcow2"]["result_id"]).collect()}
+    assert tree == {(0, -1, "PRIMARY"), (1, 0, "BACKING")}
+    assert images.detail(inv, "image_entries", jobs["a.qcow2"]["result_id"]).count() == 1
+    assert [r["code"] for r in images.errors(inv, "one").filter("code = 'MOUNT'").collect()] == ["MOUNT"]
+    # a second scan of the same files asks for nothing that is known
+
+    class Counting:
+        def rows(self, table, image):
+            raise AssertionError(f"{image} was asked for")
+
+    (root / "sick.img").unlink()
+    assert cli.run(spark, ["--store", folder, "scan", "--name", "two", "--root", str(root)], print) == cli.OK
+    image_run.publish(store, "two", Counting(), "fixture")
+    again = {r["relative_path"]: r for r in store.load().image_jobs.filter("scan_id = 2").collect()}
+    assert again["a.qcow2"]["result_id"] == jobs["a.qcow2"]["result_id"] and again["a.qcow2"]["duplicate"]
+
+
 def test_streamed_hashes_come_in_once(spark, tmp_path):
     tables = {t: spark.createDataFrame([], schemas.SCHEMAS[t]) for t in schemas.BASE}
     tables["entries"] = spark.createDataFrame([(1, 2, 1, "f", "f", "FILE", 1, 0, 0), (1, 3, 1, "g", "g", "FILE", 1, 0, 0)], schemas.SCHEMAS["entries"])
