@@ -257,3 +257,41 @@ def test_pipeline_stages(spark, sf_dir):
     assert packed.filter("piece = 0").count() == mix.count()
     assert packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).filter(F.col("n") > packing.CAPACITY).isEmpty()
     assert isinstance(language.UNKNOWN, str)
+
+
+def test_pipeline_of_odd_and_empty_tables(spark, odd, docs, words, tmp_path):
+    """Null and empty texts are in no language and go; of rows alike one stays; clashing columns are kept to the last stage but one."""
+    frame = odd
+    for name, stage in corpus_pipeline.STAGES:
+        after = stage(spark, frame, "")
+        empty = stage(spark, frame.limit(0), "")
+        assert empty.isEmpty(), name
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert after.columns == odd.columns and empty.columns == odd.columns, name
+            frame = after.persist()
+    assert {r["doc_id"] for r in frame.select("doc_id").collect()} <= {3, 4, 7, None}
+    odd.limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).isEmpty()
+
+
+def test_pipeline_rejects_what_no_label_explains(spark, docs, words):
+    import random
+
+    from tallyvault.llm import language
+
+    dice = random.Random(8)
+    known = [(i, words(i % 4, 60), "s", "aa") for i in range(40)]
+    strange = [(100 + i, "".join(chr(0x4E00 + dice.randrange(3000)) for _ in range(200)), "s", None) for i in range(5)] + [(200, None), (201, "…!"), (202, "")]
+    table = docs(known + strange)
+    kept = {r["doc_id"] for r in corpus_pipeline.known_language(spark, table, "").collect()}
+    model = language.fit(table)
+
+    def explained(text):
+        plain = "".join(map(chr, language.points(text or "")))
+        if not any(c.isalpha() for c in plain):
+            return False
+        cost = [model.phrases([language.points(text)])[0, k] for k in range(len(model.langs))]
+        return min(cost) * len(plain) <= model.most[cost.index(min(cost))] * len(plain) + language.FIRST_PHRASES
+
+    assert kept == {r["doc_id"] for r in table.collect() if explained(r["text"])} and set(range(40)) <= kept
+    assert not kept & set(range(100, 203))
