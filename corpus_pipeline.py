@@ -13,27 +13,37 @@ from tallyvault.llm.common import settle, table
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the documents in a language that the labels of `documents` teach."""
+    """Keep the documents in a language that the labels of `documents` teach.
+
+    Null texts and texts without a letter are in no language and go; repeated rows are judged
+    alike; without labels all texts with a letter stay.
+    """
     return language.accepted(docs, language.fit(docs))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near duplicates."""
+    """Keep one document of each group of near duplicates.
+
+    Rows without an id or without words stay, as do all that differ; of repeated rows one stays.
+    """
     return near.deduplicated(docs)
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Mask personal data in every text; all documents stay."""
+    """Mask personal data in every text; all documents stay, null and empty texts as they are."""
     return pii.mask(docs)
 
 
 def to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeat documents, or leave them out, as the sources' weights have it; the budget is the tokens that came in."""
+    """Repeat documents, or leave them out, as the sources' weights have it, in block permutations; the budget is the tokens that came in.
+
+    A null source is one source.  Repeated rows are in the mix each by itself.
+    """
     return mixing.resampled(docs)
 
 
 def into_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack the documents' tokens into sequences."""
+    """Pack the documents' tokens into sequences; null and empty texts are the end token alone, repeated rows are packed each."""
     return packing.packed(docs)
 
 
@@ -45,7 +55,7 @@ STAGES = [
     ("packing", into_sequences),
 ]
 
-#: Language identification, deobfuscation and tokens are not within reach of SQL; tests/llm/test_table_operators.py checks the stages, the mix by brute force.
+#: Language identification, deobfuscation and tokens are not within reach of SQL; tests/llm/test_table_operators.py checks the stages: rejection, near duplicates, masks and the mix by brute force, packing by its pieces.
 ORACLE_SQL = None
 
 
