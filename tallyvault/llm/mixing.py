@@ -187,9 +187,9 @@ def placed(items: DataFrame, targets: DataFrame, block_tokens: int = BLOCK_TOKEN
     return each.withColumn("block", F.floor(F.col("at") * blocks).cast("long")).select(*KEYS, "_j", "copy", "block", "at", "weight")
 
 
-def shuffled(seed: int) -> list[Column]:
+def shuffled(seed: int, copy: str = "copy") -> list[Column]:
     """The order of copies within a block."""
-    return [F.md5(F.concat_ws("/", F.lit(seed), "__tv_key", "copy")), F.col("__tv_key"), F.col("copy"), F.col("__tv_source"), F.col("__tv_tokens")]
+    return [F.md5(F.concat_ws("/", F.lit(seed), "__tv_key", copy)), F.col("__tv_key"), F.col(copy), F.col("__tv_source"), F.col("__tv_tokens")]
 
 
 def targets_of(items: DataFrame, budget: int | None, entropy: float, most_repeats: float) -> DataFrame:
@@ -220,23 +220,23 @@ def mixed(docs: DataFrame, budget: int | None = None, entropy: float = ENTROPY,
 
 
 def numbered(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """`docs` with its key, source and tokens, and _j: the number of a row among those alike.
+    """`docs` with its key, source and tokens, and __tv_j: the number of a row among those alike.
 
     Rows without their like have 1 and are not moved.  Others are numbered in two steps, over
     partitions and within one, so that no task holds more than a partition's part of them.
     """
     keyed = counted(docs).withColumn("__tv_key", key_of())
     again = items.filter("_m > 1").select(*KEYS)
-    some = again.count()
+    some, first = again.count(), F.lit(1).cast("long")
     if not some:
-        return keyed.withColumn("_j", F.lit(1).cast("long"))
+        return keyed.withColumn("__tv_j", first)
     many = F.broadcast(again) if some <= BROADCAST_ROWS else again
     rows = settle(keyed.join(many, list(KEYS), "left_semi").withColumn("__tv_row", F.monotonically_increasing_id()).withColumn("__tv_part", F.shiftright("__tv_row", 33)))
-    counts = rows.groupBy(*KEYS, "__tv_part").agg(F.count("*").alias("_n"))
-    ahead = counts.withColumn("_ahead", F.sum("_n").over(Window.partitionBy(*KEYS).orderBy("__tv_part")) - F.col("_n")).drop("_n")
+    counts = rows.groupBy(*KEYS, "__tv_part").agg(F.count("*").alias("__tv_n"))
+    ahead = counts.withColumn("__tv_ahead", F.sum("__tv_n").over(Window.partitionBy(*KEYS).orderBy("__tv_part")) - F.col("__tv_n")).drop("__tv_n")
     own = F.row_number().over(Window.partitionBy(*KEYS, "__tv_part").orderBy("__tv_row"))
-    told = rows.withColumn("_own", own).join(ahead, [*KEYS, "__tv_part"]).withColumn("_j", (F.col("_ahead") + F.col("_own")).cast("long"))
-    return keyed.join(many, list(KEYS), "left_anti").withColumn("_j", F.lit(1).cast("long")).unionByName(told.drop("__tv_row", "__tv_part", "_ahead", "_own"))
+    told = rows.withColumn("__tv_own", own).join(ahead, [*KEYS, "__tv_part"]).withColumn("__tv_j", (F.col("__tv_ahead") + F.col("__tv_own")).cast("long"))
+    return keyed.join(many, list(KEYS), "left_anti").withColumn("__tv_j", first).unionByName(told.drop("__tv_row", "__tv_part", "__tv_ahead", "__tv_own"))
 
 
 def resampled(docs: DataFrame, budget: int | None = None, entropy: float = ENTROPY, most_repeats: float = MOST_REPEATS, block_tokens: int = BLOCK_TOKENS, seed: int = SEED) -> DataFrame:
@@ -247,7 +247,7 @@ def resampled(docs: DataFrame, budget: int | None = None, entropy: float = ENTRO
     repeated rows are as in `mixed`; an empty table gives an empty one.
     """
     items = alike(docs)
-    copies = settle(placed(items, targets_of(items, budget, entropy, most_repeats), block_tokens, seed, fill=True).select(*KEYS, "_j", "copy", "block"))
+    copies = settle(placed(items, targets_of(items, budget, entropy, most_repeats), block_tokens, seed, fill=True).select(*KEYS, F.col("_j").alias("__tv_j"), F.col("copy").alias("__tv_copy"), F.col("block").alias("__tv_block")))
     few = F.broadcast(copies) if copies.count() <= BROADCAST_ROWS else copies
-    out = numbered(docs, items).join(few, [*KEYS, "_j"])
-    return out.repartition("block").sortWithinPartitions("block", *shuffled(seed)).select(*docs.columns)
+    out = numbered(docs, items).join(few, [*KEYS, "__tv_j"])
+    return out.repartition("__tv_block").sortWithinPartitions("__tv_block", *shuffled(seed, "__tv_copy")).select(*docs.columns)

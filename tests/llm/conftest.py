@@ -24,7 +24,7 @@ def odd(docs):
 
     rows = [(1, None), (2, ""), (3, "the same words in this text again"), (3, "the same words in this text again"), (None, "no id at all here"), (None, None), (4, "x" * 70_000), (5, "\n \t"), (6, "…!?"), (7, "the same words in this text again"), (3, "another text of a shared id")]
     made = docs(rows)
-    for c in ("rep", "node", "size", "count", "label", "score", "term", "_range", "_rn", "_key", "_source", "sequence_id", "length", "kind", "side", "_text", "_hash", "_tokens", "_copy"):
+    for c in ("rep", "node", "size", "count", "label", "score", "term", "_range", "_rn", "_key", "_source", "sequence_id", "length", "kind", "side", "_text", "_hash", "_tokens", "_copy", "copy", "block", "_j", "_m", "at", "goal", "weight", "vec", "same", "marked", "base", "added", "lang_pred", "_row", "_n"):
         made = made.withColumn(c, F.lit(c))
     return made
 
