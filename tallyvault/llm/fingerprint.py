@@ -30,6 +30,10 @@ LEAST = 2
 #: Rows of a range, about; more where that would make over MOST_RANGES, whose bounds the driver holds.
 RANGE_ROWS = 500
 MOST_RANGES = 50_000
+#: An id with so many ranges' rows is dealt by its texts, into so many ranges at most.
+HOT_RANGES, TEXT_RANGES = 8, 1024
+#: Such ids whose bounds (8 KB each) are broadcast; more are joined by shuffling.
+MOST_CUTS = 2_000
 #: A lexicon over this size is joined by shuffling.  It holds at most (mean distinct terms a document) / LOW terms, however many documents there are.
 BROADCAST_TERMS = 400_000
 _NOT_TERM = "[^\\p{L}\\p{N}]+"
@@ -53,12 +57,21 @@ def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
     return settle(settle(band.select("term", digest.alias("_digest"))).select("term", F.expr(own).alias("marked"))).filter(F.size("marked") > 0)
 
 
+def below(value: str, most: int) -> Column:
+    """How many of the sorted `_bounds`, `most` at most, are under a value, by halving."""
+    mid = "(c.a + c.b) div 2"
+    step = f"if(c.a >= c.b, c, if(_bounds[int({mid})] < {value}, named_struct('a', {mid} + 1L, 'b', c.b), named_struct('a', c.a, 'b', {mid})))"
+    return F.expr(f"aggregate(sequence(1, {most.bit_length() + 1}), named_struct('a', 0L, 'b', bigint(size(_bounds))), (c, i) -> {step}).a")
+
+
 def ranged(docs: DataFrame, rows: int = RANGE_ROWS) -> DataFrame:
     """_range, _rn, doc_id, text, _ghost and next_text: documents in falling order of id, with the text of the next one.
 
-    The order is by doc_id, null last, then by text.  Ranges fall in the same order.  After
-    its own rows each range holds a ghost, the first row of the next range that has any (of
-    the last range: the very first row), so that what a range needs of its neighbour is there.
+    The order is by doc_id, null last, then by text.  Ranges fall in the same order.  Rows of
+    an id that very many rows share are dealt by the first bytes of their texts, so only those
+    that begin alike share a task.  After its own rows each range holds a ghost, the first row
+    of the next range that has any (of the last range: the very first row), so that what a
+    range needs of its neighbour is there.
     """
     lowest = -(1 << 63)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -69,12 +82,16 @@ def ranged(docs: DataFrame, rows: int = RANGE_ROWS) -> DataFrame:
     bounds = base.agg(F.percentile_approx(key, shares, 10 * pieces + 1000)).first()[0] if shares and n else []
     bounds = sorted(set(bounds or []))
     array = F.array(*map(F.lit, bounds)) if bounds else F.lit(None)
-    # how many bounds are under the id, by halving
-    steps = len(bounds).bit_length()
-    mid = "(c.a + c.b) div 2"
-    halving = f"aggregate(sequence(1, {{s}}), named_struct('a', 0L, 'b', {{n}}L), (c, i) -> if(c.a >= c.b, c, if(_bounds[int({mid})] < _id, named_struct('a', {mid} + 1L, 'b', c.b), named_struct('a', c.a, 'b', {mid})))).a"
-    under = F.expr(halving.format(s=steps + 1, n=len(bounds))) if bounds else F.lit(0)
+    under = below("_id", len(bounds)) if bounds else F.lit(0)
     dealt = base.withColumn("_id", key).withColumn("_bounds", array).withColumn("_range", F.lit(len(bounds)) - under).drop("_bounds")
+    # an id that many rows have, or none, is dealt into ranges of its texts, by their first bytes; it is the greatest of its range
+    hot = settle(dealt.groupBy("_id").agg(F.count("*").alias("_rows")).filter(F.col("_rows") > HOT_RANGES * rows)) if n > HOT_RANGES * rows else None
+    if hot is not None and not hot.isEmpty():
+        head = F.conv(F.rpad(F.hex(F.substring(F.col("text").cast("binary"), 1, 7)), 14, "0"), 16, 10).cast("long")
+        headed = dealt.withColumn("_head", head)
+        cuts = headed.join(hot, "_id", "left_semi").groupBy("_id").agg(F.percentile_approx("_head", [i / TEXT_RANGES for i in range(1, TEXT_RANGES)], 100 * TEXT_RANGES).alias("_bounds"))
+        cuts = settle(cuts)
+        dealt = headed.join(F.broadcast(cuts) if cuts.count() <= MOST_CUTS else cuts, "_id", "left").withColumn("_range", F.col("_range") * (4 * TEXT_RANGES) + F.when(F.col("_bounds").isNull(), 2 * TEXT_RANGES).otherwise(below("_head", TEXT_RANGES))).drop("_bounds", "_head")
     tops = settle(dealt.groupBy("_range").agg(F.max("_id").alias("_id")))
     # a row a range: the range before it, around the end
     order = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)

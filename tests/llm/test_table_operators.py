@@ -226,6 +226,16 @@ def test_fingerprints_in_small_ranges(docs, words, duck_of):
     assert ours == theirs
 
 
+def test_fingerprints_of_ids_that_many_rows_share(docs, words, duck_of):
+    rows = [(i, words(i, 8)) for i in range(60)] + [(None, words(300 + i % 70, 9)) for i in range(90)] + [(31, words(500 + i, 7)) for i in range(80)] + [(31, ""), (None, "é" * 9), (None, None)]
+    table = docs(rows)
+    lines = oracles.FINGERPRINTS.replace(f"{fingerprint.HIGH} *", "0.2 *")
+    ours, theirs = compared(fingerprint.fingerprints(table, high=0.2, rows=5), duck_of(table), lines)
+    assert ours == theirs
+    counts = [r["count"] for r in fingerprint.ranged(table, 5).filter("_ghost = 0").groupBy("_range").count().collect()]
+    assert max(counts) < 30 and sum(counts) == len(rows)
+
+
 def test_fingerprints_of_odd_tables(odd, docs):
     rows = fingerprint.fingerprints(odd).collect()
     assert len(rows) == odd.count()
