@@ -32,8 +32,8 @@ MOST_REPEATS = 4.0
 BLOCK_TOKENS = 1 << 20
 STEPS = 50
 SEED = 7
-#: Rows of a slice, about; a slice is a range of the first 16 bits of the order's hash.
-SLICE_ROWS = 2_000
+#: Rows of a slice, about; a slice is a range of the first 20 bits of the order's hash.
+SLICE_ROWS = 250
 #: Tables of more rows (of sources, or of documents' copies; about 60 bytes each) are joined by shuffling, others broadcast.
 BROADCAST_ROWS = 250_000
 #: Sources whose counts come to the driver for the bisection; of more, each step is an aggregate, with the same result.
@@ -171,9 +171,9 @@ def dealt(rows: DataFrame) -> DataFrame:
 def placed(items: DataFrame, targets: DataFrame, block_tokens: int = BLOCK_TOKENS, seed: int = SEED, fill: bool = False) -> DataFrame:
     """The copies of the mix: key, source and tokens of `items` (see `alike`), with _j, copy, block, at (0 to 1 in its source's budget) and weight."""
     n = items.count()
-    bits = max(0, min(16, (max(1, n // SLICE_ROWS)).bit_length()))
+    bits = max(0, min(20, (max(1, n // SLICE_ROWS)).bit_length()))
     order = F.md5(F.concat_ws("/", F.lit(seed), "__tv_key"))
-    slices = items.withColumn("_order", order).withColumn("_slice", F.shiftright(F.conv(F.substring("_order", 1, 4), 16, 10).cast("int"), 16 - bits))
+    slices = items.withColumn("_order", order).withColumn("_slice", F.shiftright(F.conv(F.substring("_order", 1, 5), 16, 10).cast("int"), 20 - bits))
     sources = targets.select(F.col("source").alias("__tv_source"), F.col("tokens").alias("_all"), "goal", "weight")
     small = sources.count() <= BROADCAST_ROWS
     known = along(slices).join(F.broadcast(sources) if small else sources, "__tv_source").withColumn("_rounds", F.expr("goal div _all")).withColumn("_rest", F.expr("goal % _all"))
