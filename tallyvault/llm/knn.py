@@ -131,8 +131,8 @@ def nearest(vectors: DataFrame, is_query: str, k: int = K, query_block: int = QU
     never compared.  Of rows with one vec_id each is a candidate, and the query's vector
     is the greatest of them.  Other columns are ignored; an empty table gives no rows.
     """
-    # 128 bits of a vector's hash tell it from others
-    told = usable(vectors).withColumn("dim", F.size("vec")).withColumn("same", F.concat(F.hex(F.xxhash64(F.lit(1), "vec")), F.lit("-"), F.hex(F.xxhash64(F.lit(2), "vec"))))
+    # a hash tells an id's vectors apart; a row is left out as one of many equal ones only where over k + 1 share theirs
+    told = usable(vectors).withColumn("dim", F.size("vec")).withColumn("same", F.xxhash64("vec"))
     kept = settle(told.groupBy("vec_id", "dim", "same").agg(F.first("vec").alias("vec"), F.count("*").alias("n")))
     n = kept.count()
     queries = settle(kept.filter(is_query).groupBy("vec_id", "dim").agg(F.max("vec").alias("vec")))
@@ -153,20 +153,20 @@ def nearest(vectors: DataFrame, is_query: str, k: int = K, query_block: int = QU
     # a block goes by the row, not by the id alone, which many rows may share
     coded = queries.mapInPandas(code, "vec_id long, dim int, q binary, scale double")
     sides = dealt(coded, F.xxhash64(F.lit("i"), "vec_id"), "i", rows, "j", columns)
-    coded = kept.drop("n").select("vec_id", "dim", "same", "vec").mapInPandas(code, "vec_id long, dim int, same string, q binary, scale double")
+    coded = kept.drop("n").select("vec_id", "dim", "same", "vec").mapInPandas(code, "vec_id long, dim int, same long, q binary, scale double")
     others = dealt(coded, F.xxhash64(F.lit("j"), "vec_id", "same"), "j", columns, "i", rows)
 
     def tile(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(q) and len(c):
-            own = representatives(c["vec_id"].to_numpy(), np.unique(c["same"].to_numpy().astype(str), return_inverse=True)[1], k + 1)
+            own = representatives(c["vec_id"].to_numpy(), c["same"].to_numpy(), k + 1)
             c = c.iloc[own]
             ids, same, dim = c["vec_id"].to_numpy(), c["same"].to_numpy(), int(q["dim"].iloc[0])
             a, b = (np.frombuffer(b"".join(x["q"]), np.int8).reshape(len(x), dim) for x in (q, c))
-            out = [(query, ids[at], list(same[at]), low, high) for query, at, low, high in bounded(q["vec_id"].to_numpy(), a, q["scale"].to_numpy(), ids, b, c["scale"].to_numpy(), k)]
+            out = [(query, ids[at], same[at], low, high) for query, at, low, high in bounded(q["vec_id"].to_numpy(), a, q["scale"].to_numpy(), ids, b, c["scale"].to_numpy(), k)]
         return pd.DataFrame({"query_id": np.array([o[0] for o in out], np.int64)} | {name: pd.Series([o[i] for o in out], dtype=object) for i, name in enumerate(("vec_ids", "sames", "lows", "highs"), 1)})
 
-    shape = "query_id long, vec_ids array<long>, sames array<string>, lows array<double>, highs array<double>"
+    shape = "query_id long, vec_ids array<long>, sames array<long>, lows array<double>, highs array<double>"
     keys = ["dim", "i", "j"]
     found = sides.groupBy(*keys).cogroup(others.groupBy(*keys)).applyInPandas(tile, shape)
 
@@ -195,14 +195,14 @@ def nearest(vectors: DataFrame, is_query: str, k: int = K, query_block: int = QU
 
     def surviving(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def out() -> Iterator[pd.DataFrame]:
-            for query, s in by_query(batches, lambda: Survivors(k), lambda s, r: s.add(np.asarray(r.vec_ids, np.int64), np.asarray(r.sames, str), np.asarray(r.lows, np.float64), np.asarray(r.highs, np.float64))):
+            for query, s in by_query(batches, lambda: Survivors(k), lambda s, r: s.add(np.asarray(r.vec_ids, np.int64), np.asarray(r.sames, np.int64), np.asarray(r.lows, np.float64), np.asarray(r.highs, np.float64))):
                 ids, same, _ = s.left()
-                yield pd.DataFrame({"query_id": np.full(len(ids), query, np.int64), "vec_id": ids, "same": same.astype(object)})
+                yield pd.DataFrame({"query_id": np.full(len(ids), query, np.int64), "vec_id": ids, "same": same})
 
         yield from chunked(out(), ["query_id", "vec_id", "same"])
 
     ordered = found.repartition(parts(found), "query_id").sortWithinPartitions("query_id")
-    pairs = settle(ordered.mapInPandas(surviving, "query_id long, vec_id long, same string"))
+    pairs = settle(ordered.mapInPandas(surviving, "query_id long, vec_id long, same long"))
     fetched = pairs.join(kept.select("vec_id", "same", "dim", "vec", "n"), ["vec_id", "same"]).join(queries.select(F.col("vec_id").alias("query_id"), "dim", F.col("vec").alias("own")), ["query_id", "dim"])
 
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
