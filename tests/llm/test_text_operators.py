@@ -251,7 +251,7 @@ def disguised(dice, kind):
     digit_words = list(pii.DIGIT_WORDS)
     number = lambda n: "".join(dice.choice("0123456789") for _ in range(n))
     look = {v: k for k, v in pii.LOOKALIKES.items() if v.isalpha()}
-    wide = lambda s: "".join(chr(ord(c) + 0xFEE0) if c.isdigit() and dice.random() < 0.5 else c for c in s)
+    wide = lambda s: "".join(chr(ord(c) + 0xFEE0) if c in "0123456789" and dice.random() < 0.5 else c for c in s)
     arabic = lambda s: "".join(chr(0x0660 + int(c)) if c.isdigit() else c for c in s)
     hidden = lambda s: s[:2] + dice.choice(pii.INVISIBLE) + s[2:]
     spelled = lambda s: dice.choice([" ", "-", ", "]).join(next(w for w in digit_words if pii.DIGIT_WORDS[w] == c and w != "oh") for c in s)
