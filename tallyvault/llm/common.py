@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyvault.storage import settle
 
 
-__all__ = ["fold", "parts", "settle", "table"]
+__all__ = ["bounded", "fold", "parts", "placed", "settle", "table"]
+
+#: A table of at most so many short rows may be broadcast.
+BROADCAST_ROWS = 250_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,3 +26,24 @@ def fold(doc_id: Column, folds: int) -> Column:
 def parts(df: DataFrame) -> int:
     """Shuffle partitions of the session, for explicit repartitions."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def bounded(small: DataFrame) -> DataFrame:
+    """`small`, a table of short rows, to be broadcast if it has at most BROADCAST_ROWS; else to be joined by shuffling."""
+    return F.broadcast(small) if small.count() <= BROADCAST_ROWS else small
+
+
+def placed(df: DataFrame, group: str, order: list[str]) -> DataFrame:
+    """`df` with each row's place (__tv_place, from 0) in the order of some columns within its group, and the group's size (__tv_size).
+
+    Rows are sorted by range over all groups, so a group may lie in many tasks; the counts
+    of each task and group then give every task its groups' first places.  `group` is not
+    null.  Rows that are equal in all of `order` meet in one task.
+    """
+    ordered = df.repartitionByRange(group, *order).sortWithinPartitions(group, *order)
+    marked = settle(ordered.withColumn("__tv_part", F.spark_partition_id()).withColumn("__tv_row", F.monotonically_increasing_id()))
+    runs = marked.groupBy("__tv_part", group).agg(F.count("*").alias("__tv_n"), F.min("__tv_row").alias("__tv_first"))
+    every = Window.partitionBy(group)  # a row a task that holds some of the group
+    before = F.sum("__tv_n").over(every.orderBy("__tv_part").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("__tv_n")
+    firsts = settle(runs.select("__tv_part", group, (before - F.col("__tv_first")).alias("__tv_before"), F.sum("__tv_n").over(every).alias("__tv_size")))
+    return marked.join(bounded(firsts), ["__tv_part", group]).withColumn("__tv_place", F.col("__tv_row") + F.col("__tv_before")).drop("__tv_part", "__tv_row", "__tv_before")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyvault.llm import fingerprint, knn, mixing, near
+from tallyvault.llm import fingerprint, knn, lines, merkle, mixing, near
 
 MIXING = f"""WITH RECURSIVE items AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(doc_id::VARCHAR, '') AS k, len(string_split_regex(trim(coalesce(text, '')), '[ \\n\\t\\r]+'))::BIGINT AS n FROM documents),
 src AS (SELECT source, sum(n)::BIGINT AS tokens, sum(n) / (SELECT sum(n) FROM items) AS p FROM items GROUP BY source),
@@ -59,4 +59,38 @@ def _likeness(a: str, b: str) -> str:
 
 FINGERPRINTS = FINGERPRINTS.replace("@EDITED", _likeness("f", "e")).replace("@NEXT", _likeness("f", "x"))
 
-ORACLES = {"op1_source_mixing": MIXING, "op6_nearest_neighbours": NEAREST, "op9_ngram_jaccard_join": NEAR, "op10_document_fingerprints": FINGERPRINTS}
+_BLANKS = " || ".join(f"chr({c})" for c in (32, 9, 10, 11, 12, 13))
+LINES = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT r, doc_id, i, ln, translate(trim(ln, {_BLANKS}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM (SELECT r, doc_id, unnest(ls) AS ln, generate_subscripts(ls, 1) AS i FROM d)),
+common AS (SELECT k FROM l WHERE k <> '' GROUP BY k HAVING count(DISTINCT r) >= {lines.LEAST}),
+told AS (SELECT l.*, c.k IS NOT NULL AS gone FROM l LEFT JOIN common c ON c.k = l.k)
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(ln, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM told GROUP BY r"""
+
+
+def _levels(name: str, first: str) -> str:
+    """Levels of digests (g, k, ds), from the leaves of each group up to one node."""
+    return f"""{name}(g, k, ds) AS ({first} UNION ALL SELECT g, k + 1, list_transform(range(0, (len(ds) + 1) // 2), lambda i: sha256(ds[2 * i + 1] || coalesce(ds[2 * i + 2], ''))) FROM {name} WHERE len(ds) > 1)"""
+
+
+def _leaf(n_chars: str) -> str:
+    fields = [f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen({c}::VARCHAR) || ':' || {c}::VARCHAR END" for c in (n_chars if c == "n_chars" else c for c in merkle.COLUMNS)]
+    return f"sha256({' || '.join(fields)})"
+
+
+_CRC = "xor(list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), lambda a, b: list_reduce(list_prepend(xor(a, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: xor(x >> 1, (x & 1) * 3988292384))), 4294967295)"
+MERKLE = f"""WITH RECURSIVE d AS (SELECT *, CASE WHEN lang IS NULL THEN '' ELSE '=' || lang END AS g, {_leaf("n_chars")} AS leaf, {_leaf(f"(n_chars + CASE WHEN {_CRC} % {merkle.TAMPERED} = 0 THEN 1 ELSE 0 END)")} AS told FROM documents),
+p AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM d),
+{_levels("up", "SELECT g, 0, list(leaf ORDER BY i) FROM p GROUP BY g")},
+subs AS (SELECT g, arg_max(ds[1], k) AS subroot, max(k) AS depth, row_number() OVER (ORDER BY g) - 1 AS i FROM up GROUP BY g),
+{_levels("top", "SELECT '', 0, list(subroot ORDER BY i) FROM subs")},
+whole AS (SELECT arg_max(ds[1], k) AS root FROM top),
+steps AS (SELECT p.g, p.i, up.k, p.i >> up.k AS spot, ds FROM p JOIN up ON up.g = p.g WHERE len(ds) > 1
+UNION ALL SELECT p.g, p.i, subs.depth + top.k, subs.i >> top.k, ds FROM p JOIN subs ON subs.g = p.g, top WHERE len(ds) > 1),
+sides AS (SELECT g, i, k, CASE WHEN spot % 2 = 1 THEN 'L' WHEN spot + 1 < len(ds) THEN 'R' ELSE '-' END AS side, coalesce(ds[xor(spot, 1) + 1], '') AS sib FROM steps),
+proofs AS (SELECT g, i, string_agg(sib, '' ORDER BY k) AS sibs, list(side || sib ORDER BY k) AS path FROM sides GROUP BY g, i),
+folded AS (SELECT p.doc_id, p.leaf, subs.subroot, whole.root, sha256(coalesce(sibs, '')) AS proof_sha256,
+list_reduce(list_prepend(p.told, coalesce(path, [])), lambda a, b: sha256(CASE WHEN b[1] = 'L' THEN b[2:] || a WHEN b[1] = 'R' THEN a || b[2:] ELSE a END)) AS folded_root
+FROM p JOIN subs ON subs.g = p.g LEFT JOIN proofs q ON q.g = p.g AND q.i = p.i, whole)
+SELECT *, folded_root = root AS verified FROM folded"""
+
+ORACLES = {"op1_source_mixing": MIXING, "op6_nearest_neighbours": NEAREST, "op9_ngram_jaccard_join": NEAR, "op10_document_fingerprints": FINGERPRINTS, "op11_line_dedup": LINES, "op13_merkle_manifest": MERKLE}

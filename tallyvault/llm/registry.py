@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyvault.llm import fingerprint, knn, language, mixing, near, oracles, packing, pii, secrets, tokens, toxicity
+from tallyvault.llm import fingerprint, knn, language, lines, merkle, mixing, near, oracles, overwrite, packing, pii, secrets, tokens, toxicity
 from tallyvault.llm.common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -74,12 +74,27 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many lines each text loses that ten documents share, and the digest of what stays (see `lines.marked`)."""
+    return lines.digests(table(spark, sf_dir, "documents"))
+
+
+def op12_late_arrival_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files of the sales by day after late rows have overwritten the days they change (see `overwrite.overwritten`)."""
+    return overwrite.digests(table(spark, sf_dir, "sales"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's leaf, roots and proof, and whether it verifies when some tell a wrong length (see `merkle.manifest`)."""
+    return merkle.digests(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {"pipeline": corpus_pipeline.run} | {
         f.__name__: f
         for f in (
             op1_source_mixing, op1_source_mixing_filled, op2_best_fit_packing, op3_toxicity, op4_secret_scans, op5_token_counts,
-            op6_nearest_neighbours, op7_language_id, op8_pii, op9_ngram_jaccard_join, op10_document_fingerprints,
+            op6_nearest_neighbours, op7_language_id, op8_pii, op9_ngram_jaccard_join, op10_document_fingerprints, op11_line_dedup, op12_late_arrival_overwrite, op13_merkle_manifest,
         )
     }
 
