@@ -78,7 +78,7 @@ def _leaf(n_chars: str) -> str:
 
 
 _CRC = "xor(list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), lambda a, b: list_reduce(list_prepend(xor(a, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: xor(x >> 1, (x & 1) * 3988292384))), 4294967295)"
-MERKLE = f"""WITH RECURSIVE d AS (SELECT *, CASE WHEN lang IS NULL THEN '' ELSE '=' || lang END AS g, {_leaf("n_chars")} AS leaf, {_leaf(f"(n_chars + CASE WHEN {_CRC} % {merkle.TAMPERED} = 0 THEN 1 ELSE 0 END)")} AS told FROM documents),
+MERKLE = f"""WITH RECURSIVE d AS (SELECT *, CASE WHEN lang IS NULL THEN '' ELSE '=' || lang END AS g, {_leaf("n_chars")} AS leaf, {_leaf(f"(n_chars + CASE WHEN doc_id IS NOT NULL AND {_CRC} % {merkle.TAMPERED} = 0 THEN 1 ELSE 0 END)")} AS told FROM documents),
 p AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM d),
 {_levels("up", "SELECT g, 0, list(leaf ORDER BY i) FROM p GROUP BY g")},
 subs AS (SELECT g, arg_max(ds[1], k) AS subroot, max(k) AS depth, row_number() OVER (ORDER BY g) - 1 AS i FROM up GROUP BY g),
