@@ -10,15 +10,16 @@ from pyspark.sql import functions as F
 from tallyvault.errors import Refused
 from tallyvault.functions.text import digest
 from tallyvault.inventory import Inventory
+from tallyvault.operators import hot
 from tallyvault.storage import numbered
 
 
 def to_hash(inv: Inventory, scan_id: int, rehash: bool = False, complete: bool = False) -> DataFrame:
     """Files of a scan to hash: of the unhashed those whose size repeats in the scan (or all), and on request the hashed."""
     files = inv.entries.filter((F.col("scan_id") == scan_id) & (F.col("kind") == "FILE"))
-    repeated = files.groupBy("size").count().filter("count > 1").select("size", F.lit(True).alias("repeated"))
-    known = files.join(inv.hashes.filter(F.col("scan_id") == scan_id), ["scan_id", "entry_id"], "left").join(repeated, "size", "left")
-    unhashed = F.col("sha256").isNull() & (F.lit(complete) | F.coalesce("repeated", F.lit(False)))
+    known = files.join(inv.hashes.filter(F.col("scan_id") == scan_id), ["scan_id", "entry_id"], "left")
+    known = hot.joined(known, files.groupBy("size").agg(F.count("*").alias("_n")), ["size"], "_n", ["scan_id", "entry_id"])
+    unhashed = F.col("sha256").isNull() & (F.lit(complete) | (F.col("_n") > 1))
     return known.filter(unhashed | (F.lit(rehash) & F.col("sha256").isNotNull())).select("scan_id", "entry_id", "relative_path", "size", "modified_sec", "modified_nano", "sha256")
 
 
@@ -64,7 +65,7 @@ def cross_sizes(inv: Inventory, chosen: DataFrame) -> DataFrame:
 def cross_candidates(inv: Inventory, chosen: DataFrame) -> DataFrame:
     """Files of such sizes with their digest, if any."""
     files = inv.entries.filter("kind = 'FILE'").join(F.broadcast(chosen), "scan_id")
-    gated = files.join(cross_sizes(inv, chosen).select("size"), "size", "left_semi")
+    gated = hot.joined(files, cross_sizes(inv, chosen).select("size", "files"), ["size"], "files", ["scan_id", "entry_id"])
     return gated.join(inv.hashes, ["scan_id", "entry_id"], "left").select("scan_id", "entry_id", "scan_ordinal", "relative_path", "size", "sha256")
 
 

@@ -9,7 +9,7 @@ from tallyvault import cursor, spec
 from tallyvault.errors import InvalidFilter, Refused
 from tallyvault.functions import paths
 from tallyvault.inventory import Inventory, scan
-from tallyvault.operators import candidates
+from tallyvault.operators import candidates, hot
 from tallyvault.operators import predicates as P
 
 DONE = ("COMPLETE", "COMPLETE_WITH_ERRORS")
@@ -20,12 +20,12 @@ def hashed_files(inv: Inventory) -> DataFrame:
 
 
 def with_counts(files: DataFrame, counts: list[Column], kept: Column) -> DataFrame:
-    """Files of the contents whose counts pass `kept`, with the counts.
+    """Files of the contents whose counts (`copies` among them) pass `kept`, with the counts.
 
-    The counts are an aggregate, combined before it is shuffled, that is joined back: unlike
-    a window's, a content that most files have is no single task, as a skewed join is split.
+    The counts are combined before they are shuffled and joined back so that a content
+    that most files have is no single task.
     """
-    return files.join(files.groupBy("size", "sha256").agg(*counts).filter(kept), ["size", "sha256"])
+    return hot.joined(files, files.groupBy("size", "sha256").agg(*counts).filter(kept), ["size", "sha256"], "copies", ["scan_id", "entry_id"])
 
 
 def report(inv: Inventory, name: str, allow_partial: bool = False) -> DataFrame:

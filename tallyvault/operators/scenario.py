@@ -20,7 +20,7 @@ from tallyvault.errors import InvalidScenario, Refused
 from tallyvault.functions import paths
 from tallyvault.functions.text import digest
 from tallyvault.inventory import Inventory
-from tallyvault.operators import duplicates
+from tallyvault.operators import duplicates, hot
 from tallyvault.operators import predicates as P
 from tallyvault.storage import settle
 
@@ -94,8 +94,8 @@ def decisions(inv: Inventory, config: dict, overrides: DataFrame | None = None)
     plan = normal(config)
     wanted = spec.group_search(plan["request"])
     found = duplicates.flagged(inv, plan["request"])
-    matches = duplicates.groups(inv, plan["request"]).select("size", "sha256")
-    rows = _located(found.join(matches, ["size", "sha256"], "left_semi"), inv)
+    matches = duplicates.groups(inv, plan["request"]).select("size", "sha256", F.col("occurrences").alias("_n"))
+    rows = _located(hot.joined(found, matches, ["size", "sha256"], "_n", ["scan_id", "entry_id"]).drop("_n"), inv)
     protected = F.lit(False)
     for p in plan["protections"]:
         protected = protected | _at(p.get("path") or "", p.get("scan_id"))
@@ -107,8 +107,8 @@ def decisions(inv: Inventory, config: dict, overrides: DataFrame | None = None)
     }).join(history(inv, wanted["scan_ids"]), "path_key"))
     # facts of a group: an aggregate joined back, as a group may hold most of the files
     order = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(_order(plan))])
-    keepers = flags.groupBy("group_id").agg(F.min_by("path_key", order).alias("keep_key"), F.bool_or(~F.col("conflicting") & ~F.col("path_error")).alias("has_keeper"))
-    chosen = flags.join(keepers, "group_id")
+    keepers = flags.groupBy("group_id").agg(F.min_by("path_key", order).alias("keep_key"), F.bool_or(~F.col("conflicting") & ~F.col("path_error")).alias("has_keeper"), F.count("*").alias("_n"))
+    chosen = hot.joined(flags, keepers, ["group_id"], "_n", ["scan_id", "entry_id"])
     steps = [
         (F.col("is_protected"), "KEEP", "PROTECTED"), (~F.col("target"), "KEEP", "OUTSIDE_SCOPE"), (F.col("conflicting"), "UNRESOLVED", "CONFLICTING_HISTORY"),
         (F.col("path_error"), "UNRESOLVED", "RECORDED_ERROR"), (~F.col("has_keeper"), "UNRESOLVED", "NO_CONFIRMED_KEEPER"),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallyvault import cursor, spec
 from tallyvault.functions import paths
 from tallyvault.inventory import Inventory
+from tallyvault.operators import hot
 from tallyvault.operators import predicates as P
 from tallyvault.storage import settle
 
@@ -36,7 +37,8 @@ def matching(inv: Inventory, request: dict) -> DataFrame:
     """Every file that a request finds, with its scan, its copies and the key it is sorted by."""
     wanted = spec.file_search(request)
     seen = P.observations(inv, wanted["scan_ids"])
-    return _shown(_found(inv, seen.join(P.copies(seen), ["size", "sha256"], "left"), wanted))
+    counted = hot.joined(seen, P.copies(seen), ["size", "sha256"], "copies", ["scan_id", "entry_id"], keep=True)
+    return _shown(_found(inv, counted, wanted))
 
 
 def keys(falling: bool) -> list[tuple[Column, bool]]:

@@ -295,25 +295,39 @@ def test_plans_that_take_too_long_are_cancelled(spark):
 
 
 def test_one_content_that_most_files_have(spark, monkeypatch):
-    """No task of a report or a plan holds a hot content: there is no window by content."""
-    from tallyvault.operators import scenario
-
-    rows = [(1, i, 0, f"d{i % 7}/f{i}", f"f{i}", "FILE", 5 if i % 10 else 6, 100 + i, 0) for i in range(1, 3001)]
-    digests = [(1, i, ("a" if i % 10 else "b" if i % 20 else "c") * 64) for i in range(1, 3001)]
+    """No task of a report, a comparison, a search or a plan gets the rows of a hot content, by the rows that leave each task."""
+    from tallyvault.operators import hot, scenario
+
+    n, tasks = 60_000, 40
+    name = F.concat(F.lit("f"), F.col("entry_id").cast("string"))
+    common = F.col("entry_id") % 10 != 0
+    ids_ = spark.range(1, n + 1).select(F.explode(F.array(*[F.lit(s).cast("long") for s in (1, 2)])).alias("scan_id"), F.col("id").alias("entry_id"))
+    entries = ids_.select("scan_id", "entry_id", F.lit(0).cast("long").alias("parent_id"), name.alias("relative_path"), name.alias("filename"), F.lit("FILE").alias("kind"), F.when(common, 5).otherwise(F.col("entry_id")).cast("long").alias("size"), F.col("entry_id").alias("modified_sec"), F.lit(0).alias("modified_nano"))
+    digests = ids_.select("scan_id", "entry_id", F.when(common, F.lit("a" * 64)).otherwise(F.sha2(F.col("entry_id").cast("string"), 256)).alias("sha256"))
+    heads = [(s, f"scan-{s}", f"/r{s}", "COMPLETE", "SHA-256", None, n + 1, None, None) for s in (1, 2)]
     inv = Inventory(spark, {t: spark.createDataFrame([], schemas.SCHEMAS[t]) for t in schemas.BASE}).with_tables(
-        scans=spark.createDataFrame([(1, "one", "/r", "COMPLETE", "SHA-256", None, 3001, None, None)], schemas.SCHEMAS["scans"]),
-        entries=spark.createDataFrame(rows, schemas.SCHEMAS["entries"]), hashes=spark.createDataFrame(digests, schemas.SCHEMAS["hashes"]),
-    )
-    spark.conf.set("spark.sql.shuffle.partitions", "200")
+        scans=spark.createDataFrame(heads, schemas.SCHEMAS["scans"]), entries=entries.persist(), hashes=digests.persist()
+    )
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    monkeypatch.setattr(hot, "HOT", 3)
     try:
-        report = duplicates.report(inv, "one")
-        assert report.groupBy("copies").count().orderBy("copies").collect() == [(150, 300), (2700, 2700)]
-        plan = scenario.decisions(inv, {"request": {"scan_ids": [1]}, "rules": [{"kind": "NEWEST"}]})
-        assert {r[0] for r in plan.filter("decision = 'KEEP'").select("entry_id").collect()} == {2999, 2990, 3000}
-        for df in (report, plan):
-            assert "Window" not in df._jdf.queryExecution().optimizedPlan().toString()
+        for k, v in zip(before, (str(tasks), "false", "-1"), strict=True):
+            spark.conf.set(k, v)
+        files = duplicates.hashed_files(inv)
+        counted = duplicates.with_counts(files, [F.count("*").alias("copies")], F.col("copies") > 1)
+        plan = scenario.decisions(inv, {"request": {"scan_ids": [1, 2]}, "rules": [{"kind": "NEWEST"}]})
+        gated = candidates.cross_candidates(inv, candidates.selected(inv, ["scan-1", "scan-2"]))
+        found = search.matching(inv, {"scan_ids": [1, 2]})
+        for what, df in (("report", counted), ("plan", plan), ("sizes", gated), ("search", found), ("to hash", candidates.to_hash(inv, 1, rehash=True))):
+            shares = [r["count"] for r in df.groupBy(F.spark_partition_id().alias("task")).count().collect()]
+            assert sum(shares) == (n if what == "to hash" else 2 * n), what
+            assert max(shares) < 3 * sum(shares) / tasks, (what, max(shares))
+        assert {r["copies"]: r["count"] for r in counted.groupBy("copies").count().collect()} == {2: n // 10 * 2, n // 10 * 18: n // 10 * 18}
+        kept = {r[0] for r in plan.filter("decision = 'KEEP' and size = 5").select("entry_id").collect()}
+        assert kept == {n - 1}  # the newest of the common content, by name the first
     finally:
-        spark.conf.set("spark.sql.shuffle.partitions", "2")
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def test_conflicting_history_is_unresolved(spark):
