@@ -46,6 +46,7 @@ def grouped(df: DataFrame) -> Iterator[str]:
 
 
 def loaded(store: Store) -> Inventory:
+    """With all base tables, empty if need be."""
     found = store.load()
     return found.with_tables(**{t: getattr(found, t) for t in BASE})
 
@@ -89,13 +90,13 @@ def resumed(store: Store, name: str) -> None:
         head = store.spark.createDataFrame([tuple(own[c] for c in SCHEMAS["scans"].names)], SCHEMAS["scans"])
         # a directory that is walked again replaces what was recorded under it
         fresh = kept.join(F.broadcast(open_.select("scan_id", F.col("entry_id").alias("parent_id"))), ["scan_id", "parent_id"], "left_anti").select(*SCHEMAS["entries"].names)
-        store.save(scan=id_, scans=head, entries=fresh.unionByName(entries), directories=folders.unionByName(deeper), scan_errors=inv.scan_errors.filter(mine).unionByName(errors))
+        store.save(scan=id_, base=inv.revision, scans=head, entries=fresh.unionByName(entries), directories=folders.unionByName(deeper), scan_errors=inv.scan_errors.filter(mine).unionByName(errors))
         inv = loaded(store)
         open_ = candidates.unfinished_directories(inv, id_, MOST_DIRECTORIES)
         rows = open_.collect()
     if own["active_dir"] is not None or own["phase"] == "DISCOVERING":
         own |= {"active_dir": None, "phase": "READY", "updated_at": datetime.now(timezone.utc)}
-        store.save(scan=id_, scans=store.spark.createDataFrame([tuple(own[c] for c in SCHEMAS["scans"].names)], SCHEMAS["scans"]))
+        store.save(scan=id_, base=inv.revision, scans=store.spark.createDataFrame([tuple(own[c] for c in SCHEMAS["scans"].names)], SCHEMAS["scans"]))
 
 
 def hashed(store: Store, name: str, rehash: bool, complete: bool) -> int:
@@ -108,7 +109,7 @@ def hashed(store: Store, name: str, rehash: bool, complete: bool) -> int:
     some = not failed.isEmpty()
     own |= {"phase": "COMPLETE_WITH_ERRORS" if some else "COMPLETE", "updated_at": datetime.now(timezone.utc)}
     head = store.spark.createDataFrame([tuple(own[c] for c in SCHEMAS["scans"].names)], SCHEMAS["scans"])
-    store.save(scan=id_, scans=head, hashes=candidates.upserted(inv.hashes.filter(mine), new), scan_errors=failed)
+    store.save(scan=id_, base=inv.revision, scans=head, hashes=candidates.upserted(inv.hashes.filter(mine), new), scan_errors=failed)
     return PARTIAL if some else OK
 
 

@@ -1,8 +1,10 @@
 """An inventory: named tables, and their immutable generations on storage.
 
-A save writes what changed into new generation folders and then swaps one small manifest
-that names the live generations.  Readers follow the manifest, so an unfinished save is
-invisible and the one before it stays whole.
+A save writes what changed into new generation folders and then adds one small manifest,
+numbered and created exclusively, that names the live generations.  Readers follow the last
+manifest, so an unfinished save is invisible and the one before it stays whole.  Of two
+saves at once one gets the number; the other looks at what has been saved since it read,
+and goes on after it, or is refused if both touch the same scan of a table.
 
 Tables with a scan_id are stored by scan, and the manifest names the generations of each
 scan of a table: a new scan, or new digests of one, write that scan alone, and a filter
@@ -12,15 +14,24 @@ on scan_id reads only its folders.  Other tables are lists of generations.
 from __future__ import annotations
 
 import json
+import os
 import uuid
 from dataclasses import dataclass, field
+from pathlib import Path
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyvault.errors import InvalidInventory, Refused
 from tallyvault.schemas import BASE, SCHEMAS, VERSION, conforming
 
 
+#: Manifests that are kept; a save that has read an older one is refused.
+KEPT = 1_000
+#: Attempts to get the next number.
+ATTEMPTS = 100
+
+
 def by_scan(table: str) -> bool:
     return "scan_id" in SCHEMAS[table].names
 
@@ -29,6 +40,8 @@ def by_scan(table: str) -> bool:
 class Inventory:
     spark: SparkSession
     tables: dict[str, DataFrame] = field(default_factory=dict)
+    #: of the store that the tables were loaded from
+    revision: int | None = None
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_") or name not in SCHEMAS:
@@ -38,7 +51,7 @@ class Inventory:
         return self.tables[name]
 
     def with_tables(self, **tables: DataFrame) -> Inventory:
-        return Inventory(self.spark, self.tables | tables)
+        return Inventory(self.spark, self.tables | tables, self.revision)
 
     def features(self) -> set[str]:
         return {"base"} | {f for f in ("archive", "image") if f"{f}_runs" in self.tables}
@@ -53,10 +66,23 @@ class Store:
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def manifest(self) -> dict:
-        path = self._path(f"{self.folder}/MANIFEST.json")
+    def revision(self) -> int:
+        """The number of the last manifest."""
+        log = self._path(f"{self.folder}/_manifests")
+        found = self._fs.listStatus(log) if self._fs.exists(log) else []
+        return max((int(n.removesuffix(".json")) for n in (str(f.getPath().getName()) for f in found) if n.endswith(".json") and not n.startswith(".")), default=0)
+
+    def _log(self, revision: int) -> str:
+        return f"{self.folder}/_manifests/{revision:020d}.json"
+
+    def manifest(self, revision: int | None = None) -> dict:
+        """The last manifest, or an earlier one that is still kept."""
+        number = self.revision() if revision is None else revision
+        if number == 0:
+            return {"version": VERSION, "revision": 0, "tables": {}, "touched": []}
+        path = self._path(self._log(number))
         if not self._fs.exists(path):
-            return {"version": VERSION, "revision": 0, "tables": {}}
+            raise Refused("the store has changed too often meanwhile", "SCENARIO_REVISION_CONFLICT")
         stream = self._fs.open(path)
         try:
             text = bytes(b & 255 for b in stream.readAllBytes()).decode()
@@ -77,7 +103,9 @@ class Store:
         return self.spark.read.schema(SCHEMAS[name]).option("basePath", f"{self.folder}/{name}").parquet(*folders).select(*SCHEMAS[name].names)
 
     def load(self) -> Inventory:
-        return Inventory(self.spark, {name: conforming(self._read(name, live), name) for name, live in self.manifest()["tables"].items()})
+        """The tables of the last manifest, and its number."""
+        found = self.manifest()
+        return Inventory(self.spark, {name: conforming(self._read(name, live), name) for name, live in found["tables"].items()}, found["revision"])
 
     def _write(self, name: str, df: DataFrame, generation: str) -> list[str]:
         """Write rows as a generation; of a table by scan, the scans that it has."""
@@ -90,54 +118,118 @@ class Store:
         found = self._fs.listStatus(self._path(path))
         return sorted((n.removeprefix("scan_id=") for n in (str(f.getPath().getName()) for f in found) if n.startswith("scan_id=")), key=lambda n: (len(n), n))
 
-    def save(self, revision: int | None = None, scan: int | None = None, append: bool | tuple[str, ...] = False, **tables: DataFrame) -> int:
-        """Publish new generations; `revision` is what the caller read, and a different live one is refused.
+    def save(self, revision: int | None = None, scan: int | None = None, append: bool | tuple[str, ...] = False, base: int | None = None, **tables: DataFrame) -> int:
+        """Publish new generations; the number they got.
 
         A table is replaced as a whole, unless `append` (for all tables, or those named) adds
         the rows to those there are, or `scan` replaces what it has of that scan alone.  Only
         tables by scan know the latter.
+
+        With `revision` nothing may have been saved since that manifest.  With `base`, the
+        manifest whose tables the caller has read, nothing that this save touches may have
+        been.  With neither, what is replaced must not be saved by others while this save
+        writes; rows that are appended join whatever there is by then.
         """
-        before = self.manifest()
-        if revision is not None and revision != before["revision"]:
+        before = self.manifest()["revision"]
+        since = before if base is None else base
+        if revision is not None and revision != before:
             raise Refused("the store has changed meanwhile", "SCENARIO_REVISION_CONFLICT")
-        generation, live = uuid.uuid4().hex, dict(before["tables"])
+        generation, changes = uuid.uuid4().hex, []  # changes: table, scan or none, whether rows are added
         for name, df in tables.items():
-            old, added = live.get(name, {} if by_scan(name) else []), name in append if isinstance(append, tuple) else append
+            added = name in append if isinstance(append, tuple) else append
             if not by_scan(name):
                 if scan is not None and not added:
                     raise Refused(f"{name} is not stored by scan", "UNSUPPORTED_SCHEMA")
                 self._write(name, df, generation)
-                live[name] = [*old, generation] if added else [generation]
+                changes.append((name, None, added))
                 continue
-            new = {s: [generation] for s in self._write(name, df if scan is None or added else df.filter(df.scan_id == scan), generation)}
+            only = scan if not added else None
+            new = self._write(name, df if only is None else df.filter(df.scan_id == only), generation)
             if added:
-                live[name] = old | {s: [*old.get(s, []), generation] for s in new}
-            elif scan is not None:
-                live[name] = {s: g for s, g in old.items() if s != str(scan)} | new
+                changes += [(name, s, True) for s in new]
+            else:
+                changes.append((name, None if only is None else str(only), False))
+                tables = tables | {name: new}  # the scans it has now
+        for _ in range(ATTEMPTS):
+            live = self.manifest()
+            if revision is not None and revision != live["revision"]:
+                raise Refused("the store has changed meanwhile", "SCENARIO_REVISION_CONFLICT")
+            self._compatible(changes, since, live, base is not None)
+            after = {"version": VERSION, "revision": live["revision"] + 1, "tables": self._after(live["tables"], changes, tables, generation), "touched": changes}
+            if self._create(after["revision"], json.dumps(after, sort_keys=True)):
+                self._fs.delete(self._path(self._log(after["revision"] - KEPT)), False)
+                return after["revision"]
+        raise Refused("others save all the time", "SCENARIO_REVISION_CONFLICT")
+
+    def _compatible(self, changes: list, since: int, live: dict, read: bool) -> None:
+        """Refuse changes that touch what others have saved since; rows that both only add are compatible unless the caller has read first."""
+        for number in range(since + 1, live["revision"] + 1):
+            for table, scan_, added in self.manifest(number)["touched"]:
+                for own, mine, adds in changes:
+                    same = own == table and (mine == scan_ or mine is None or scan_ is None)
+                    if same and (read or not (adds and added)):
+                        raise Refused(f"{table} has changed meanwhile", "SCENARIO_REVISION_CONFLICT")
+        known = live["tables"].get("scans", {})
+        if taken := [s for table, s, added in changes if table == "scans" and added and s in known]:
+            raise Refused(f"scan {taken[0]} has been saved meanwhile", "SCENARIO_REVISION_CONFLICT")
+
+    @staticmethod
+    def _after(live: dict, changes: list, tables: dict, generation: str) -> dict:
+        out = dict(live)
+        for name, scan_, added in changes:
+            old = out.get(name, {} if by_scan(name) else [])
+            if not by_scan(name):
+                out[name] = [*old, generation] if added else [generation]
+            elif added:
+                out[name] = old | {scan_: [*old.get(scan_, []), generation]}
             else:
-                live[name] = new
-        after = {"version": VERSION, "revision": before["revision"] + 1, "tables": live}
-        self._swap(json.dumps(after, sort_keys=True))
-        return after["revision"]
+                kept = {} if scan_ is None else {s: g for s, g in old.items() if s != scan_}
+                out[name] = kept | {s: [generation] for s in tables[name]}
+        for name in tables:  # an append without rows still makes the table
+            out.setdefault(name, {} if by_scan(name) else [])
+        return out
 
     def compact(self, *names: str) -> int:
-        """Write tables anew, so that many small generations become one."""
+        """Write tables anew, so that many small generations become one; refused if they change meanwhile."""
         found = self.load()
-        return self.save(revision=self.manifest()["revision"], **{n: getattr(found, n) for n in names or found.tables})
+        return self.save(base=found.revision, **{n: getattr(found, n) for n in names or found.tables})
+
+    def _create(self, revision: int, text: str) -> bool:
+        """Make a manifest of this number unless there is one; it is whole when it is there.
 
-    def _swap(self, text: str) -> None:
-        new, live = self._path(f"{self.folder}/.MANIFEST-{uuid.uuid4().hex}"), self._path(f"{self.folder}/MANIFEST.json")
-        self._fs.mkdirs(self._path(self.folder))
+        A link on a local file system, a rename that replaces nothing on others: both are
+        atomic on file systems that have one name server.
+        """
+        live = self._path(self._log(revision))
+        self._fs.mkdirs(live.getParent())
+        if self._fs.getUri().getScheme() == "file":
+            final = Path(str(self._fs.makeQualified(live).toUri().getPath()))
+            new = final.with_name(f".{uuid.uuid4().hex}")
+            new.write_text(text)
+            try:
+                os.link(new, final)
+                return True
+            except FileExistsError:
+                return False
+            finally:
+                new.unlink()
+        new = self._path(f"{self.folder}/_manifests/.{uuid.uuid4().hex}")
         stream = self._fs.create(new, True)
         try:
             stream.write(bytearray(text.encode()))
         finally:
             stream.close()
-        context = self.spark.sparkContext._jvm.org.apache.hadoop.fs.FileContext.getFileContext(live.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
-        rename = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename
-        options = self.spark.sparkContext._gateway.new_array(rename, 1)
-        options[0] = rename.OVERWRITE
-        context.rename(new, live, options)
+        jvm = self.spark.sparkContext._jvm.org.apache.hadoop.fs
+        options = self.spark.sparkContext._gateway.new_array(jvm.Options.Rename, 1)
+        options[0] = jvm.Options.Rename.NONE
+        try:
+            jvm.FileContext.getFileContext(live.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration()).rename(new, live, options)
+            return True
+        except Py4JJavaError:
+            if not self._fs.exists(live):
+                raise
+            self._fs.delete(new, False)
+            return False
 
 
 def scan(inv: Inventory, name: str) -> dict:

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from tallyvault.errors import Refused
 from tallyvault.inventory import Inventory, scan
-from tallyvault.operators import dag
+from tallyvault.operators import dag, hot
 from tallyvault.operators import predicates as P
+from tallyvault.storage import settle
 
 # fixed values: file names of archives and their volumes, the first that fits counts: (pattern of stem and number, flavor, added to the number)
 NAMES = (
@@ -135,17 +136,33 @@ def cached(wanted: DataFrame, results: DataFrame, depth: int) -> DataFrame:
 
 
 def outcome(errors: DataFrame, results: DataFrame, children: DataFrame) -> DataFrame:
-    """State, flags and height of finished attempts: complete without errors, retryable after operational ones,
-    reusable if the end was reached without limits and every child is reusable, one higher than the highest child."""
+    """State, flags and height of finished attempts: complete without errors, retryable after operational ones or if a child is
+    (child_retryable, where it is given), reusable if the end was reached without limits and every child is reusable, one higher than the highest child."""
     flags = errors.groupBy("result_id").agg(F.count_if(F.col("category") == "OPERATIONAL").alias("operational"), F.count_if(F.col("category").isin("LIMIT", "CAPABILITY")).alias("limits"), F.count("*").alias("errors"))
-    below = children.groupBy("result_id").agg(F.bool_and("child_reusable").alias("sound"), (F.max("child_height") + 1).alias("above"))
+    children = children if "child_retryable" in children.columns else children.withColumn("child_retryable", F.lit(None).cast("boolean"))
+    below = children.groupBy("result_id").agg(F.bool_and("child_reusable").alias("sound"), F.bool_or("child_retryable").alias("later"), (F.max("child_height") + 1).alias("above"))
     known = results.join(flags, "result_id", "left").join(below, "result_id", "left").fillna(0, ["operational", "limits", "errors"])
     return known.select(
-        "result_id", F.when(F.col("errors") == 0, "COMPLETE").otherwise("PARTIAL").alias("state"), (F.col("operational") > 0).alias("retryable"),
-        (F.col("ended") & F.col("whole") & (F.col("operational") == 0) & (F.col("limits") == 0) & F.coalesce("sound", F.lit(True))).alias("reusable"), F.coalesce("above", F.lit(0)).cast("int").alias("height"),
+        "result_id", F.when(F.col("errors") == 0, "COMPLETE").otherwise("PARTIAL").alias("state"), ((F.col("operational") > 0) | F.coalesce("later", F.lit(False))).alias("retryable"),
+        (F.col("ended") & F.col("whole") & (F.col("operational") == 0) & ~F.coalesce("later", F.lit(False)) & (F.col("limits") == 0) & F.coalesce("sound", F.lit(True))).alias("reusable"), F.coalesce("above", F.lit(0)).cast("int").alias("height"),
     )
 
 
+def resolved(rows: DataFrame) -> DataFrame:
+    """What tasks told (what, reader, result_id, ordinal, child_result_id, and of a result its final_id and how many rows it has) under the results' final names.
+
+    Each result's rows are those of one task.  Those of sets that changed meanwhile, or of no finished result, go.
+    """
+    sound = rows.join(rows.filter("what = 'changed'").select("reader"), "reader", "left_anti")
+    named = settle(sound.filter("what = 'result'").select(F.col("result_id").alias("own"), "final_id", "told"))
+    chosen = named.groupBy("final_id").agg(F.min_by(F.struct("own", "told"), "own").alias("c")).select(F.col("c.own").alias("result_id"), F.col("final_id").alias("name"), F.col("c.told").alias("told"))
+    kept = hot.joined(sound.drop("told"), chosen, ["result_id"], "told", ["ordinal", "what"])
+    children = named.select(F.col("own").alias("child_result_id"), F.col("final_id").alias("child"))
+    nested = kept.filter("what = 'nested'").join(children, "child_result_id").withColumn("child_result_id", F.col("child")).drop("child")
+    rest = kept.filter("what <> 'nested'")
+    return rest.unionByName(nested.select(*rest.columns)).withColumn("result_id", F.col("name")).drop("name")
+
+
 def nested_sets(inv: Inventory, result_id: str) -> DataFrame:
     """The archives within one result, in the order their first member stands."""
     own = inv.archive_members.filter((F.col("result_id") == result_id) & F.col("group_key").isNotNull())

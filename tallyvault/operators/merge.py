@@ -109,5 +109,5 @@ def merge(source: Inventory, store: Store, dry_run: bool = False, salt: str = "m
         if not differences(copy, imported(merged[t], scans, results.get(t.split("_")[0]))).isEmpty():
             raise Refused(f"{t} was not copied as it is", "ROW_CONTENT_MISMATCH")
     audit.require(destination.with_tables(**merged))
-    store.save(append=True, **came)  # what was there is not written again
+    store.save(append=True, base=destination.revision, **came)  # what was there is not written again
     return out

@@ -34,12 +34,12 @@ class Scenarios:
             raise Refused("the plan has changed meanwhile", "SCENARIO_REVISION_CONFLICT")
         return row
 
-    def _put(self, row: dict, **tables: DataFrame) -> dict:
-        """Replace a plan's row, and with it whole tables; nothing is seen before both are written."""
-        live = self.store.manifest()["revision"]
+    def _put(self, row: dict, read: Inventory | None = None, **tables: DataFrame) -> dict:
+        """Replace a plan's row, and with it whole tables that were made from what was read; nothing is seen before both are written."""
+        read = self.store.load() if read is None else read
         new = self.store.spark.createDataFrame([tuple(row[c] for c in SCHEMAS["scenarios"].names)], SCHEMAS["scenarios"])
-        rest = self._table("scenarios").filter(F.col("id") != row["id"])
-        self.store.save(revision=live, scenarios=rest.unionByName(new), **tables)
+        rest = read.scenarios.filter(F.col("id") != row["id"])
+        self.store.save(revision=read.revision, scenarios=rest.unionByName(new), **tables)
         return row
 
     def create(self, name: str, config: dict) -> dict:
@@ -59,7 +59,7 @@ class Scenarios:
         self.get(id_, revision)
         inv = self.store.load()
         tables = {t: getattr(inv, t).filter(F.col("scenario_id") != id_) for t in ("scenario_decisions", "scenario_groups", "scenario_overrides")}
-        self.store.save(revision=self.store.manifest()["revision"], scenarios=inv.scenarios.filter(F.col("id") != id_), **tables)
+        self.store.save(revision=inv.revision, scenarios=inv.scenarios.filter(F.col("id") != id_), **tables)
 
     def overrides(self, id_: str) -> DataFrame:
         return self._table("scenario_overrides").filter(F.col("scenario_id") == id_)
@@ -76,7 +76,7 @@ class Scenarios:
             tables[t] = getattr(inv, t).filter(F.col("scenario_id") != id_).unionByName(own)
         snapshot = {"summary": made["summary"], "validation": made["validation"], "source_fingerprint": made["source_fingerprint"]}
         status = "READY" if made["validation"]["valid"] else "DRAFT"
-        return self._put(row | {"generation_id": generation, "snapshot_json": json.dumps(snapshot), "status": status, "revision": revision + 1, "updated_at": datetime.now(timezone.utc)}, **tables)
+        return self._put(row | {"generation_id": generation, "snapshot_json": json.dumps(snapshot), "status": status, "revision": revision + 1, "updated_at": datetime.now(timezone.utc)}, inv, **tables)
 
     def validate(self, id_: str) -> dict:
         """The saved generation's validation, and whether its source has changed since."""

@@ -4,6 +4,13 @@ A set of volumes is one piece of work, equal sets are read once, and what an ear
 has read is taken from its results.  Archives within an archive are read by the task that
 reads it, while their bytes are at hand.  Everything a task says leaves it as rows; nothing
 but counts comes to the driver.
+
+What is found in a content depends on how many levels are left to look into.  So a task
+names its results by reader, content and levels left, and tells of each whether the levels
+or an active ancestor cut it short.  After reading, results get their names: one that was not cut
+is named by its content, whatever depth it was met at; one that was cut by its content and
+the levels left; and one that met a fault that may pass keeps its reader's name.  Of those
+that several tasks gave the same name, the rows of one stay.
 """
 
 from __future__ import annotations
@@ -12,8 +19,8 @@ import hashlib
 import io
 import os
 import uuid
-from collections.abc import Iterator
-from dataclasses import asdict
+from collections.abc import Generator, Iterator
+from dataclasses import asdict, dataclass
 from typing import BinaryIO
 
 import pandas as pd
@@ -31,9 +38,9 @@ from tallyvault.storage import settle
 
 PROVIDER = "python-stdlib-1"
 #: What a task tells: a row a result, member, error or nested archive.
-ROWS = "what string, result_id string, ordinal long, relative_path string, kind string, declared_size long, actual_size long, modified_sec long, sha256 string, integrity string, encrypted boolean, group_key string, flavor string, slot int, child_result_id string, duplicate boolean, category string, code string, message string, source_label string, fingerprint string, state string, retryable boolean, reusable boolean, height int"
+ROWS = "what string, result_id string, ordinal long, relative_path string, kind string, declared_size long, actual_size long, modified_sec long, sha256 string, integrity string, encrypted boolean, group_key string, flavor string, slot int, child_result_id string, duplicate boolean, category string, code string, message string, source_label string, fingerprint string, state string, retryable boolean, reusable boolean, height int, reader string, final_id string, root boolean, told long"
 _NAMES = [c.split()[0] for c in ROWS.split(", ")]
-_WHOLE = ("ordinal", "declared_size", "actual_size", "modified_sec", "slot", "height")
+_WHOLE = ("ordinal", "declared_size", "actual_size", "modified_sec", "slot", "height", "told")
 
 
 def policy_of(limits: Limits) -> str:
@@ -47,59 +54,104 @@ def id_of(run: str, fingerprint: str) -> str:
     return f"{h[:8]}-{h[8:12]}-{h[12:16]}-{h[16:20]}-{h[20:]}"
 
 
+@dataclass
+class Facts:
+    """What a parent needs of a result; cut: by the levels left ("levels"), or by what is being read above it ("ancestor")."""
+
+    result: str
+    state: str
+    retryable: bool
+    reusable: bool
+    height: int
+    cut: str | None
+
+
 class Analyst:
-    """Reads one archive and those within it; rows of each content once."""
+    """Reads one archive and those within it; rows of each content and levels left once."""
+
+    def __init__(self, run: str, reader: str, limits: Limits):
+        self.run, self.reader, self.limits = run, reader, limits
+        self.whole: dict[str, Facts] = {}
+        self.short: dict[tuple[str, int], Facts] = {}  # cut by levels alone
 
-    def __init__(self, run: str, limits: Limits):
-        self.run, self.limits = run, limits
-        self.done: dict[str, tuple[bool, int]] = {}  # result: reusable, height
+    def known(self, fingerprint: str, left: int) -> Facts | None:
+        found = self.whole.get(fingerprint)
+        return found if found and found.height <= left else self.short.get((fingerprint, left))
 
-    def rows(self, label: str, name: str, data: BinaryIO, size: int, fingerprint: str, depth: int) -> Iterator[dict]:
-        result = id_of(self.run, fingerprint)
-        self.done[result] = (False, 0)  # an archive cannot hold itself, but a crafted one may say so
+    def told(self, label: str, fingerprint: str, left: int, facts: Facts, rows: int, root: bool) -> dict:
+        """The row of a finished result, with the name that it gets."""
+        final = facts.result if facts.retryable or facts.cut == "ancestor" else id_of(self.run, f"{fingerprint}/{left}" if facts.cut else fingerprint)
+        return {"what": "result", "result_id": facts.result, "final_id": final, "root": root, "told": rows + 1, "source_label": label, "fingerprint": fingerprint, "state": facts.state, "retryable": facts.retryable, "reusable": facts.reusable, "height": facts.height}
+
+    def barred(self, label: str, fingerprint: str, left: int, why: str, above: tuple[str, ...]) -> Generator[dict, None, Facts]:
+        """A result that nothing is read for: no level is left, or the content is being read above."""
+        facts = Facts(id_of(self.run, f"{self.reader}/{above}/{fingerprint}/{why}"), "PARTIAL", False, False, 0, why)
+        yield {"what": "error", "result_id": facts.result, "category": "LIMIT", "code": "DEPTH", "message": f"more than {self.limits.depth} levels" if why == "levels" else "within itself"}
+        yield self.told(label, fingerprint, left, facts, 1, False)
+        return facts
+
+    def rows(self, label: str, name: str, data: BinaryIO, size: int, fingerprint: str, left: int, above: tuple[str, ...] = ()) -> Generator[dict, None, Facts]:
+        above = (*above, fingerprint)
+        result = id_of(self.run, f"{self.reader}/{above}/{left}")
         flags = {"OPERATIONAL": 0, "LIMIT": 0, "CAPABILITY": 0}
-        errors, sound, height = 0, True, 0
+        errors, told, sound, later, height = 0, 0, True, False, 0
+        cut: set[str] = set()
         members: set[str] = set()
 
         def nested(path: str) -> bool:
-            return depth < self.limits.depth and archives.classified_name(path) is not None
+            return left > 0 and archives.classified_name(path) is not None
 
         for row, body in walked(name, data, size, self.limits, nested):
             ordinal, path, kind, declared, actual, seconds, digest, integrity, encrypted, category, code, message = row
             found = archives.classified_name(path) if path and kind == "FILE" else None
             group, flavor, slot = found or (None, None, None)
             if ordinal:
+                told += 1
                 yield {"what": "member", "result_id": result, "ordinal": ordinal, "relative_path": path or f"unsafe-{ordinal}", "kind": kind, "declared_size": declared, "actual_size": actual, "modified_sec": seconds, "sha256": digest, "integrity": integrity, "encrypted": encrypted, "group_key": group, "flavor": flavor, "slot": slot, "message": message}
-            problem = (category, code, message) if category else None
-            if found and problem is None:
+            problems = [(category, code, message)] if category else []
+            if found and not problems:
                 if flavor != "single" and slot != 0 or group in members:
-                    problem = ("CAPABILITY", "VOLUMES", "volumes within an archive are not joined")
-                elif depth >= self.limits.depth:
-                    problem = ("LIMIT", "DEPTH", f"more than {self.limits.depth} levels")
-                elif body is None:
-                    problem = ("LIMIT", "NESTED_BYTES", "too large to be looked into")
+                    problems.append(("CAPABILITY", "VOLUMES", "volumes within an archive are not joined"))
+                elif body is None and left > 0:
+                    problems.append(("LIMIT", "NESTED_BYTES", "too large to be looked into"))
                 else:
                     members.add(group)
-                    child_print = f"file-sha256:{digest}"
-                    child = id_of(self.run, child_print)
-                    again = child in self.done
-                    if not again:
-                        yield from self.rows(path, path, io.BytesIO(body), len(body), child_print, depth + 1)
-                    reusable, above = self.done[child]
-                    sound, height = sound and reusable, max(height, above + 1)
-                    yield {"what": "nested", "result_id": result, "ordinal": ordinal, "group_key": group, "child_result_id": child, "duplicate": again}
-            if problem:
+                    child = f"file-sha256:{digest}"
+                    why = "levels" if left <= 0 else "ancestor" if child in above else None
+                    done = None if why else self.known(child, left - 1)
+                    if done:
+                        facts = done
+                    elif why:
+                        facts = yield from self.barred(path, child, left - 1, why, above)
+                    else:
+                        facts = yield from self.rows(path, path, io.BytesIO(body), len(body), child, left - 1, above)
+                    cut |= {facts.cut} - {None}
+                    sound, later, height = sound and facts.reusable, later or facts.retryable, max(height, facts.height + 1)
+                    told += 1
+                    yield {"what": "nested", "result_id": result, "ordinal": ordinal, "group_key": group, "child_result_id": facts.result, "duplicate": done is not None}
+                    if facts.state != "COMPLETE":
+                        problems.append(("CHILD", "NESTED_ERRORS", f"{group} has errors or was not read to its end"))
+            for category, code, message in problems:
                 errors += 1
-                if problem[0] in flags:
-                    flags[problem[0]] += 1
-                yield {"what": "error", "result_id": result, "ordinal": ordinal or None, "category": problem[0], "code": problem[1], "message": problem[2]}
-        reusable = not any(flags.values()) and sound
-        self.done[result] = (reusable, height)
-        yield {"what": "result", "result_id": result, "source_label": label, "fingerprint": fingerprint, "state": "PARTIAL" if errors else "COMPLETE", "retryable": flags["OPERATIONAL"] > 0, "reusable": reusable, "height": height}
+                if category in flags:
+                    flags[category] += 1
+                yield {"what": "error", "result_id": result, "ordinal": ordinal or None, "category": category, "code": code, "message": message}
+        retryable = flags["OPERATIONAL"] > 0 or later
+        reusable = not any(flags.values()) and sound and not retryable
+        facts = Facts(result, "PARTIAL" if errors else "COMPLETE", retryable, reusable, height, min(cut, default=None))  # "ancestor" first
+        if not cut:
+            self.whole[fingerprint] = facts
+        elif facts.cut == "levels":
+            self.short[fingerprint, left] = facts
+        yield self.told(label, fingerprint, left, facts, told + errors, len(above) == 1)
+        return facts
 
 
 def read(sets: DataFrame, run: str, limits: Limits) -> DataFrame:
-    """The rows of each set: fingerprint, label, reader_flavor and the paths of its volumes in order."""
+    """The rows of each set: fingerprint, label, reader_flavor and its volumes (path, size, modified_sec, modified_nano) in order.
+
+    A set whose volumes are not what the scan has recorded, before or after they are read, gives a row that says so.
+    """
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -112,23 +164,40 @@ def read(sets: DataFrame, run: str, limits: Limits) -> DataFrame:
                         held = []
                 yield frame(held)
 
+    def changed(volumes: list) -> str | None:
+        for v in volumes:
+            now = os.stat(v["path"])
+            if (now.st_size, *divmod(now.st_mtime_ns, 1_000_000_000)) != (v["size"], v["modified_sec"], v["modified_nano"]):
+                return v["path"]
+        return None
+
     def attempt(r) -> Iterator[dict]:
-        files = list(r.paths)
+        volumes, reader = list(r.held), r.fingerprint
+        files = [v["path"] for v in volumes]
         name = files[0] if r.reader_flavor == "single" or len(files) == 1 else r.label
+        analyst = Analyst(run, reader, limits)
         try:
             if r.reader_flavor not in ("single", "zip-chunks"):
                 raise NotImplementedError(f"{r.reader_flavor} needs other tools")
-            with open(files[0], "rb") if len(files) == 1 else io.BufferedReader(Joined(files)) as data:
-                yield from Analyst(run, limits).rows(r.label, name, data, sum(map(os.path.getsize, files)), r.fingerprint, 0)
+            told = changed(volumes)
+            if told is None:
+                with open(files[0], "rb") if len(files) == 1 else io.BufferedReader(Joined(files)) as data:
+                    for row in analyst.rows(r.label, name, data, sum(map(os.path.getsize, files)), r.fingerprint, limits.depth):
+                        yield row | {"reader": reader}
+                told = changed(volumes)
+            if told is not None:
+                yield {"what": "changed", "reader": reader, "message": f"changed since it was scanned: {told}"}
         except BROKEN as e:
-            result, tools = id_of(run, r.fingerprint), isinstance(e, NotImplementedError)
-            yield {"what": "error", "result_id": result, "category": "CAPABILITY" if tools else "OPERATIONAL", "code": "UNSUPPORTED" if tools else "OPEN", "message": str(e)}
-            yield {"what": "result", "result_id": result, "source_label": r.label, "fingerprint": r.fingerprint, "state": "PARTIAL", "retryable": not tools, "reusable": False, "height": 0}
+            # what was told before the fault is of no finished result, and goes
+            tools = isinstance(e, NotImplementedError)
+            facts = Facts(id_of(run, f"{reader}/failed"), "PARTIAL", not tools, False, 0, None)
+            yield {"what": "error", "result_id": facts.result, "category": "CAPABILITY" if tools else "OPERATIONAL", "code": "UNSUPPORTED" if tools else "OPEN", "message": str(e), "reader": reader}
+            yield analyst.told(r.label, r.fingerprint, limits.depth, facts, 1, True) | {"reader": reader}
 
     def frame(rows: list[dict]) -> pd.DataFrame:
         return pd.DataFrame(rows, columns=_NAMES, dtype=object).astype({c: "Int64" for c in _WHOLE})
 
-    return sets.select("fingerprint", "label", "reader_flavor", "paths").mapInPandas(work, ROWS)
+    return sets.select("fingerprint", "label", "reader_flavor", "held").mapInPandas(work, ROWS)
 
 
 def _fitted(rows: DataFrame, table: str, **columns: Column) -> DataFrame:
@@ -150,25 +219,26 @@ def analysed(inv: Inventory, name: str, limits: Limits = Limits(), partitions: i
     digests = settle(known.select("scan_id", "entry_id", "sha256").unionByName(hashing.hashed(bare, inv.scans.filter(F.col("scan_id") == id_), partitions=partitions)[0]))
     prints = archives.fingerprints(found, digests).select("scan_id", "group_key", "fingerprint")
     path = paths.joined(F.lit(own["root"]), F.col("relative_path"))
-    listed = found.groupBy("scan_id", "group_key").agg(F.sort_array(F.collect_list(F.struct(archives.volume_order(F.col("flavor"), F.col("slot")).alias("o"), "source_id", path.alias("path"))))["path"].alias("paths"))
+    listed = found.groupBy("scan_id", "group_key").agg(F.sort_array(F.collect_list(F.struct(archives.volume_order(F.col("flavor"), F.col("slot")).alias("o"), "source_id", path.alias("path"), "size", "modified_sec", "modified_nano"))).alias("held"))
+    listed = listed.withColumn("paths", F.col("held.path"))
     sets = settle(archives.arranged(found).join(prints, ["scan_id", "group_key"]).join(listed, ["scan_id", "group_key"]).withColumn("policy", F.lit(policy)))
     usable = sets.filter("not missing and not ambiguous and fingerprint is not null")
     cached = settle(archives.cached(usable.select("fingerprint", "policy").distinct(), inv.archive_results, limits.depth))
     # equal sets are read once, by the least name
     fresh = usable.join(cached.select("fingerprint"), "fingerprint", "left_anti")
-    work = fresh.groupBy("fingerprint").agg(F.min(F.struct("group_key", F.element_at("paths", 1).alias("label"), "reader_flavor", "paths")).alias("s")).select("fingerprint", "s.label", "s.reader_flavor", "s.paths")
-    rows = settle(read(work.repartition(partitions or 4 * inv.spark.sparkContext.defaultParallelism, "fingerprint"), run, limits))
+    work = fresh.groupBy("fingerprint").agg(F.min(F.struct("group_key", F.element_at("paths", 1).alias("label"), "reader_flavor", "held")).alias("s")).select("fingerprint", "s.label", "s.reader_flavor", "s.held")
+    told = settle(read(work.repartition(partitions or 4 * inv.spark.sparkContext.defaultParallelism, "fingerprint"), run, limits))
+    rows = settle(archives.resolved(told))
     now = F.current_timestamp()
-    # a content that several tasks met within other archives has its rows from one of them
-    told = rows.filter("what = 'result'").groupBy("result_id").agg(F.min(F.struct("source_label", "fingerprint", "state", "retryable", "reusable", "height")).alias("r"))
-    results = told.select("result_id", "r.*")
-    once = {w: rows.filter(F.col("what") == w).dropDuplicates(["result_id", key]) for w, key in (("member", "ordinal"), ("nested", "group_key"))}
-    mistakes = rows.filter("what = 'error'").dropDuplicates(["result_id", "ordinal", "category", "code", "message"])
-    made = results.select("fingerprint", F.col("result_id").alias("fresh_id"), "state", "retryable")
+    results = rows.filter("what = 'result'").select("result_id", "source_label", "fingerprint", "state", "retryable", "reusable", "height")
+    # the name that a set's own result has got
+    roots = told.filter("what = 'result' and root").join(results.select(F.col("result_id").alias("final_id")), "final_id", "left_semi").select("fingerprint", F.col("final_id").alias("fresh_id"), "state", "retryable")
+    changed = told.filter("what = 'changed'").select(F.col("reader").alias("fingerprint"), F.col("message").alias("changed"))
+    made = roots.dropDuplicates(["fingerprint"])
     old = cached.select("fingerprint", F.col("result_id").alias("cached_id")).join(inv.archive_results.select(F.col("result_id").alias("cached_id"), F.col("state").alias("cached_state")), "cached_id")
     firsts = fresh.groupBy("fingerprint").agg(F.min("group_key").alias("first_key"))
-    fate = sets.join(old, "fingerprint", "left").join(made, "fingerprint", "left").join(firsts, "fingerprint", "left")
-    wrong = F.when(F.col("missing"), "volumes are missing").when(F.col("ambiguous"), "volumes are ambiguous").when(F.col("fingerprint").isNull(), "a volume could not be read")
+    fate = sets.drop("held").join(old, "fingerprint", "left").join(made, "fingerprint", "left").join(changed, "fingerprint", "left").join(firsts, "fingerprint", "left")
+    wrong = F.when(F.col("missing"), "volumes are missing").when(F.col("ambiguous"), "volumes are ambiguous").when(F.col("fingerprint").isNull(), "a volume could not be read").otherwise(F.col("changed"))
     jobs = archives.jobs(found).select("scan_id", "group_key", "first_entry", "flavor").join(fate.drop("flavor"), ["scan_id", "group_key"]).select(
         "scan_id", "group_key", "first_entry", "flavor", F.when(wrong.isNotNull(), "PARTIAL").otherwise(F.coalesce("cached_state", "state")).alias("status"), F.when(wrong.isNull(), F.coalesce("cached_id", "fresh_id")).alias("result_id"),
         (wrong.isNull() & (F.col("cached_id").isNotNull() | (F.col("group_key") != F.col("first_key")))).alias("duplicate"), F.coalesce(F.col("retryable") | F.col("fingerprint").isNull(), F.lit(False)).alias("retryable"), wrong.alias("diagnostic"),
@@ -185,9 +255,9 @@ def analysed(inv: Inventory, name: str, limits: Limits = Limits(), partitions: i
         "archive_inputs": _fitted(found, "archive_inputs"), "archive_jobs": _fitted(jobs, "archive_jobs"),
         "archive_results": _fitted(results, "archive_results", scan_id=F.lit(id_), policy=F.lit(policy), provider=F.lit(PROVIDER), started_at=now, completed_at=now),
         "archive_volumes": _fitted(volumes, "archive_volumes", ordinal=ordinal, source_path=F.col("relative_path")),
-        "archive_members": _fitted(once["member"], "archive_members", filename=F.substring_index("relative_path", "/", -1), modified_nano=F.lit(0), volume_slot=F.col("slot"), diagnostic=F.col("message")),
-        "archive_nested": _fitted(once["nested"], "archive_nested", parent_result_id=F.col("result_id"), source_ordinal=F.col("ordinal")),
-        "archive_errors": _fitted(mistakes, "archive_errors"),
+        "archive_members": _fitted(rows.filter("what = 'member'"), "archive_members", filename=F.substring_index("relative_path", "/", -1), modified_nano=F.lit(0), volume_slot=F.col("slot"), diagnostic=F.col("message")),
+        "archive_nested": _fitted(rows.filter("what = 'nested'"), "archive_nested", parent_result_id=F.col("result_id"), source_ordinal=F.col("ordinal")),
+        "archive_errors": _fitted(rows.filter("what = 'error'"), "archive_errors"),
     }
 
 
@@ -200,9 +270,8 @@ def publish(store: Store, name: str, limits: Limits = Limits()) -> str:  # noqa:
     own = scan(inv, name)
     if own["phase"] not in ("COMPLETE", "COMPLETE_WITH_ERRORS", "READY"):
         raise Refused(f"{name!r} is not discovered to its end", "INVALID_INVENTORY")
-    revision = store.manifest()["revision"]
     made = {t: settle(df) for t, df in analysed(inv, name, limits).items()}
     phase = made["archive_runs"].first()["phase"]
     added = tuple(t for t in made if t not in ("archive_runs", "archive_inputs", "archive_jobs"))
-    store.save(revision, own["scan_id"], added, **made)
+    store.save(None, own["scan_id"], added, base=inv.revision, **made)
     return phase

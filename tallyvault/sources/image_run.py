@@ -170,8 +170,8 @@ def _provided(fresh: DataFrame, provider: Provider, table: str) -> DataFrame:
 
 def publish(store: Store, name: str, provider: Provider, provider_name: str, policy: str = "default", when: str = "candidate") -> str:
     """Analyse a scan's images and save what was found, at once; the phase of the run."""
-    inv, revision = store.load(), store.manifest()["revision"]
+    inv = store.load()
     made = {t: settle(df) for t, df in analysed(inv, name, provider, provider_name, policy, when).items()}
     added = tuple(t for t in made if t not in ("image_runs", "image_jobs"))
-    store.save(revision, scan(inv, name)["scan_id"], added, **made)
+    store.save(None, scan(inv, name)["scan_id"], added, base=inv.revision, **made)
     return made["image_runs"].first()["phase"]

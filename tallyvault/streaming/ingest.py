@@ -29,7 +29,7 @@ def hashes(spark: SparkSession, folder: str, store_folder: str, checkpoint: str)
         files = found.entries.filter(mine & (F.col("kind") == "FILE")).select("scan_id", "entry_id")
         new = absent(batch.select("scan_id", "entry_id", "sha256"), found.hashes.filter(mine), files).persist()
         if not new.isEmpty():
-            store.save(append=True, hashes=new.select("scan_id", "entry_id", "sha256"))
+            store.save(append=True, base=found.revision, hashes=new.select("scan_id", "entry_id", "sha256"))
         new.unpersist()
 
     stream = spark.readStream.schema(SCHEMAS["hashes"]).parquet(folder)

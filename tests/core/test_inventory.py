@@ -201,6 +201,74 @@ def test_search_pages_with_cursors(searched):
         search.search(searched, request | {"sort": "PATH", "cursor": request["cursor"]})
 
 
+def test_saves_at_once(spark, searched, tmp_path, monkeypatch):
+    """Appends survive each other, what others touch meanwhile is refused, and no number is given twice."""
+    store, other = (Store(spark, str(tmp_path / "s")) for _ in range(2))
+    store.save(**{t: getattr(searched, t) for t in schemas.BASE})
+
+    def digests(scan_id, *entries):
+        return spark.createDataFrame([(scan_id, e, "0" * 64) for e in entries], schemas.SCHEMAS["hashes"])
+
+    def meanwhile(change):
+        """Let another writer save after this one has read and written, before it gets its number."""
+        create, done = Store._create, []
+
+        def first(self, revision, text):
+            if self is store and not done:
+                done.append(True)
+                change()
+            return create(self, revision, text)
+
+        monkeypatch.setattr(Store, "_create", first)
+
+    before = store.load().hashes.count()
+    meanwhile(lambda: other.save(append=True, hashes=digests(8, 1, 2)))
+    assert store.save(append=True, hashes=digests(8, 3)) == 3
+    assert store.load().hashes.count() == before + 3
+    # one that has read first does not add what it may have missed
+    base = store.load().revision
+    meanwhile(lambda: other.save(append=True, hashes=digests(8, 4)))
+    with pytest.raises(Refused, match="changed"):
+        store.save(append=True, base=base, hashes=digests(8, 4))
+    assert store.load().hashes.filter("entry_id = 4 and scan_id = 8").count() == 1
+    # other scans do not matter, the same one does, in whatever way
+    base = store.load().revision
+    meanwhile(lambda: other.save(scan=7, hashes=digests(7, 1)))
+    store.save(scan=8, base=base, hashes=digests(8, 9))
+    assert [r[0] for r in store.load().hashes.filter("scan_id in (7, 8)").orderBy("scan_id").select("entry_id").collect()] == [1, 9]
+    for change in (lambda: other.save(scan=8, hashes=digests(8, 5)), lambda: other.save(append=True, hashes=digests(8, 6)), lambda: other.compact("hashes")):
+        meanwhile(change)
+        with pytest.raises(Refused, match="changed"):
+            store.save(scan=8, hashes=digests(8, 7))
+    meanwhile(lambda: other.save(append=True, hashes=digests(8, 10)))
+    with pytest.raises(Refused, match="changed"):
+        store.compact()
+    # two scans that took the same new id
+    head = [(9, n, "/r", "READY", "SHA-256", None, 2, None, None) for n in ("x", "y")]
+    meanwhile(lambda: other.save(append=True, scans=spark.createDataFrame(head[:1], schemas.SCHEMAS["scans"])))
+    with pytest.raises(Refused, match="scan 9"):
+        store.save(append=True, scans=spark.createDataFrame(head[1:], schemas.SCHEMAS["scans"]))
+    revision = store.revision()
+    meanwhile(lambda: other.save(scan=1, hashes=digests(1, 1)))
+    with pytest.raises(Refused, match="changed"):
+        store.save(revision=revision, signatures=searched.signatures)
+    assert store.revision() == revision + 1 and other.manifest(revision)["revision"] == revision
+
+
+def test_saves_from_threads(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    folder = str(tmp_path / "s")
+
+    def add(i):
+        return Store(spark, folder).save(append=True, hashes=spark.createDataFrame([(1, i, "0" * 64)], schemas.SCHEMAS["hashes"]))
+
+    with ThreadPoolExecutor(6) as pool:
+        numbers = list(pool.map(add, range(18)))
+    assert sorted(numbers) == list(range(1, 19))
+    assert {r["entry_id"] for r in Store(spark, folder).load().hashes.collect()} == set(range(18))
+
+
 @pytest.mark.parametrize(
     "request_",
     [{"limit": 0}, {"limit": 501}, {"kinds": []}, {"sort": "X"}, {"size": {"exact": 1, "min": 0}}, {"size": {"min": -1}}, {"extensions": ["a/b"]}, {"name": {"value": "(?=x)", "match": "REGEX"}}, {"name": {"value": "", "match": "EXACT"}}, {"name": {"value": "(", "match": "REGEX"}}],

@@ -157,7 +157,7 @@ def test_archives_of_a_scan_are_analysed(spark, tmp_path):
     leaf = {r["relative_path"]: (r["kind"], r["sha256"]) for r in inv.archive_members.filter(F.col("result_id") == deepest[0]["result_id"]).collect()}
     assert leaf["twin.txt"] == ("HARDLINK", None) and leaf["leaf.txt"][1] is not None
     # heights, states and flags are those that the operator derives from the rows
-    facts = inv.archive_nested.join(inv.archive_results.select(F.col("result_id").alias("child_result_id"), F.col("reusable").alias("child_reusable"), F.col("height").alias("child_height")), "child_result_id").withColumnRenamed("parent_result_id", "result_id")
+    facts = inv.archive_nested.join(inv.archive_results.select(F.col("result_id").alias("child_result_id"), F.col("reusable").alias("child_reusable"), F.col("retryable").alias("child_retryable"), F.col("height").alias("child_height")), "child_result_id").withColumnRenamed("parent_result_id", "result_id")
     derived = {r["result_id"]: r for r in archives.outcome(inv.archive_errors, inv.archive_results.select("result_id", F.lit(True).alias("ended"), F.lit(True).alias("whole")), facts).collect()}
     assert all((derived[k]["state"], derived[k]["retryable"], derived[k]["reusable"], derived[k]["height"]) == (r["state"], r["retryable"], r["reusable"], r["height"]) for k, r in results.items())
     assert {(r["category"], r["code"]) for r in inv.archive_errors.collect()} == {("SAFETY", "UNSAFE_PATH"), ("CAPABILITY", "UNSUPPORTED"), ("CONTENT", "HEADER")}
@@ -182,6 +182,69 @@ def test_archives_of_a_scan_are_analysed(spark, tmp_path):
     assert not last.archive_results.join(own, "result_id", "left_semi").filter("source_label like '%/a.zip'").first()["reusable"]
 
 
+def analysed_tree(spark, tmp_path, files, limits, name="one"):
+    """The archive tables of a tree of files under limits, and its jobs and results by key; audited."""
+    from tallyvault import cli
+    from tallyvault.sources import archive_run
+
+    root, folder = tmp_path / "root", str(tmp_path / "store")
+    root.mkdir(exist_ok=True)
+    for path, body in files.items():
+        (root / path).write_bytes(body)
+    assert cli.run(spark, ["--store", folder, "scan", "--name", name, "--root", str(root)], lambda _: None) == cli.OK
+    archive_run.publish(Store(spark, folder), name, limits)
+    inv = Store(spark, folder).load()
+    broken = {k for k, v in audit.counted(audit.archive(inv)).filter("failures > 0").collect()}
+    assert broken == set(), broken
+    return inv, {r["group_key"]: r for r in inv.archive_jobs.collect()}, {r["result_id"]: r for r in inv.archive_results.collect()}
+
+
+def below(inv, result):
+    return {r["group_key"]: r["child_result_id"] for r in inv.archive_nested.filter(F.col("parent_result_id") == result).collect()}
+
+
+def test_one_content_met_at_several_depths(spark, tmp_path):
+    """What the levels cut short is a result of its own; heights descend, and whole results are one whatever depth they were met at."""
+    y = _zip({"leaf": b"leaf"})
+    x = _zip({"y.zip": y})
+    inv, jobs, results = analysed_tree(spark, tmp_path, {"x.zip": x, "a.zip": _zip({"x.zip": x}), "b.zip": _zip({"a.zip": _zip({"x.zip": x})}), "y.zip": y}, archive_files.Limits(depth=1))
+    own = {k: results[r["result_id"]] for k, r in jobs.items()}
+    facts = {k: (r["state"], r["reusable"], r["height"]) for k, r in own.items()}
+    assert facts == {"zip-split:y": ("COMPLETE", True, 0), "zip-split:x": ("COMPLETE", True, 1), "zip-split:a": ("PARTIAL", False, 2), "zip-split:b": ("PARTIAL", False, 2)}
+    # x below a.zip looks at no level more: another result than x.zip, of the same content
+    cut = results[below(inv, own["zip-split:a"]["result_id"])["zip-split:x"]]
+    assert cut["fingerprint"] == own["zip-split:x"]["fingerprint"] and cut["result_id"] != own["zip-split:x"]["result_id"] and (cut["state"], cut["height"]) == ("PARTIAL", 1)
+    assert below(inv, own["zip-split:x"]["result_id"])["zip-split:y"] == own["zip-split:y"]["result_id"]
+    codes = {r["result_id"]: (r["category"], r["code"]) for r in inv.archive_errors.collect()}
+    assert codes[own["zip-split:a"]["result_id"]] == codes[cut["result_id"]] == ("CHILD", "NESTED_ERRORS")
+    assert codes[below(inv, cut["result_id"])["zip-split:y"]] == ("LIMIT", "DEPTH")
+    # with levels enough nothing is cut, and every content is one result
+    inv, jobs, results = analysed_tree(spark, tmp_path, {}, archive_files.Limits(depth=3), "two")
+    mine = inv.archive_results.filter("scan_id = 2").collect()
+    assert len(mine) == len({r["fingerprint"] for r in mine}) == 4 and {(r["state"], r["height"]) for r in mine} == {("COMPLETE", h) for h in range(4)}
+
+
+def test_errors_below_are_told_above(spark, tmp_path):
+    sick = _zip({"d.zip": b"PK\3\4 broken", "fine": b"fine"})
+    inv, jobs, results = analysed_tree(spark, tmp_path, {"a.zip": _zip({"mid.zip": sick, "t": b"t"})}, archive_files.Limits())
+    top = results[jobs["zip-split:a"]["result_id"]]
+    mid = results[below(inv, top["result_id"])["zip-split:mid"]]
+    assert (top["state"], mid["state"], top["height"], mid["height"]) == ("PARTIAL", "PARTIAL", 2, 1)
+    told = {(r["category"], r["code"], r["ordinal"]) for r in inv.archive_errors.filter(F.col("result_id") == top["result_id"]).collect()}
+    assert told == {("CHILD", "NESTED_ERRORS", 1)}
+
+
+def test_volumes_that_changed_give_no_result(spark, tmp_path):
+    from tallyvault.sources import archive_run
+
+    inv, jobs, _ = analysed_tree(spark, tmp_path, {"a.zip": _zip({"t": b"t"}), "b.zip": _zip({"u": b"u"})}, archive_files.Limits())
+    (tmp_path / "root" / "a.zip").write_bytes(_zip({"t": b"other", "more": b"more"}))
+    made = archive_run.analysed(inv.with_tables(archive_results=inv.archive_results.limit(0)), "one")
+    again = {r["group_key"]: r for r in made["archive_jobs"].collect()}
+    assert again["zip-split:a"]["status"] == "PARTIAL" and again["zip-split:a"]["result_id"] is None and "changed" in again["zip-split:a"]["diagnostic"]
+    assert again["zip-split:b"]["status"] == "COMPLETE" and made["archive_results"].count() == 1 and made["archive_members"].count() == 1
+
+
 def test_zst_archives(tmp_path):
     zstandard = pytest.importorskip("zstandard")
     body = zstandard.ZstdCompressor().compress(_tar({"one": b"same", "two": ("one",)}, "w"))
