@@ -6,7 +6,8 @@ share a band's hash meet in a bucket; their signatures must then agree well enou
 (`ESTIMATE`, five standard errors under the threshold) for a tie, and the documents of
 each group so tied are verified against each other on their full shingle sets.
 
-Skew: documents of equal sets are one class, so exact copies meet as one row.  Buckets
+Skew: documents of equal sets are one class, so exact copies meet as one row.  Texts are
+found again by id and hash, shingled once, and only their shingles' hashes go to tiles.  Buckets
 and groups are dealt into tiles of bounded size.  Only ids and counts leave a tile, never
 its pairs: a group of near copies yields a row a member and tile.
 """
@@ -23,8 +24,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyvault.llm.common import settle
+from tallyvault.llm.common import bounded, settle
 from tallyvault.llm.graph import by_group, components, roots, tiled
+from tallyvault.storage import new_folder, written
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -34,8 +36,6 @@ HASHES = 256
 BUCKET_BLOCK = 4096
 GROUP_BLOCK = 384
 COLUMNS = 8192
-#: Above so many documents to verify their texts are shuffled to them; below, the list of them is broadcast (40 bytes each).
-BROADCAST_ROWS = 250_000
 #: A set that so small a share of all rows have is joined to them by broadcast.
 HOT_SHARE = 1_000
 _WORD = re.compile(r"\w+")
@@ -143,6 +143,22 @@ def signatures(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
     return texts.mapInPandas(run, "doc_id long, text_hash long, node long, buckets array<long>, signature binary")
 
 
+def shingled(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """node and its sorted shingles (8 bytes each), once, of each `wanted` set (rep, text_hash, node), from the text of that id and hash."""
+    text = F.col("text").cast("string")
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sets = [shingles(t, words) for t in batch["text"]]
+            # texts of one id and hash are one text but for a chance of 2**-64
+            same = [node(s) == n for n, s in zip(batch["node"], sets, strict=True)]
+            yield pd.DataFrame({"node": batch["node"][same], "shingles": [s.tobytes() for s, ok in zip(sets, same, strict=True) if ok]})
+
+    made = texts.join(wanted, ["rep", "text_hash"]).select("node", "text").mapInPandas(run, "node long, shingles binary")
+    return made.groupBy("node").agg(F.first("shingles").alias("shingles"))  # of repeated rows one
+
+
 def node(shingle_set: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(shingle_set.tobytes())).astype(np.int64))
 
@@ -205,8 +221,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRE
     bands, rows = banding(threshold, recall, hashes)
     estimate = threshold - 5 * math.sqrt(threshold * (1 - threshold) / (bands * rows))
     signed = settle(signatures(docs, words, bands, rows).withColumn("_row", F.monotonically_increasing_id()))
-    sets = signed.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("_row").alias("_row"), F.count("*").alias("copies"))
-    sets = settle(sets)
+    sets = signed.filter("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("r"), F.min("_row").alias("_row"), F.count("*").alias("copies"))
+    sets = settle(sets.select("node", F.col("r.doc_id").alias("rep"), F.col("r.text_hash").alias("text_hash"), "_row", "copies"))
 
     # buckets of at least two sets; of buckets with the same members one is enough
     kept = settle(signed.join(sets.select("_row"), "_row", "left_semi").select("node", "buckets", "signature"))
@@ -226,20 +242,13 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRE
 
     # verification on full sets, within each group
     sized = groups.join(groups.groupBy("label").agg(F.count("*").alias("size")), "label")
-    wanted = settle(sized.join(sets.select("node", "rep", "copies"), "node"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
-    bodies = texts.join(bounded(wanted), "rep")
+    wanted = settle(sized.join(sets.select("node", "rep", "text_hash", "copies"), "node"))
+    arrays = written(shingled(docs, bounded(wanted.select("rep", "text_hash", "node")), words), f"{new_folder(docs.sparkSession, 'shingles')}")
+    bodies = wanted.join(arrays, "node")
 
     def verified(group: pd.DataFrame) -> pd.DataFrame | None:
-        # of several rows with the doc_id of a set, those with another text do not count, and one of the others does
-        own = {}
-        for k, (n, t) in enumerate(zip(group["node"], group["text"], strict=True)):
-            s = shingles(t, words)
-            if n not in own and node(s) == n:
-                own[n] = (k, s)
-        at = np.array([k for k, _ in own.values()], np.int64)
-        found = [s for _, s in own.values()]
-        block, nodes, copies, size = (group[k].to_numpy()[at] for k in ("_block", "node", "copies", "size"))
+        found = [np.frombuffer(b, np.uint64) for b in group["shingles"]]
+        block, nodes, copies, size = (group[k].to_numpy() for k in ("_block", "node", "copies", "size"))
         i, j = group["_i"].iloc[0], group["_j"].iloc[0]
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
         if not len(left) or not len(right):
@@ -285,11 +294,6 @@ def spread(rows: DataFrame, classes: DataFrame) -> DataFrame:
     return done.unionByName(rest.select(*rows.columns, *columns))
 
 
-def bounded(small: DataFrame) -> DataFrame:
-    """`small`, to be broadcast if it has at most BROADCAST_ROWS rows of ids; else to be joined by shuffling."""
-    return F.broadcast(small) if small.count() <= BROADCAST_ROWS else small
-
-
 def deduplicated(docs: DataFrame) -> DataFrame:
     """`docs` with one row of each class: the one with the least doc_id, of several such rows the one with the least hash of its text.
 

@@ -305,3 +305,23 @@ def test_pipeline_rejects_what_no_label_explains(spark, docs, words):
 
     assert kept == {r["doc_id"] for r in table.collect() if explained(r["text"])} and set(range(40)) <= kept
     assert not kept & set(range(100, 203))
+
+
+def test_near_texts_of_one_id(docs):
+    """Rows that share an id are told apart by their texts: as quick as rows of their own ids, and the same classes."""
+    import time
+
+    def text(i):
+        return " ".join(f"w{j}" if j != i % 190 else f"x{i}" for j in range(200))
+
+    took = {}
+    for ids in ("warm", "own", "one", "one"):
+        table = docs([(1 if ids == "one" else i, text(i)) for i in range(1500)] + [(1, text(3))] * (300 if ids == "one" else 0)).repartition(4)
+        began = time.time()
+        found = near.near_duplicates(table).select("class_id", "links", "copies").distinct().collect()
+        took[ids] = min(took.get(ids, 1e9), time.time() - began)
+        if ids == "one":
+            assert {tuple(r) for r in found} == {(1, 1799, 1), (1, 1799, 301)}
+        else:
+            assert {tuple(r) for r in found} == {(0, 1499, 1)}
+    assert took["one"] < 2 * took["own"] + 3, took
