@@ -30,11 +30,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bounds of the labelled sample that is fitted: rows and characters of each language, characters of a row (a part of a language's) and of all languages.
+#: Bounds of the labelled sample that is fitted: rows and characters of each language, and of all languages together; and how many languages are learned.
 SAMPLE_DOCS = 300
 SAMPLE_CHARS = 40_000
-ROW_SHARE = 8
+LEAST_DOCS = 10
+ALL_DOCS = 30_000
 ALL_CHARS = 1_000_000
+MOST_LANGUAGES = 1_000
 SEGMENT = 256
 #: Characters of the table's columns, and its entries; a trade of memory for time without effect on results.
 COLUMNS = 96
@@ -252,38 +254,47 @@ class Model:
 def fit(labelled: DataFrame, docs: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> Model:
     """Fit on a bounded sample of `labelled` (doc_id, text, lang), spread evenly over each language by a hash of the row.
 
-    A sample has whole rows only: about `docs` of each language, of those with at most a
-    `ROW_SHARE`th of `chars` characters, as long as they fit into `chars`; every tenth is
-    held back to learn what texts of the language need.  A language without such rows is
-    learned from the shortest that it has, of which the first `chars` characters are taken.
-    With many languages `chars` shrinks, so that all have ALL_CHARS together.  Rows without
-    text or language are no labels.  A label is learned however few rows it has.  Without
-    labels the model has no language, and every text is `und`.  One number a language comes
-    to the driver, and the sample.
+    A sample has whole rows only, of any length: of about `docs` rows of each language, in
+    the order of their hashes, those that still fit into `chars` characters.  Of a language
+    none of whose rows fit, the shortest of them is taken as a whole.  Every tenth is held back, within as
+    many characters, to learn what texts of the language need.  Rows without text or
+    language are no labels; repeated rows are one.  A label is learned however few rows it has, up to
+    MOST_LANGUAGES labels, those with most rows.  With many languages `docs` and `chars`
+    shrink, so that all have ALL_DOCS and ALL_CHARS together.  Without labels the model has no language, and every text
+    is `und`.  To the driver come one number a language, hash and length of the sampled
+    rows, and the sample.
     """
-    rows = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")).alias("h"))
-    n, long_ = F.char_length("text"), rows.select("lang").distinct().count()
-    chars = min(chars, ALL_CHARS // max(1, long_))
-    short = n.between(1, chars // ROW_SHARE)
-    counts = {r["lang"]: r["short"] for r in rows.groupBy("lang").agg(F.count_if(short).alias("short")).collect()}
+    rows = labelled.filter(F.col("lang").isNotNull() & (F.char_length(F.col("text").cast("string")) > 0)).select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")).alias("h"))
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()}
     if not counts:
         return Model({})
+    docs, chars = max(LEAST_DOCS, min(docs, ALL_DOCS // len(counts))), min(chars, ALL_CHARS // len(counts))
+    spark = labelled.sparkSession
+    shares = spark.createDataFrame([(k, min(1.0, docs / n)) for k, n in counts.items()], "lang string, share double")
+    near = rows.join(F.broadcast(shares), "lang").filter(F.pmod("h", F.lit(1 << 30)) / float(1 << 30) < F.col("share"))
+    lengths: dict[str, list[tuple[int, int]]] = {k: [] for k in counts}
+    for r in near.groupBy("lang", "h").agg(F.min(F.char_length("text")).alias("n")).collect():
+        lengths[r["lang"]].append((r["h"], r["n"]))
+    for k, found in lengths.items():
+        if not found:  # a hash rarely leaves a small language without any
+            least = rows.filter(F.col("lang") == k).agg(F.min(F.struct("h", F.char_length("text").alias("n"))).alias("r")).first()["r"]
+            found.append((least["h"], least["n"]))
+    chosen: dict[tuple[str, int], bool] = {}  # whether the row is held back
+    for k, found in lengths.items():
+        used = {False: 0, True: 0}
+        for i, (h, n) in enumerate(sorted(found)):
+            back = i % 10 == 9
+            if used[back] + n <= chars:
+                chosen[k, h] = back
+                used[back] += n
+        if not used[False]:
+            chosen[k, min(found, key=lambda x: (x[1], x[0]))[0]] = False
+    wanted = spark.createDataFrame([(k, h, back) for (k, h), back in chosen.items()], "lang string, h long, back boolean")
+    texts = rows.join(F.broadcast(wanted), ["lang", "h"]).groupBy("lang", "h", "back").agg(F.min("text").alias("text"))
     samples: dict[str, list[str]] = {k: [] for k in counts}
     held: dict[str, list[str]] = {k: [] for k in counts}
-    if some := {k: c for k, c in counts.items() if c}:
-        share = F.create_map(*[F.lit(x) for k, c in some.items() for x in (k, min(1.0, docs / c))])
-        picked = rows.filter(short & (F.pmod("h", F.lit(1 << 30)) / float(1 << 30) < share[F.col("lang")]))
-        used: dict[str, int] = dict.fromkeys(counts, 0)
-        for i, r in enumerate(sorted(picked.collect(), key=lambda r: (r["h"], r["text"]))):
-            k, text = r["lang"], r["text"]
-            if i % 10 == 9:
-                held[k].append(text)
-            elif used[k] + len(text) <= chars:
-                samples[k].append(text)
-                used[k] += len(text)
-    if none := [k for k, v in samples.items() if not v]:
-        for r in rows.filter(F.col("lang").isin(none)).groupBy("lang").agg(F.min(F.struct(n.alias("n"), F.substring("text", 1, chars).alias("text"))).alias("s")).collect():
-            samples[r["lang"]].append(r["s"]["text"])
+    for r in sorted(texts.collect(), key=lambda r: r["h"]):
+        (held if r["back"] else samples)[r["lang"]].append(r["text"])
     return Model(samples, held)
 
 
