@@ -5,7 +5,7 @@ Base: e-mail addresses, IPv4 addresses, card numbers and phone numbers as writte
 Method: offset-preserving deobfuscation.  A transducer rewrites a text and keeps, for
 each character it writes, the span of source characters it stands for: look-alike
 letters, full-width forms and digits of other scripts become ASCII, invisible characters
-go, runs of spelled digits (after `plus`, perhaps) become digits, and `at` and `dot` in their disguises become `@` and `.`.  The
+go, runs of spelled digits (after `plus`, perhaps) become digits, and `at` and `dot` in their disguises become `@` and `.`, as do the codes of HTML and URLs.  The
 detectors run over what it writes, and the spans they find are mapped back.
 """
 
@@ -28,7 +28,11 @@ KINDS = ("email", "ip", "card", "phone")
 LOOKALIKES = {
     "а": "a", "с": "c", "ԁ": "d", "е": "e", "һ": "h", "і": "i", "ј": "j", "ӏ": "l", "о": "o", "р": "p", "ѕ": "s", "у": "y", "х": "x",
     "А": "A", "В": "B", "С": "C", "Е": "E", "Н": "H", "І": "I", "Ј": "J", "К": "K", "М": "M", "О": "O", "Р": "P", "Ѕ": "S", "Т": "T", "Х": "X",
-    "α": "a", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "‐": "-", "‑": "-", "‒": "-", "–": "-", "。": ".", "․": ".",
+    "Ѵ": "V", "ѵ": "v", "ԛ": "q", "Ԛ": "Q", "ԝ": "w", "Ԝ": "W", "У": "Y", "Ү": "Y", "ү": "y", "к": "k", "м": "m", "т": "t", "в": "b", "н": "h", "Ԁ": "D", "Ԍ": "G", "Ӏ": "I",
+    "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "ϲ": "c", "Ϲ": "C", "ϳ": "j", "γ": "y", "ε": "e", "η": "n", "σ": "o", "ω": "w",
+    "ı": "i", "ȷ": "j", "ɡ": "g", "ɑ": "a", "ɩ": "i", "ʟ": "L", "ɴ": "N", "ʀ": "R", "ʏ": "Y", "ɪ": "I", "ʙ": "B", "ʜ": "H", "ᴀ": "A", "ᴄ": "C", "ᴅ": "D", "ᴇ": "E", "ᴊ": "J", "ᴋ": "K", "ᴍ": "M", "ᴏ": "O", "ᴘ": "P", "ᴛ": "T", "ᴜ": "U", "ᴠ": "V", "ᴡ": "W", "ᴢ": "Z",
+    "օ": "o", "ս": "u", "հ": "h", "ո": "n", "զ": "q", "ց": "g", "ѡ": "w", "ⅼ": "l", "ꓲ": "I",
+    "α": "a", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "‐": "-", "‑": "-", "‒": "-", "–": "-", "。": ".", "․": ".", "·": ".", "•": ".", "∙": ".", "⋅": ".", "−": "-", "⁃": "-", "﹣": "-",
 }
 INVISIBLE = "­​‌‍⁠﻿"
 DIGIT_WORDS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
@@ -46,6 +50,8 @@ _DIGIT_WORD = re.compile(rf"(?:plus|{_WORDS})", re.IGNORECASE | re.ASCII)
 # the spaces around a bracketed disguise are taken in by `around`, as a pattern that begins with them would be quadratic
 _AT = re.compile(r"[\[({<]\x20*+(?:at|@)\x20*+[\])}>]", re.IGNORECASE | re.ASCII)
 _DOT = re.compile(r"[\[({<]\x20*+(?:dot|\.)\x20*+[\])}>]", re.IGNORECASE | re.ASCII)
+# the signs as HTML and URLs write them, with a letter or digit at both sides
+_CODED = re.compile(r"(?<=[A-Za-z0-9_%+-])(?:(&\#0{0,5}64;|&\#x0{0,5}40;|&commat;|%40)|(&\#0{0,5}46;|&\#x0{0,5}2e;|&period;|%2e))(?=[A-Za-z0-9])", re.IGNORECASE | re.ASCII)
 # without brackets, only as part of a whole address
 _SPOKEN = re.compile(r"(?<![A-Za-z0-9._%+@-])([A-Za-z0-9][A-Za-z0-9._%+-]*+)(\x20++at\x20++)([A-Za-z0-9-]++)((?:\x20++dot\x20++[A-Za-z0-9-]++)+)", re.IGNORECASE | re.ASCII)
 _SPOKEN_DOT = re.compile(r"\x20++dot\x20++", re.IGNORECASE | re.ASCII)
@@ -123,6 +129,8 @@ def normalised(text: str) -> tuple[str, list[tuple[int, int, int]]] | None:
     edits: list[tuple[int, int, str]] = [(m.start(), m.end(), "") for m in _HIDDEN.finditer(folded)] if folded is not text or _HIDDEN.search(text) else []
     lower = folded.lower()
     dots = "dot" in lower
+    if "&" in folded or "%" in folded:
+        edits += [(*m.span(), "@" if m[1] else ".") for m in _CODED.finditer(folded)]
     if any(c in folded for c in "[({<"):
         found = sorted([(*m.span(), "@") for m in _AT.finditer(folded)] + [(*m.span(), ".") for m in _DOT.finditer(folded)])
         least = 0

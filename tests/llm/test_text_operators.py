@@ -246,6 +246,33 @@ def test_disguises_map_back(text, kind, source):
     assert (kind, source) in spans
 
 
+# fixed values: letters by their Unicode names, written down without a look at the operator's table
+NAMED = [
+    *[(f"GREEK CAPITAL LETTER {n}", c) for n, c in zip("ALPHA BETA EPSILON ZETA ETA IOTA KAPPA MU NU OMICRON RHO TAU UPSILON CHI".split(), "ABEZHIKMNOPTYX", strict=True)],
+    *[(f"CYRILLIC CAPITAL LETTER {n}", c) for n, c in zip("A VE IE KA EM EN O ER ES TE U HA DZE BYELORUSSIAN-UKRAINIAN_I JE IZHITSA QA WE".split(), "ABEKMHOPCTYXSIJVQW", strict=True)],
+    *[(f"CYRILLIC SMALL LETTER {n}", c) for n, c in zip("A IE O ER ES U HA DZE BYELORUSSIAN-UKRAINIAN_I JE IZHITSA QA WE SHHA PALOCHKA".split(), "aeopcyxsijvqwhl", strict=True)],
+    *[(f"GREEK SMALL LETTER {n}", c) for n, c in zip("ALPHA IOTA NU OMICRON RHO UPSILON CHI".split(), "aivopux", strict=True)],
+    ("LATIN SMALL LETTER DOTLESS I", "i"), ("LATIN SMALL LETTER SCRIPT G", "g"), ("LATIN SMALL LETTER ALPHA", "a"), ("FULLWIDTH LATIN SMALL LETTER Q", "q"), ("MATHEMATICAL BOLD SMALL B", "b"), ("SCRIPT SMALL E", "e"),
+]
+
+
+@pytest.mark.parametrize(("name", "like"), NAMED)
+def test_letters_that_look_like_latin_ones(name, like):
+    """A foreign letter at the beginning, or within, belongs to the address; all of it is masked."""
+    import unicodedata
+
+    letter = unicodedata.lookup(name.replace("_", " "))
+    assert letter != like
+    for address in (f"{letter}dmin@mail.example.com", f"ad{letter}min@mail.example.com", f"admin@{letter}ail.example.com"):
+        assert pii.masked(f"write to {address} now") == "write to <email> now"
+
+
+@pytest.mark.parametrize("text", ["joe&#64;example&#46;com", "joe&#x40;example&#x2E;com", "joe&commat;example&period;com", "joe%40example%2ecom", "joe%40example.com"])
+def test_coded_signs(text):
+    assert pii.masked(f"mail {text}, please") == "mail <email>, please"
+    assert pii.masked("100%40 or 5 &#64; 3%2E") == "100%40 or 5 &#64; 3%2E"
+
+
 def disguised(dice, kind):
     """An identifier of a kind in a random disguise."""
     digit_words = list(pii.DIGIT_WORDS)
