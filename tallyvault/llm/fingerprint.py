@@ -27,7 +27,7 @@ SUBSETS = 32
 SHARES = (8192, 2048, 512, 128)
 #: Subsets of a tier that must have a term in either text for the tier to count.
 LEAST = 2
-#: Rows of a range, about; more where that would make over MOST_RANGES, whose bounds the driver holds.
+#: Rows of a range, about.  There are MOST_RANGES at most, as there are tasks of a shuffle, so with very many documents a range has its share of them.
 RANGE_ROWS = 500
 MOST_RANGES = 50_000
 #: An id with so many ranges' rows is dealt by its texts, into so many ranges at most.
@@ -78,12 +78,13 @@ def ranged(docs: DataFrame, rows: int = RANGE_ROWS) -> DataFrame:
     key = F.coalesce(F.col("doc_id"), F.lit(lowest))
     n = docs.count()
     pieces = min(MOST_RANGES, max(1, n // rows))
-    shares = [i / pieces for i in range(1, pieces)]
-    bounds = base.agg(F.percentile_approx(key, shares, 10 * pieces + 1000)).first()[0] if shares and n else []
-    bounds = sorted(set(bounds or []))
-    array = F.array(*map(F.lit, bounds)) if bounds else F.lit(None)
-    under = below("_id", len(bounds)) if bounds else F.lit(0)
-    dealt = base.withColumn("_id", key).withColumn("_bounds", array).withColumn("_range", F.lit(len(bounds)) - under).drop("_bounds")
+    # ids alone are sorted by range, and each range's greatest is a bound: a row a range, 8 bytes each
+    tops_ = settle(base.select(key.alias("_id")).repartitionByRange(pieces, "_id").groupBy(F.spark_partition_id().alias("_part")).agg(F.max("_id").alias("_bound")).select("_bound").distinct())
+    ranges = tops_.count()
+    one = tops_.agg(F.sort_array(F.collect_list("_bound")).alias("b")).select(F.slice("b", 1, max(1, ranges - 1)).alias("b")) if ranges > 1 else None
+    under = below("_id", ranges) if one is not None else F.lit(0)
+    array = one.scalar() if one is not None else F.lit(None)
+    dealt = base.withColumn("_id", key).withColumn("_bounds", array).withColumn("_range", F.lit(ranges) - under).drop("_bounds")
     # an id that many rows have, or none, is dealt into ranges of its texts, by their first bytes; it is the greatest of its range
     hot = settle(dealt.groupBy("_id").agg(F.count("*").alias("_rows")).filter(F.col("_rows") > HOT_RANGES * rows)) if n > HOT_RANGES * rows else None
     if hot is not None and not hot.isEmpty():
