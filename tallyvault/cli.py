@@ -19,13 +19,11 @@ from pyspark.sql import functions as F
 from tallyvault.errors import InvalidInventory, Refused
 from tallyvault.inventory import Inventory, Store, scan
 from tallyvault.operators import archives, browse, candidates, duplicates, images, merge
-from tallyvault.schemas import BASE, SCHEMAS
-from tallyvault.sources import archive_files, archive_run, filesystem, hashing
-from tallyvault.storage import settle
+from tallyvault.schemas import SCHEMAS
+from tallyvault.sources import archive_files, archive_run, hashing
+from tallyvault.sources.discovery import begun, loaded, resumed, walked
 
 OK, FAILED, USAGE, PARTIAL, INCONSISTENT = 0, 1, 2, 3, 4
-#: Open directories of an interrupted discovery that one round walks.
-MOST_DIRECTORIES = 1000
 LIMITS = {k.replace("_", "-"): v for k, v in asdict(archive_files.Limits()).items()}
 
 
@@ -45,60 +43,6 @@ def grouped(df: DataFrame) -> Iterator[str]:
         yield f"  {r['path']}"
 
 
-def loaded(store: Store) -> Inventory:
-    """With all base tables, empty if need be."""
-    found = store.load()
-    return found.with_tables(**{t: getattr(found, t) for t in BASE})
-
-
-def discovered(store: Store, name: str, root: str) -> int:
-    inv = loaded(store)
-    if not name.strip() or len(name) > 200 or not inv.scans.filter(F.col("name") == name).isEmpty():
-        raise Refused("a scan needs a new name of 1 to 200 characters")
-    id_ = inv.scans.agg(F.coalesce(F.max("scan_id"), F.lit(0)) + 1).first()[0]
-    entries, errors = filesystem.discover(store.spark, root, id_, [store.folder])
-    top = entries.agg(F.max("entry_id") + 1).first()[0]
-    now = datetime.now(timezone.utc)
-    head = store.spark.createDataFrame([(id_, name, root.rstrip("/") or "/", "READY", "SHA-256", None, top, now, now)], SCHEMAS["scans"])
-    folders = entries.filter("kind = 'DIRECTORY'").select("scan_id", "entry_id", "parent_id", "relative_path", F.lit(True).alias("completed"))
-    store.save(append=True, scans=head, entries=entries, directories=folders, scan_errors=errors)
-    return id_
-
-
-def resumed(store: Store, name: str) -> None:
-    """Walk again what an interrupted discovery had not finished, if anything.
-
-    What the active directory had recorded in part is dropped, and the open directories are
-    walked; their entries get ids after the scan's last.  A scan that is discovered to its
-    end is left as it is.
-    """
-    inv = loaded(store)
-    own = scan(inv, name)
-    id_ = own["scan_id"]
-    mine = F.col("scan_id") == id_
-    open_ = candidates.unfinished_directories(inv, id_, MOST_DIRECTORIES)
-    rows = open_.collect()
-    if not rows and own["active_dir"] is None:
-        return
-    while rows:
-        kept = settle(candidates.without_partial_walk(inv, id_).filter(mine))
-        entries, errors = filesystem.continued(store.spark, own["root"], id_, open_, own["next_entry_id"], [store.folder])
-        done = [r["entry_id"] for r in rows]
-        folders = inv.directories.filter(mine).withColumn("completed", F.col("completed") | F.col("entry_id").isin(done))
-        deeper = entries.filter("kind = 'DIRECTORY'").select("scan_id", "entry_id", "parent_id", "relative_path", F.lit(True).alias("completed"))
-        own |= {"active_dir": None, "next_entry_id": max(own["next_entry_id"], (entries.agg(F.max("entry_id")).first()[0] or 0) + 1), "updated_at": datetime.now(timezone.utc)}
-        head = store.spark.createDataFrame([tuple(own[c] for c in SCHEMAS["scans"].names)], SCHEMAS["scans"])
-        # a directory that is walked again replaces what was recorded under it
-        fresh = kept.join(F.broadcast(open_.select("scan_id", F.col("entry_id").alias("parent_id"))), ["scan_id", "parent_id"], "left_anti").select(*SCHEMAS["entries"].names)
-        store.save(scan=id_, base=inv.revision, scans=head, entries=fresh.unionByName(entries), directories=folders.unionByName(deeper), scan_errors=inv.scan_errors.filter(mine).unionByName(errors))
-        inv = loaded(store)
-        open_ = candidates.unfinished_directories(inv, id_, MOST_DIRECTORIES)
-        rows = open_.collect()
-    if own["active_dir"] is not None or own["phase"] == "DISCOVERING":
-        own |= {"active_dir": None, "phase": "READY", "updated_at": datetime.now(timezone.utc)}
-        store.save(scan=id_, base=inv.revision, scans=store.spark.createDataFrame([tuple(own[c] for c in SCHEMAS["scans"].names)], SCHEMAS["scans"]))
-
-
 def hashed(store: Store, name: str, rehash: bool, complete: bool) -> int:
     inv = loaded(store)
     own = scan(inv, name)
@@ -154,7 +98,8 @@ def run(spark: SparkSession, argv: list[str], out=print) -> int:
     }
     try:
         if args.command == "scan":
-            discovered(store, args.name, args.root)
+            begun(store, args.name, args.root)
+            walked(store, args.name)
             return OK if args.discover_only else hashed(store, args.name, False, False)
         if args.command in ("hash", "resume"):
             if args.command == "resume":

@@ -23,7 +23,7 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyvault.errors import InvalidInventory, Refused
-from tallyvault.schemas import BASE, SCHEMAS, VERSION, conforming
+from tallyvault.schemas import BASE, SCHEMAS, STORED, VERSION, conforming
 
 
 #: Manifests that are kept; a save that has read an older one is refused.
@@ -33,7 +33,7 @@ ATTEMPTS = 100
 
 
 def by_scan(table: str) -> bool:
-    return "scan_id" in SCHEMAS[table].names
+    return "scan_id" in STORED[table].names
 
 
 @dataclass
@@ -95,17 +95,26 @@ class Store:
 
     def _read(self, name: str, live: list | dict) -> DataFrame:
         if isinstance(live, list):
-            return self.spark.read.schema(SCHEMAS[name]).parquet(*[f"{self.folder}/{name}/generation={g}" for g in live])
+            return self.spark.read.schema(STORED[name]).parquet(*[f"{self.folder}/{name}/generation={g}" for g in live])
         folders = [f"{self.folder}/{name}/generation={g}/scan_id={scan_}" for scan_, generations in live.items() for g in generations]
         if not folders:
-            return self.spark.createDataFrame([], SCHEMAS[name])
+            return self.spark.createDataFrame([], STORED[name])
         # the folders' names give scan_id, so that filters on it choose folders
-        return self.spark.read.schema(SCHEMAS[name]).option("basePath", f"{self.folder}/{name}").parquet(*folders).select(*SCHEMAS[name].names)
+        return self.spark.read.schema(STORED[name]).option("basePath", f"{self.folder}/{name}").parquet(*folders).select(*STORED[name].names)
 
     def load(self) -> Inventory:
-        """The tables of the last manifest, and its number."""
+        """The tables of the last manifest, and its number; directories that are not listed yet are among the others."""
         found = self.manifest()
-        return Inventory(self.spark, {name: conforming(self._read(name, live), name) for name, live in found["tables"].items()}, found["revision"])
+        tables = {name: conforming(self._read(name, live), name) for name, live in found["tables"].items()}
+        open_ = tables.pop("frontier", None)
+        if open_ is not None and found["tables"]["frontier"]:
+            tables["directories"] = tables["directories"].unionByName(open_) if "directories" in tables else open_
+        return Inventory(self.spark, tables, found["revision"])
+
+    def stored(self, name: str) -> DataFrame:
+        """One table as it is stored."""
+        live = self.manifest()["tables"].get(name)
+        return conforming(self._read(name, live), name) if live else self.spark.createDataFrame([], STORED[name])
 
     def _write(self, name: str, df: DataFrame, generation: str) -> list[str]:
         """Write rows as a generation; of a table by scan, the scans that it has."""

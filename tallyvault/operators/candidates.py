@@ -92,12 +92,12 @@ def upserted(stored: DataFrame, fresh: DataFrame) -> DataFrame:
     return stored.join(new, ["scan_id", "entry_id"], "full_outer").select("scan_id", "entry_id", F.coalesce("_new", "sha256").alias("sha256"))
 
 
-def unfinished_directories(inv: Inventory, scan_id: int, limit: int = 1000) -> DataFrame:
-    """The next directories to walk: not done, under a parent that is done, in the order they were met."""
+def unfinished_directories(inv: Inventory, scan_id: int, limit: int | None = 1000) -> DataFrame:
+    """The next directories to walk, or all: not done, under a parent that is done, in the order they were met."""
     queue = inv.directories.filter(F.col("scan_id") == scan_id)
     parents = queue.select(F.col("entry_id").alias("parent_id"), F.col("completed").alias("_done"))
     open_ = queue.filter("not completed").join(parents, "parent_id", "left").filter("parent_id = 0 or _done")
-    return open_.orderBy("entry_id").limit(limit).select("scan_id", "entry_id", "parent_id", "relative_path")
+    return (open_ if limit is None else open_.orderBy("entry_id").limit(limit)).select("scan_id", "entry_id", "parent_id", "relative_path")
 
 
 def without_partial_walk(inv: Inventory, scan_id: int) -> DataFrame:

@@ -46,6 +46,8 @@ def _schema(ddl: str) -> StructType:
 
 
 SCHEMAS: dict[str, StructType] = {name: _schema(ddl) for name, ddl in _DDL.items()}
+#: With what only a store has: of scans that are being discovered, the directories that are not listed yet.
+STORED = SCHEMAS | {"frontier": SCHEMAS["directories"]}
 BASE = ("scans", "entries", "directories", "hashes", "scan_errors")
 ARCHIVE = tuple(t for t in _DDL if t.startswith("archive_"))
 IMAGE = tuple(t for t in _DDL if t.startswith("image_"))
@@ -57,7 +59,7 @@ class UnsupportedSchema(ValueError):
 
 def differences(df: DataFrame, table: str) -> list[str]:
     """What keeps `df` from being `table`: columns that are missing, of another type, or unknown."""
-    want = {f.name: f.dataType.simpleString() for f in SCHEMAS[table].fields}
+    want = {f.name: f.dataType.simpleString() for f in STORED[table].fields}
     have = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     out = [f"{table}.{c}: missing" for c in want if c not in have]
     out += [f"{table}.{c}: {have[c]}, not {t}" for c, t in want.items() if c in have and have[c] != t]
@@ -68,4 +70,4 @@ def conforming(df: DataFrame, table: str) -> DataFrame:
     """`df` with the table's columns in order; another version's or another table's columns are refused, never guessed."""
     if found := differences(df, table):
         raise UnsupportedSchema("; ".join(found))
-    return df.select(*SCHEMAS[table].names)
+    return df.select(*STORED[table].names)

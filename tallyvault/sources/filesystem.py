@@ -19,10 +19,13 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 from tallyvault import storage
+from tallyvault.errors import Refused
 from tallyvault.storage import settle
 
 #: What an inventory store leaves beside its files.
 OWN_SUFFIXES = (".wal", ".lock", ".tmp")
+#: A row's kind for a directory that a round was given and has listed.
+LISTED = "LISTED"
 SCHEMA = "relative_path string, filename string, kind string, size long, modified_sec long, modified_nano int, error string"
 
 
@@ -68,15 +71,11 @@ class TreeReader(DataSourceReader):
         """What the driver has listed, entry by entry, and the subtrees below, dealt over tasks.
 
         Directories are listed level by level until there are enough of them, so a tree whose
-        files are all under one top directory is still walked by many tasks.  With `start`,
-        only what is below those directories is walked.
+        files are all under one top directory is still walked by many tasks.
         """
-        if self.start is None:
-            alone, open_ = [""], [""]
-            self.names("")  # a root that cannot be listed is refused
-        else:
-            alone, open_ = [], list(self.start)
-        shown = [""] if self.start is None else open_  # have a row already, or need none
+        alone, open_ = [""], [""]
+        self.names("")  # a root that cannot be listed is refused
+        shown = [""]  # has a row already
         for level in range(MOST_LEVELS):
             if not open_ or (level and (len(open_) >= ENOUGH or len(alone) >= MOST_LISTED)):
                 break
@@ -118,7 +117,7 @@ class TreeReader(DataSourceReader):
 
 
 class FileTree(DataSource):
-    """`spark.read.format("file_tree").load(root)`; option `exclude` names files that are never listed, `start` (JSON) directories whose contents alone are wanted."""
+    """`spark.read.format("file_tree").load(root)`; option `exclude` names files that are never listed."""
 
     @classmethod
     def name(cls) -> str:
@@ -131,8 +130,64 @@ class FileTree(DataSource):
         return TreeReader(self.options)
 
 
+class RoundReader(TreeReader):
+    """A part of a walk: what is below the given directories, as far as each task gets.
+
+    A task lists no further directory when it has found so many entries.  What it has found
+    by then has a row each, directories that it has not listed as `open`; of the given
+    directories it tells which it has listed.
+    """
+
+    def __init__(self, options: dict):
+        super().__init__(options)
+        self.most = int(options["most"])
+
+    def partitions(self) -> list[Subtrees]:
+        n = min(MOST_TASKS, len(self.start))
+        return [Subtrees(self.start[i::n], True) for i in range(n)]
+
+    def read(self, partition: Subtrees) -> Iterator[tuple]:
+        queue, count = deque((at, True) for at in partition.starts), 0
+        while queue:
+            at, given = queue.popleft()
+            found = (at, "", LISTED, 0, 0, 0, None) if given else row(self.root, at)
+            late = found[2] in ("DIRECTORY", LISTED) and count >= self.most
+            if found[2] in ("DIRECTORY", LISTED) and not late:
+                try:
+                    names = self.names(at)
+                    count += len(names)
+                    queue.extend((n, False) for n in names)
+                except OSError as e:
+                    found = (*found[:-1], f"{type(e).__name__}: {e.strerror}"[:4096])
+            if not (given and late):
+                yield (*found, late)
+
+
+class FileTreeRound(FileTree):
+    """`file_tree` with options `start` and `most`: one round of a walk."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "file_tree_round"
+
+    def schema(self) -> str:
+        return f"{SCHEMA}, open boolean"
+
+    def reader(self, schema: StructType) -> RoundReader:
+        return RoundReader(self.options)
+
+
+def top(root: str) -> tuple:
+    """The root's own entry; refused if it cannot be listed."""
+    try:
+        os.listdir(root.removeprefix("file://") or "/")
+    except OSError as e:
+        raise Refused(f"{root} cannot be listed: {e.strerror}") from e
+    return row(root.removeprefix("file://"), "")[:-1]
+
+
 def discover(spark: SparkSession, root: str, scan_id: int, exclude: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """entries and scan_errors of a tree.
+    """entries and scan_errors of a tree, walked at once.
 
     Ids rise with depth and then path from 1, the root, so that a parent's is below its
     children's.
@@ -142,13 +197,25 @@ def discover(spark: SparkSession, root: str, scan_id: int, exclude: list[str] |
     return _placed(read, scan_id, 1, None)
 
 
-def continued(spark: SparkSession, root: str, scan_id: int, folders: DataFrame, first: int, exclude: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """entries and scan_errors of what is below some directories (entry_id, relative_path; a round's, so not many), with ids from `first`."""
-    spark.dataSource.register(FileTree)
+def round_of(spark: SparkSession, root: str, scan_id: int, folders: DataFrame, first: int, most: int, exclude: list[str] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """entries (with `open`) and scan_errors of a round below some directories (entry_id, relative_path; a round's, so not many), with ids from `first`, and which of these it listed.
+
+    A task has `most` entries and what its last directory adds.
+    """
+    spark.dataSource.register(FileTreeRound)
     known = folders.select("entry_id", "relative_path")
     starts = [r["relative_path"] for r in known.collect()]
-    read = spark.read.format("file_tree").option("exclude", os.pathsep.join(exclude or [])).option("start", json.dumps(starts)).load(root)
-    return _placed(read, scan_id, first, known)
+    read = spark.read.format("file_tree_round").option("exclude", os.pathsep.join(exclude or [])).option("start", json.dumps(starts)).option("most", most).load(root)
+    told = settle(read)
+    entries, errors = _placed(told.filter(F.col("kind") != LISTED), scan_id, first, known)
+    listed = told.filter(F.col("kind") == LISTED)
+    return entries, errors.unionByName(_errors(listed, scan_id)), listed.select("relative_path")
+
+
+def _errors(rows: DataFrame, scan_id: int) -> DataFrame:
+    return rows.filter("error is not null").select(
+        F.lit(scan_id).cast("long").alias("scan_id"), F.lit("DISCOVERY").alias("phase"), "relative_path", F.col("error").alias("message"), F.unix_millis(F.current_timestamp()).alias("recorded_at_ms")
+    )
 
 
 def _placed(read: DataFrame, scan_id: int, first: int, known: DataFrame | None) -> tuple[DataFrame, DataFrame]:
@@ -160,10 +227,6 @@ def _placed(read: DataFrame, scan_id: int, first: int, known: DataFrame | None)
         parents = parents.unionByName(known.select(F.col("relative_path").alias("_folder"), F.col("entry_id").alias("_parent")))
     folder = F.when(F.col("_level") <= 1, F.lit("")).otherwise(F.expr("left(relative_path, length(relative_path) - length(filename) - 1)"))
     placed = numbered.withColumn("_folder", F.when(F.col("_level") > 0, folder)).join(parents, "_folder", "left")
-    entries = placed.select(
-        F.lit(scan_id).cast("long").alias("scan_id"), "entry_id", F.coalesce("_parent", F.lit(0)).alias("parent_id"), "relative_path", "filename", "kind", "size", "modified_sec", "modified_nano"
-    )
-    errors = numbered.filter("error is not null").select(
-        F.lit(scan_id).cast("long").alias("scan_id"), F.lit("DISCOVERY").alias("phase"), "relative_path", F.col("error").alias("message"), F.unix_millis(F.current_timestamp()).alias("recorded_at_ms")
-    )
-    return entries, errors
+    shown = ["relative_path", "filename", "kind", "size", "modified_sec", "modified_nano", *(["open"] if "open" in read.columns else [])]
+    entries = placed.select(F.lit(scan_id).cast("long").alias("scan_id"), "entry_id", F.coalesce("_parent", F.lit(0)).alias("parent_id"), *shown)
+    return entries, _errors(numbered, scan_id)

@@ -2,8 +2,13 @@ import json
 
 from pyspark.sql import functions as F
 
+import pytest
+
 from tallyvault import cli
+from tallyvault.errors import Refused
 from tallyvault.inventory import Store
+from tallyvault.operators import audit
+from tallyvault.sources import discovery
 
 
 def test_scan_report_and_merge(spark, tmp_path):
@@ -58,3 +63,48 @@ def test_an_interrupted_discovery_is_resumed(spark, tmp_path):
     assert all(r["parent_id"] == rows[p.rpartition("/")[0]]["entry_id"] for p, r in rows.items() if p) and len({r["entry_id"] for r in rows.values()}) == len(rows)
     assert after.directories.filter(mine & ~F.col("completed")).isEmpty() and after.hashes.filter(mine).count() == 4
     assert after.scans.filter(mine).select("phase", "active_dir").first() == ("COMPLETE", None)
+
+
+def test_a_killed_walk_is_resumed(spark, tmp_path, monkeypatch):
+    """Every round is published; a walk that is killed in one goes on from the last and ends as one that was not."""
+    root, folder = tmp_path / "root", str(tmp_path / "store")
+    for i in range(6):
+        for f in (f"d{i}/a", f"d{i}/sub/b", f"d{i}/sub/deep/c", f"d{i}/sub/deep/er/d", f"d{i}/empty-{i}/x"):
+            (root / f).parent.mkdir(parents=True, exist_ok=True)
+            (root / f).write_text("same" * i)
+    monkeypatch.setattr(discovery, "TASK_ENTRIES", 5)
+    monkeypatch.setattr(discovery, "MOST_DIRECTORIES", 4)
+    store = Store(spark, folder)
+    discovery.begun(store, "whole", str(root))
+    discovery.walked(store, "whole")
+    discovery.begun(store, "cut", str(root))
+    discovery.walked(store, "cut", rounds=2)
+    save, before = Store.save, store.revision()
+
+    def killed(self, *args, **tables):
+        if "entries" in tables:
+            raise KeyboardInterrupt
+        return save(self, *args, **tables)
+
+    monkeypatch.setattr(Store, "save", killed)
+    with pytest.raises(KeyboardInterrupt):
+        discovery.walked(store, "cut")
+    monkeypatch.setattr(Store, "save", save)
+    assert store.revision() == before
+    inv, mine = store.load(), F.col("scan_id") == 2
+    seen = inv.entries.filter(mine).count()
+    assert 1 < seen < inv.entries.filter("scan_id = 1").count() and not inv.directories.filter(mine & ~F.col("completed")).isEmpty()
+    assert audit.counted(audit.entries(inv) | audit.tree(inv)).filter("failures > 0").collect() == []
+    assert cli.run(spark, ["--store", folder, "duplicates", "--name", "cut"], lambda _: None) == cli.FAILED
+    # what the rounds before had found is not written again
+    generations = store.manifest()["tables"]["entries"]["2"]
+    assert cli.run(spark, ["--store", folder, "resume", "--name", "cut"], lambda _: None) == cli.OK
+    manifest = store.manifest()["tables"]
+    assert manifest["entries"]["2"][: len(generations)] == generations and "2" not in manifest["frontier"]
+    after = store.load()
+    rows = lambda t, i: sorted(tuple(r)[1:] for r in getattr(after, t).filter(F.col("scan_id") == i).collect())
+    assert rows("entries", 1) == rows("entries", 2) and rows("directories", 1) == rows("directories", 2) and len(rows("entries", 2)) == 1 + 6 * 10
+    assert audit.counted(audit.entries(after) | audit.tree(after)).filter("failures > 0").collect() == []
+    assert after.scans.filter(mine).first()["phase"] == "COMPLETE"
+    with pytest.raises(Refused):
+        discovery.begun(store, "other", str(tmp_path / "nowhere"))
