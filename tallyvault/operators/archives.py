@@ -93,6 +93,19 @@ def arranged(found: DataFrame) -> DataFrame:
     return facts.select("scan_id", "group_key", "flavor", "volumes", missing.alias("missing"), twice.alias("ambiguous"), F.when(lone, "single").otherwise(F.col("flavor")).alias("reader_flavor"))
 
 
+def arrangement(flavor: str, slots: list[int]) -> tuple[bool, bool, str]:
+    """The same for one set in hand: missing, ambiguous, and how it is to be read."""
+    numbered = [s for s in slots if s > 0]
+    twice = len(set(slots)) < len(slots)
+    if flavor == "single":
+        missing = False
+    elif flavor == "zip-split":
+        missing = 0 not in slots or len(numbered) != max(numbered, default=0) or len(set(numbered)) != len(numbered)
+    else:
+        missing = twice or min(slots) != (0 if flavor == "rar-old" else 1) or max(slots) - min(slots) + 1 != len(slots)
+    return missing, twice, "single" if slots == [0] else flavor
+
+
 def volume_order(flavor: Column, slot: Column) -> Column:
     return F.when((flavor == "zip-split") & (slot == 0), F.lit(2**62)).otherwise(slot.cast("long"))
 

@@ -14,6 +14,7 @@ import io
 import lzma
 import os
 import tarfile
+import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -65,14 +66,76 @@ def safe_path(name: str | bytes) -> str:
     return "/".join(parts)
 
 
+class Kept:
+    """The bytes of a member, in memory or in a file; opened as often as needed, and dropped once."""
+
+    def __init__(self, scratch: Scratch):
+        self.scratch, self.size, self.blocks, self.path, self.file = scratch, 0, [], None, None
+
+    def write(self, block: bytes) -> bool:
+        """Whether there is room for it."""
+        self.size += len(block)
+        if self.file is None and len(block) <= self.scratch.memory:
+            self.scratch.memory -= len(block)
+            self.blocks.append(block)
+            return True
+        if self.file is None:
+            if self.scratch.folder is None:
+                return False
+            os.makedirs(self.scratch.folder, exist_ok=True)
+            self.path = os.path.join(self.scratch.folder, uuid.uuid4().hex)
+            self.file = open(self.path, "wb")  # noqa: SIM115
+            for b in self.blocks:
+                self.file.write(b)
+            self._free()
+        self.file.write(block)
+        return True
+
+    def _free(self) -> None:
+        self.scratch.memory += sum(map(len, self.blocks))
+        self.blocks = []
+
+    def finish(self) -> None:
+        if self.file is not None:
+            self.file.close()
+
+    def open(self) -> BinaryIO:
+        return io.BytesIO(b"".join(self.blocks)) if self.path is None else open(self.path, "rb")
+
+    def drop(self) -> None:
+        self.finish()
+        self._free()
+        if self.path is not None:
+            os.unlink(self.path)
+            self.path = None
+
+
+@dataclass
+class Scratch:
+    """Room for members that are read again: so many bytes of memory, and a folder that executors share, if there is one that files can be opened in."""
+
+    folder: str | None = None
+    memory: int = 1 << 26
+
+
 class Budget:
     """What is left of an archive's bytes."""
 
-    def __init__(self, size: int, limits: Limits):
+    def __init__(self, size: int, limits: Limits, scratch: Scratch | None = None):
         self.limits, self.left = limits, min(limits.total_bytes, limits.ratio * max(size, 1) + BLOCK)
-
-    def read(self, stream: BinaryIO, keep: bool) -> tuple[str, int, bytes | None]:
-        digest, n, held = hashlib.sha256(), 0, [] if keep else None
+        self.scratch = scratch or Scratch()
+
+    def read(self, stream: BinaryIO, keep: bool) -> tuple[str, int, Kept | None]:
+        kept = Kept(self.scratch) if keep else None
+        try:
+            return self._read(stream, kept)
+        except BaseException:
+            if kept is not None:
+                kept.drop()
+            raise
+
+    def _read(self, stream: BinaryIO, held: Kept | None) -> tuple[str, int, Kept | None]:
+        digest, n = hashlib.sha256(), 0
         while block := stream.read(BLOCK):
             digest.update(block)
             n += len(block)
@@ -81,14 +144,15 @@ class Budget:
                 raise LimitHit("MEMBER_BYTES")
             if self.left < 0:
                 raise LimitHit("TOTAL_BYTES")
-            if held is not None:
-                held.append(block)
-                if n > self.limits.nested_bytes:
-                    held = None
-        return digest.hexdigest(), n, None if held is None else b"".join(held)
+            if held is not None and (n > self.limits.nested_bytes or not held.write(block)):
+                held.drop()
+                held = None
+        if held is not None:
+            held.finish()
+        return digest.hexdigest(), n, held
 
 
-def _member(ordinal: int, name: str | bytes, kind: str, declared: int | None, seconds: int | None, opened: Callable[[], BinaryIO | None], budget: Budget, wanted: Callable[[str], bool], encrypted: bool = False) -> tuple[tuple, bytes | None]:
+def _member(ordinal: int, name: str | bytes, kind: str, declared: int | None, seconds: int | None, opened: Callable[[], BinaryIO | None], budget: Budget, wanted: Callable[[str], bool], encrypted: bool = False) -> tuple[tuple, Kept | None]:
     """One member and perhaps its bytes, or what is wrong with it; the others are still read."""
     empty = (None, None)
     try:
@@ -107,6 +171,8 @@ def _member(ordinal: int, name: str | bytes, kind: str, declared: int | None, se
     except BROKEN as e:
         return (ordinal, path, kind, declared, None, seconds, None, "DAMAGED", False, "CONTENT", "READ", str(e)), None
     if declared is not None and n != declared:
+        if body is not None:
+            body.drop()
         return (ordinal, path, kind, declared, n, seconds, None, "DAMAGED", False, "CONTENT", "SIZE", "the size is not as declared"), None
     return (ordinal, path, kind, declared, n, seconds, digest, "READ_OK", False, None, *empty), body
 
@@ -119,9 +185,9 @@ def _zst(data: BinaryIO) -> BinaryIO | None:
     return zstandard.ZstdDecompressor().stream_reader(data, read_across_frames=True, closefd=False)
 
 
-def walked(name: str, data: BinaryIO, size: int, limits: Limits = Limits(), wanted: Callable[[str], bool] = lambda path: False) -> Iterator[tuple[tuple, bytes | None]]:  # noqa: B008
+def walked(name: str, data: BinaryIO, size: int, limits: Limits = Limits(), wanted: Callable[[str], bool] = lambda path: False, scratch: Scratch | None = None) -> Iterator[tuple[tuple, Kept | None]]:  # noqa: B008
     """Members in order and errors, as rows without the archive's path, each with its bytes if they are wanted."""
-    lower, budget = name.lower(), Budget(size, limits)
+    lower, budget = name.lower(), Budget(size, limits, scratch)
 
     def failure(category: str, code: str, e: object) -> tuple[tuple, None]:
         return (0, None, "OTHER", None, None, None, None, "UNREADABLE", False, category, code, str(e)), None
@@ -205,13 +271,14 @@ def _frame(rows: list[tuple], names: list[str]) -> pd.DataFrame:
 
 
 class Joined(io.RawIOBase):
-    """Several files read as one."""
+    """Several files, or other streams of known size, read as one by seeking."""
 
-    def __init__(self, paths: list[str]):
-        self.files = [open(p, "rb") for p in paths]  # noqa: SIM115
+    def __init__(self, parts: list[str] | list[tuple[BinaryIO, int]]):
+        opened = [(open(p, "rb"), os.path.getsize(p)) if isinstance(p, str) else p for p in parts]  # noqa: SIM115
+        self.files = [f for f, _ in opened]
         self.ends, total = [], 0
-        for p in paths:
-            total += os.path.getsize(p)
+        for _, size in opened:
+            total += size
             self.ends.append(total)
         self.total, self.at = total, 0
 

@@ -1,8 +1,8 @@
 """The archives of a scan, analysed: found by name, read, hashed and looked into, level by level, and published.
 
 A set of volumes is one piece of work, equal sets are read once, and what an earlier run
-has read is taken from its results.  Archives within an archive are read by the task that
-reads it, while their bytes are at hand.  Everything a task says leaves it as rows; nothing
+has read is taken from its results.  Archives within an archive, and sets of volumes within
+it, are read by the task that reads it, from bytes kept in memory or in the shared folder.  Everything a task says leaves it as rows; nothing
 but counts comes to the driver.
 
 What is found in a content depends on how many levels are left to look into.  So a task
@@ -33,8 +33,8 @@ from tallyvault.inventory import Inventory, Store, scan
 from tallyvault.operators import archives
 from tallyvault.schemas import SCHEMAS
 from tallyvault.sources import hashing
-from tallyvault.sources.archive_files import BROKEN, Joined, Limits, walked
-from tallyvault.storage import settle
+from tallyvault.sources.archive_files import BROKEN, Joined, Kept, Limits, Scratch, local, walked
+from tallyvault.storage import new_folder, settle
 
 PROVIDER = "python-stdlib-1"
 #: What a task tells: a row a result, member, error or nested archive.
@@ -66,11 +66,32 @@ class Facts:
     cut: str | None
 
 
+@dataclass
+class Volume:
+    """A member that is an archive or a part of one."""
+
+    ordinal: int
+    path: str
+    flavor: str
+    slot: int
+    digest: str | None
+    size: int | None
+    body: Kept | None
+
+    def order(self) -> tuple[int, int]:
+        return (1 << 62 if self.flavor == "zip-split" and self.slot == 0 else self.slot), self.ordinal
+
+    def dropped(self) -> None:
+        if self.body is not None:
+            self.body.drop()
+            self.body = None
+
+
 class Analyst:
     """Reads one archive and those within it; rows of each content and levels left once."""
 
-    def __init__(self, run: str, reader: str, limits: Limits):
-        self.run, self.reader, self.limits = run, reader, limits
+    def __init__(self, run: str, reader: str, limits: Limits, scratch: Scratch):
+        self.run, self.reader, self.limits, self.scratch = run, reader, limits, scratch
         self.whole: dict[str, Facts] = {}
         self.short: dict[tuple[str, int], Facts] = {}  # cut by levels alone
 
@@ -96,46 +117,72 @@ class Analyst:
         flags = {"OPERATIONAL": 0, "LIMIT": 0, "CAPABILITY": 0}
         errors, told, sound, later, height = 0, 0, True, False, 0
         cut: set[str] = set()
-        members: set[str] = set()
+        sets: dict[str, list[Volume]] = {}
+
+        def told_of(ordinal: int | None, category: str, code: str, message: str) -> dict:
+            nonlocal errors
+            errors += 1
+            if category in flags:
+                flags[category] += 1
+            return {"what": "error", "result_id": result, "ordinal": ordinal or None, "category": category, "code": code, "message": message}
 
         def nested(path: str) -> bool:
             return left > 0 and archives.classified_name(path) is not None
 
-        for row, body in walked(name, data, size, self.limits, nested):
-            ordinal, path, kind, declared, actual, seconds, digest, integrity, encrypted, category, code, message = row
-            found = archives.classified_name(path) if path and kind == "FILE" else None
-            group, flavor, slot = found or (None, None, None)
-            if ordinal:
-                told += 1
-                yield {"what": "member", "result_id": result, "ordinal": ordinal, "relative_path": path or f"unsafe-{ordinal}", "kind": kind, "declared_size": declared, "actual_size": actual, "modified_sec": seconds, "sha256": digest, "integrity": integrity, "encrypted": encrypted, "group_key": group, "flavor": flavor, "slot": slot, "message": message}
-            problems = [(category, code, message)] if category else []
-            if found and not problems:
-                if flavor != "single" and slot != 0 or group in members:
-                    problems.append(("CAPABILITY", "VOLUMES", "volumes within an archive are not joined"))
-                elif body is None and left > 0:
-                    problems.append(("LIMIT", "NESTED_BYTES", "too large to be looked into"))
-                else:
-                    members.add(group)
-                    child = f"file-sha256:{digest}"
-                    why = "levels" if left <= 0 else "ancestor" if child in above else None
-                    done = None if why else self.known(child, left - 1)
-                    if done:
-                        facts = done
-                    elif why:
-                        facts = yield from self.barred(path, child, left - 1, why, above)
-                    else:
-                        facts = yield from self.rows(path, path, io.BytesIO(body), len(body), child, left - 1, above)
-                    cut |= {facts.cut} - {None}
-                    sound, later, height = sound and facts.reusable, later or facts.retryable, max(height, facts.height + 1)
+        try:
+            for row, body in walked(name, data, size, self.limits, nested, self.scratch):
+                ordinal, path, kind, declared, actual, seconds, digest, integrity, encrypted, category, code, message = row
+                found = archives.classified_name(path) if path and kind == "FILE" else None
+                group, flavor, slot = found or (None, None, None)
+                if ordinal:
                     told += 1
-                    yield {"what": "nested", "result_id": result, "ordinal": ordinal, "group_key": group, "child_result_id": facts.result, "duplicate": done is not None}
-                    if facts.state != "COMPLETE":
-                        problems.append(("CHILD", "NESTED_ERRORS", f"{group} has errors or was not read to its end"))
-            for category, code, message in problems:
-                errors += 1
-                if category in flags:
-                    flags[category] += 1
-                yield {"what": "error", "result_id": result, "ordinal": ordinal or None, "category": category, "code": code, "message": message}
+                    yield {"what": "member", "result_id": result, "ordinal": ordinal, "relative_path": path or f"unsafe-{ordinal}", "kind": kind, "declared_size": declared, "actual_size": actual, "modified_sec": seconds, "sha256": digest, "integrity": integrity, "encrypted": encrypted, "group_key": group, "flavor": flavor, "slot": slot, "message": message}
+                if category:
+                    yield told_of(ordinal, category, code, message)
+                if found:
+                    sets.setdefault(group, []).append(Volume(ordinal, path, flavor, slot, digest, actual, body))
+            # sets of volumes, when all members are known, in the order of their first ones
+            for group, volumes in sets.items():
+                if any(v.digest is None for v in volumes):
+                    if len(volumes) > 1:
+                        yield told_of(volumes[0].ordinal, "CONTENT", "MISSING_VOLUMES", f"a volume of {group} was not read")
+                    continue
+                volumes.sort(key=Volume.order)
+                first, title = min(v.ordinal for v in volumes), volumes[0].path
+                missing, ambiguous, reader = archives.arrangement(volumes[0].flavor, [v.slot for v in volumes])
+                if missing or ambiguous or len({v.flavor for v in volumes}) > 1:
+                    yield told_of(first, *(("LIMIT", "AMBIGUOUS_VOLUMES") if ambiguous else ("CONTENT", "MISSING_VOLUMES")), f"the volumes of {group} are not one set")
+                    continue
+                if reader not in ("single", "zip-chunks") and len(volumes) > 1:
+                    yield told_of(first, "CAPABILITY", "UNSUPPORTED", f"{reader} needs other tools")
+                    continue
+                child = archives.set_fingerprint([(v.slot, v.size, v.digest) for v in volumes], volumes[0].flavor)
+                why = "levels" if left <= 0 else "ancestor" if child in above else None
+                done = None if why else self.known(child, left - 1)
+                if done:
+                    facts = done
+                elif why:
+                    facts = yield from self.barred(title, child, left - 1, why, above)
+                elif any(v.body is None for v in volumes):
+                    yield told_of(first, "LIMIT", "NESTED_BYTES", "too large to be looked into")
+                    continue
+                else:
+                    total = sum(v.size for v in volumes)
+                    streams = [(v.body.open(), v.size) for v in volumes]
+                    with streams[0][0] if len(streams) == 1 else io.BufferedReader(Joined(streams)) as data_:
+                        facts = yield from self.rows(title, title if len(streams) == 1 else group.partition(":")[2], data_, total, child, left - 1, above)
+                cut |= {facts.cut} - {None}
+                sound, later, height = sound and facts.reusable, later or facts.retryable, max(height, facts.height + 1)
+                told += 1
+                yield {"what": "nested", "result_id": result, "ordinal": first, "group_key": group, "child_result_id": facts.result, "duplicate": done is not None}
+                if facts.state != "COMPLETE":
+                    yield told_of(first, "CHILD", "NESTED_ERRORS", f"{group} has errors or was not read to its end")
+                for v in volumes:
+                    v.dropped()
+        finally:
+            for volumes in sets.values():
+                for v in volumes:
+                    v.dropped()
         retryable = flags["OPERATIONAL"] > 0 or later
         reusable = not any(flags.values()) and sound and not retryable
         facts = Facts(result, "PARTIAL" if errors else "COMPLETE", retryable, reusable, height, min(cut, default=None))  # "ancestor" first
@@ -153,6 +200,9 @@ def read(sets: DataFrame, run: str, limits: Limits) -> DataFrame:
     A set whose volumes are not what the scan has recorded, before or after they are read, gives a row that says so.
     """
 
+    # members that are read again lie in the shared folder, where it is one whose files can be opened by name, else in memory
+    folder = local(new_folder(sets.sparkSession, "archives"))
+
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for r in batch.itertuples(index=False):
@@ -175,7 +225,7 @@ def read(sets: DataFrame, run: str, limits: Limits) -> DataFrame:
         volumes, reader = list(r.held), r.fingerprint
         files = [v["path"] for v in volumes]
         name = files[0] if r.reader_flavor == "single" or len(files) == 1 else r.label
-        analyst = Analyst(run, reader, limits)
+        analyst = Analyst(run, reader, limits, Scratch(folder))
         try:
             if r.reader_flavor not in ("single", "zip-chunks"):
                 raise NotImplementedError(f"{r.reader_flavor} needs other tools")

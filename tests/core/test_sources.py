@@ -245,13 +245,49 @@ def test_volumes_that_changed_give_no_result(spark, tmp_path):
     assert again["zip-split:b"]["status"] == "COMPLETE" and made["archive_results"].count() == 1 and made["archive_members"].count() == 1
 
 
+def test_volumes_within_an_archive_are_joined(spark, tmp_path, monkeypatch):
+    """Chunks of a zip within a zip are one archive, read to its members, wherever its bytes are kept."""
+    inner = _zip({"leaf": b"leaf" * 400, "deep.zip": _zip({"x": b"x"})})
+    cut = [inner[:300], inner[300:700], inner[700:]]
+    parts = {f"p/d.zip.{i:03}": body for i, body in enumerate(cut, 1)}
+    shuffled = {k: parts[k] for k in sorted(parts, reverse=True)}
+    files = {
+        "a.zip": _zip({"note": b"note", **shuffled}), "b.tar.gz": _tar(parts), "d.zip.001": cut[0], "d.zip.002": cut[1], "d.zip.003": cut[2],
+        "gap.zip": _zip({k: v for k, v in parts.items() if not k.endswith("2")}), "split.zip": _zip({"s.z01": b"PK", "s.zip": b"PK"}),
+    }
+    for memory in (1 << 26, 100):
+        monkeypatch.setattr(archive_files.Scratch.__init__, "__defaults__", (None, memory))
+        name = f"scan-{memory}"
+        inv, jobs, results = analysed_tree(spark, tmp_path, files, archive_files.Limits(), name)
+        inv = inv.with_tables(archive_jobs=inv.archive_jobs.filter(F.col("scan_id") == inv.scans.filter(F.col("name") == name).first()["scan_id"]))
+        jobs = {r["group_key"]: r for r in inv.archive_jobs.collect()}
+        own = {k: results[r["result_id"]] for k, r in jobs.items()}
+        assert {k: (r["state"], r["height"]) for k, r in own.items()} == {
+            "zip-split:a": ("COMPLETE", 2), "single:b.tar.gz": ("COMPLETE", 2), "zip-chunks:d.zip": ("COMPLETE", 1), "zip-split:gap": ("PARTIAL", 0), "zip-split:split": ("PARTIAL", 0)
+        }
+        # the set is one content, in a scan and in two kinds of archives
+        child = below(inv, own["zip-split:a"]["result_id"])["zip-chunks:p/d.zip"]
+        assert child == below(inv, own["single:b.tar.gz"]["result_id"])["zip-chunks:p/d.zip"] == jobs["zip-chunks:d.zip"]["result_id"]
+        assert {r["relative_path"] for r in inv.archive_members.filter(F.col("result_id") == child).collect()} == {"leaf", "deep.zip"}
+        codes = {r["result_id"]: r["code"] for r in inv.archive_errors.collect()}
+        assert codes[own["zip-split:gap"]["result_id"]] == "MISSING_VOLUMES" and codes[own["zip-split:split"]["result_id"]] == "UNSUPPORTED"
+
+
+@pytest.mark.parametrize(("flavor", "slots"), [("single", [0]), ("zip-split", [0]), ("zip-split", [1, 0]), ("zip-split", [2, 0]), ("zip-split", [1]), ("zip-split", [1, 1, 0]), ("zip-chunks", [1, 2]), ("zip-chunks", [2, 3]), ("zip-chunks", [1, 3]), ("rar-old", [0, 1]), ("rar-old", [1, 2]), ("rar-parts", [1, 1]), ("rar-old", [0]), ("7z-split", [1])])
+def test_a_set_in_hand_is_arranged_as_a_table_is(spark, flavor, slots):
+    from tallyvault.operators import archives
+
+    row = archives.arranged(spark.createDataFrame([(1, "g", flavor, s) for s in slots], "scan_id long, group_key string, flavor string, slot int")).first()
+    assert archives.arrangement(flavor, slots) == (row["missing"], row["ambiguous"], row["reader_flavor"])
+
+
 def test_zst_archives(tmp_path):
     zstandard = pytest.importorskip("zstandard")
     body = zstandard.ZstdCompressor().compress(_tar({"one": b"same", "two": ("one",)}, "w"))
     rows = [r for r, _ in archive_files.walked("a.tar.zst", io.BytesIO(body), len(body))]
     assert [(r[1], r[2], r[7]) for r in rows] == [("one", "FILE", "READ_OK"), ("two", "HARDLINK", "METADATA")]
     ((row, kept),) = archive_files.walked("b.zst", io.BytesIO(zstandard.ZstdCompressor().compress(b"same")), 20, wanted=lambda p: True)
-    assert (row[1], row[4], kept) == ("b", 4, b"same")
+    assert (row[1], row[4], kept.open().read()) == ("b", 4, b"same")
 
 
 def test_image_headers(spark, tmp_path):
