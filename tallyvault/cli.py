@@ -7,6 +7,7 @@ partial report; a merge gives 3 for a refusal and 4 for an inconsistent inventor
 from __future__ import annotations
 
 import argparse
+import importlib
 import json
 import sys
 from collections.abc import Iterator
@@ -20,8 +21,9 @@ from tallyvault.errors import InvalidInventory, Refused
 from tallyvault.inventory import Inventory, Store, scan
 from tallyvault.operators import archives, browse, candidates, duplicates, images, merge
 from tallyvault.schemas import SCHEMAS
-from tallyvault.sources import archive_files, archive_run, hashing
+from tallyvault.sources import archive_files, archive_run, hashing, image_run, reports
 from tallyvault.sources.discovery import begun, loaded, resumed, walked
+from tallyvault.storage import settle
 
 OK, FAILED, USAGE, PARTIAL, INCONSISTENT = 0, 1, 2, 3, 4
 LIMITS = {k.replace("_", "-"): v for k, v in asdict(archive_files.Limits()).items()}
@@ -35,12 +37,36 @@ def lines(df: DataFrame) -> Iterator[str]:
 
 def grouped(df: DataFrame) -> Iterator[str]:
     """A heading for each content and its paths below."""
-    last = None
+    last, named = None, "scan_name" in df.columns
     for r in df.toLocalIterator():
+        heading, line = reports.line_of(r.asDict(), named)
         if (r["size"], r["sha256"]) != last:
             last = (r["size"], r["sha256"])
-            yield f"{r['copies']} copies, {r['size']} bytes, {r['sha256']}"
-        yield f"  {r['path']}"
+            yield heading
+        yield line
+
+
+def cross_hashed(store: Store, names: list[str]) -> int:
+    """Hash what the comparison of scans lacks: files of sizes that two or more of them have; how many could not be read."""
+    inv = loaded(store)
+    missing = candidates.cross_candidates(inv, candidates.selected(inv, names)).filter("sha256 is null").select("scan_id", "entry_id")
+    files = settle(inv.entries.join(missing, ["scan_id", "entry_id"], "left_semi"))
+    if files.isEmpty():
+        return 0
+    new, errors = (settle(df) for df in hashing.hashed(files, inv.scans))
+    store.save(append=True, base=inv.revision, hashes=new, scan_errors=errors)
+    return errors.count()
+
+
+def imaged(store: Store, args: argparse.Namespace) -> int:
+    """Analyse images with a provider that is named as `module:attribute`; it is called without arguments if it is a class or function."""
+    module, _, attribute = args.provider.partition(":")
+    try:
+        provider = getattr(importlib.import_module(module), attribute)
+    except (ImportError, AttributeError, ValueError) as e:
+        raise Refused(f"no provider {args.provider!r}: {e}", "CAPABILITY") from e
+    provider = provider() if callable(provider) else provider
+    return OK if image_run.publish(store, args.name, provider, args.provider, when=args.container_hash) == "COMPLETE" else PARTIAL
 
 
 def hashed(store: Store, name: str, rehash: bool, complete: bool) -> int:
@@ -71,20 +97,22 @@ def parser() -> argparse.ArgumentParser:
     result = ("--result", {"required": True})
     add("scan", named, ("--root", {"required": True}), ("--discover-only", yes))
     for c in ("hash", "resume"):
-        add(c, named, ("--rehash", yes), ("--hash-complete", yes))
+        add(c, named, ("--rehash", yes), ("--hash-complete", yes), *[("--discover-only", yes)] * (c == "resume"))
     add("archives", named, *[(f"--{flag}", {"type": int, "default": default}) for flag, default in LIMITS.items()])
+    add("images", named, ("--provider", {"required": True}), ("--container-hash", {"choices": ["candidate", "always", "never"], "default": "candidate"}))
     add("list")
     for c in ("status", "errors", "archive-status", "archive-list", "archive-errors", "image-status", "image-list", "image-errors"):
         add(c, named)
-    add("duplicates", named, ("--format", {"choices": ["text", "jsonl"], "default": "text"}), ("--allow-partial", yes))
-    add("cross-duplicates", ("--scan", {"action": "append", "required": True}), ("--format", {"choices": ["text", "jsonl"], "default": "text"}))
+    output = ("--output", {"help": "a new folder that the report is written to, in parts that follow each other"})
+    add("duplicates", named, ("--format", {"choices": ["text", "jsonl"], "default": "text"}), ("--allow-partial", yes), output)
+    add("cross-duplicates", ("--scan", {"action": "append", "required": True}), ("--format", {"choices": ["table", "text", "jsonl"], "default": "table"}), output)
     for c in ("archive-entries", "archive-volumes", "image-entries", "image-filesystems", "image-partitions", "image-components"):
         add(c, result)
-    add("merge-database", ("--source", {"required": True}), ("--dry-run", yes))
+    add("merge-database", ("--source", {"required": True}), ("--dry-run", yes), ("--quiet", yes))
     return top
 
 
-def run(spark: SparkSession, argv: list[str], out=print) -> int:
+def run(spark: SparkSession, argv: list[str], out=print, err=lambda line: print(line, file=sys.stderr)) -> int:
     try:
         args = parser().parse_args(argv)
     except SystemExit as e:
@@ -104,12 +132,20 @@ def run(spark: SparkSession, argv: list[str], out=print) -> int:
         if args.command in ("hash", "resume"):
             if args.command == "resume":
                 resumed(store, args.name)
+                if args.discover_only:
+                    return OK
             return hashed(store, args.name, args.rehash, args.hash_complete)
         if args.command == "archives":
             chosen = archive_files.Limits(**{k.replace("-", "_"): getattr(args, k.replace("-", "_")) for k in LIMITS})
             return OK if archive_run.publish(store, args.name, chosen) == "COMPLETE" else PARTIAL
+        if args.command == "images":
+            return imaged(store, args)
+        if args.command == "cross-duplicates":
+            cross_hashed(store, args.scan)
         if args.command == "merge-database":
             try:
+                if not args.quiet:
+                    err(json.dumps({"event": "merge", "source": args.source, "dry_run": args.dry_run}))
                 out(json.dumps(merge.merge(store_inventory(spark, args.source), store, args.dry_run), default=str))
                 return OK
             except InvalidInventory as e:
@@ -124,12 +160,18 @@ def run(spark: SparkSession, argv: list[str], out=print) -> int:
             partial = scan(inv, args.name)["phase"] != "COMPLETE"
         elif args.command == "cross-duplicates":
             rows = duplicates.cross_report(inv, args.scan)
-            partial = duplicates.cross_summary(inv, args.scan)["partial"]
+            summary = duplicates.cross_summary(inv, args.scan)
+            partial = summary["partial"]
+            err(json.dumps({"event": "cross_scan_summary"} | summary, default=str))
         elif args.command in shown:
             rows = shown[args.command](inv)
         else:
             rows = images.detail(inv, args.command.replace("-", "_"), args.result)
-        text = getattr(args, "format", "jsonl") == "text"
+        text = getattr(args, "format", "jsonl") in ("text", "table")
+        if getattr(args, "output", None):
+            order = ["relative_path"] if args.command == "duplicates" else ["scan_ordinal", "relative_path", "entry_id"]
+            reports.grouped(rows, args.output, order) if text else reports.json_lines(rows, args.output)
+            return PARTIAL if partial else OK
         for line in grouped(rows) if text else lines(rows):
             out(line)
         return PARTIAL if partial else OK

@@ -108,3 +108,42 @@ def test_a_killed_walk_is_resumed(spark, tmp_path, monkeypatch):
     assert after.scans.filter(mine).first()["phase"] == "COMPLETE"
     with pytest.raises(Refused):
         discovery.begun(store, "other", str(tmp_path / "nowhere"))
+
+
+def test_reports_as_files(spark, tmp_path):
+    """Parts in the order of their names are what is printed; a comparison hashes what it lacks first."""
+    for d in ("one", "two"):
+        for i in range(40):
+            at = tmp_path / d / f"d{i % 3}" / f"f{i}"
+            at.parent.mkdir(parents=True, exist_ok=True)
+            at.write_text("same" * (i % 5) if i % 4 else f"{i % 8}")
+    said, told = [], []
+
+    def call(*argv):
+        said.clear()
+        told.clear()
+        return cli.run(spark, ["--store", str(tmp_path / "s"), *argv], said.append, told.append)
+
+    assert call("scan", "--name", "one", "--root", str(tmp_path / "one")) == cli.OK
+    assert call("scan", "--name", "two", "--root", str(tmp_path / "two"), "--discover-only") == cli.OK
+    spark.conf.set("spark.sql.shuffle.partitions", "6")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for n, (form, *argv) in enumerate((("text", "duplicates", "--name", "one"), ("jsonl", "duplicates", "--name", "one"), ("table", "cross-duplicates", "--scan", "two", "--scan", "one"), ("jsonl", "cross-duplicates", "--scan", "two", "--scan", "one"))):
+            assert call(*argv, "--format", form) == cli.OK
+            printed = list(said)
+            assert call(*argv, "--format", form, "--output", str(tmp_path / f"out{n}")) == cli.OK and not said
+            parts = sorted(p for p in (tmp_path / f"out{n}").iterdir() if p.name.startswith("part-"))
+            lines = [line for p in parts for line in p.read_text().splitlines()]
+            assert len([p for p in parts if p.stat().st_size]) > 1 and len(lines) >= 40
+            assert lines == printed if form != "jsonl" else [json.loads(x) for x in lines] == [json.loads(x) for x in printed]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "2")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    summary = json.loads(told[0])
+    assert summary["event"] == "cross_scan_summary" and not summary["partial"] and summary["pending_files"] == 0
+    assert Store(spark, str(tmp_path / "s")).load().hashes.filter("scan_id = 2").count() == 40
+    assert call("resume", "--name", "two", "--discover-only") == cli.OK
+    assert call("images", "--name", "one", "--provider", "no.such:thing") == cli.FAILED and json.loads(said[0])["code"] == "CAPABILITY"
+    assert call("images", "--name", "one", "--provider", "tallyvault.sources.image_headers:Fixture") == cli.OK
+    assert call("image-status", "--name", "one") == cli.OK and json.loads(said[0])["phase"] == "COMPLETE"
