@@ -487,3 +487,15 @@ def test_toxicity_of_odd_tables(spark, odd):
     assert toxicity.score(odd.limit(0), machine).isEmpty()
     bare = toxicity.fit(odd, labels.limit(0))
     assert toxicity.score(odd, bare).count() == odd.count()
+
+
+def test_the_sample_has_whole_rows(docs, monkeypatch):
+    """The end of a long row is learned as its beginning is, and only so many languages are learned as are allowed."""
+    long = "ab " * 9_000 + "zq " * 4_000  # 39,000 characters
+    rows = [(1, long, "s", "long"), (2, "cd " * 12, "s", "short"), (3, "ef " * 30_000, "s", "over"), (4, "ef " * 20_000 + "xy " * 9_000, "s", "over")]
+    model = language.fit(docs(rows))
+    told = {r["doc_id"]: r["lang_pred"] for r in language.predict(docs([(1, "zqzq zq zq"), (2, "cdcd cd"), (3, "xy xy xy xy"), (4, "ab ab")]), model).collect()}
+    assert told == {1: "long", 2: "short", 3: "over", 4: "long"}
+    monkeypatch.setattr(language, "MOST_LANGUAGES", 2)
+    few = language.fit(docs([(i, "ab cd", "s", k) for i, k in enumerate("aaabbc")]))
+    assert few.langs == ["a", "b"]
