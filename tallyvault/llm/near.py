@@ -149,11 +149,13 @@ def shingled(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            sets = [shingles(t, words) for t in batch["text"]]
-            # texts of one id and hash are one text but for a chance of 2**-64
-            same = [node(s) == n for n, s in zip(batch["node"], sets, strict=True)]
-            yield pd.DataFrame({"node": batch["node"][same], "shingles": [s.tobytes() for s, ok in zip(sets, same, strict=True) if ok]})
+        for whole in batches:
+            for at in range(0, len(whole), 250):  # so few, as shingles take more room than their texts
+                batch = whole.iloc[at : at + 250]
+                sets = [shingles(t, words) for t in batch["text"]]
+                # texts of one id and hash are one text but for a chance of 2**-64
+                same = [node(s) == n for n, s in zip(batch["node"], sets, strict=True)]
+                yield pd.DataFrame({"node": batch["node"][same], "shingles": [s.tobytes() for s, ok in zip(sets, same, strict=True) if ok]})
 
     made = texts.join(wanted, ["rep", "text_hash"]).select("node", "text").mapInPandas(run, "node long, shingles binary")
     return made.groupBy("node").agg(F.first("shingles").alias("shingles"))  # of repeated rows one
