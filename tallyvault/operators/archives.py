@@ -110,11 +110,11 @@ def volume_order(flavor: Column, slot: Column) -> Column:
     return F.when((flavor == "zip-split") & (slot == 0), F.lit(2**62)).otherwise(slot.cast("long"))
 
 
-def _utf(column: Column) -> Column:
+def packed_text(column: Column) -> Column:
     return F.concat(F.unhex(F.lpad(F.hex(F.octet_length(column)), 4, "0")), column.cast("binary"))
 
 
-def _number(column: Column, digits: int) -> Column:
+def packed_number(column: Column, digits: int) -> Column:
     return F.unhex(F.lpad(F.hex(column.cast("long")), digits, "0"))
 
 
@@ -126,8 +126,8 @@ def fingerprints(found: DataFrame, digests: DataFrame, tag: str = SET_TAG) -> Da
     known = found.join(digests.select("scan_id", F.col("entry_id").alias("source_id"), "sha256"), ["scan_id", "source_id"], "left")
     volume = F.struct(volume_order(F.col("flavor"), F.col("slot")).alias("o"), "source_id", "slot", "size", "sha256")
     sets = known.groupBy("scan_id", "group_key", "flavor").agg(F.sort_array(F.collect_list(volume)).alias("v"), F.bool_and(F.col("sha256").isNotNull()).alias("whole"))
-    body = F.aggregate("v", F.unhex(F.lit("")), lambda a, v: F.concat(a, _number(v["slot"], 8), _number(v["size"], 16), F.unhex(v["sha256"])))
-    joint = F.concat(F.lit("set-v1-sha256:"), F.sha2(F.concat(_utf(F.lit(tag)), _utf(F.col("flavor")), _number(F.size("v"), 8), body), 256))
+    body = F.aggregate("v", F.unhex(F.lit("")), lambda a, v: F.concat(a, packed_number(v["slot"], 8), packed_number(v["size"], 16), F.unhex(v["sha256"])))
+    joint = F.concat(F.lit("set-v1-sha256:"), F.sha2(F.concat(packed_text(F.lit(tag)), packed_text(F.col("flavor")), packed_number(F.size("v"), 8), body), 256))
     alone = (F.size("v") == 1) & (F.col("v")[0]["slot"] == 0)
     return sets.select("scan_id", "group_key", "flavor", F.size("v").alias("volumes"), F.when(F.col("whole"), F.when(alone, F.concat(F.lit("file-sha256:"), F.col("v")[0]["sha256"])).otherwise(joint)).alias("fingerprint"))
 
@@ -181,7 +181,7 @@ def nested_sets(inv: Inventory, result_id: str) -> DataFrame:
     own = inv.archive_members.filter((F.col("result_id") == result_id) & F.col("group_key").isNotNull())
     sets = own.groupBy("group_key").agg(F.min("flavor").alias("flavor"), F.min("ordinal").alias("first"))
     # one result's sets only
-    return sets.select(F.row_number().over(Window.orderBy("first", "group_key")).alias("sequence"), "group_key", "flavor", F.col("first").alias("source_ordinal"))
+    return sets.select(F.rowpacked_number().over(Window.orderBy("first", "group_key")).alias("sequence"), "group_key", "flavor", F.col("first").alias("source_ordinal"))
 
 
 def reached(inv: Inventory, scan_id: int) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tallyvault.errors import InvalidInventory, Refused
 from tallyvault.inventory import Inventory, scan
 from tallyvault.operators import predicates as P
+from tallyvault.operators.archives import packed_number, packed_text
 
 #: The format behind each file extension.
 FORMATS = {"vmdk": "vmdk", "qcow": "qcow", "qcow2": "qcow2", "vdi": "vdi", "vhd": "vpc", "vpc": "vpc", "vhdx": "vhdx", "qed": "qed", "img": "raw", "raw": "raw", "dd": "raw", "iso": "raw", "dmg": "dmg"}
@@ -51,6 +52,19 @@ def set_fingerprint(components: list[dict], contents: bool) -> str:
     return hashlib.sha256(body).hexdigest()
 
 
+def fingerprints(components: DataFrame, image: str, contents: bool) -> DataFrame:
+    """The same for each image of a table of components (`image` names whose they are), an image's few at a time."""
+    columns = ["ordinal", "parent_ordinal", "role", "format", "size", *["sha256"] * contents]
+    parts = components.groupBy(image).agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("p"))
+
+    def packed(body: Column, c: Column) -> Column:
+        own = [packed_number(c["ordinal"], 16), packed_number(c["parent_ordinal"], 16), packed_text(c["role"]), packed_text(c["format"]), packed_number(c["size"], 16)]
+        return F.concat(body, *own, *[F.unhex(c["sha256"])] * contents)
+
+    head = F.concat(packed_text(F.lit(CONTENT_TAG if contents else SHAPE_TAG)), packed_number(F.size("p"), 8))
+    return parts.select(image, F.sha2(F.aggregate("p", head, packed), 256).alias("fingerprint"))
+
+
 def cached(wanted: DataFrame, results: DataFrame) -> DataFrame:
     """For each (fingerprint, provider, policy) wanted the oldest complete result that can be used again."""
     fit = results.filter(F.col("reusable") & (F.col("state") == "COMPLETE"))

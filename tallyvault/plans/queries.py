@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from tallyvault.inventory import Inventory
 from tallyvault.operators import archives, audit, browse, candidates, duplicates, images, merge, scenario, search, signatures
 from tallyvault.operators import predicates as P
 from tallyvault.plans.testbed import SQL, inventory
-from tallyvault.schemas import SCHEMAS, differences
+from tallyvault.schemas import SCHEMAS, conforming, differences
 from tallyvault.sources import filesystem, hashing
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -652,13 +653,6 @@ _add(
 )
 
 
-def _shapes(inv: Inventory) -> DataFrame:
-    """The fingerprint of each image's components, of their shape alone."""
-    parts = inv.image_components.groupBy("result_id").agg(F.sort_array(F.collect_list(F.struct("ordinal", "parent_ordinal", "role", "format", "size"))).alias("parts"))
-    made = F.udf(lambda rows: images.set_fingerprint([r.asDict() for r in rows], False), "string")  # a row an image, its components at most 256
-    return parts.select("result_id", made("parts").alias("fingerprint"))
-
-
 _BYTES = "printf('%016x', CASE WHEN {0} < 0 THEN 18446744073709551615::HUGEINT ELSE {0} END)"
 _UTF = "printf('%04x', strlen({0})) || lower(hex({0}))"
 _FORMAT = f"list_extract([{', '.join(repr(f) for f in ('qcow2', 'vmdk', 'raw', 'vpc', 'vdi'))}], (k % 5 + 1)::BIGINT)"
@@ -667,7 +661,7 @@ _add(
     f""", c AS (SELECT '00000002-0000-0000-0000-' || lpad(k::VARCHAR, 12, '0') AS result_id, o::BIGINT AS ordinal, (o - 1)::HUGEINT AS parent, list_extract(['PRIMARY', 'BACKING', 'EXTENT'], (o + 1)::BIGINT) AS role, {_FORMAT} AS format, (k % 7 * 1000)::BIGINT AS size
         FROM disks, range(0, 3) r(o) WHERE m NOT IN (5, 6) AND (o = 0 OR (o = 1 AND k % 3 = 0) OR (o = 2 AND k % 6 = 0)))
     SELECT result_id, sha256(unhex({_UTF.format("'" + images.SHAPE_TAG + "'")} || printf('%08x', count(*)) || string_agg(printf('%016x', ordinal) || CASE WHEN parent < 0 THEN 'ffffffffffffffff' ELSE printf('%016x', parent::BIGINT) END || {_UTF.format("role")} || {_UTF.format("format")} || printf('%016x', size), '' ORDER BY ordinal))) AS fingerprint FROM c GROUP BY result_id""",
-    _shapes,
+    lambda inv: images.fingerprints(inv.image_components, "result_id", contents=False),
 )
 
 # merging whole rows, its counts and ids; stored shapes
@@ -699,6 +693,18 @@ _add(
 )
 
 
+def _conforming(inv: Inventory, tables: list[str]) -> DataFrame:
+    """Tables that have the stored schema, in any order of columns, with their rows."""
+    shuffled = [(t, getattr(inv, t).select(*reversed(SCHEMAS[t].names))) for t in tables]
+    counted = [conforming(df, t).agg(F.count("*").alias("n")).select(F.lit(t).alias("name"), F.lit(len(SCHEMAS[t])).alias("columns"), "n") for t, df in shuffled]
+    return reduce(DataFrame.unionByName, counted)
+
+
+_add(
+    "schema_of_tables", "SELECT 'scans' AS name, 9 AS columns, count(*) AS n FROM scans UNION ALL SELECT 'entries', 9, count(*) FROM entries UNION ALL SELECT 'hashes', 3, count(*) FROM hashes UNION ALL SELECT 'scan_errors', 5, count(*) FROM scan_errors",
+    lambda inv: _conforming(inv, ["scans", "entries", "hashes", "scan_errors"]),
+)
+
 # sources, over the tables' own files; what SQL cannot read has no twin
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyvault.functions import paths
+from tallyvault.storage import settle
 
 BUFFER = 1 << 20
 #: A hasher reads a whole file: (path, buffer size) -> (hexadecimal digest, bytes read).
@@ -71,6 +72,6 @@ def hashed(files: DataFrame, scans: DataFrame, hasher: Hasher = sha256, partitio
                 out.append((r.scan_id, r.entry_id, r.relative_path, *found))
             yield pd.DataFrame(out, columns=["scan_id", "entry_id", "relative_path", "sha256", "code"])
 
-    done = rows.mapInPandas(run, "scan_id long, entry_id long, relative_path string, sha256 string, code string").persist()
+    done = settle(rows.mapInPandas(run, "scan_id long, entry_id long, relative_path string, sha256 string, code string"))  # no file is read twice
     errors = done.filter("code is not null").select("scan_id", F.lit("HASHING").alias("phase"), "relative_path", F.col("code").alias("message"), F.unix_millis(F.current_timestamp()).alias("recorded_at_ms"))
     return done.filter("sha256 is not null").select("scan_id", "entry_id", "sha256"), errors

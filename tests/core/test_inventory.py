@@ -550,12 +550,15 @@ def test_shared_graphs(spark):
         dag.heights(spark.createDataFrame([("p",), ("q",)], "node string"), spark.createDataFrame([("p", "q"), ("q", "p")], "parent string, child string"))
 
 
-def test_image_parts():
+def test_image_parts(spark):
     assert images.resolved("top", {"top": ["base", "extent"], "base": ["deep"]}) == [(0, -1, "top"), (1, 0, "base"), (2, 1, "deep"), (3, 0, "extent")]
     with pytest.raises(InvalidInventory):
         images.resolved("a", {"a": ["b"], "b": ["a"]})
     parts = [{"ordinal": 0, "parent_ordinal": -1, "role": "PRIMARY", "format": "raw", "size": 4, "sha256": sha("same")}]
     assert images.set_fingerprint(parts, True) != images.set_fingerprint(parts, False)
+    table = spark.createDataFrame([(1, c["ordinal"], c["parent_ordinal"], c["role"], c["format"], c["size"], c["sha256"]) for c in parts], "image long, ordinal long, parent_ordinal long, role string, format string, size long, sha256 string")
+    for contents in (True, False):
+        assert images.fingerprints(table, "image", contents).first()["fingerprint"] == images.set_fingerprint(parts, contents)
 
 
 def test_sizes():
