@@ -605,14 +605,14 @@ _add(
     coalesce(above, 0)::INTEGER AS height FROM archive_results r LEFT JOIN e ON e.result_id = r.result_id LEFT JOIN c ON c.result_id = r.result_id""",
     lambda inv: archives.outcome(*_attempts(inv)),
 )
-def _told(inv: Inventory) -> DataFrame:
+def _told_by_readers(inv: Inventory) -> DataFrame:
     """Every result as three readers would tell it, one of which found its volumes changed."""
     none, own = F.lit(None), lambda c: F.concat("reader", F.lit("/"), F.col(c))
     readers = F.explode(F.array(*[F.lit(r) for r in ("one", "two", "lost")])).alias("reader")
     rows = inv.archive_members.groupBy("result_id").agg(F.count("*").alias("told"))
     results = inv.archive_results.join(rows, "result_id", "left").select("*", readers).select("reader", F.lit("result").alias("what"), own("result_id").alias("result_id"), none.cast("long").alias("ordinal"), none.cast("string").alias("child_result_id"), F.col("result_id").alias("final_id"), F.coalesce("told", F.lit(0)).alias("told"))
     members = inv.archive_members.select("*", readers).select("reader", F.lit("member").alias("what"), own("result_id").alias("result_id"), "ordinal")
-    nested = inv.archive_nested.select("*", readers).select("reader", F.lit("nested").alias("what"), own("parent_result_id").alias("result_id"), F.col("source_ordinal").alias("ordinal"), own("child_result_id").alias("child_result_id"))
+    nested = inv.archive_nested.select("*", readers).select("reader", F.lit("nested").alias("what"), own("parent_result_id").alias("result_id"), none.cast("long").alias("ordinal"), own("child_result_id").alias("child_result_id"))
     changed = inv.spark.createDataFrame([("lost", "changed")], "reader string, what string")
     return results.unionByName(members, True).unionByName(nested, True).unionByName(changed, True)
 
@@ -620,8 +620,8 @@ def _told(inv: Inventory) -> DataFrame:
 _add(
     "archive_resolved",
     """ SELECT 'result' AS what, result_id, NULL::BIGINT AS ordinal, NULL AS child_result_id FROM archive_results
-    UNION ALL SELECT 'member', result_id, ordinal, NULL FROM archive_members UNION ALL SELECT 'nested', parent_result_id, source_ordinal, child_result_id FROM archive_nested""",
-    lambda inv: archives.resolved(_told(inv)).select("what", "result_id", "ordinal", "child_result_id"),
+    UNION ALL SELECT 'member', result_id, ordinal, NULL FROM archive_members UNION ALL SELECT 'nested', parent_result_id, NULL, child_result_id FROM archive_nested""",
+    lambda inv: archives.resolved(_told_by_readers(inv)).select("what", "result_id", "ordinal", "child_result_id"),
 )
 _add(
     "archive_nested_sets",
