@@ -9,6 +9,9 @@ and goes on after it, or is refused if both touch the same scan of a table.
 Tables with a scan_id are stored by scan, and the manifest names the generations of each
 scan of a table: a new scan, or new digests of one, write that scan alone, and a filter
 on scan_id reads only its folders.  Other tables are lists of generations.
+
+A store may keep more than an inventory has: the frontier of walks, counts of contents
+(operators/contents.py), and the zones and grams of files (layout.py).
 """
 
 from __future__ import annotations
@@ -42,6 +45,8 @@ class Inventory:
     tables: dict[str, DataFrame] = field(default_factory=dict)
     #: of the store that the tables were loaded from
     revision: int | None = None
+    #: files by scan and content, if they are known without a count of the files
+    contents: DataFrame | None = None
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_") or name not in SCHEMAS:
@@ -106,18 +111,26 @@ class Store:
         """The tables of the last manifest, and its number; directories that are not listed yet are among the others."""
         found = self.manifest()
         tables = {name: conforming(self._read(name, live), name) for name, live in found["tables"].items()}
+        tables = {name: df for name, df in tables.items() if name in SCHEMAS or name == "frontier"}
         open_ = tables.pop("frontier", None)
         if open_ is not None and found["tables"]["frontier"]:
             tables["directories"] = tables["directories"].unionByName(open_) if "directories" in tables else open_
         return Inventory(self.spark, tables, found["revision"])
 
-    def stored(self, name: str) -> DataFrame:
-        """One table as it is stored."""
-        live = self.manifest()["tables"].get(name)
+    def stored(self, name: str, revision: int | None = None) -> DataFrame:
+        """One table as it is stored, by the last manifest or an earlier one."""
+        live = self.manifest(revision)["tables"].get(name)
         return conforming(self._read(name, live), name) if live else self.spark.createDataFrame([], STORED[name])
 
-    def _write(self, name: str, df: DataFrame, generation: str) -> list[str]:
-        """Write rows as a generation; of a table by scan, the scans that it has."""
+    def files(self, name: str, chosen: list[tuple[str, str, str]]) -> DataFrame:
+        """Rows of a table by scan from some of its files alone, each told as scan, generation and name; an empty name is all of a generation."""
+        if not chosen:
+            return self.spark.createDataFrame([], STORED[name])
+        places = [f"{self.folder}/{name}/generation={g}/scan_id={s}{'/' + f if f else ''}" for s, g, f in chosen]
+        return self.spark.read.schema(STORED[name]).option("basePath", f"{self.folder}/{name}").parquet(*places).select(*STORED[name].names)
+
+    def write(self, name: str, df: DataFrame, generation: str) -> list[str]:
+        """Write rows as a generation that no manifest names yet; of a table by scan, the scans that it has."""
         path = f"{self.folder}/{name}/generation={generation}"
         rows = conforming(df, name)
         if not by_scan(name):
@@ -149,22 +162,31 @@ class Store:
             if not by_scan(name):
                 if scan is not None and not added:
                     raise Refused(f"{name} is not stored by scan", "UNSUPPORTED_SCHEMA")
-                self._write(name, df, generation)
+                self.write(name, df, generation)
                 changes.append((name, None, added))
                 continue
             only = scan if not added else None
-            new = self._write(name, df if only is None else df.filter(df.scan_id == only), generation)
+            new = self.write(name, df if only is None else df.filter(df.scan_id == only), generation)
             if added:
                 changes += [(name, s, True) for s in new]
             else:
                 changes.append((name, None if only is None else str(only), False))
                 tables = tables | {name: new}  # the scans it has now
+        return self.publish(changes, tables, generation, since, revision, base is not None)
+
+    def publish(self, changes: list, tables: dict, generation: str, since: int, revision: int | None = None, read: bool = True, same: bool = False) -> int:
+        """Name a generation that has been written in the next manifest; the number that this gets.
+
+        `changes` tells what it replaces or adds to as (table, scan or None, whether rows are
+        added), `tables` the scans that each replaced table by scan has now, and `same` that
+        the tables' rows are those they had.
+        """
         for _ in range(ATTEMPTS):
             live = self.manifest()
             if revision is not None and revision != live["revision"]:
                 raise Refused("the store has changed meanwhile", "SCENARIO_REVISION_CONFLICT")
-            self._compatible(changes, since, live, base is not None)
-            after = {"version": VERSION, "revision": live["revision"] + 1, "tables": self._after(live["tables"], changes, tables, generation), "touched": changes}
+            self._compatible(changes, since, live, read)
+            after = {"version": VERSION, "revision": live["revision"] + 1, "tables": self._after(live["tables"], changes, tables, generation, same), "touched": changes}
             if self._create(after["revision"], json.dumps(after, sort_keys=True)):
                 self._fs.delete(self._path(self._log(after["revision"] - KEPT)), False)
                 return after["revision"]
@@ -175,7 +197,8 @@ class Store:
         for number in range(since + 1, live["revision"] + 1):
             for table, scan_, added in self.manifest(number)["touched"]:
                 for own, mine, adds in changes:
-                    same = own == table and (mine == scan_ or mine is None or scan_ is None)
+                    known = own == table or (own == "contents" and table in ("entries", "hashes"))
+                    same = known and (mine == scan_ or mine is None or scan_ is None)
                     if same and (read or not (adds and added)):
                         raise Refused(f"{table} has changed meanwhile", "SCENARIO_REVISION_CONFLICT")
         known = live["tables"].get("scans", {})
@@ -183,8 +206,13 @@ class Store:
             raise Refused(f"scan {taken[0]} has been saved meanwhile", "SCENARIO_REVISION_CONFLICT")
 
     @staticmethod
-    def _after(live: dict, changes: list, tables: dict, generation: str) -> dict:
+    def _after(live: dict, changes: list, tables: dict, generation: str, same: bool) -> dict:
         out = dict(live)
+        # counts that are kept of a scan hold no longer when its files change without them
+        counted = {s for name, s, _ in changes if name == "contents"}
+        changed = set() if same or None in counted else {s for name, s, _ in changes if name in ("entries", "hashes")} - counted
+        if "contents" in out and changed:
+            out["contents"] = {} if None in changed else {s: g for s, g in out["contents"].items() if s not in changed}
         for name, scan_, added in changes:
             old = out.get(name, {} if by_scan(name) else [])
             if not by_scan(name):
@@ -200,8 +228,10 @@ class Store:
 
     def compact(self, *names: str) -> int:
         """Write tables anew, so that many small generations become one; refused if they change meanwhile."""
-        found = self.load()
-        return self.save(base=found.revision, **{n: getattr(found, n) for n in names or found.tables})
+        found, generation = self.manifest(), uuid.uuid4().hex
+        chosen = [n for n in names or found["tables"] if n in found["tables"]]
+        new = {n: self.write(n, self.stored(n, found["revision"]), generation) for n in chosen}
+        return self.publish([(n, None, False) for n in chosen], new, generation, found["revision"], same=True)
 
     def _create(self, revision: int, text: str) -> bool:
         """Make a manifest of this number unless there is one; it is whole when it is there.

@@ -9,6 +9,7 @@ from tallyvault import cursor, spec
 from tallyvault.errors import InvalidFilter, Refused
 from tallyvault.functions import paths
 from tallyvault.inventory import Inventory
+from tallyvault.operators import contents
 from tallyvault.operators import predicates as P
 
 MOST_OFFSET = 1_000_000
@@ -22,7 +23,8 @@ def dashboard(inv: Inventory) -> DataFrame:
     file = F.col("kind") == "FILE"
     entries = inv.entries.agg(F.count_if(file).alias("files"), F.count_if(F.col("kind") == "DIRECTORY").alias("directories"), P.total(F.when(file, F.col("size"))).alias("file_bytes"))
     # over every stored digest, whatever algorithm its scan names
-    groups = inv.entries.join(inv.hashes, ["scan_id", "entry_id"]).groupBy("size", "sha256").count().filter("count > 1").agg(F.count("*").alias("duplicate_groups"))
+    copies = contents.copies(inv.contents) if inv.contents is not None else inv.entries.join(inv.hashes, ["scan_id", "entry_id"]).groupBy("size", "sha256").agg(F.count("*").alias("copies"))
+    groups = copies.filter("copies > 1").agg(F.count("*").alias("duplicate_groups"))
     out = inv.scans.agg(F.count("*").alias("scans"))
     for one in (entries, inv.hashes.agg(F.count("*").alias("hashes")), inv.scan_errors.agg(F.count("*").alias("errors")), groups):
         out = out.crossJoin(one)  # one row each

@@ -9,8 +9,10 @@ from tallyvault import cursor, spec
 from tallyvault.errors import InvalidFilter, Refused
 from tallyvault.functions import paths
 from tallyvault.inventory import Inventory, scan
-from tallyvault.operators import candidates, hot
+from tallyvault.operators import candidates, contents, hot
 from tallyvault.operators import predicates as P
+from tallyvault.schemas import SCHEMAS
+from tallyvault.storage import settle
 
 DONE = ("COMPLETE", "COMPLETE_WITH_ERRORS")
 
@@ -63,6 +65,9 @@ def status(inv: Inventory, name: str) -> DataFrame:
 def cross_groups(inv: Inventory, names: list[str]) -> DataFrame:
     """Contents that two or more of the named scans hold."""
     chosen = candidates.selected(inv, names)
+    if inv.contents is not None:
+        found = contents.copies(inv.contents.join(F.broadcast(chosen), "scan_id", "left_semi"))
+        return found.withColumnRenamed("scan_copies", "scan_count").filter("scan_count >= 2")
     files = candidates.cross_candidates(inv, chosen).filter("sha256 is not null")
     return files.groupBy("size", "sha256").agg(F.count("*").alias("copies"), F.count_distinct("scan_id").alias("scan_count")).filter("scan_count >= 2")
 
@@ -112,6 +117,10 @@ def flagged(inv: Inventory, request: dict) -> DataFrame:
     return seen.withColumn("filter_match", F.coalesce(P.content(inv, wanted), F.lit(False)))
 
 
+def observed() -> Column:
+    return (F.col("size").cast("decimal(19,0)") * F.col("occurrences").cast("decimal(18,0)")).cast(P.HUGE)
+
+
 def groups(inv: Inventory, request: dict) -> DataFrame:
     """Every group that qualifies, with counts over all its members in the selected scans."""
     wanted = spec.group_search(request)
@@ -120,8 +129,7 @@ def groups(inv: Inventory, request: dict) -> DataFrame:
         F.count_if("has_error").alias("error_occurrences"), F.min("relative_path").alias("sample_path"),
     )
     kept = facts.filter((F.col("occurrences") >= wanted["min_occurrences"]) & (F.col("scan_count") >= wanted["min_scans"]) & (F.col("matching_occurrences") > 0))
-    bytes_ = F.col("size").cast("decimal(19,0)") * F.col("occurrences").cast("decimal(18,0)")
-    return kept.withColumn("observed_bytes", bytes_.cast(P.HUGE)).withColumn("group_id", F.concat_ws(":", F.col("size").cast("string"), "sha256"))
+    return kept.withColumn("observed_bytes", observed()).withColumn("group_id", F.concat_ws(":", F.col("size").cast("string"), "sha256"))
 
 
 def group_keys(wanted: dict) -> list[tuple[Column, bool]]:
@@ -130,7 +138,17 @@ def group_keys(wanted: dict) -> list[tuple[Column, bool]]:
 
 
 def group_page(inv: Inventory, request: dict, position: list | None = None) -> DataFrame:
+    """A page of groups; with kept counts it is cut from them, and facts are gathered for its contents alone, unless files are filtered."""
     wanted = spec.group_search(request)
+    plain = not wanted["reference"] and all(wanted[k] == v for k, v in spec.file_filter({}).items())
+    if inv.contents is not None and plain:
+        counts = contents.copies(inv.contents, wanted["scan_ids"]).withColumnsRenamed({"copies": "occurrences", "scan_copies": "scan_count"})
+        kept = counts.filter((F.col("occurrences") >= wanted["min_occurrences"]) & (F.col("scan_count") >= wanted["min_scans"]))
+        cut = settle(cursor.page(kept.withColumn("observed_bytes", observed()), group_keys(wanted), wanted["limit"], position))
+        sizes, own = F.broadcast(cut.select("size").distinct()), F.broadcast(cut.select("size", "sha256"))  # a page's, at most 501
+        files = inv.entries.join(sizes, "size", "left_semi")
+        same = P.scoped(files, wanted["scan_ids"]).join(P.scoped(inv.hashes, wanted["scan_ids"]), ["scan_id", "entry_id"]).join(own, ["size", "sha256"], "left_semi")
+        inv = inv.with_tables(entries=files, hashes=same.select(*SCHEMAS["hashes"].names))
     return cursor.page(groups(inv, request), group_keys(wanted), wanted["limit"], position).withColumn("observed_bytes", F.col("observed_bytes").cast("string"))
 
 
