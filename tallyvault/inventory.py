@@ -24,6 +24,7 @@ from pathlib import Path
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tallyvault.errors import InvalidInventory, Refused
 from tallyvault.schemas import BASE, SCHEMAS, STORED, VERSION, conforming
@@ -122,12 +123,14 @@ class Store:
         live = self.manifest(revision)["tables"].get(name)
         return conforming(self._read(name, live), name) if live else self.spark.createDataFrame([], STORED[name])
 
-    def files(self, name: str, chosen: list[tuple[str, str, str]]) -> DataFrame:
-        """Rows of a table by scan from some of its files alone, each told as scan, generation and name; an empty name is all of a generation."""
-        if not chosen:
-            return self.spark.createDataFrame([], STORED[name])
+    def files(self, name: str, chosen: list[tuple[str, str, str]], told: str | None = None) -> DataFrame:
+        """Rows of a table by scan from some of its files alone, each given as scan, generation and name (an empty name: all of the
+        generation); with a column `file` of what Spark tells of files, if wanted."""
         places = [f"{self.folder}/{name}/generation={g}/scan_id={s}{'/' + f if f else ''}" for s, g, f in chosen]
-        return self.spark.read.schema(STORED[name]).option("basePath", f"{self.folder}/{name}").parquet(*places).select(*STORED[name].names)
+        more = [] if told is None else [F.col(told).alias("file")]
+        if not chosen:
+            return self.spark.createDataFrame([], STORED[name]).select("*", *[F.lit("").alias("file") for _ in more])
+        return self.spark.read.schema(STORED[name]).option("basePath", f"{self.folder}/{name}").parquet(*places).select(*STORED[name].names, *more)
 
     def write(self, name: str, df: DataFrame, generation: str) -> list[str]:
         """Write rows as a generation that no manifest names yet; of a table by scan, the scans that it has."""

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tallyvault import cursor, spec
 from tallyvault.functions import paths
 from tallyvault.inventory import Inventory
-from tallyvault.operators import hot
+from tallyvault.operators import contents, hot
 from tallyvault.operators import predicates as P
 from tallyvault.storage import settle
 
@@ -20,9 +20,9 @@ def sort_key(kind: str) -> Column:
     }[kind]
 
 
-def _found(inv: Inventory, seen: DataFrame, wanted: dict) -> DataFrame:
+def _found(inv: Inventory, seen: DataFrame, wanted: dict, whole: Inventory | None = None) -> DataFrame:
     """The observations that a request finds, named, with the key they are sorted by."""
-    found = seen.filter(P.content(inv, wanted, wanted["duplicate_state"])).join(F.broadcast(inv.scans.select("scan_id", "name", "root")), "scan_id")
+    found = seen.filter(P.content(whole or inv, wanted, wanted["duplicate_state"])).join(F.broadcast(inv.scans.select("scan_id", "name", "root")), "scan_id")
     return found.withColumn("sort_key", sort_key(wanted["sort"]))
 
 
@@ -51,15 +51,27 @@ def page(inv: Inventory, request: dict, position: list | None = None) -> DataFra
     Unless the request asks for copies, they are counted after the page is cut, for its contents alone.
     """
     wanted = spec.file_search(request)
-    order = keys(wanted["descending"])
     if wanted["duplicate_state"] not in (None, "ANY"):
-        return cursor.page(matching(inv, request), order, wanted["limit"], position)
-    seen = P.observations(inv, wanted["scan_ids"])
-    rows = settle(cursor.page(_found(inv, seen, wanted), order, wanted["limit"], position))
-    contents = F.broadcast(rows.select("size", "sha256").filter("sha256 is not null").distinct())  # a page's, at most 501
-    files = P.scoped(inv.entries, wanted["scan_ids"]).filter("kind = 'FILE'").join(F.broadcast(rows.select("size").distinct()), "size", "left_semi")
-    same = files.join(P.scoped(inv.hashes, wanted["scan_ids"]), ["scan_id", "entry_id"]).join(contents, ["size", "sha256"], "left_semi")
-    return cursor.page(_shown(rows.join(P.copies(same), ["size", "sha256"], "left")), order, wanted["limit"])
+        return cursor.page(matching(inv, request), keys(wanted["descending"]), wanted["limit"], position)
+    return finished(inv, first(inv, wanted, position), wanted)
+
+
+def first(inv: Inventory, wanted: dict, position: list | None, whole: Inventory | None = None) -> DataFrame:
+    """A page's rows without their copies; `whole` is where a directory is looked up, if the files that are searched are fewer."""
+    found = _found(inv, P.observations(inv, wanted["scan_ids"]), wanted, whole or inv)
+    return settle(cursor.page(found, keys(wanted["descending"]), wanted["limit"], position))
+
+
+def finished(inv: Inventory, rows: DataFrame, wanted: dict) -> DataFrame:
+    """A page with its copies, which are kept counts or counted for its contents alone."""
+    own = F.broadcast(rows.select("size", "sha256").filter("sha256 is not null").distinct())  # a page's, at most 501
+    sizes = F.broadcast(rows.select("size").distinct())
+    if inv.contents is not None:
+        counts = contents.copies(inv.contents.join(sizes, "size", "left_semi").join(own, ["size", "sha256"], "left_semi"), wanted["scan_ids"])
+    else:
+        files = P.scoped(inv.entries, wanted["scan_ids"]).filter("kind = 'FILE'").join(sizes, "size", "left_semi")
+        counts = P.copies(files.join(P.scoped(inv.hashes, wanted["scan_ids"]), ["scan_id", "entry_id"]).join(own, ["size", "sha256"], "left_semi"))
+    return cursor.page(_shown(rows.join(counts, ["size", "sha256"], "left")), keys(wanted["descending"]), wanted["limit"])
 
 
 def search(inv: Inventory, request: dict) -> dict:

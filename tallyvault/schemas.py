@@ -49,11 +49,12 @@ SCHEMAS: dict[str, StructType] = {name: _schema(ddl) for name, ddl in _DDL.items
 #: With what only a store has: of scans that are being discovered, the directories that are
 #: not listed yet; files by content; and of tables that are sorted by path, the bounds of each
 #: file (of paths and of what pages are sorted by) and the hashed trigrams of its names.
+#: `written` is the generation of that file; folders give a column `generation`, which would hide one of that name.
 STORED = SCHEMAS | {
     "frontier": SCHEMAS["directories"],
     "contents": _schema("scan_id long, size long, sha256 string, files long"),
-    "zones": _schema("scan_id long, of string, generation string, file string, rows long, least string, most string, least_key string, most_key string"),
-    "grams": _schema("scan_id long, generation string, file string, gram int"),
+    "zones": _schema("scan_id long, of string, written string, file string, rows long, least string, most string, least_key string, most_key string"),
+    "grams": _schema("scan_id long, written string, file string, gram int"),
 }
 BASE = ("scans", "entries", "directories", "hashes", "scan_errors")
 ARCHIVE = tuple(t for t in _DDL if t.startswith("archive_"))
