@@ -8,13 +8,13 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyvault import cursor, storage
+from tallyvault import cursor, layout, storage
 from tallyvault.functions import paths
-from tallyvault.inventory import Inventory
-from tallyvault.operators import archives, audit, browse, candidates, duplicates, images, merge, scenario, search, signatures
+from tallyvault.inventory import Inventory, Store
+from tallyvault.operators import archives, audit, browse, candidates, contents, duplicates, images, merge, scenario, search, signatures
 from tallyvault.operators import predicates as P
 from tallyvault.plans.testbed import SQL, inventory
-from tallyvault.schemas import SCHEMAS, conforming, differences
+from tallyvault.schemas import BASE, SCHEMAS, conforming, differences
 from tallyvault.sources import filesystem, hashing
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -705,6 +705,22 @@ _add(
     lambda inv: _conforming(inv, ["scans", "entries", "hashes", "scan_errors"]),
 )
 
+# a store's own tables; these write files, so they are tested against the same requests without a store
+
+CLUSTERED = {"name": {"value": "doc-1", "match": "STARTS_WITH"}, "path": {"under": "en"}, "limit": 200}
+
+
+def _clustered(inv: Inventory) -> DataFrame:
+    """A search over a store of all scans, sorted by path, with counts of contents kept."""
+    store = Store(inv.spark, storage.new_folder(inv.spark, "store"))
+    store.save(**{t: getattr(inv, t) for t in BASE})
+    layout.clustered(store, [r[0] for r in inv.scans.select("scan_id").collect()])
+    contents.refreshed(store)
+    return layout.page(store, CLUSTERED)
+
+
+_add("search_clustered", None, _clustered)
+
 # sources, over the tables' own files; what SQL cannot read has no twin
 
 

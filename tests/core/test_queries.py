@@ -2,7 +2,9 @@
 
 import pytest
 
+from tallyvault.operators import search
 from tallyvault.plans import queries
+from tallyvault.plans.testbed import inventory
 from tests.conftest import compared
 
 
@@ -22,3 +24,8 @@ def test_entry_has_rows(spark):
 def test_source_queries(spark, sf_dir):
     tree, hashes = (queries.queries()[n](spark, sf_dir) for n in ("discover_tree", "hash_files"))
     assert hashes.count() == tree.filter("kind = 'FILE'").count() > 0
+
+
+def test_a_clustered_store_finds_the_same(spark, sf_dir):
+    plain = search.page(inventory(spark, sf_dir), queries.CLUSTERED).collect()
+    assert queries.queries()["search_clustered"](spark, sf_dir).collect() == plain and len(plain) > 1
