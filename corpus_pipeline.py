@@ -1,7 +1,8 @@
 """A training corpus from `documents`, in five stages.
 
 Each stage takes the rows that the one before it kept and returns the columns of
-documents, but for the last, which returns packed pieces.
+documents, but for the last, which returns packed pieces.  Stages share executors, so each
+sets the session's bound on what a Python worker gets at once (`common.short_batches`).
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyvault.llm import language, mixing, near, packing, pii
-from tallyvault.llm.common import settle, table
+from tallyvault.llm.common import settle, short_batches, table
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,6 +19,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     Null texts and texts without a letter are in no language and go; repeated rows are judged
     alike; without labels all texts with a letter stay.
     """
+    short_batches(spark)
     return language.accepted(docs, language.fit(docs))
 
 
@@ -26,11 +28,13 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows without an id or without words stay, as do all that differ; of repeated rows one stays.
     """
+    short_batches(spark)
     return near.deduplicated(docs)
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mask personal data in every text; all documents stay, null and empty texts as they are."""
+    short_batches(spark)
     return pii.mask(docs)
 
 
@@ -39,11 +43,13 @@ def to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A null source is one source.  Repeated rows are in the mix each by itself.
     """
+    short_batches(spark)
     return mixing.resampled(docs)
 
 
 def into_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pack the documents' tokens into sequences; null and empty texts are the end token alone, repeated rows are packed each."""
+    short_batches(spark)
     return packing.packed(docs)
 
 

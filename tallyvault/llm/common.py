@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from tallyvault.storage import settle
 
 
-__all__ = ["bounded", "fold", "parts", "placed", "settle", "table"]
+__all__ = ["bounded", "fold", "parts", "placed", "settle", "short_batches", "table"]
 
 #: A table of at most so many short rows may be broadcast.
 BROADCAST_ROWS = 250_000
+#: Of the rows of a task, so much goes to its Python worker at once.
+BATCH = "4m"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +35,17 @@ def bounded(small: DataFrame) -> DataFrame:
     return F.broadcast(small) if small.count() <= BROADCAST_ROWS else small
 
 
+def short_batches(spark: SparkSession) -> None:
+    """From now on the session hands rows to Python workers by BATCH, unless it has a bound of its own; a longer row goes by itself.
+
+    Spark's bound is 64 MB or 10,000 rows.  The JVM holds a batch more than once, outside
+    its heap, and the worker as Arrow and as Python's strings; what both took for one stage
+    they keep for those that follow.  Only memory hangs on the bound, no result does.
+    """
+    bound = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.set(bound, spark.conf.get(bound, BATCH))
+
+
 def placed(df: DataFrame, group: str, order: list[str]) -> DataFrame:
     """`df` with each row's place (__tv_place, from 0) in the order of some columns within its group, and the group's size (__tv_size).
 

@@ -307,6 +307,28 @@ def test_pipeline_rejects_what_no_label_explains(spark, docs, words):
     assert not kept & set(range(100, 203))
 
 
+@pytest.mark.parametrize("name", dict(corpus_pipeline.STAGES))
+def test_stages_bound_what_a_worker_gets_at_once(spark, words, name):
+    """Rows of 16 MB reach a Python worker in batches of 4 MB, or of what the session says."""
+    import pandas as pd
+
+    def most(session):
+        def sizes(texts: pd.Series) -> pd.Series:
+            return pd.Series([texts.str.len().sum()] * len(texts))
+
+        texts = session.range(0, 4000, 1, 1).select(F.repeat(F.lit("word"), 1000).alias("text"), "id")
+        return texts.select(F.pandas_udf(sizes, "long")(F.concat("text", "id")).alias("n")).agg(F.max("n")).first()[0]
+
+    for bound, limit in ((None, 4 << 20), ("1m", 1 << 20)):
+        own = spark.newSession()  # without what other tests have set
+        own.conf.set("spark.sql.shuffle.partitions", "2")
+        if bound:
+            own.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", bound)
+        rows = own.createDataFrame([(i, words(i % 2, 30), "en", "s", 1) for i in range(4)], "doc_id long, text string, lang string, source string, n_chars long")
+        dict(corpus_pipeline.STAGES)[name](own, rows, "")
+        assert limit / 2 < most(own) <= limit + 5000
+
+
 def test_near_texts_of_one_id(docs):
     """Rows that share an id are told apart by their texts: as quick as rows of their own ids, and the same classes."""
     import time
